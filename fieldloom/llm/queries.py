@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing
+from . import bpe, exact_dedup, licenses, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
         "op9_license_scan": licenses.op9_license_scan,
     }
