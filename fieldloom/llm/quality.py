@@ -32,8 +32,10 @@ STOP_WORDS = frozenset(
     "der die das und den von zu mit sich auf für ist im dem nicht ein eine el los las y del se por con para su al lo como más no una es o".split()
 )
 SYMBOLS = frozenset("#$%&*@^~=<>{}[]\\")
+#: Words added to a text's length when shapes are counted as shares: of a few words, little can be said.
+SMOOTH = 20
 GOOD, JUNK, NOTHING = 0, 1, 2
-LABELLERS = ("symbols", "bars", "capitals", "shouting", "repeats", "function_words", "word_length", "lines")
+LABELLERS = ("symbols", "bars", "capitals", "shouting", "repeats", "distinct_words", "distinct_pairs", "function_words", "word_length", "lines")
 shape_of = regex.compile(r"(\p{Lu}+)|(\p{Ll}+)|(\p{L}+)|(\p{N}+)|(.)", regex.S)
 
 
@@ -42,7 +44,7 @@ def _band(x: float, good: float, junk: float) -> int:
 
 
 def votes(text: str | None) -> list[int]:
-    """A vote of each labeller. A text without words gets no vote but that of its lines."""
+    """A vote of each labeller. A text without words gets none."""
     text = text or ""
     words = text.split()
     n, chars = len(words), max(1, len(text))
@@ -59,9 +61,11 @@ def votes(text: str | None) -> list[int]:
         _band(upper / max(1, alpha), 0.15, 0.4),
         _band(sum(w.endswith("!!") for w in words) / n, 0.02, 0.1),
         _band(sum(a == b for a, b in pairwise(words)) / n, 0.1, 0.3) if n >= 5 else NOTHING,
+        _band(1 - len(set(words)) / n, 0.6, 0.7) if n >= 20 else NOTHING,
+        _band(1 - len(set(pairwise(words))) / n, 0.3, 0.5) if n >= 20 else NOTHING,
         _band(-stop, -0.06, -0.02) if n >= 20 else NOTHING,
         _band(abs(len(text) / n - 6.5), 3.5, 9.0),
-        _band(1 - len(set(lines)) / len(lines), 0.1, 0.5) if len(lines) >= 4 else NOTHING,
+        _band(1 - len(set(lines)) / len(lines), 0.3, 0.8) if len(lines) >= 4 else NOTHING,
     ]
 
 
@@ -78,21 +82,26 @@ def vote_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.drop("pattern").mapInArrow(run, T.StructType([*fields, T.StructField("pattern", T.IntegerType())]))
 
 
-def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of junk for each pattern, and each labeller's chance of each vote given the class (labeller, class, vote), by EM from the majority."""
+def estimate(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
+    """Posterior of junk for each pattern, and each labeller's chance of voting junk given the class (labeller, class), by EM.
+
+    A labeller that votes nothing says nothing. A weak prior (2 % of the
+    documents' weight) expects a labeller to object to 40 % of junk and 1 % of good texts.
+    """
+    expected = np.array([0.01, 0.4])
     if not counts:
-        return {}, np.full((len(LABELLERS), 2, 3), 1 / 3)
+        return {}, np.tile(expected, (len(LABELLERS), 1))
     codes = sorted(counts)
     v = np.array([[c // 3**k % 3 for k in range(len(LABELLERS))] for c in codes])
     n = np.array([counts[c] for c in codes], float)
-    junk, good = (v == JUNK).sum(1), (v == GOOD).sum(1)
-    post = np.where(junk > 0, 0.5 + 0.4 * np.tanh(junk - 0.3 * good), 0.05)
-    onehot = (v[:, :, None] == np.arange(3)).astype(float)
+    weight = 0.02 * n.sum() + 1
+    junk, good = (v == JUNK).astype(float), (v == GOOD).astype(float)
+    post = np.where(junk.any(1), 0.9, 0.05)  # each labeller sees one kind of junk, so an objection is believed first
     for _ in range(rounds):
         prior = (post @ n + 1) / (n.sum() + 2)
-        chance = np.stack([np.einsum("p,pkv->kv", q * n, onehot) + 0.5 for q in (1 - post, post)], 1)
-        chance /= chance.sum(2, keepdims=True)
-        logs = np.einsum("pkv,kcv->pc", onehot, np.log(chance)) + np.log([1 - prior, prior])
+        q = np.stack([(1 - post) * n, post * n], 1)
+        chance = (junk.T @ q + weight * expected) / ((junk + good).T @ q + weight)
+        logs = junk @ np.log(chance) + good @ np.log(1 - chance) + np.log([1 - prior, prior])
         new = sigmoid(logs[:, 1] - logs[:, 0])
         done = np.abs(new - post).max() < 1e-9
         post = new
@@ -124,7 +133,7 @@ class Shapes:
         count = Counter(i for i, _ in both)
         count.update(slot(f"e:{e}", BITS) for _, e in both)
         count[slot("repeat", BITS)] += sum(a == b for a, b in pairwise(words))
-        n = len(words)
+        n = len(words) + SMOOTH
         return list(count), [k / n for k in count.values()]
 
 
@@ -150,13 +159,12 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float],
 def train(spark: SparkSession, docs: DataFrame, most: int = MOST_SAMPLE) -> tuple[np.ndarray, float]:
     """EM over the vote patterns of all documents, then the scorer on at most ``most`` of them: those whose texts hash lowest."""
     cast = Stage(spark, "votes").put(vote_patterns(docs.select("text", F.xxhash64("text").alias("h"))), "patterns")
-    counts = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # 3^8 patterns at most
+    counts = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # 3^10 patterns at most
     posterior, _ = estimate(counts)
     n = sum(counts.values())
-    if not n:
-        return np.zeros(1 << BITS), -1.0
+    prior = (sum(posterior[c] * k for c, k in counts.items()) + 1) / (n + 10)
     # of evenly spread hashes, this share; equal texts count once
-    low = min(2**63 - 1, -(2**63) + int(min(1.0, most / n) * 2**64))
+    low = min(2**63 - 1, -(2**63) + int(min(1.0, most / max(1, n)) * 2**64))
     sample = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("h") <= low).dropDuplicates(["h"]).orderBy("h").limit(most)
     fields = "p int, cols array<int>, vals array<double>"
 
@@ -173,11 +181,12 @@ def train(spark: SparkSession, docs: DataFrame, most: int = MOST_SAMPLE) -> tupl
 
     rows = sample.mapInArrow(run, fields).collect()
     if not rows:
-        return np.zeros(1 << BITS), -1.0
+        return np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     index = np.repeat(np.arange(len(rows)), [len(r.cols) for r in rows])
     cols, vals = np.concatenate([r.cols for r in rows]).astype(np.int64), np.concatenate([r.vals for r in rows])
-    y = np.array([posterior[r.p] for r in rows])
-    return fit_logistic(index, cols, vals, y, 1 << BITS, l2=1e-5, steps=400, rate=0.2)
+    y = np.array([posterior.get(r.p, prior) for r in rows])
+    # the bias stays at the corpus's share, so that a text of a few words, with small shares, is judged by it
+    return fit_logistic(index, cols, vals, y, 1 << BITS, l2=1e-5, steps=400, rate=0.2, bias=float(np.log(prior / (1 - prior))))
 
 
 def classify(spark: SparkSession, docs: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
