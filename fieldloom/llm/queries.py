@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, licenses, mixing, quality, toxicity
+from . import ann, bpe, exact_dedup, html, licenses, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_html": html.op2_html,
         "op3_ann": ann.op3_ann,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_bpe": bpe.op5_bpe,
