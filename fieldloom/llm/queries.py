@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html, licenses, mixing, quality, toxicity
+from . import ann, bpe, exact_dedup, html, licenses, minhash, mixing, quality, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
         "op9_license_scan": licenses.op9_license_scan,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
