@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html, licenses, minhash, mixing, quality, toxicity
+from . import ann, bpe, exact_dedup, html, licenses, minhash, mixing, quality, sequences, toxicity
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -13,9 +19,11 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_bpe": bpe.op5_bpe,
         "op6_quality": quality.op6_quality,
+        "op7_sequences": sequences.op7_sequences,
         "op8_mixing": mixing.op8_mixing,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_minhash": minhash.op10_minhash,
+        "pipeline": pipeline,
     }
 
 
