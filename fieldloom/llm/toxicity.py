@@ -61,16 +61,16 @@ class Featurizer:
 
 
 def labelled_features(labelled: DataFrame) -> DataFrame:
-    """label, features, terms of each row of (text, label)."""
+    """label, features (binary: sorted 32-bit integers), terms of each row of (text, label)."""
 
     def run(batches):
         f = Featurizer()
         for batch in batches:
             for part in slices(batch, "text"):
                 both = [f(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([sorted(x) for x, _ in both], pa.list_(pa.int32())), pa.array([sorted(x) for _, x in both], pa.list_(pa.string()))], names=["label", "features", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([np.array(sorted(x), np.uint32).tobytes() for x, _ in both], pa.binary()), pa.array([sorted(x) for _, x in both], pa.list_(pa.string()))], names=["label", "features", "terms"])
 
-    schema = "label int, features array<int>, terms array<string>"
+    schema = "label int, features binary, terms array<string>"
     return labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, schema)
 
 
@@ -87,9 +87,12 @@ def fit(rows: Iterable, counterfactual: float = 1.0, least_rows: int = 4, least_
     if n == 0 or n1 in (0, n):  # one class, or none: nothing to learn but the share
         p = (n1 + 0.5) / (n + 1)
         return {}, float(np.log(p / (1 - p)))
-    index = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    feats = np.concatenate([np.asarray(r[1], np.int64) for r in rows]) if len(index) else np.zeros(0, np.int64)
-    all_, one = np.bincount(feats, minlength=1 << BITS), np.bincount(feats, y[index], minlength=1 << BITS)
+    # row by row, as the features of all rows at once would fill the driver
+    all_, one = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for label, features, _ in rows:
+        f = np.frombuffer(features, np.uint32)
+        all_[f] += 1
+        one[f] += label
     share = n1 / n
     z = np.abs(one - all_ * share) / np.sqrt(np.maximum(all_ * share * (1 - share), 1e-9))
     used = (all_ >= least_rows) & (z >= least_z)
@@ -103,7 +106,8 @@ def fit(rows: Iterable, counterfactual: float = 1.0, least_rows: int = 4, least_
     ids = np.flatnonzero(used)
     place = np.full(1 << BITS, -1)
     place[ids] = np.arange(len(ids))
-    kept = used[feats]
+    parts = [place[f[used[f]]] for f in (np.frombuffer(r[1], np.uint32) for r in rows)]
+    index, cols = np.repeat(np.arange(n), [len(x) for x in parts]), np.concatenate(parts)
     swaps = np.zeros((len(pairs), len(ids)))
     for i, ((a, b), count) in enumerate(sorted(pairs.items())):
         swaps[i, place[word_features(a)]] += 1
@@ -113,7 +117,7 @@ def fit(rows: Iterable, counterfactual: float = 1.0, least_rows: int = 4, least_
     def penalty(w):
         return 2 * counterfactual * (swaps.T @ (swaps @ w))
 
-    w, b = fit_logistic(index[kept], place[feats[kept]], np.ones(int(kept.sum())), y, len(ids), l2=1e-3, penalty=penalty if len(pairs) else None)
+    w, b = fit_logistic(index, cols, np.ones(len(cols)), y, len(ids), l2=1e-3, penalty=penalty if len(pairs) else None)
     return dict(zip(ids.tolist(), w.tolist(), strict=True)), b
 
 
