@@ -1,0 +1 @@
+"""Analytics on gridded simulation output as lazy DataFrames."""
