@@ -18,7 +18,7 @@ def lines(snap: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("t", "i
     """One row for each line along k, with an array in the order of k for each field; a line is as long as the grid is deep."""
     packed = F.array_sort(F.collect_list(F.struct("k", *[F.col(f).cast("double").alias(f) for f in fields])))
     out = snap.groupBy(*keys).agg(packed.alias("_l"))
-    return out.select(*keys, *[F.transform("_l", lambda s, f=f: s[f]).alias(f) for f in fields])
+    return out.select(*keys, *[F.col(f"_l.{f}").alias(f) for f in fields])
 
 
 def _circular(ref: np.ndarray, other: np.ndarray) -> np.ndarray:
