@@ -180,4 +180,4 @@ def op7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     placed = write(spark, read(spark, sf_dir, "documents"), tokenizers_.path("byte_bpe_multi_50k.tiktoken"), tokenizers_.PATTERN, root)
     digests = read_back(spark, root).select("slot", F.sha2("tokens", 256).alias("ids_sha256"))
-    return placed.join(digests, "slot").select("doc_id", "seq", "slot", (F.col("slot") / SHARD).cast("long").alias("shard"), "n_tokens", "ids_sha256")
+    return placed.hint("merge").join(digests, "slot").select("doc_id", "seq", "slot", (F.col("slot") / SHARD).cast("long").alias("shard"), "n_tokens", "ids_sha256")
