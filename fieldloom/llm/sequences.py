@@ -8,10 +8,12 @@ training reads them in sequence and resumes anywhere.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import codec, load, slices
+from .bpe import load, slices
 from .common import Stage, read, shared_dir
 
 #: Tokens of a sequence, sequences of a shard, and the id that fills a sequence up (free in the vocabulary, and no text has it).
@@ -52,6 +54,16 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def encoder(ranks_file: bytes, pattern: str):
+    """One for each worker process: a function from a text to its ids, without special tokens."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    return lambda text: encode(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+
+
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -75,10 +87,10 @@ def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, r
     file = load(spark, ranks_path)
 
     def count(batches):
-        c, n = codec(file.value, pattern), 0
+        encode, n = encoder(file.value, pattern), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                n += sum(-(-len(x) // (4 * length)) for x in c.encode(part.column("text").to_pylist()))
+                n += sum(-(-len(encode(x)) // length) for x in part.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counted = docs.mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each input split
@@ -91,13 +103,13 @@ def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, r
     n_shards = -(-total // shard)
 
     def cut(batches):
-        c, part = codec(file.value, pattern), TaskContext.get().partitionId()
+        encode, part = encoder(file.value, pattern), TaskContext.get().partitionId()
         at, end = bases.value[0].get(part, 0), bases.value[0].get(part, 0) + bases.value[1].get(part, 0)
         for batch in batches:
             for piece in slices(batch, "text"):
                 ids, seqs, tokens = [], [], []
-                for doc, raw in zip(piece.column("doc_id").to_pylist(), c.encode(piece.column("text").to_pylist()), strict=True):
-                    row = np.frombuffer(raw, "<u4").astype(ID).tobytes()
+                for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                    row = encode(text).astype(ID).tobytes()
                     for k in range(0, len(row), 2 * length):
                         ids.append(doc)
                         seqs.append(k // (2 * length))
