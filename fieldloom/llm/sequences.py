@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 from .bpe import load, slices
 from .common import Stage, read, shared_dir
 
-#: Tokens of a sequence, sequences of a shard, and the id that fills a sequence up (free in the vocabulary, and no text has it).
-LENGTH, SHARD, PAD = 256, 4096, 50256
+#: Tokens of a sequence, and the id that fills one up (free in the vocabulary, and no text has it).
+LENGTH, PAD = 256, 50256
+#: Sequences are numbered by input partition and place in it, from 0: bounds of both.
+MOST_PARTS, MOST_PLACES = 1_000_000, 1 << 32
 ID = np.dtype("<u2")
 U = np.uint64
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
-    """The slot of each index below n: a bijection of 0..n-1 onto itself that the key picks.
+    """The place of each index below n: a bijection of 0..n-1 onto itself that the key picks.
 
     A balanced Feistel network permutes the next power of four; a value that isn't below n is permuted again, until it is.
     """
@@ -68,43 +70,32 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, root: str, key: int = 1, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Writes the shards of ``docs`` (doc_id, text) under ``root`` and returns a row for each sequence: doc_id, seq (from 0), slot, n_tokens.
+def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, root: str, key: int = 1, length: int = LENGTH, shards: int | None = None) -> DataFrame:
+    """Writes the shards of ``docs`` (doc_id, text) under ``root`` and returns a row for each sequence: doc_id, seq (from 0), slot, shard, n_tokens.
+
+    A sequence's number (input partition, place in it) is permuted over the
+    whole space of numbers; the permuted numbers are spread evenly, so the bounds of
+    ``shards`` ranges are known beforehand, and a range sorted by them is a shard. Slots count the
+    sequences in that order, from 0 without gaps. A shard holds ``length`` ids of two bytes for each sequence, little
+    endian, a document's last one filled up with PAD; sequences.json says how many each has, so that a slot's place
+    is known. Texts are encoded once, and only sequences move, once.
 
-    Shard s holds slots s * ``shard`` and on, each ``length`` ids of two bytes, little
-    endian, a document's last sequence filled up with PAD; sequences.json says how many there are.
     A shard is written under another name and renamed when whole, so a task that
-    is repeated after an executor is lost leaves the same file.
+    is repeated after an executor is lost leaves the same file. The order depends on how ``docs`` is cut in partitions.
 
     A document with no tokens (null or empty) has no sequence. Repeated rows are documents like any
     other; null ids stay null; other columns are ignored. No documents: no shards.
-
-    Sequences are numbered in the order of ``docs``, which must come in the same
-    partitions each time it is read, as files do: a first pass counts the tokens of each
-    partition, the second writes. Only sequences move, once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     file = load(spark, ranks_path)
-
-    def count(batches):
-        encode, n = encoder(file.value, pattern), 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n += sum(-(-len(encode(x)) // length) for x in part.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    counted = docs.mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each input split
-    sizes = {r["part"]: r["n"] for r in counted}
-    total, first = 0, {}
-    for part in sorted(sizes):
-        first[part] = total
-        total += sizes[part]
-    bases = spark.sparkContext.broadcast((first, sizes))
-    n_shards = -(-total // shard)
+    n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    space = MOST_PARTS * MOST_PLACES
+    width = -(-space // n_shards)
 
     def cut(batches):
-        encode, part = encoder(file.value, pattern), TaskContext.get().partitionId()
-        at, end = bases.value[0].get(part, 0), bases.value[0].get(part, 0) + bases.value[1].get(part, 0)
+        encode, part, at = encoder(file.value, pattern), TaskContext.get().partitionId(), 0
+        if part >= MOST_PARTS:
+            raise ValueError(f"the documents come in over {MOST_PARTS} partitions")
         for batch in batches:
             for piece in slices(batch, "text"):
                 ids, seqs, tokens = [], [], []
@@ -114,39 +105,43 @@ def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, r
                         ids.append(doc)
                         seqs.append(k // (2 * length))
                         tokens.append(row[k : k + 2 * length])
-                if at + len(ids) > end:
-                    raise ValueError("the documents came in other partitions than when they were counted")
-                slot = permute(np.arange(at, at + len(ids)), total, key) if ids else np.zeros(0, np.int64)
+                place = permute(part * MOST_PLACES + np.arange(at, at + len(ids), dtype=np.int64), space, key)
                 at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // shard, pa.int32()), pa.array(slot), pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(tokens, pa.binary())], names=["shard", "slot", "doc_id", "seq", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(tokens, pa.binary())], names=["shard", "place", "doc_id", "seq", "tokens"])
 
-    rows = docs.mapInArrow(cut, "shard int, slot long, doc_id long, seq int, tokens binary")
-    # slots are spread evenly over 0..n-1, so the ranges are known without sampling: partition s is shard s
-    rows = rows.repartitionById(max(1, n_shards), "shard").sortWithinPartitions("slot")
+    rows = docs.mapInArrow(cut, "shard int, place long, doc_id long, seq int, tokens binary")
+    rows = rows.repartitionById(n_shards, "shard").sortWithinPartitions("place")
 
     def save(batches: Iterator[pa.RecordBatch]):
-        out, name = None, ""
+        out, at, fill = None, 0, np.full(length, PAD, ID).tobytes()
         for batch in batches:
-            slots, tokens = batch.column("slot").to_numpy(), batch.column("tokens").to_pylist()
+            tokens = batch.column("tokens").to_pylist()
             if out is None and tokens:
-                number = int(slots[0]) // shard
                 store, folder = _store(root)
-                name, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/shard-{number:08d}.bin"
+                name, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{file_name(batch.column('shard')[0].as_py())}"
                 out = store.open_output_stream(name)
-            fill = np.full(length, PAD, ID).tobytes()
             if tokens:
                 out.write(b"".join(t + fill[len(t) :] for t in tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), batch.column("slot"), pa.array([len(t) // 2 for t in tokens], pa.int32())], names=["doc_id", "seq", "slot", "n_tokens"])
+            nth = pa.array(np.arange(at, at + len(tokens)))
+            at += len(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), batch.column("shard"), nth, pa.array([len(t) // 2 for t in tokens], pa.int32())], names=["doc_id", "seq", "shard", "nth", "n_tokens"])
         if out is not None:
             out.close()
             store.move(name, final)
 
     store, folder = _store(root)
     store.create_dir(folder, recursive=True)
-    done = Stage(spark, "sequences").put(rows.mapInArrow(save, "doc_id long, seq int, slot long, n_tokens int"), "rows")
+    done = Stage(spark, "sequences").put(rows.mapInArrow(save, "doc_id long, seq int, shard int, nth long, n_tokens int"), "rows")
+    counted = {r["shard"]: r["count"] for r in done.groupBy("shard").count().collect()}  # a row for each shard
+    counts = [counted.get(k, 0) for k in range(n_shards)]
     with store.open_output_stream(f"{folder}/sequences.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "shard": shard, "pad": PAD, "key": key, "dtype": ID.str}).encode())
-    return done
+        f.write(json.dumps({"counts": counts, "length": length, "pad": PAD, "key": key, "dtype": ID.str}).encode())
+    before = spark.createDataFrame([(k, int(n)) for k, n in enumerate(np.cumsum([0, *counts])[:-1])], "shard int, base long")
+    return done.join(F.broadcast(before), "shard").select("doc_id", "seq", (F.col("base") + F.col("nth")).alias("slot"), "shard", "n_tokens")
+
+
+def file_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
 
 def describe(root: str) -> dict:
@@ -159,31 +154,35 @@ def sequences(root: str, start: int = 0) -> Iterator[np.ndarray]:
     """The sequences in training order from slot ``start`` on, without padding: what a reader that resumes does."""
     meta = describe(root)
     store, folder = _store(root)
-    stride = 2 * meta["length"]
-    for number in range(start // meta["shard"], -(-meta["sequences"] // meta["shard"])):
-        with store.open_input_file(f"{folder}/shard-{number:08d}.bin") as f:
-            f.seek(max(0, start - number * meta["shard"]) * stride)
-            while raw := f.read(stride):
-                ids = np.frombuffer(raw, ID)
-                yield ids[ids != meta["pad"]]
+    stride, ends = 2 * meta["length"], np.cumsum(meta["counts"])
+    for shard in range(int(np.searchsorted(ends, start, side="right")), len(ends)):
+        if n := meta["counts"][shard]:
+            with store.open_input_file(f"{folder}/{file_name(shard)}") as f:
+                f.seek(max(0, start - (int(ends[shard]) - n)) * stride)
+                while raw := f.read(stride):
+                    ids = np.frombuffer(raw, ID)
+                    yield ids[ids != meta["pad"]]
 
 
 def read_back(spark: SparkSession, root: str) -> DataFrame:
-    """slot, tokens (binary: ids of four bytes, little endian, without padding) of all shards, a task for some shards."""
+    """slot, tokens (binary: ids of four bytes, little endian, without padding) of all shards."""
     meta = describe(root)
-    n_shards = -(-meta["sequences"] // meta["shard"])
+    ends = np.cumsum(meta["counts"]).tolist()
+    todo = [(k, int(e - n)) for k, (n, e) in enumerate(zip(meta["counts"], ends, strict=True)) if n]
 
     def run(batches):
         store, folder = _store(root)
         for batch in batches:
-            for number in batch.column("id").to_pylist():
-                with store.open_input_stream(f"{folder}/shard-{number:08d}.bin") as f:
-                    ids = np.frombuffer(f.read(), ID).reshape(-1, meta["length"])
-                first = number * meta["shard"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(ids))), pa.array([x[x != meta["pad"]].astype("<u4").tobytes() for x in ids], pa.binary())], names=["slot", "tokens"])
+            for shard, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                with store.open_input_stream(f"{folder}/{file_name(shard)}") as f:
+                    at = base
+                    while raw := f.read(2 * meta["length"] * 4096):
+                        ids = np.frombuffer(raw, ID).reshape(-1, meta["length"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(ids))), pa.array([x[x != meta["pad"]].astype("<u4").tobytes() for x in ids], pa.binary())], names=["slot", "tokens"])
+                        at += len(ids)
 
-    parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.range(0, n_shards, 1, parts).mapInArrow(run, "slot long, tokens binary")
+    shards = spark.createDataFrame(todo, "shard int, base long").repartition(max(1, len(todo)))
+    return shards.mapInArrow(run, "slot long, tokens binary")
 
 
 def op7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,4 +191,4 @@ def op7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     placed = write(spark, read(spark, sf_dir, "documents"), tokenizers_.path("byte_bpe_multi_50k.tiktoken"), tokenizers_.PATTERN, root)
     digests = read_back(spark, root).select("slot", F.sha2("tokens", 256).alias("ids_sha256"))
-    return placed.hint("merge").join(digests, "slot").select("doc_id", "seq", "slot", (F.col("slot") / SHARD).cast("long").alias("shard"), "n_tokens", "ids_sha256")
+    return placed.hint("merge").join(digests, "slot").select("doc_id", "seq", "slot", "shard", "n_tokens", "ids_sha256")
