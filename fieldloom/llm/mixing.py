@@ -74,8 +74,8 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[Sequence[fl
     above. A source is read in the order of its documents' id digests, again
     and again, until ``quota`` (its target in whole words) is reached: ``taken`` sums
     to the quota exactly, and the document at the end counts in part. ``position`` is where
-    in training (0 to 1) the document first occurs; one that is not taken gets a
-    position past 1. Empty and null texts have size 0 and are taken 0 times. Null ids and repeated rows
+    in training (0 to 1) the document first occurs; one beyond the quota gets a
+    position from 1 on. Empty and null texts have size 0, are taken 0 times, and have the position where they stand. Null ids and repeated rows
     are rows like any other. No documents: no rows.
 
     A source's running sum is taken in two levels, within and over the 4,096
@@ -109,7 +109,7 @@ def position(offset):
     b, y = F.element_at("rate", seg.cast("int")), x - F.element_at("curve", seg.cast("int"))
     root = F.sqrt(F.greatest(F.lit(0.0), b * b + a * y * 4))
     t = (seg - 1) * h + F.when(b + root > 0, y * 2 / (b + root)).otherwise(F.lit(0.0))
-    return F.when(x >= 1, x).otherwise(F.least(t, F.lit(1.0)))
+    return F.when(F.col("quota") <= 0, offset + 1.0).when(x >= 1, x).otherwise(F.least(t, F.lit(1.0)))
 
 
 def materialise(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
