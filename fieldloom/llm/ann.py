@@ -106,7 +106,7 @@ def build(sample: np.ndarray, n_trees: int, leaf_size: int, seed: int = 0) -> Fo
             else:
                 children[parent][side] = child
     d = sample.shape[1] if sample.ndim == 2 else 0
-    return Forest(np.array(planes).reshape(-1, d), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, np.array(weights))
+    return Forest(np.array(planes, float).reshape(len(planes), d), np.array(offsets, float), np.array(children, np.int64).reshape(-1, 2), roots, np.array(weights, float))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -35,7 +35,7 @@ SYMBOLS = frozenset("#$%&*@^~=<>{}[]\\")
 #: Words added to a text's length when shapes are counted as shares: of a few words, little can be said.
 SMOOTH = 20
 GOOD, JUNK, NOTHING = 0, 1, 2
-LABELLERS = ("symbols", "bars", "capitals", "shouting", "repeats", "distinct_words", "distinct_pairs", "function_words", "word_length", "lines")
+LABELLERS = ("symbols", "bars", "lone_signs", "capitals", "shouting", "repeats", "distinct_words", "distinct_pairs", "function_words", "word_length", "lines")
 shape_of = regex.compile(r"(\p{Lu}+)|(\p{Ll}+)|(\p{L}+)|(\p{N}+)|(.)", regex.S)
 
 
@@ -58,6 +58,7 @@ def votes(text: str | None) -> list[int]:
     return [
         _band(sum(count[c] for c in SYMBOLS) / chars, 0.01, 0.05),
         _band(words.count("|") / n, 0.02, 0.15),
+        _band(sum(len(w) == 1 and not w.isalnum() for w in words) / n, 0.05, 0.15),
         _band(upper / max(1, alpha), 0.15, 0.4),
         _band(sum(w.endswith("!!") for w in words) / n, 0.02, 0.1),
         _band(sum(a == b for a, b in pairwise(words)) / n, 0.1, 0.3) if n >= 5 else NOTHING,
@@ -159,7 +160,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float],
 def train(spark: SparkSession, docs: DataFrame, most: int = MOST_SAMPLE) -> tuple[np.ndarray, float]:
     """EM over the vote patterns of all documents, then the scorer on at most ``most`` of them: those whose texts hash lowest."""
     cast = Stage(spark, "votes").put(vote_patterns(docs.select("text", F.xxhash64("text").alias("h"))), "patterns")
-    counts = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # 3^10 patterns at most
+    counts = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # 3^11 patterns at most
     posterior, _ = estimate(counts)
     n = sum(counts.values())
     prior = (sum(posterior[c] * k for c, k in counts.items()) + 1) / (n + 10)
