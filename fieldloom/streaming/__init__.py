@@ -25,7 +25,7 @@ class Checkpoint:
 
     def __init__(self, spark: SparkSession, path: str, meta: dict, warn_only: Sequence[str] = ("coord_tol",), wipe: bool = False):
         self.spark, self.path, self.meta = spark, path, meta
-        text = self._fs_read(f"{path}/_meta.json")
+        text = self._fs_read(f"{path}/meta.json")
         if text is not None and not wipe:
             import warnings
 
@@ -37,7 +37,7 @@ class Checkpoint:
                 warnings.warn(f"the checkpoint was made with another {sorted(bad)}", stacklevel=2)
         else:
             self._path("").getFileSystem(self._conf()).delete(self._path(""), True)
-            self._fs_write(f"{path}/_meta.json", json.dumps(meta))
+            self._fs_write(f"{path}/meta.json", json.dumps(meta))
 
     def _conf(self):
         return self.spark.sparkContext._jsc.hadoopConfiguration()
