@@ -189,23 +189,46 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: boo
     return both.select("a", "b", "runs_a", "runs_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def compare_blocks(rest: DataFrame, least: float, k: int) -> DataFrame:
-    """Pairs (a < b) of rows (key, x, y, id, block, linked, marks) of a group (key, x, y) that agree on ``least`` of their coordinates, not both linked to their hub."""
+def compare_blocks(rest: DataFrame, least: float, similarity: float, weighted: bool = False) -> DataFrame:
+    """Links (a, b) that join up what is similar in each group (key, x, y) of rows (key, x, y, id, block, linked, marks, runs).
+
+    A text that isn't linked to its hub is compared with all others of the
+    group: by marks, and exactly where these agree on ``least`` of the
+    coordinates. Texts that are already joined, by the hub or by links found
+    here, aren't compared again, so a group of n gives n links at most.
+    """
 
     def run(_, pdf):
         m = np.frombuffer(b"".join(pdf["marks"]), np.uint8).reshape(len(pdf), -1)
-        ids, linked, block = pdf["id"].to_numpy(), pdf["linked"].to_numpy(bool), pdf["block"].to_numpy()
+        ids, linked, block, runs = pdf["id"].to_numpy(), pdf["linked"].to_numpy(bool), pdf["block"].to_numpy(), pdf["runs"].to_list()
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        root = list(range(len(ids)))
+        if linked.any():
+            hub = int(np.flatnonzero(linked)[0])
+            for i in np.flatnonzero(linked):
+                root[i] = hub
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         out = []
-        for i in np.flatnonzero(~linked):  # a pair has one that isn't linked; if neither is, the smaller id asks
+        for i in np.flatnonzero(~linked).tolist():  # a pair has one that isn't linked; if neither is, the smaller id asks
             if x == y:
                 other = np.flatnonzero(linked | (ids > ids[i]))
             else:
                 other = np.flatnonzero((block != block[i]) & (linked | (block > block[i])))
-            if len(other):
-                agree = (m[other] == m[i]).mean(1)
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other[(agree - 1 / 256) / (1 - 1 / 256) >= least] if ids[i] != ids[j]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            if not len(other):
+                continue
+            agree = ((m[other] == m[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+            near = np.flatnonzero(agree >= least)
+            for j in other[near[np.argsort(-agree[near], kind="stable")]].tolist():
+                if find(i) != find(j) and jaccard(runs[i], runs[j], weighted) >= similarity:
+                    root[find(i)] = find(j)
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rest.groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
@@ -224,9 +247,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     Copies go as one text. In a band's bucket every text is first compared with
     the bucket's hub alone, the text that shares most buckets; what is near it
     needs no further pair among itself. Texts of a bucket that aren't near
-    the hub are compared with all of the bucket, in blocks and by their
-    signatures, and the pairs that may be near are verified too: no link of
-    a bucket is skipped, yet a large group of copies costs a pair for each.
+    the hub are compared with all of the bucket, in blocks, by their
+    signatures and then exactly, until they are joined to it: no class loses a link
+    of a bucket, yet a large group of copies gives a link for each.
     """
     k = bands * rows
     stage = Stage(spark, "near")
@@ -256,11 +279,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     rest = flagged.hint("merge").join(open_.select("key"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "linked")
     marks = sig.select(F.col("doc_id").alias("id"), "marks").where("marks IS NOT NULL").hint("merge").join(flagged.where("NOT linked OR n > 2").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    rest = rest.hint("merge").join(marks, "id")
+    rest = rest.hint("merge").join(marks.hint("merge").join(sets, "id"), "id")
     # five standard deviations under the similarity
     least = similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / k))
-    pairs = stage.put(compare_blocks(rest, least, k).distinct(), "pairs")
-    edges = near_hub.union(verified(pairs, sets, similarity, weighted).select("a", "b"))
+    edges = near_hub.union(compare_blocks(rest, least, similarity, weighted))
     parts = components(stage, edges)
     named = copies.hint("merge").join(heads, "digest")
     named = named.hint("merge").join(stage.put(parts, "components"), "id", "left").withColumn("class_id", F.coalesce("comp", "id"))
