@@ -10,6 +10,7 @@ notices, forms, comments and the like are not.
 from __future__ import annotations
 
 import html as entities
+from bisect import bisect
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -23,6 +24,8 @@ from .common import read
 
 #: Pages that one template is deduced from, pages of a host dealt to one place, and hosts that may be dealt to several: bounds on memory, not on pages.
 GROUP, DEALT, MOST_HOT = 64, 128, 65_536
+#: Share of an article's words that are template, beyond which it is taken for a near copy of other articles.
+COPIED = 0.8
 
 #: Element names by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -158,14 +161,12 @@ def main_nodes(page: Page, skip: list[bool]) -> list[bool]:
 
 def equivalence_classes(pages: list[list[str]], least_pages: int = 2) -> dict[tuple[int, ...], list[str]]:
     """Tokens by their occurrence vector (how often on each page), where at least half of the pages, and ``least_pages``, have them."""
-    vectors: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
-    for k, tokens in enumerate(pages):
-        for t, n in Counter(tokens).items():
-            vectors[t][k] = n
+    counts = [Counter(tokens) for tokens in pages]
+    seen = Counter(t for c in counts for t in c)
     classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
-    for t, v in vectors.items():
-        if sum(x > 0 for x in v) >= max(least_pages, len(pages) / 2):
-            classes[tuple(v)].append(t)
+    for t, n in seen.items():
+        if n >= max(least_pages, len(pages) / 2):
+            classes[tuple(c[t] for c in counts)].append(t)
     return classes
 
 
@@ -177,16 +178,23 @@ def template(pages: list[list[str]]) -> list[str]:
     class's tokens equally often. Tokens that break this are data.
     """
     classes = equivalence_classes(pages)
-    once = [t for v, ts in classes.items() if set(v) <= {0, 1} for t in ts]
     places = [{t: i for i, t in enumerate(tokens)} for tokens in pages]  # of tokens that occur once
-    first = sorted(once, key=lambda t: min((p[t], k) for k, p in enumerate(places) if t in p))
+    # large classes that most pages have come first, so that a word that is there by chance displaces none of theirs
+    once = sorted((v for v in classes if set(v) <= {0, 1}), key=lambda v: (-sum(v), -len(classes[v])))
     root: list[str] = []
-    last = [-1] * len(pages)
-    for t in first:
-        if all(t not in p or p[t] > last[k] for k, p in enumerate(places)):
-            root.append(t)
-            for k, p in enumerate(places):
-                last[k] = max(last[k], p.get(t, -1))
+    rank: list[list[int]] = [[] for _ in pages]  # places on the page of the root's tokens, in order
+    order: list[list[str]] = [[] for _ in pages]
+    for v in once:
+        for t in sorted(classes[v], key=lambda t: min((p[t], k) for k, p in enumerate(places) if t in p)):
+            at = {t: i for i, t in enumerate(root)}
+            where = {k: bisect(rank[k], p[t]) for k, p in enumerate(places) if t in p}
+            low = max((at[order[k][i - 1]] for k, i in where.items() if i), default=-1)
+            high = min((at[order[k][i]] for k, i in where.items() if i < len(order[k])), default=len(root))
+            if low < high:
+                root.insert(low + 1, t)
+                for k, i in where.items():
+                    rank[k].insert(i, places[k][t])
+                    order[k].insert(i, t)
     out, fixed = list(root), set(root)
     for v, ts in classes.items():
         if set(v) <= {0, 1}:
@@ -212,39 +220,49 @@ def template(pages: list[list[str]]) -> list[str]:
 
 
 def extract(sources: list[str | None]) -> list[str]:
-    """The main text of each page of a group (pages of one host)."""
+    """The main text of each page of a group (pages of one host).
+
+    A run of text is template if all its words are and it stands, as a whole, on half of the
+    pages that differ. Pages with equal articles count as one, and an article of which
+    over COPIED is template is a near copy of others and stays whole.
+    """
     pages = [parse(s) for s in sources]
     skips = [skipped(p) for p in pages]
     mains = [main_nodes(p, s) for p, s in zip(pages, skips, strict=True)]
-    tokens, word_places = [], []
+    tokens, word_places, articles = [], [], []
     for page, main in zip(pages, mains, strict=True):
         marked = any(main)
         seq: list[str] = []
         place: dict[int, list[int]] = {}
+        article: list[str] = []
         events = iter([*page.events, (len(page.runs) + 1, "")])
         nxt = next(events)
         for r, (node, text) in enumerate(page.runs):
             while nxt[0] <= r:
                 seq.append(nxt[1])
                 nxt = next(events)
-            # a marked article is a slot as a whole: what repeats in it is data, as copies of an article must stay whole
-            if not (marked and main[node]):
-                words = WORDS.findall(text)
-                place[r] = list(range(len(seq), len(seq) + len(words)))
-                seq += [f"{page.nodes[node].path}|{w}" for w in words]
+            words = WORDS.findall(text)
+            place[r] = list(range(len(seq), len(seq) + len(words)))
+            seq += [f"{page.nodes[node].path}|{w}" for w in words]
+            if marked and main[node]:
+                article += words
         tokens.append(seq)
         word_places.append(place)
-    different = list({tuple(t): t for t in tokens}.values())  # copies of a page say nothing of its template
-    known = set(template(different)) if len(different) >= 4 else set()
+        articles.append((marked, tuple(article if marked else seq)))
+    different = list({a: k for k, a in enumerate(articles)}.values())  # copies of a page say nothing of its template
+    known = set(template([tokens[k] for k in different])) if len(different) >= 4 else set()
+    runs = Counter(x for k in different for x in {tuple(tokens[k][i] for i in at) for at in word_places[k].values()}) if known else Counter()
     best = _container(pages, skips, mains, tokens, word_places, known)
     out = []
     for page, skip, main, seq, place in zip(pages, skips, mains, tokens, word_places, strict=True):
         marked = any(main)
         inside = main if marked else _under(page, skip, best)
-        keep = []
-        for r, (node, _) in enumerate(page.runs):
-            constant = place.get(r) and all(seq[i] in known for i in place[r])
-            keep.append(inside[node] and not skip[node] and not constant)
+        keep = [inside[node] and not skip[node] for node, _ in page.runs]
+        words = [seq[i] in known for r, at in place.items() if keep[r] for i in at]
+        if known and not (marked and sum(words) > COPIED * len(words)):
+            for r, at in place.items():
+                if at and all(seq[i] in known for i in at) and runs[tuple(seq[i] for i in at)] >= len(different) / 2:
+                    keep[r] = False
         out.append(_blocks(page, keep))
     return out
 

@@ -445,3 +445,19 @@ def test_template_of_pages_without_marks():
 def test_copies_of_a_page_stay_whole():
     source = "<body><div><p>one two three</p></div></body>"
     assert html.extract([source] * 10) == ["one two three"] * 10
+
+
+def prose(rng, n):
+    return " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+
+
+def test_template_inside_marked_articles():
+    rng = random.Random(1)
+    texts = [f"{prose(rng, 5)}\n{prose(rng, 40)}" for _ in range(12)]
+    pages = ["<article><h1>{}</h1><div class=tools><a>Send it on</a></div><p>{}</p><div>Follow us for more news</div></article>".format(*t.split("\n")) for t in texts]
+    assert html.extract(pages) == texts
+    # copies under different menus, and near copies, stay whole
+    same = [f"<nav>{prose(rng, 3)}</nav><article><h1>One</h1><p>{texts[0]}</p></article>" for _ in range(12)]
+    assert html.extract(same) == ["One\n" + " ".join(texts[0].split())] * 12
+    near = [f"<article><p>{texts[0]}</p><p>{texts[1]}</p><p>odd{k}</p></article>" for k in range(12)]
+    assert html.extract(near) == ["\n".join([*(" ".join(t.split()) for t in texts[:2]), f"odd{k}"]) for k in range(12)]
