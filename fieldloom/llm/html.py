@@ -38,7 +38,7 @@ NOT_TEXT = frozenset("nav footer aside form head button select dialog menu searc
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 NOT_TEXT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay "
-    "newsletter subscribe subscription signup paywall sidebar sidebars widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation "
+    "newsletter subscribe subscription signup paywall sidebar sidebars widget widgets related recommended recommendations share sharing social side breadcrumb breadcrumbs menu menus nav navbar navigation "
     "footer header masthead topbar comment comments commentlist respond disqus reply replies discussion login search toolbar skip pagination pager copyright disclaimer".split()
 )
 #: An open element of the first kind ends where one of the second begins.
@@ -175,7 +175,8 @@ def template(pages: list[list[str]]) -> list[str]:
 
     A class is valid if its tokens come in the same order on every page that has
     them, and if between two tokens of the root each page has all of the
-    class's tokens equally often. Tokens that break this are data.
+    class's tokens equally often; a class of one token only if all pages have it, in
+    the same gaps and equally often. Tokens that break this are data.
     """
     classes = equivalence_classes(pages)
     places = [{t: i for i, t in enumerate(tokens)} for tokens in pages]  # of tokens that occur once
@@ -185,6 +186,8 @@ def template(pages: list[list[str]]) -> list[str]:
     rank: list[list[int]] = [[] for _ in pages]  # places on the page of the root's tokens, in order
     order: list[list[str]] = [[] for _ in pages]
     for v in once:
+        if len(classes[v]) == 1 and 0 in v:
+            continue  # a lone word that some pages lack is data
         for t in sorted(classes[v], key=lambda t: min((p[t], k) for k, p in enumerate(places) if t in p)):
             at = {t: i for i, t in enumerate(root)}
             where = {k: bisect(rank[k], p[t]) for k, p in enumerate(places) if t in p}
@@ -214,11 +217,16 @@ def template(pages: list[list[str]]) -> list[str]:
         shared = Counter(frozenset(x) for x in gaps.values())
         if shared:
             valid, n = shared.most_common(1)[0]
-            if n > 1 or len(ts) == 1:
+            if n > 1 or len(ts) == 1 and _agree(valid, len(pages)):
                 out += sorted(t for t in members if frozenset(gaps[t]) == valid)
     return out
 
 
+def _agree(gaps: frozenset, pages: int) -> bool:
+    """Whether all pages have a token in the same gaps and equally often, by its (page, gap, count)."""
+    return len(gaps) == pages * len({(g, n) for _, g, n in gaps})
+
+
 def extract(sources: list[str | None]) -> list[str]:
     """The main text of each page of a group (pages of one host).
 
@@ -252,12 +260,10 @@ def extract(sources: list[str | None]) -> list[str]:
     different = list({a: k for k, a in enumerate(articles)}.values())  # copies of a page say nothing of its template
     known = set(template([tokens[k] for k in different])) if len(different) >= 4 else set()
     runs = Counter(x for k in different for x in {tuple(tokens[k][i] for i in at) for at in word_places[k].values()}) if known else Counter()
-    best = _container(pages, skips, mains, tokens, word_places, known)
     out = []
     for page, skip, main, seq, place in zip(pages, skips, mains, tokens, word_places, strict=True):
         marked = any(main)
-        inside = main if marked else _under(page, skip, best)
-        keep = [inside[node] and not skip[node] for node, _ in page.runs]
+        keep = [(main[node] or not marked) and not skip[node] for node, _ in page.runs]
         words = [seq[i] in known for r, at in place.items() if keep[r] for i in at]
         if known and not (marked and sum(words) > COPIED * len(words)):
             for r, at in place.items():
@@ -267,31 +273,6 @@ def extract(sources: list[str | None]) -> list[str]:
     return out
 
 
-def _under(page: Page, skip: list[bool], path: str) -> list[bool]:
-    out = [path == ""]
-    for i, node in enumerate(page.nodes[1:], 1):
-        out.append(not skip[i] and (out[node.parent] or node.path == path))
-    return out if any(out) else [not s for s in skip]
-
-
-def _container(pages, skips, mains, tokens, places, known) -> str:
-    """Path of the innermost element that holds at least 60 % of the data of the slots, over the pages that mark no article."""
-    weight: Counter = Counter()
-    for page, skip, main, seq, place in zip(pages, skips, mains, tokens, places, strict=True):
-        if any(main):
-            continue
-        for r, (node, _) in enumerate(page.runs):
-            n = sum(seq[i] not in known for i in place.get(r, ()))
-            while n and node > 0 and not skip[node]:
-                if page.nodes[node].block and page.nodes[node].name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    weight[page.nodes[node].path] += n
-                node = page.nodes[node].parent
-    if not weight:
-        return ""
-    most = max(weight.values())
-    return max((p for p, n in weight.items() if n >= 0.6 * most), key=lambda p: (p.count(">"), p))
-
-
 def _blocks(page: Page, keep: list[bool]) -> str:
     edges = sorted({0, *page.breaks, len(page.runs)})
     lines = (" ".join("".join(page.runs[r][1] for r in range(a, b) if keep[r]).split()) for a, b in pairwise(edges))

@@ -461,3 +461,16 @@ def test_template_inside_marked_articles():
     assert html.extract(same) == ["One\n" + " ".join(texts[0].split())] * 12
     near = [f"<article><p>{texts[0]}</p><p>{texts[1]}</p><p>odd{k}</p></article>" for k in range(12)]
     assert html.extract(near) == ["\n".join([*(" ".join(t.split()) for t in texts[:2]), f"odd{k}"]) for k in range(12)]
+
+
+def test_all_slots_of_pages_without_marks():
+    rng = random.Random(2)
+    pages, texts = [], []
+    for _ in range(12):
+        often = " ".join(w for w in ("and", "That", "is", "it") for _ in range(rng.randrange(1, 6)))
+        intro, body, one, two = prose(rng, 40), f"{prose(rng, 60)} {often}", prose(rng, 1), prose(rng, 1)
+        pages.append(f"<body><div>Home page</div><div class=intro><p>{intro}</p></div><div class=body><p>{body}</p><p><a>{one}</a> and <a>{two}</a></p><p>That is it.</p></div></body>")
+        texts.append(f"{intro}\n{body}\n{one} and {two}\nThat is it.")
+    assert html.extract(pages) == texts
+    assert html.template([["a", "x", "b"], ["a", "b"], ["a", "x", "b"], ["a", "b", "c"]]) == ["a", "b"]
+    assert set(html.template([["a", "t", "t", "b"], ["a", "t", "b", "t"], ["a", "t", "t", "b"], ["a", "t", "t", "b", "t"]])) == {"a", "b"}
