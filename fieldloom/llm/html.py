@@ -283,12 +283,18 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def windows(rows: list) -> list[list]:
+    """The rows in as few windows of at most GROUP as hold them, of equal sizes but for one row."""
+    n = -(-len(rows) // GROUP)
+    return [rows[len(rows) * k // n : len(rows) * (k + 1) // n] for k in range(n)]
+
+
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Null or empty html has an empty text; a null or odd url counts as a host of
     its own name ''. Repeated rows stay. Pages of a host are dealt in
-    groups of at most GROUP, in the order of their ids; a host with many pages is dealt to
+    groups of at most GROUP, in the order of their ids, the last two of equal size; a host with many pages is dealt to
     several tasks. Html moves once.
     """
     tagged = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
@@ -303,19 +309,23 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     def run(batches):
         held: list[tuple] = []
 
-        def done():
-            texts = extract([h for *_, h in held])
-            return pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], pa.int64()), pa.array([r[3] for r in held], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        def done(rows):
+            texts = extract([h for *_, h in rows])
+            return pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, GROUP):
                 for row in zip(*[c.to_pylist() for c in batch.slice(i, GROUP).columns], strict=True):
-                    if held and (len(held) >= GROUP or row[:2] != held[0][:2]):
-                        yield done()
-                        held.clear()
+                    if held and row[:2] != held[0][:2]:
+                        yield from map(done, windows(held))
+                        held = []
+                    elif len(held) >= 2 * GROUP:
+                        # at least GROUP pages are left, so that no short window ends the host
+                        yield done(held[:GROUP])
+                        held = held[GROUP:]
                     held.append(row)
         if held:
-            yield done()
+            yield from map(done, windows(held))
 
     return dealt.mapInArrow(run, "page_id long, url string, text string")
 

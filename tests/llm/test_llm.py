@@ -474,3 +474,12 @@ def test_all_slots_of_pages_without_marks():
     assert html.extract(pages) == texts
     assert html.template([["a", "x", "b"], ["a", "b"], ["a", "x", "b"], ["a", "b", "c"]]) == ["a", "b"]
     assert set(html.template([["a", "t", "t", "b"], ["a", "t", "b", "t"], ["a", "t", "t", "b"], ["a", "t", "t", "b", "t"]])) == {"a", "b"}
+
+
+@pytest.mark.parametrize("n", [65, 130, 200])
+def test_no_page_of_a_host_is_left_without_template(spark, n):
+    rng = random.Random(n)
+    rows = [(k, f"http://h/{k}", f"<body><div>Home page</div><div><p>{prose(rng, 9)}</p></div></body>") for k in range(n)]
+    got = html.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == n and not any("Home" in r.text for r in got)
+    assert [len(w) for w in html.windows(list(range(65)))] == [32, 33] and [len(w) for w in html.windows(list(range(64)))] == [64]
