@@ -41,6 +41,12 @@ NOT_TEXT_NAMES = frozenset(
     "newsletter subscribe subscription signup paywall sidebar sidebars widget widgets related recommended recommendations share sharing social side breadcrumb breadcrumbs menu menus nav navbar navigation "
     "footer header masthead topbar comment comments commentlist respond disqus reply replies discussion login search toolbar skip pagination pager copyright disclaimer".split()
 )
+#: Those of them that, as a class or a whole id, name no part of an article's subject.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements adsense adsbygoogle sponsored gdpr newsletter signup paywall breadcrumb breadcrumbs navbar comment comments commentlist respond disqus "
+    "pagination pager topbar share sharing popup popups modal sidebar sidebars widget widgets toolbar".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"p": BLOCKS - {"option", "optgroup", "td", "th"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
@@ -52,12 +58,20 @@ ATTRIBUTE = regex.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 WORDS = regex.compile(r"[^\W_]+")
 
 
+CAMEL, LETTERS = regex.compile(r"([a-z])([A-Z])"), regex.compile(r"[a-z]+")
+
+
+def _name_parts(value: str) -> frozenset:
+    return frozenset(LETTERS.findall(CAMEL.sub(r"\1 \2", value).lower())) if value else frozenset()
+
+
 @dataclass
 class Node:
     name: str
     parent: int
     path: str
     names: frozenset
+    sure: bool  # named as what is no text wherever it stands
     skip: bool  # by its own name or role
     block: bool
     main: bool = False
@@ -74,7 +88,7 @@ class Page:
 def parse(source: str | None) -> Page:
     """The page's elements, text runs and block boundaries. Lenient: unclosed and stray tags are taken as browsers mostly do."""
     page, text = Page(), source or ""
-    page.nodes.append(Node("", -1, "", frozenset(), False, True))
+    page.nodes.append(Node("", -1, "", frozenset(), False, False, True))
     stack, at = [0], 0
 
     def add(raw: str) -> None:
@@ -118,11 +132,12 @@ def parse(source: str | None) -> Page:
         if name in VOID:
             continue
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m["rest"])} if m["rest"] else {}
-        names = frozenset(regex.findall(r"[a-z]+", regex.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())) if attributes else frozenset()
+        classes, ids = _name_parts(attributes.get("class", "")), _name_parts(attributes.get("id", ""))
+        names, sure = classes | ids, bool(classes & SURE_NAMES or ids & SURE_NAMES and ids <= NOT_TEXT_NAMES)
         role = attributes.get("role", "").lower()
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         parent = stack[-1]
-        node = Node(name, parent, f"{page.nodes[parent].path}>{name}" + (f".{attributes['class']}" if attributes.get("class") else ""), names, name in NOT_TEXT or role in NOT_TEXT_ROLES or hidden, block)
+        node = Node(name, parent, f"{page.nodes[parent].path}>{name}" + (f".{attributes['class']}" if attributes.get("class") else ""), names, sure, name in NOT_TEXT or role in NOT_TEXT_ROLES or hidden, block)
         node.main = (name == "article" and "comment" not in names) or name == "main" or role == "main"
         page.nodes.append(node)
         page.events.append((len(page.runs), node.path))
@@ -132,16 +147,43 @@ def parse(source: str | None) -> Page:
     return page
 
 
+def _words_under(page: Page) -> tuple[list[int], list[int], list[bool]]:
+    """Words in and outside links under each element, and whether it holds a heading."""
+    linked = [False]
+    for node in page.nodes[1:]:
+        linked.append(linked[node.parent] or node.name in ("a", "button"))
+    plain, links, headed = [0] * len(page.nodes), [0] * len(page.nodes), [False] * len(page.nodes)
+    for node, text in page.runs:
+        (links if linked[node] else plain)[node] += len(WORDS.findall(text))
+    for i in range(len(page.nodes) - 1, 0, -1):
+        node = page.nodes[i]
+        plain[node.parent] += plain[i]
+        links[node.parent] += links[i]
+        headed[node.parent] |= headed[i] or node.name in HEADINGS
+    return plain, links, headed
+
+
 def skipped(page: Page) -> list[bool]:
-    """Whether an element, or one around it, is a menu, header, footer, sidebar, notice, advert, form, comment or hidden."""
+    """Whether an element, or one around it, is a menu, header, footer, sidebar, notice, advert, form, comment or hidden.
+
+    In an article a name may be that of its subject: headings and what is around them stay
+    whatever their names, and an element whose name isn't sure goes only if no more of its words are
+    plain than in links. What repeats in it is for the template.
+    """
     holds_main = [False] * len(page.nodes)
     for i in range(len(page.nodes) - 1, 0, -1):
         node = page.nodes[i]
         if (node.main or holds_main[i]) and not node.names & {"comment", "comments"}:
             holds_main[node.parent] = True
+    # of the words under each element, which only names inside an article ask for
+    plain, links, headed = _words_under(page) if any(holds_main) and any(node.names & NOT_TEXT_NAMES for node in page.nodes) else ([], [], [])
     out, inside = [False], [False]
     for i, node in enumerate(page.nodes[1:], 1):
-        named = bool(node.names & NOT_TEXT_NAMES) and node.name not in ("html", "body", "main", "article") and not holds_main[i]
+        hits = node.names & NOT_TEXT_NAMES
+        named = bool(hits) and node.name not in ("html", "body", "main", "article") and not holds_main[i]
+        if named and inside[node.parent]:
+            heading = node.name in HEADINGS or headed[i] and hits <= {"header", "masthead", "banner"}
+            named = not heading and (node.sure or plain[i] <= links[i])
         header = node.name == "header" and not inside[node.parent]
         out.append(out[node.parent] or node.skip or named or header)
         inside.append(inside[node.parent] or (node.main and not out[i]))

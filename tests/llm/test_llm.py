@@ -483,3 +483,10 @@ def test_no_page_of_a_host_is_left_without_template(spark, n):
     got = html.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == n and not any("Home" in r.text for r in got)
     assert [len(w) for w in html.windows(list(range(65)))] == [32, 33] and [len(w) for w in html.windows(list(range(64)))] == [64]
+
+
+def test_names_inside_an_article():
+    page = """<article><header class="entry-header"><h1><a href="/">Title</a></h1></header><section id="discussion"><h2>Discussion</h2><p>We find it so.</p></section><div class="related-work"><p>Others did too.</p></div>
+<h2 id="sharing">Sharing</h2><section id="social-impact"><p>Large.</p></section><div id="sharing-economy"><p>It grew.</p></div>
+<div class="social"><a>One</a> <a>Two</a></div><div class="related"><h3>Related</h3><ul><li><a>Some other page</a></ul></div><div class="ad-box"><p>Buy now</p></div><div id="comments"><h3>Two comments</h3><p>Nice!</p></div></article>"""
+    assert html.extract([page]) == ["Title\nDiscussion\nWe find it so.\nOthers did too.\nSharing\nLarge.\nIt grew."]
