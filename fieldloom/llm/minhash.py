@@ -10,7 +10,6 @@ similarity is then computed exactly.
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -125,6 +124,11 @@ def band_hashes(mark: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def text_digest(text):
+    """16 bytes of a text; null and empty ones are equal."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, digest (binary, of the text), bands (array of long; null without words) and marks (binary: a byte for each coordinate) of each row of (doc_id, text)."""
     k = bands * rows
@@ -133,9 +137,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
         shingle = Shingler()
         for batch in batches:
             for part in slices(batch, "text"):
-                digests, hashes, marks = [], [], []
+                hashes, marks = [], []
                 for text in part.column("text").to_pylist():
-                    digests.append(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     elements, count = shingle(text)
                     if len(elements):
                         m = signature(elements, count.astype(float) if weighted else np.ones(len(elements)), k)
@@ -144,9 +147,9 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
                     else:
                         hashes.append(None)
                         marks.append(None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "digest", "bands", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "digest", "bands", "marks"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, marks binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, marks binary")
 
 
 def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
@@ -251,6 +254,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     signatures and then exactly, until they are joined to it: no class loses a link
     of a bucket, yet a large group of copies gives a link for each.
     """
+    return _classes(spark, docs, similarity, bands, rows, weighted).drop("digest")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """near_duplicates with the digest of each row's text."""
     k = bands * rows
     stage = Stage(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -286,15 +294,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     parts = components(stage, edges)
     named = copies.hint("merge").join(heads, "digest")
     named = named.hint("merge").join(stage.put(parts, "components"), "id", "left").withColumn("class_id", F.coalesce("comp", "id"))
-    out = named.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)).alias("kept"))
+    out = named.select("doc_id", "digest", "class_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    return out.select("doc_id", "digest", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, with their columns."""
-    keep = near_duplicates(spark, docs, **how).where("kept").select(F.col("doc_id").alias("_k"))
-    out = docs.hint("merge").join(keep, docs["doc_id"].eqNullSafe(keep["_k"]), "left_semi")
-    return out.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).where("_copy = 1").drop("_copy")
+    """The rows of ``docs`` that near_duplicates keeps, with their columns: a row for each kept id and text."""
+    keep = _classes(spark, docs, **how).where("kept").select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d"))
+    tagged = docs.withColumn("_digest", text_digest(F.col("text")))
+    out = tagged.hint("merge").join(keep, tagged["doc_id"].eqNullSafe(keep["_k"]) & (tagged["_digest"] == keep["_d"]), "left_semi")
+    return out.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_digest").orderBy("doc_id"))).where("_copy = 1").drop("_copy", "_digest")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -490,3 +490,11 @@ def test_names_inside_an_article():
 <h2 id="sharing">Sharing</h2><section id="social-impact"><p>Large.</p></section><div id="sharing-economy"><p>It grew.</p></div>
 <div class="social"><a>One</a> <a>Two</a></div><div class="related"><h3>Related</h3><ul><li><a>Some other page</a></ul></div><div class="ad-box"><p>Buy now</p></div><div id="comments"><h3>Two comments</h3><p>Nice!</p></div></article>"""
     assert html.extract([page]) == ["Title\nDiscussion\nWe find it so.\nOthers did too.\nSharing\nLarge.\nIt grew."]
+
+
+def test_near_duplicates_dropped_by_id_and_text(spark):
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (None, None), (7, c), (7, d), (7, d), (8, c)]
+    left = minhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(tuple(r) for r in left) == collections.Counter([(None, a), (None, b), (None, None), (7, c), (7, d)])
