@@ -34,6 +34,8 @@ STOP_WORDS = frozenset(
 SYMBOLS = frozenset("#$%&*@^~=<>{}[]\\")
 #: Words added to a text's length when shapes are counted as shares: of a few words, little can be said.
 SMOOTH = 20
+#: Characters of a word, and classes of characters in a row, that one feature says.
+PIECE, RUNS = 64, 12
 GOOD, JUNK, NOTHING = 0, 1, 2
 LABELLERS = ("symbols", "bars", "lone_signs", "capitals", "shouting", "repeats", "distinct_words", "distinct_pairs", "function_words", "word_length", "lines")
 shape_of = regex.compile(r"(\p{Lu}+)|(\p{Ll}+)|(\p{L}+)|(\p{N}+)|(.)", regex.S)
@@ -115,23 +117,27 @@ class Shapes:
     """Hashed shapes of a text's words, their neighbours' and repeats, as shares of its words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
-    def word(self, w: str) -> tuple[int, str]:
+    def word(self, w: str) -> tuple[tuple[int, ...], str]:
+        """A slot for each RUNS classes of characters of a word, and its end."""
         if (x := self.known.get(w)) is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            parts = [("A" if m[1] else "a" if m[2] else "x" if m[3] else "0" if m[4] else m[5]) for m in shape_of.finditer(w[:64])]
-            shape = "".join(parts)[:12]
-            x = self.known[w] = (slot(f"s:{shape}:{min(len(w), 20) // 4}", BITS), "f" if w.strip(".,;:!?").lower() in STOP_WORDS else shape[-2:])
+            shape = "".join("A" if m[1] else "a" if m[2] else "x" if m[3] else "0" if m[4] else m[5] for m in shape_of.finditer(w))
+            slots = tuple(slot(f"s:{shape[i : i + RUNS]}:{min(len(w), 20) // 4}", BITS) for i in range(0, len(shape), RUNS))
+            x = self.known[w] = (slots, "f" if w.strip(".,;:!?").lower() in STOP_WORDS else shape[-2:])
         return x
 
     def __call__(self, text: str | None) -> tuple[list[int], list[float]]:
         words = (text or "").split()
         if not words:
             return [slot("empty", BITS)], [1.0]
+        if max(map(len, words)) > PIECE:
+            # a long word counts as so many words, all of which are seen
+            words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
         both = [self.word(w) for w in words]
-        count = Counter(i for i, _ in both)
+        count = Counter(i for slots, _ in both for i in slots)
         count.update(slot(f"e:{e}", BITS) for _, e in both)
         count[slot("repeat", BITS)] += sum(a == b for a, b in pairwise(words))
         n = len(words) + SMOOTH

@@ -498,3 +498,10 @@ def test_near_duplicates_dropped_by_id_and_text(spark):
     rows = [(None, a), (None, a), (None, b), (None, None), (7, c), (7, d), (7, d), (8, c)]
     left = minhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert collections.Counter(tuple(r) for r in left) == collections.Counter([(None, a), (None, b), (None, None), (7, c), (7, d)])
+
+
+def test_shapes_see_whole_words():
+    shapes = quality.Shapes()
+    for head, one, other in (("a" * 64, "b" * 200, "#7%" * 200), ("字" * 64, "字" * 300, "$" * 300), ("a1" * 6, "a" * 9, "$" * 9)):
+        assert shapes(head + one) != shapes(head + other)
+    assert sum(shapes("字" * 6400)[1]) > 1.5
