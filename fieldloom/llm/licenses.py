@@ -7,6 +7,7 @@ known licences. The same lookup is made for each line, which finds notices.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,29 @@ Permission is granted to anyone to use this software for any purpose, including
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Fixed value: lines in front of a licence's text, in canonical form, that give its title or who holds the copyright.
+HEAD_LINE = (
+    r"(?:the )?(?:mit|isc|zlib|(?:new |modified |simplified |revised )?(?:bsd )?(?:[23] clause )?(?:bsd )?(?:new or revised |simplified )?|apache|mozilla public|gnu (?:lesser |affero )?general public|cc0 1 0 universal|creative commons legal code)"
+    r"(?: license)(?: mit| isc| zlib| expat)?(?: version [0-9][^\n]*| [0-9] 0)?|version [0-9][^\n]*|http www apache org licenses|=*|creative commons legal code|cc0 1 0 universal"
+    r"|(?:portions )?(?:copyright|c)(?: [^\n]*)?|all rights reserved[^\n]*"
+)
+#: Digests (of _body) of entire licences that are too long to hold here.
+FULL: list[tuple[str, str]] = [
+    ("Apache-2.0", "d849700f6ffe2241c4de5c4f77cc6ee7a152ddfbb1ec7385106677e743be07a7"),
+    ("BSD-2-Clause", "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74"),
+    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-3-Clause", "53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("CC-BY-SA-4.0", "4dd2d8faa991a43111f73718974d1a9133ba1453cd76d174da75d163e35fa974"),
+    ("CC0-1.0", "e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6"),
+    ("GPL-2.0", "1209c79257248b7161d3c22428c175f32857474796d44175e2dd7f52c5a2b757"),
+    ("GPL-2.0", "4767c85efb312bbe244abef9b752be38b44e810f05ed9bfae182caf068d13fd3"),
+    ("GPL-3.0", "04a10e711844fe517f9ffba9481db6a825f2f268002c49184ecb8c942911bff3"),
+    ("LGPL-3.0", "13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7"),
+    ("MPL-2.0", "c0f855aacb6ac1c86bcdd1334db61014d14898798ae14888fea5446cbb9d32e3"),
+    ("Unlicense", "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229"),
+]
+
 #: Known texts are broadcast and notices are literals: a bound on their number.
 MOST_TEXTS = 10_000
 
@@ -75,6 +99,22 @@ def canonical_lines(text):
     return F.filter(lines, lambda x: (x != "") & ~(x.startswith("copyright") & x.rlike(COPYRIGHT_LINE) | (x.startswith("c ") | x.startswith("portions ") | x.startswith("all ")) & x.rlike(COPYRIGHT_LINE)))
 
 
+def _body(text, lines):
+    """Digest of the canonical text without title and copyright lines in front; ``lines`` are the text's canonical lines."""
+    lines = F.when(F.contains(text, F.lit("©")), canonical_lines(F.replace(text, F.lit("©"), F.lit("(c) ")))).otherwise(lines)
+    body = F.regexp_replace(F.concat(F.array_join(lines, "\n"), F.lit("\n")), rf"\A(?:(?:{HEAD_LINE})\n)+", "")
+    return F.sha2(F.trim(F.replace(body, F.lit("\n"), F.lit(" "))), 256)
+
+
+def known_bodies(spark: SparkSession, known: Iterable[tuple[str, str]], full: Iterable[tuple[str, str]]) -> DataFrame:
+    """_body, _license: one row per digest of a known text without what stands in front of it."""
+    df = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(known)], "i int, license string, text string")
+    both = df.select("i", "license", _body(F.col("text"), canonical_lines(F.col("text"))).alias("_body"))
+    both = both.union(spark.createDataFrame([(MOST_TEXTS + i, name, digest) for i, (name, digest) in enumerate(full)], "i int, license string, _body string"))
+    empty = hashlib.sha256(b"").hexdigest()
+    return both.where(F.col("_body") != empty).groupBy("_body").agg(F.min_by("license", "i").alias("_license"))
+
+
 def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]]) -> DataFrame:
     """digest, license: one row per canonical text; the first licence wins where two have the same."""
     rows = [(i, name, text) for i, (name, text) in enumerate(known)]
@@ -82,13 +122,14 @@ def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]]) -> Data
     return df.withColumn("digest", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256)).groupBy("digest").agg(F.min_by("license", "i").alias("license"))
 
 
-def scan(spark: SparkSession, docs: DataFrame, known: Iterable[tuple[str, str]] = tuple(KNOWN), text_col: str = "text") -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, known: Iterable[tuple[str, str]] = tuple(KNOWN), text_col: str = "text", full: Iterable[tuple[str, str]] = tuple(FULL)) -> DataFrame:
     """The rows of ``docs`` with canonical_sha256, text_license (of the entire text, or null) and notice_licenses (of its lines; sorted array).
 
     Null and empty texts, and texts of copyright lines alone, have the digest of
     the empty text and no licence. A line is compared as a whole too: a
     licence's name inside a sentence is no notice. Rows are kept as they are,
-    repeated ones too; columns of ``docs`` that have one of the three names are replaced.
+    repeated ones too. For text_license, title and copyright lines in front of a licence's text count for nothing, and ``full`` has
+    digests of further texts; canonical_sha256 stays that of all lines but plain copyright lines. Columns of ``docs`` that have one of the three names are replaced.
 
     ``known`` is a configuration list, which is broadcast; its size doesn't
     follow the documents'. There is no exchange.
@@ -102,13 +143,16 @@ def scan(spark: SparkSession, docs: DataFrame, known: Iterable[tuple[str, str]]
     docs = docs.drop("canonical_sha256", "text_license", "notice_licenses")
     out = docs.withColumn("_lines", canonical_lines(F.col(text_col))).withColumn("canonical_sha256", F.sha2(F.array_join("_lines", " "), 256))
     out = out.join(F.broadcast(lookup.select(F.col("digest").alias("_digest"), F.col("license").alias("text_license"))), F.col("canonical_sha256") == F.col("_digest"), "left")
+    bodies = known_bodies(spark, known, full)
+    out = out.withColumn("_b", _body(F.col(text_col), F.col("_lines"))).join(F.broadcast(bodies), F.col("_b") == F.col("_body"), "left")
+    out = out.withColumn("text_license", F.coalesce("text_license", "_license"))
     if notices:
         names = F.create_map(*[F.lit(x) for r in notices for x in (r.digest, r.license)])
         found = F.transform("_lines", lambda x: F.try_element_at(names, F.sha2(x, 256)))
     else:
         found = F.array().cast("array<string>")
     out = out.withColumn("notice_licenses", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))
-    return out.drop("_lines", "_digest")
+    return out.drop("_lines", "_digest", "_b", "_body", "_license")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

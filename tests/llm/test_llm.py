@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import random
 
 import numpy as np
@@ -505,3 +506,19 @@ def test_shapes_see_whole_words():
     for head, one, other in (("a" * 64, "b" * 200, "#7%" * 200), ("字" * 64, "字" * 300, "$" * 300), ("a1" * 6, "a" * 9, "$" * 9)):
         assert shapes(head + one) != shapes(head + other)
     assert sum(shapes("字" * 6400)[1]) > 1.5
+
+
+def test_entire_licenses_with_title_and_holder(spark):
+    bodies = dict((n, t) for n, t in licenses.KNOWN if "\n" in t)
+    heads = ["MIT License\n\nCopyright (c) The Foo Authors\n\n", "The MIT License (MIT)\n(c) Jane Doe 2020\n", "Copyright © Jane Doe\n", "© Jane Doe 2020\nAll rights reserved.\n", ""]
+    rows = [(k, h + bodies["MIT"]) for k, h in enumerate(heads)] + [(9, "ISC License\nCopyright The Bar\n" + bodies["ISC"]), (10, "MIT License\nCopyright (c) Foo"), (11, "Some words\n" + bodies["MIT"])]
+    got = {r.doc_id: r.text_license for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: "MIT" for k in range(len(heads))} | {9: "ISC", 10: None, 11: None}
+
+
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_entire_long_licenses(spark, name, file):
+    path = pathlib.Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("the system has no licence texts")
+    assert licenses.scan(spark, spark.createDataFrame([(path.read_text(),)], "text string")).first().text_license == name
