@@ -32,8 +32,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order; a source's last one ends where its target does."""
-    out = mixing.materialise(spark, docs)
+    """Documents as often as the mix takes them, in training order; a source's last one whole or not at all, whichever is nearer to its target."""
+    out = mixing.materialise(spark, docs, whole=True)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

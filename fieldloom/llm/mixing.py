@@ -112,11 +112,12 @@ def position(offset):
     return F.when(F.col("quota") <= 0, offset + 1.0).when(x >= 1, x).otherwise(F.least(t, F.lit(1.0)))
 
 
-def materialise(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+def materialise(spark: SparkSession, docs: DataFrame, whole: bool = False, **how) -> DataFrame:
     """The mix itself, range-sorted by training position: the columns of ``docs``, a row for each time a document is taken.
 
     The last document of a source that its quota reaches ends with the quota's
-    last word. Rows that repeat an id share their plan row by row (their number
+    last word; ``whole``: it is taken whole or not at all, whichever is nearer to the quota
+    (whole if both are). Rows that repeat an id share their plan row by row (their number
     and sizes are the same, so is their sum).
     """
     columns = docs.columns
@@ -128,6 +129,8 @@ def materialise(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     taken = tagged.hint("merge").join(plan, same)
     taken = taken.withColumn("_epoch", F.explode(F.expr("sequence(0L, (quota - offset - 1) div source_size)")))
     taken = taken.withColumn("_at", F.col("offset") + F.col("_epoch") * F.col("source_size")).withColumn("_words", F.least(F.col("_size"), F.col("quota") - F.col("_at")))
+    if whole:
+        taken = taken.where("2 * _words >= _size").withColumn("_words", F.col("_size"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
     out = taken.withColumn("_pos", position(F.col("_at"))).withColumn("text", text).select(*columns, "_pos")

@@ -522,3 +522,15 @@ def test_entire_long_licenses(spark, name, file):
     if not path.exists():
         pytest.skip("the system has no licence texts")
     assert licenses.scan(spark, spark.createDataFrame([(path.read_text(),)], "text string")).first().text_license == name
+
+
+def test_mix_of_whole_documents(spark):
+    rows = [(n, " ".join(f"w{n}_{k}" for k in range(2 + n % 9)), "en", "abc"[n % 3]) for n in range(60)]
+    docs = documents(spark, rows)
+    out = mixing.materialise(spark, docs, whole=True).collect()
+    assert {r.text for r in out} <= {r[1] for r in rows}
+    words = collections.Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    for r in mixing.plan_mix(spark, docs).select("source", "quota").distinct().collect():
+        assert abs(words[r.source] - r.quota) <= 5
