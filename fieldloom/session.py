@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Columns of a mesh partition, and of a structured snapshot (e is the temperature).
@@ -20,3 +22,15 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode, as in tests; a cluster must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Wanted keys that aren't done."""
@@ -88,17 +89,24 @@ class Checkpoint:
 
 
 def stream_means(spark: SparkSession, path: str, adapt: Callable[[DataFrame], DataFrame], keys: Sequence[str], fields: Sequence[str], checkpoint: str | None = None, table: str | None = None) -> DataFrame:
-    """Means by key over files as a stream: each trigger takes the files that are new, and the state holds sums and counts for each key.
+    """Means by key over files as a stream, of all that is there now: keys, fields, n.
 
-    Processes all that is there now and returns the means so far. With the same ``checkpoint`` a later call goes on.
+    Each trigger takes the files that are new and writes their sums and counts for
+    each key to a folder of its own under ``table``, over an earlier try's; the means
+    are the folders' sums. So nothing is gathered on the driver or held as state. With the same
+    ``checkpoint`` and ``table`` a later call goes on. Without them, folders under spark.checkpoint.dir are used.
     """
-    name = table or f"means_{uuid.uuid4().hex}"
+    own = checkpoint or f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    table = table or f"{own}-sums"
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", file if file.endswith(".parquet") else "*.parquet").parquet(folder if file.endswith(".parquet") else path)
-    means = adapt(source).groupBy(*keys).agg(*[F.avg(f).alias(f) for f in fields], F.count("*").alias("n"))
-    writer = means.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    q = writer.option("checkpointLocation", checkpoint or f"{base}/stream/{name}").start()
+    sums = [F.sum(F.col(f).cast("double")).alias(f"{f}_sum") for f in fields] + [F.count(f).alias(f"{f}_n") for f in fields]
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(*sums, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    q = adapt(source).writeStream.foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", own).start()
     q.awaitTermination()
-    return spark.table(name)
+    parts = spark.read.parquet(table)
+    return parts.groupBy(*keys).agg(*[(F.sum(f"{f}_sum") / F.sum(f"{f}_n")).alias(f) for f in fields], F.sum("n").alias("n"))

@@ -40,9 +40,9 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     spark.range(100).withColumn("v", F.col("id") * 1.5).repartition(3).write.parquet(src)
     adapt = lambda df: df.select((F.col("id") % 7).alias("cell"), "v")
     ck = f"file://{tmp_path}/ck"
-    got = stream_means(spark, src, adapt, ["cell"], ["v"], ck, "one").collect()
+    got = stream_means(spark, src, adapt, ["cell"], ["v"], ck).collect()
     want = adapt(spark.read.parquet(src)).groupBy("cell").agg(F.avg("v").alias("v"), F.count("*").alias("n")).collect()
     assert sorted(got) == sorted(want)
     spark.range(100, 120).withColumn("v", F.col("id") * 1.5).write.mode("append").parquet(src)
-    later = stream_means(spark, src, adapt, ["cell"], ["v"], ck, "two").collect()
+    later = stream_means(spark, src, adapt, ["cell"], ["v"], ck).collect()
     assert sum(r.n for r in later) == 120
