@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,6 +16,26 @@ def cell_key(coord: Column | str, tol: float) -> Column:
     return F.rint(col(coord).cast("double") * F.lit(1.0 / tol)).cast("long")
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows. Looks at the data, of which it reads ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def numbered(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct whole numbers ``key`` with their rank from 0 as ``name``.
+
+    In three levels of 1024 neighbours, so that no task sorts all: a rank
+    is the rank inside the smallest block, and what stands before it.
+    """
+    rows = keys.withColumn("_b", F.shiftright(key, 10)).withColumn("_c", F.shiftright(key, 20))
+    small = rows.groupBy("_c", "_b").agg(F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = small.groupBy("_c").agg(F.sum("_n").alias("_n")).select("_c", before(W.orderBy("_c")).alias("_first"))  # a row for each 2^20 neighbours
+    small = small.withColumn("_inside", before(W.partitionBy("_c").orderBy("_b"))).join(large, "_c").select("_b", (F.col("_first") + F.col("_inside")).alias("_first"))
+    rank = F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1
+    return rows.withColumn(name, rank).join(small, "_b").withColumn(name, F.col(name) + F.col("_first")).drop("_b", "_c", "_first")
+
+
 def level_key(z: Column | str, tol: float) -> Column:
     return F.rint(col(z).cast("double") / F.lit(tol)).cast("long")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import col, level_key
+from ..functions import col, level_key, numbered
 
 
 def level_profile(points: DataFrame, z: str, values: dict[str, Column | str], tol: float, by: Sequence[str] = (), level_z: str = "key") -> DataFrame:
@@ -27,10 +27,9 @@ def level_counts(profile: DataFrame) -> DataFrame:
 
 
 def levels(points: DataFrame, z: str = "z", z_tol: float = 1e-8) -> DataFrame:
-    """Adds level_key and level_idx (0 for the lowest level). Levels are numbered on their distinct keys, not on the points."""
+    """Adds level_key and level_idx (0 for the lowest level). Levels are numbered on their distinct keys, not on the points; there may be as many as points."""
     rows = points.withColumn("level_key", level_key(z, z_tol))
-    keys = rows.select("level_key").distinct().withColumn("level_idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("level_key")) - 1)
-    return rows.join(keys, "level_key")
+    return rows.join(numbered(rows.select("level_key").distinct(), "level_key", "level_idx"), "level_key")
 
 
 def layout(points: DataFrame, z_tol: float = 1e-8, xy_tol: float = 1e-6) -> DataFrame:
@@ -63,8 +62,12 @@ def spacing(points: DataFrame) -> DataFrame:
     out = None
     for axis in "xy":
         places = points.select(F.round(F.col(axis).cast("double"), 10).alias("c")).distinct()
-        gaps = places.withColumn("gap", F.col("c") - F.lag("c").over(W.partitionBy(F.lit(0)).orderBy("c")))
-        row = gaps.agg(F.count("*").alias(f"n_{axis}"), F.when(F.count("*") > 2, F.max("gap") / F.min("gap")).otherwise(F.lit(1.0)).alias(f"d{axis}_ratio"))
+        # gaps inside a strip, and between the strips' ends: no task sorts all places
+        strips = places.withColumn("strip", F.floor(F.col("c") * 256))
+        inside = strips.select("c", (F.col("c") - F.lag("c").over(W.partitionBy("strip").orderBy("c"))).alias("gap"))
+        ends = strips.groupBy("strip").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select(F.lit(None).cast("double").alias("c"), (F.col("lo") - F.lag("hi").over(W.orderBy("strip"))).alias("gap"))
+        gaps = inside.unionByName(ends)
+        row = gaps.agg(F.count("c").alias(f"n_{axis}"), F.when(F.count("c") > 2, F.max("gap") / F.min("gap")).otherwise(F.lit(1.0)).alias(f"d{axis}_ratio"))
         out = row if out is None else out.crossJoin(F.broadcast(row))
     n = points.agg(F.count("*").alias("_n"))
     return out.crossJoin(F.broadcast(n)).select("n_x", "dx_ratio", "n_y", "dy_ratio", (F.col("n_x") * F.col("n_y") == F.col("_n")).alias("tensor"))
