@@ -7,26 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import few
 from .stencil import gradient, radial, radial_gradient
 
 PRODUCTS = ["xg", "yg", "zg", "ft_u", "ft_v", "ft_w"]
 VELOCITY = ("u", "v", "w")
+#: Snapshots up to which the reference point's rows are broadcast.
+MOST_SNAPSHOTS = 100_000
 
 
 def accumulators(fluct: DataFrame, ref: tuple[int, int, int], flux: str = "w") -> DataFrame:
     """Means over snapshots, for each cell, of the products with the reference point's fluctuations (0): (u0 u' + v0 v' + w0 w')(c0 - c') and f0 T'(c0 - c') for c = u, v, w."""
     here = fluct.where((F.col("i") == ref[0]) & (F.col("j") == ref[1]) & (F.col("k") == ref[2])).select("t", *[F.col(f).alias(f"{f}0") for f in VELOCITY])
-    rows = fluct.join(here, "t")
+    rows = fluct.join(few(here, MOST_SNAPSHOTS), "t")
     inner = F.col("u0") * F.col("u") + F.col("v0") * F.col("v") + F.col("w0") * F.col("w")
     gaps = [F.col(f"{c}0") - F.col(c) for c in VELOCITY]
     values = [inner * g for g in gaps] + [F.col(f"{flux}0") * F.col("t_val") * g for g in gaps]
     return rows.groupBy("i", "j", "k").agg(*[F.avg(v).alias(n) for n, v in zip(PRODUCTS, values, strict=True)])
 
 
-def wide(corr: DataFrame) -> DataFrame:
-    """i, j, k and a column R_<fi>_<fj> for each pair; the lag takes the place of k."""
+def wide(corr: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """i, j, k and a column R_<fi>_<fj> for each pair, or those of ``pairs``; the lag takes the place of k."""
     names = ["u", "v", "w", "t_val"]
-    return corr.groupBy("i", "j", F.col("lag").alias("k")).agg(*[F.max(F.when((F.col("fi") == a) & (F.col("fj") == b), F.col("r"))).alias(f"R_{a}_{b}") for a in names for b in names])
+    pairs = sorted(pairs or [(a, b) for a in names for b in names])
+    some = corr.where(F.concat_ws(" ", "fi", "fj").isin([f"{a} {b}" for a, b in pairs]))
+    return some.groupBy("i", "j", F.col("lag").alias("k")).agg(*[F.max(F.when((F.col("fi") == a) & (F.col("fj") == b), F.col("r"))).alias(f"R_{a}_{b}") for a, b in pairs])
+
+
+def _needs(flux: str) -> dict[str, list[tuple[str, str]]]:
+    """The pairs whose correlations each term asks for."""
+    all_ = [(a, b) for a in VELOCITY for b in VELOCITY]
+    with_flux = [(flux, a) for a in VELOCITY]
+    return {
+        "E_prod_h": all_, "E_prod_I": all_, "E_inter_m": [(a, a) for a in VELOCITY], "E_inter_f": [],
+        "H_prod_h": [(a, "t_val") for a in VELOCITY] + with_flux, "H_prod_I": with_flux, "H_inter_m": [(flux, "t_val")], "H_inter_f": [],
+    }
 
 
 def _plane_gradients(mean: DataFrame, coords: DataFrame) -> DataFrame:
@@ -47,13 +62,20 @@ def terms(corr: DataFrame, mean: DataFrame, products: DataFrame, grid: DataFrame
 
     The radial derivative is linear: each term adds up its parts first and takes one.
     """
-    r = wide(corr)
-    if shift_lag:
+    wanted = list(which or _needs(flux))
+    pairs = {p for n in wanted for p in _needs(flux)[n]}
+    r = wide(corr, pairs) if pairs else None
+    if shift_lag and pairs:
         r = r.crossJoin(F.broadcast(grid.agg((F.max("k") + 1).alias("_nz")))).withColumn("k", F.pmod(F.col("k") + ref[2], F.col("_nz"))).drop("_nz")
     slopes = _plane_gradients(mean, grid)
     names = [c for c in slopes.columns if c not in ("i", "j")]
     at_ref = slopes.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select(*[F.col(c).alias(f"{c}_0") for c in names])
-    base = grid.select("i", "j", "k", "x", "y", "z").join(r, ["i", "j", "k"]).join(slopes.crossJoin(F.broadcast(at_ref)), ["i", "j"]).join(products, ["i", "j", "k"])
+    # products cost a pass over all snapshots, correlations another: each is joined where a term asks for it
+    base = grid.select("i", "j", "k", "x", "y", "z")
+    if pairs:
+        base = base.join(r, ["i", "j", "k"]).join(slopes.crossJoin(F.broadcast(at_ref)), ["i", "j"])
+    if {"E_inter_f", "H_inter_f"} & set(wanted):
+        base = base.join(products, ["i", "j", "k"])
 
     def at(v: str, a: str) -> Column:
         return F.lit(0.0) if a == "z" else F.col(f"{v}_d{a}_0")
@@ -81,7 +103,6 @@ def terms(corr: DataFrame, mean: DataFrame, products: DataFrame, grid: DataFrame
         "H_inter_m": (F.lit(1.0), [pair(flux, "t_val") * away[v] for v in VELOCITY]),
         "H_inter_f": (F.lit(1.0), [F.col(c) for c in PRODUCTS[3:]]),
     }
-    wanted = list(which or [*once, *twice])
     inner = {n: v for n, v in twice.items() if n in wanted}
     for a, place in zip("xyz", range(3), strict=True):
         if inner:

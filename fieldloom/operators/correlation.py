@@ -7,10 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from ..functions import circular_lag
+from ..functions import circular_lag, few
 from ..session import FLOW
 
 
@@ -21,36 +21,53 @@ def lines(snap: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("t", "i
     return out.select(*keys, *[F.col(f"_l.{f}").alias(f) for f in fields])
 
 
-def _circular(ref: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.fft.irfft(np.conj(np.fft.rfft(ref, axis=-1)) * np.fft.rfft(other, axis=-1), n=other.shape[-1], axis=-1)
+#: Snapshots up to which their reference lines are broadcast, and lines whose spectra a task adds up at a time.
+MOST_SNAPSHOTS, MOST_LINES = 2_000, 256
 
 
 def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tuple(FLOW), normalize_lag: bool = False) -> DataFrame:
     """fi, fj, i, j, lag, r: the mean over snapshots of the sum over z0 of fi'(ref, z0) fj'(i, j, z0 + lag), periodic in z.
 
-    ``fluct`` has t, i, j, k and the fluctuations. Lines are transformed in
-    Arrow batches, all pairs of fields at once; a snapshot meets its one
-    reference line by an equi-join. ``normalize_lag`` divides by the number of z0.
+    ``fluct`` has t, i, j, k and the fluctuations. A snapshot's lines meet its
+    reference line by an equi-join. The transform is linear: cross-spectra
+    are added up over snapshots, and each line's sum goes back once.
+    ``normalize_lag`` divides by the number of z0.
     """
     names = list(fields)
     n = len(names)
     all_lines = lines(fluct, names)
     here = all_lines.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select("t", *[F.col(f).alias(f"r_{f}") for f in names])
-    both = all_lines.join(here, "t")
+    both = all_lines.join(few(here, MOST_SNAPSHOTS), "t").select("i", "j", F.size(names[0]).alias("nz"), *[f"r_{f}" for f in names], *names)
+    schema = "i long, j long, nz int, n long, re array<double>, im array<double>"
 
-    @pandas_udf("array<double>")
-    def products(*cols: pd.Series) -> pd.Series:
-        a = [np.stack(c.to_list()) for c in cols]
-        refs, own = a[:n], a[n:]
-        out = np.stack([_circular(x, y) for x in refs for y in own], axis=1)
-        return pd.Series(list(out.reshape(len(out), -1)))
+    def spectra(batches):
+        sums: dict[tuple[int, int, int], list] = {}
 
-    rows = both.select("t", "i", "j", F.size(names[0]).alias("nz"), F.posexplode(products(*[F.col(f"r_{f}") for f in names], *[F.col(f) for f in names])).alias("p", "r"))
-    rows = rows.groupBy("i", "j", "p", "nz").agg(F.avg("r").alias("r"))
-    pair = (F.col("p") / F.col("nz")).cast("int")
-    name = F.array(*[F.lit(f) for f in names])
-    r = F.col("r") / F.col("nz") if normalize_lag else F.col("r")
-    return rows.select(F.element_at(name, (pair / n).cast("int") + 1).alias("fi"), F.element_at(name, pair % n + 1).alias("fj"), "i", "j", (F.col("p") % F.col("nz")).alias("lag"), r.alias("r"))
+        def rows():
+            flat = [(*key, count, total.real.ravel(), total.imag.ravel()) for key, (count, total) in sums.items()]
+            sums.clear()
+            return pd.DataFrame(flat, columns=["i", "j", "nz", "n", "re", "im"])
+
+        for pdf in batches:
+            for nz, part in pdf.groupby("nz"):
+                waves = [np.fft.rfft(np.stack(part[c].to_list()), axis=-1) for c in [*[f"r_{f}" for f in names], *names]]
+                cross = np.stack([np.conj(x) * y for x in waves[:n] for y in waves[n:]], axis=1)
+                for i, j, one in zip(part["i"], part["j"], cross, strict=True):
+                    held = sums.setdefault((i, j, nz), [0, 0.0])
+                    held[0] += 1
+                    held[1] = held[1] + one
+            if len(sums) > MOST_LINES:
+                yield rows()
+        yield rows()
+
+    def back(pdf):
+        i, j, nz = (int(pdf[c].iloc[0]) for c in ("i", "j", "nz"))
+        total = (np.stack(pdf["re"].to_list()).sum(0) + 1j * np.stack(pdf["im"].to_list()).sum(0)).reshape(n * n, -1)
+        r = np.fft.irfft(total, n=nz, axis=-1) / pdf["n"].sum() / (nz if normalize_lag else 1)
+        fi, fj = np.repeat(names, n * nz), np.tile(np.repeat(names, nz), n)
+        return pd.DataFrame({"fi": fi, "fj": fj, "i": i, "j": j, "lag": np.tile(np.arange(nz), n * n), "r": r.ravel()})
+
+    return both.mapInPandas(spectra, schema).groupBy("i", "j", "nz").applyInPandas(back, "fi string, fj string, i long, j long, lag int, r double")
 
 
 def two_point_join(fluct: DataFrame, ref: tuple[int, int], nz: int, fields: Sequence[str] = tuple(FLOW)) -> DataFrame:
@@ -59,5 +76,13 @@ def two_point_join(fluct: DataFrame, ref: tuple[int, int], nz: int, fields: Sequ
     here = fluct.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select("t", F.col("k").alias("k0"), F.explode(pack).alias("a")).select("t", "k0", F.col("a.f").alias("fi"), F.col("a.v").alias("vi"))
     own = fluct.select("t", "i", "j", "k", F.explode(pack).alias("b")).select("t", "i", "j", "k", F.col("b.f").alias("fj"), F.col("b.v").alias("vj"))
     snaps = fluct.select(F.count_distinct("t").alias("n"))
-    total = own.join(here, "t").groupBy("fi", "fj", "i", "j", circular_lag(F.col("k"), F.col("k0"), nz).alias("lag")).agg(F.sum(F.col("vi") * F.col("vj")).alias("s"))
+    total = own.join(few(here, MOST_SNAPSHOTS * nz), "t").groupBy("fi", "fj", "i", "j", circular_lag(F.col("k"), F.col("k0"), nz).alias("lag")).agg(F.sum(F.col("vi") * F.col("vj")).alias("s"))
     return total.crossJoin(F.broadcast(snaps)).select("fi", "fj", "i", "j", "lag", (F.col("s") / F.col("n")).alias("r"))
+
+
+def discover_fields(table: DataFrame, column: str = "fi", preferred: Sequence[str] = tuple(FLOW)) -> DataFrame:
+    """field, place (from 0): the names that occur in ``column``, the preferred ones first in their order, the rest by name."""
+    found = table.select(F.col(column).alias("field")).where(F.col("field").isNotNull()).distinct()
+    first = F.array_position(F.array(*[F.lit(x) for x in preferred]), F.col("field")) if preferred else F.lit(0)
+    order = W.orderBy(F.when(first > 0, first).otherwise(F.lit(len(preferred) + 1)), "field")  # a row for each field
+    return found.withColumn("place", F.row_number().over(order) - 1)
