@@ -36,9 +36,9 @@ def _save(spark: SparkSession, header: str, parts: Sequence[DataFrame], path: st
     root, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
     part = next(s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"can't rename to {path}")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), over)
     fs.delete(root, True)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import NODE_COLUMNS
 from .plot3d import Plot3DSource
-from .tecplot import TecplotSource
+from .tecplot import NAME, TecplotSource
 
 
 def register(spark: SparkSession) -> None:
@@ -38,7 +41,7 @@ def read_elements(spark: SparkSession, path: str, iters: Sequence[int] | None =
 def list_partitions(spark: SparkSession, path: str, pattern: str = "tecplot_blk*_iter*.dat") -> DataFrame:
     """iter, blocks: array of (blk, path) by block. Other names are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
-    name = r"tecplot_blk(\d+)_iter(\d+)\.dat$"
+    name = NAME.pattern
     found = files.where(F.col("path").rlike(name)).select(F.regexp_extract("path", name, 2).cast("long").alias("iter"), F.regexp_extract("path", name, 1).cast("int").alias("blk"), "path")
     return found.groupBy("iter").agg(F.sort_array(F.collect_list(F.struct("blk", "path"))).alias("blocks"))
 
@@ -57,3 +60,41 @@ def read_snapshots(spark: SparkSession, path: str, pattern: str = "grid*.f", ord
     register(spark)
     r = spark.read.format("plot3d").option("section", "snapshots").option("pattern", pattern)
     return (r.option("ordinals", ",".join(map(str, ordinals))) if ordinals is not None else r).load(path)
+
+
+#: Values of an accumulator that make up a row.
+CHUNK = 1 << 20
+
+
+def accumulate(spark: SparkSession, paths: Sequence[str], init: Callable[[Any], dict[str, np.ndarray]], process: Callable[[dict, str, Any], None], extra: Any = None, tasks: int | None = None) -> DataFrame:
+    """name, chunk, shape, values: the sums of a caller's accumulators over files.
+
+    A task calls ``init(extra)`` once for a dict of arrays and ``process(arrays, path, extra)`` for each of
+    its files, which adds to them in place. Arrays of one name are added up over
+    tasks, in chunks of CHUNK values, so no task holds more than its own accumulators; see ``array_of``. No files: no rows.
+    """
+    n = tasks or spark.sparkContext.defaultParallelism
+    files = spark.createDataFrame([(k % n, p) for k, p in enumerate(paths)], "part int, path string").repartitionById(n, "part")
+
+    def run(batches):
+        arrays = None
+        for pdf in batches:
+            for path in pdf["path"]:
+                arrays = init(extra) if arrays is None else arrays
+                process(arrays, path, extra)
+        for name, a in (arrays or {}).items():
+            flat = np.asarray(a, float).ravel()
+            for k in range(0, max(1, len(flat)), CHUNK):
+                yield pd.DataFrame({"name": [name], "chunk": [k // CHUNK], "shape": [list(np.shape(a))], "values": [flat[k : k + CHUNK]]})
+
+    def add(pdf):
+        return pd.DataFrame({"name": pdf["name"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "shape": pdf["shape"].iloc[:1], "values": [sum(pdf["values"])]})
+
+    schema = "name string, chunk int, shape array<long>, values array<double>"
+    return files.mapInPandas(run, schema).groupBy("name", "chunk").applyInPandas(add, schema)
+
+
+def array_of(sums: DataFrame, name: str) -> np.ndarray:
+    """One of the accumulated arrays, on the driver."""
+    rows = sums.where(F.col("name") == name).orderBy("chunk").collect()
+    return np.concatenate([r["values"] for r in rows]).reshape(rows[0]["shape"])

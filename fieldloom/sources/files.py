@@ -9,7 +9,11 @@ from pyarrow import fs
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """Arrow's file system, under the name that Arrow has for the scheme, and the path in it."""
+    if not ("://" in path or path.startswith("file:")):
+        return fs.LocalFileSystem(), path
+    scheme, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
 
 def find(path: str, pattern: str) -> list[str]:
@@ -24,6 +28,13 @@ def find(path: str, pattern: str) -> list[str]:
     return [posixpath.join(path, n) for n in sorted(names) if fnmatch.fnmatch(n, pattern)]
 
 
+def create(path: str):
+    """A new file for bytes; its folder is made."""
+    s, p = store(path)
+    s.create_dir(posixpath.dirname(p), recursive=True)
+    return s.open_output_stream(p)
+
+
 def open_(path: str):
     s, p = store(path)
     return s.open_input_file(p)

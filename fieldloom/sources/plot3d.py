@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import FloatType, IntegerType, LongType, StructField, StructType
 
 from ..session import SNAPSHOT_COLUMNS
-from .files import find, open_
+from .files import create, find, open_
 
 #: Fixed value: how a snapshot's file is named.
 NAME = re.compile(r"grid(\d+)\.(\d+)\.f$")
@@ -31,6 +31,20 @@ def record(f) -> bytes:
     return body
 
 
+def bounds(f, size: int, path: str) -> int:
+    """Where the body of the next record, of ``size`` bytes, begins; raises AssertionError as record does."""
+    head = f.read(4)
+    assert len(head) == 4, "the file ends before a record"
+    (n,) = struct.unpack("<i", head)
+    assert n == size, f"{path} holds {n // 4} values, not {size // 4}"
+    start = f.tell()
+    f.seek(start + n)
+    tail = f.read(4)
+    assert len(tail) == 4, "the file ends inside a record"
+    assert struct.unpack("<i", tail)[0] == n, "a record's byte counts differ"
+    return start
+
+
 def snapshot_order(path: str) -> tuple[int, int]:
     m = NAME.search(path)
     if not m:
@@ -88,18 +102,18 @@ class Plot3DReader(DataSourceReader):
             nx, ny, nz = struct.unpack("<3i", head[:12])
             n = nx * ny * nz
             nvar = 3 if self.grid else struct.unpack("<4i", head)[3]
-            values = np.frombuffer(record(f), "<f4")
-        assert values.size == nvar * n, f"{part.path} holds {values.size} values, not {nvar} x {n}"
-        values = values.reshape(nvar, n)
-        keys = [] if self.grid else list(snapshot_order(part.path))
-        width = len(self.names) - 3 - len(keys)
-        assert width <= nvar, f"{part.path} has fewer variables than the first snapshot"
-        for a in range(0, n, CHUNK):
-            p = np.arange(a, min(n, a + CHUNK))
-            cols = [pa.array(np.full(len(p), k, np.int64)) for k in keys]
-            cols += [pa.array(x.astype(np.int32)) for x in (p % nx, p // nx % ny, p // (nx * ny))]
-            cols += [pa.array(np.ascontiguousarray(v[p])) for v in values[:width]]
-            yield pa.RecordBatch.from_arrays(cols, names=self.names)
+            keys = [] if self.grid else list(snapshot_order(part.path))
+            width = len(self.names) - 3 - len(keys)
+            assert width <= nvar, f"{part.path} has fewer variables than the first snapshot"
+            start = bounds(f, 4 * nvar * n, part.path)
+            for a in range(0, n, CHUNK):  # no more than a chunk of the asked variables is in memory
+                p = np.arange(a, min(n, a + CHUNK))
+                cols = [pa.array(np.full(len(p), k, np.int64)) for k in keys]
+                cols += [pa.array(x.astype(np.int32)) for x in (p % nx, p // nx % ny, p // (nx * ny))]
+                for v in range(width):
+                    f.seek(start + 4 * (v * n + a))
+                    cols.append(pa.array(np.frombuffer(f.read(4 * len(p)), "<f4")))
+                yield pa.RecordBatch.from_arrays(cols, names=self.names)
 
 
 def write_record(f, body: bytes) -> None:
@@ -107,13 +121,13 @@ def write_record(f, body: bytes) -> None:
 
 
 def write_grid(path: str, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> None:
-    with open(path, "wb") as f:
+    with create(path) as f:
         write_record(f, struct.pack("<3i", *x.shape))
         write_record(f, b"".join(a.astype("<f4").ravel(order="F").tobytes() for a in (x, y, z)))
 
 
 def write_snapshot(path: str, values: np.ndarray) -> None:
     """values: (nx, ny, nz, nvar)."""
-    with open(path, "wb") as f:
+    with create(path) as f:
         write_record(f, struct.pack("<4i", *values.shape))
         write_record(f, values.astype("<f4").ravel(order="F").tobytes())

@@ -32,7 +32,7 @@ class Header:
 def parse_header(lines: list[str], path: str = "") -> Header:
     if len(lines) < 3 or not (m := SIZES.search(lines[1])):
         raise ValueError(f"no N=..., E=... in the header of {path}")
-    if "FETETRAHEDRON" not in lines[2]:
+    if "FETETRAHEDRON" not in lines[2].upper():
         warnings.warn(f"{path} isn't a zone of tetrahedra", stacklevel=2)
     return Header(lines[0].count('"') // 2, int(m[1]), int(m[2]))
 
