@@ -136,3 +136,20 @@ def check_grid(one: DataFrame, other: DataFrame, keys: Sequence[str], tol: float
         raise ValueError(f"the grids differ: {r.asDict()}")
 
 
+
+
+def extent_difference(one: DataFrame, other: DataFrame, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
+    """One row: n_<axis> of each grid (other's as m_<axis>), and same: whether all agree."""
+    size = lambda df, name: df.agg(*[(F.max(a) + 1).alias(f"{name}_{a}") for a in axes])
+    both = size(one, "n").crossJoin(F.broadcast(size(other, "m")))
+    same = F.lit(True)
+    for a in axes:
+        same = same & F.col(f"n_{a}").eqNullSafe(F.col(f"m_{a}"))
+    return both.withColumn("same", same)
+
+
+def check_extent(one: DataFrame, other: DataFrame, axes: Sequence[str] = ("i", "j", "k")) -> None:
+    """Looks at the data: raises ValueError unless a snapshot has the extent of its grid."""
+    r = extent_difference(one, other, axes).first()
+    if not r["same"]:
+        raise ValueError(f"the snapshot doesn't fit its grid: {r.asDict()}")

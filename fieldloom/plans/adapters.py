@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import NODE_COLUMNS, shared_dir
+from ..sources import files, plot3d
+
 NX, NY, NZ, DZ = 4, 5, 10, 0.5
 REF, REF_XYZ = (1, 2, 5), (1.1, 2.2, 2.5)
 T_REF, PE = 0.55, 100.0
@@ -125,3 +132,44 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.year("l_shipdate").alias("iter"), F.col("l_quantity").alias("z"), F.col("l_extendedprice").alias("val"))
+
+
+def _files(rows: DataFrame, keys: list[str], write) -> None:
+    """Calls write(group's rows) for each group, in tasks."""
+
+    def run(pdf):
+        write(pdf)
+        return pd.DataFrame({"rows": [len(pdf)]})
+
+    rows.groupBy(*keys).applyInPandas(run, "rows long").agg(F.sum("rows")).collect()
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of structured snapshots (u, v, w, p = 0, e = t_val) of ``field``, one for each t, in the shared folder."""
+    folder = f"{shared_dir(spark)}/native/{uuid.uuid4().hex}"
+
+    def write(pdf):
+        values = np.zeros((NX, NY, NZ, 5))
+        for n, c in ((0, "u"), (1, "v"), (2, "w"), (4, "t_val")):
+            values[pdf["i"], pdf["j"], pdf["k"], n] = pdf[c]
+        plot3d.write_snapshot(f"{folder}/grid1.{pdf['t'].iloc[0]}.f", values)
+
+    _files(field(spark, sf_dir), ["t"], write)
+    return folder
+
+
+def mesh_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of mesh partitions of ``field``: iteration t; two blocks that share the plane j = 2, each with one tetrahedron."""
+    folder = f"{shared_dir(spark)}/native/{uuid.uuid4().hex}"
+    f = coordinates(field(spark, sf_dir)).withColumn("blk", F.explode(F.expr("CASE WHEN j < 2 THEN array(1) WHEN j > 2 THEN array(2) ELSE array(1, 2) END")))
+
+    def write(pdf):
+        pdf = pdf.sort_values(["k", "j", "i"])
+        own = {"X": "x", "Y": "y", "Z": "z", "U": "u", "V": "v", "W": "w", "T": "t_val"}
+        table = pd.DataFrame({c: pdf[own[c]] if c in own else 1.0 for c in NODE_COLUMNS})
+        head = "VARIABLES = " + ",".join(f'"{c}"' for c in NODE_COLUMNS) + f"\nZONE N={len(pdf)}, E=1\nDATAPACKING=POINT, ZONETYPE=FETETRAHEDRON\n"
+        with files.create(f"{folder}/tecplot_blk{pdf['blk'].iloc[0]}_iter{pdf['t'].iloc[0]}.dat") as out:
+            out.write((head + table.to_csv(sep=" ", header=False, index=False, float_format="%.17g") + "1 2 5 21\n").encode())
+
+    _files(f, ["t", "blk"], write)
+    return folder

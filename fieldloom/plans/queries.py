@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions import cell_key
 from ..operators import budget, correlation, fit, mesh, moments, nusselt, profile, spectral, stencil
+from ..sources import plot3d
 from . import adapters as A
 
 OFFSET = 0.4142135623731
@@ -315,7 +318,7 @@ def budget_accumulators(spark, sf):
     return cut_all(budget.accumulators(fluct(spark, sf), A.REF), 1, *budget.PRODUCTS)
 
 
-def _budget_sql(term: str) -> str:
+def _budget_sql(term: str, flux: str = "w", plain: bool = False) -> str:
     over = {"x": "PARTITION BY j, k ORDER BY i", "y": "PARTITION BY i, k ORDER BY j", "z": "PARTITION BY i, j ORDER BY k"}
     plane = {"x": "PARTITION BY j ORDER BY i", "y": "PARTITION BY i ORDER BY j"}
     slopes = ", ".join(f"{A.slope_sql(v, a, plane[a])} AS {v}_{a}" for v in FLOW for a in "xy")
@@ -331,9 +334,12 @@ def _budget_sql(term: str) -> str:
         "H_prod_h": f"R_u_t_val * {at('w', 'x')} + R_v_t_val * {at('w', 'y')} + R_w_u * {at('t_val', 'x')} + R_w_v * {at('t_val', 'y')}",
         "H_prod_I": f"R_w_u * {ch('t_val', 'x')} + R_w_v * {ch('t_val', 'y')}",
     }
+    if flux != "w":
+        simple["H_prod_h"] = " + ".join(f"R_{a}_t_val * {at(flux, ax[a])} + R_{flux}_{a} * {at('t_val', ax[a])}" for a in "uvw")
+        simple["H_prod_I"] = " + ".join(f"R_{flux}_{a} * {ch('t_val', ax[a])}" for a in "uvw")
     nested = {
         "E_inter_m": ("0.5", [f"{energy} * (p0.{v} - ps.{v})" for v in "uvw"]), "E_inter_f": ("0.5", ["xg", "yg", "zg"]),
-        "H_inter_m": ("1.0", [f"R_w_t_val * (p0.{v} - ps.{v})" for v in "uvw"]), "H_inter_f": ("1.0", ["ft_u", "ft_v", "ft_w"]),
+        "H_inter_m": ("1.0", [f"R_{flux}_t_val * (p0.{v} - ps.{v})" for v in "uvw"]), "H_inter_f": ("1.0", ["ft_u", "ft_v", "ft_w"]),
     }
     if term in simple:
         sql += f", b AS (SELECT g.*, {simple[term]} AS q {joined})"
@@ -341,15 +347,16 @@ def _budget_sql(term: str) -> str:
         factor, parts = nested[term]
         sql += f", b0 AS (SELECT g.*, {', '.join(f'{e} AS q{a}' for a, e in zip('xyz', parts, strict=True))} {joined}), b AS (SELECT *, {factor} * ({' + '.join(f'({A.slope_sql(f'q{a}', a, over[a])})' for a in 'xyz')}) AS q FROM b0)"
     sql += f", s AS (SELECT *, {', '.join(f'{A.slope_sql('q', a, over[a])} AS d{a}' for a in 'xyz')} FROM b)"
-    return f"WITH {sql} SELECT i, j, k, {sql_cut(f'((x - 1.1::DOUBLE) * dx + (y - 2.2::DOUBLE) * dy + (z - 2.5::DOUBLE) * dz) / ({RADIUS} + 1e-12)', 0, term)} FROM s"
+    q = f"((x - 1.1::DOUBLE) * dx + (y - 2.2::DOUBLE) * dy + (z - 2.5::DOUBLE) * dz) / ({RADIUS} + 1e-12)"
+    return f"WITH {sql} SELECT i, j, k, {q} AS q FROM s" if plain else f"WITH {sql} SELECT i, j, k, {sql_cut(q, 0, term)} FROM s"
 
 
-def _budget(term: str):
+def _budget(term: str, flux: str = "w"):
     def run(spark, sf):
         f = A.field(spark, sf)
         mean = moments.z_mean(moments.time_mean(f))
         fl = moments.fluctuations(f, mean)
-        out = budget.terms(correlation.two_point(fl, A.REF[:2]), mean, budget.accumulators(fl, A.REF), A.grid(f), A.REF, A.REF_XYZ, which=[term])
+        out = budget.terms(correlation.two_point(fl, A.REF[:2]), mean, budget.accumulators(fl, A.REF, flux), A.grid(f), A.REF, A.REF_XYZ, flux, which=[term])
         return cut_all(out, 0, term)
 
     return run
@@ -357,6 +364,19 @@ def _budget(term: str):
 
 for _term in ("E_prod_h", "E_prod_I", "E_inter_m", "E_inter_f", "H_prod_h", "H_prod_I", "H_inter_m", "H_inter_f"):
     query(f"budget_{_term}", _budget_sql(_term))(_budget(_term))
+for _term, _flux in (("H_prod_h", "u"), ("H_prod_h", "v"), ("H_prod_I", "u"), ("H_prod_I", "v"), ("H_inter_m", "u"), ("H_inter_m", "v")):
+    query(f"budget_{_term}_{_flux}", _budget_sql(_term, _flux))(_budget(_term, _flux))
+
+
+@query("budget_unweighted", f"""SELECT h.i, h.j, h.k, {sql_cut('h.q', 0, 'E_prod_h')}, {sql_cut('o.q', 0, 'E_prod_I')}, {sql_cut('h.q + o.q', 0, 'E_prod_tot')}
+FROM ({_budget_sql('E_prod_h', plain=True)}) h JOIN ({_budget_sql('E_prod_I', plain=True)}) o ON h.i = o.i AND h.j = o.j AND h.k = o.k""")
+def budget_unweighted(spark, sf):
+    f = A.field(spark, sf)
+    mean = moments.z_mean(moments.time_mean(f))
+    fl, halves = moments.fluctuations(f, mean), ["E_prod_h", "E_prod_I"]
+    weighted = budget.terms(correlation.two_point(fl, A.REF[:2]), mean, budget.accumulators(fl, A.REF), A.grid(f), A.REF, A.REF_XYZ, which=halves, weighted=True)
+    out = budget.unweighted(weighted.join(A.grid(f), ["i", "j", "k"]), halves, A.REF_XYZ)
+    return cut_all(out.select("i", "j", "k", *halves, "E_prod_tot"), 0, *halves, "E_prod_tot")
 
 
 def _dft(src: str, keys: str, n: int) -> str:
@@ -416,6 +436,82 @@ def slope_match(spark, sf):
     return cut_all(fit.slope_match(fit.slope_windows(line_spectrum(spark, sf)), -0.05), 5, "slope", "r2")
 
 
+@query("guide_line", f"""WITH {WINDOWS}, st AS (SELECT start AS steepest FROM wi ORDER BY slope, start LIMIT 1),
+m AS (SELECT start + 2 AS a FROM wi, st WHERE start <= steepest ORDER BY r2 < 0.9, abs(slope - (-0.05)), start LIMIT 1),
+r AS (SELECT k, p, row_number() OVER (ORDER BY k) - 1 AS n, count(*) OVER () AS c FROM sp WHERE k > 0 AND p > 0), o AS (SELECT k AS ka, p AS pa FROM r, m WHERE n = a)
+SELECT k, {sql_cut('pa * pow(k / ka, -0.05::DOUBLE)', 8, 'p')} FROM r, m, o WHERE n >= greatest(3, a - c // 3) AND n < least(c, a + c // 3)""")
+def guide_line(spark, sf):
+    s = line_spectrum(spark, sf)
+    return fit.guide_line(s, fit.slope_match(fit.slope_windows(s), -0.05), -0.05, 4).withColumn("p", cut("p", 8))
+
+
+@query("field_order", """SELECT field, row_number() OVER (ORDER BY CASE field WHEN 'R' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, field) - 1 AS place FROM (SELECT DISTINCT l_returnflag AS field FROM lineitem WHERE l_returnflag IS NOT NULL)""")
+def field_order(spark, sf):
+    return correlation.discover_fields(A.table(spark, sf, "lineitem"), "l_returnflag", ["R", "O"])
+
+
+@query("extent_difference", f"""WITH {A.FIELD}, s AS (SELECT max(i) + 1 AS n_i, max(j) + 1 AS n_j, max(k) + 1 AS n_k FROM field WHERE t = 1), g AS (SELECT max(i) + 1 AS m_i, max(j) + 1 AS m_j, max(k) + 1 AS m_k FROM grid WHERE k < 9)
+SELECT *, n_i = m_i AND n_j = m_j AND n_k = m_k AS same FROM s, g""")
+def extent_difference(spark, sf):
+    f = A.field(spark, sf)
+    return mesh.extent_difference(f.where("t = 1"), A.grid(f).where("k < 9"))
+
+
+NATIVE = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in FLOW)
+
+
+@query("native_snapshots", f"WITH {A.FIELD}, s AS (SELECT i, j, k, {NATIVE} FROM field) SELECT i, j, k, {flow_cut(4, 'avg({})')}, count(*) AS n FROM s GROUP BY i, j, k")
+def native_snapshots(spark, sf):
+    """Snapshot files written from the events, read again and averaged."""
+    snap = sources.read_snapshots(spark, A.snapshot_files(spark, sf)).withColumnRenamed("e", "t_val")
+    return cut_all(moments.time_mean(snap), 4, *FLOW)
+
+
+@query("native_snapshot_pick", f"WITH {A.FIELD}, s AS (SELECT t, i, j, k, {NATIVE} FROM field), n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS n FROM (SELECT DISTINCT t FROM field)) SELECT t, i, j, k, {flow_cut(4)} FROM s JOIN n USING (t) WHERE n.n = 2")
+def native_snapshot_pick(spark, sf):
+    snap = sources.read_snapshots(spark, A.snapshot_files(spark, sf), ordinals=[2]).withColumnRenamed("e", "t_val")
+    return cut_all(snap.select(F.col("time_num").alias("t"), "i", "j", "k", *FLOW), 4, *FLOW)
+
+
+@query("file_sums", f"WITH {A.FIELD} " + " UNION ALL ".join(f"SELECT '{n}' AS name, {sql_cut(f'sum(CAST(CAST({c} AS FLOAT) AS DOUBLE))', 2, 's')}, count(*) AS n FROM field" for n, c in zip("uvwe", FLOW, strict=True)))
+def file_sums(spark, sf):
+    """A caller's own accumulators over files."""
+    folder = A.snapshot_files(spark, sf)
+    paths = sources.files.find(folder, "grid*.f")
+
+    def add(sums, path, extra):
+        with sources.files.open_(path) as f:
+            plot3d.record(f)
+            values = np.frombuffer(plot3d.record(f), "<f4").reshape(5, -1).astype(float)
+        for n, name in enumerate("uvwpe"):
+            if name in sums:
+                sums[name] += values[n]
+                sums["count"] += len(values[n]) if name == extra else 0
+
+    sums = sources.accumulate(spark, paths, lambda extra: {**{n: np.zeros(A.NX * A.NY * A.NZ) for n in "uvwe"}, "count": np.zeros(1)}, add, "u")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    flat = sums.select("name", total.alias("s"))
+    n = flat.where("name = 'count'").select(F.col("s").cast("long").alias("n"))
+    return flat.where("name <> 'count'").crossJoin(F.broadcast(n)).select("name", cut("s", 2).alias("s"), "n")
+
+
+@query("native_mesh", f"WITH {A.FIELD} SELECT t AS iter, k AS level, {sql_cut('avg(t_val)', 6, 'tm')}, {sql_cut('avg(u)', 6, 'um')}, count(*) AS n FROM field GROUP BY t, k")
+def native_mesh(spark, sf):
+    """Mesh partitions written from the events, read, merged and averaged by level."""
+    nodes = sources.read_nodes(spark, A.mesh_files(spark, sf), ["T", "U"], dtype="float64").withColumnsRenamed({"X": "x", "Y": "y", "Z": "z"})
+    levels = mesh.merge(nodes).groupBy("iter", F.round(F.col("z") / A.DZ).cast("long").alias("level"))
+    return levels.agg(cut(F.avg("T"), 6).alias("tm"), cut(F.avg("U"), 6).alias("um"), F.count("*").alias("n"))
+
+
+@query("native_elements", f"WITH {A.FIELD}, f AS (SELECT t, b.blk FROM (SELECT DISTINCT t FROM field WHERE t % 2 = 0) CROSS JOIN (VALUES (1), (2)) AS b(blk)) SELECT t AS iter, blk, CAST(0 AS BIGINT) AS elem_idx, 0 AS n0, 1 AS n1, 4 AS n2, 20 AS n3 FROM f")
+def native_elements(spark, sf):
+    """Elements of some iterations, in their blocks' numbers from 0."""
+    folder = A.mesh_files(spark, sf)
+    some = [r["iter"] for r in sources.list_partitions(spark, folder).where("iter % 2 = 0").select("iter").collect()]
+    e = sources.read_elements(spark, folder, some)
+    return e.select("iter", "blk", "elem_idx", *[(F.col(f"n{c}") - 1).alias(f"n{c}") for c in range(4)])
+
+
 @query("normalized_k", f"WITH {PLANE}, d AS (SELECT field, k_idx, 2 * pi() * k_idx / 5.0::DOUBLE AS k, p FROM pp), l AS (SELECT 2 * pi() / (max(CASE WHEN k_idx = 1 THEN k END) - max(CASE WHEN k_idx = 0 THEN k END)) AS len FROM d) SELECT field, k_idx, {sql_cut('len * k / 2', 6, 'k')}, {sql_cut('p', 4)} FROM d, l WHERE k > 0 AND p > 0")
 def normalized_k(spark, sf):
     s = spectral.with_wavenumber(spectral.plane_spectrum(fluct(spark, sf)), A.NZ, A.DZ)

@@ -218,3 +218,31 @@ def test_energy_terms_do_not_depend_on_the_flux_direction(spark):
 
     u, w = energy("u"), energy("w")
     assert all(u[c][0] == w[c][0] for c in u) and any(u[c][1] != w[c][1] for c in u)
+
+
+def test_levels_are_numbered_in_blocks(spark):
+    keys = [0, 1, 5, 1023, 1024, 1025, 70_000, 2**20 - 1, 2**20, 2**20 + 3, 5 * 2**20, -1, -2**21]
+    got = {r.z: r.level_idx for r in profile.levels(spark.createDataFrame([(float(k),) for k in [*keys, 5, 70_000]], "z double"), z_tol=1.0).collect()}
+    assert got == {float(k): n for n, k in enumerate(sorted(keys))}
+
+
+def test_extents(spark):
+    cube = lambda n: spark.range(n**3).select((F.col("id") % n).alias("i"), (F.col("id") / n % n).cast("long").alias("j"), (F.col("id") / n**2).cast("long").alias("k"))
+    mesh.check_extent(cube(3), cube(3))
+    with pytest.raises(ValueError, match="doesn't fit"):
+        mesh.check_extent(cube(3), cube(4))
+
+
+def test_lag_rolled_to_the_reference(spark):
+    nz = 6
+    rng = np.random.default_rng(4)
+    rows = [(t, i, j, k, *rng.normal(size=4).tolist()) for t in range(3) for i in range(4) for j in range(4) for k in range(nz)]
+    f = spark.createDataFrame(rows, "t long, i long, j long, k long, u double, v double, w double, t_val double")
+    mean = moments.z_mean(moments.time_mean(f))
+    fl = moments.fluctuations(f, mean)
+    grid = f.select("i", "j", "k", (F.col("i") * 1.5).alias("x"), (F.col("j") * 1.0).alias("y"), (F.col("k") * 0.5).alias("z")).distinct()
+    corr, ref = correlation.two_point(fl, (1, 2)), (1, 2, 4)
+    rolled = corr.withColumn("lag", F.pmod(F.col("lag") + ref[2], F.lit(nz)))
+    args = (mean, budget.accumulators(fl, ref), grid, ref, (1.5, 2.0, 2.0))
+    one, two = ({(r.i, r.j, r.k): (r.E_prod_h, r.H_inter_m) for r in d.collect()} for d in (budget.terms(corr, *args, which=["E_prod_h", "H_inter_m"], shift_lag=True), budget.terms(rolled, *args, which=["E_prod_h", "H_inter_m"])))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)

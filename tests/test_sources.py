@@ -101,3 +101,33 @@ def test_profile_and_summary(spark, tmp_path):
     assert (tmp_path / "p.dat").read_text() == "1 0.333333333333\n2 0.5\n"
     sinks.write_summary(spark, str(tmp_path / "s.txt"), spark.createDataFrame([(1.5, None)], "nu double, x double"))
     assert (tmp_path / "s.txt").read_text() == "nu = 1.5\nx = none\n"
+
+
+def test_accumulate_over_files(spark, tmp_path):
+    for n in range(7):
+        plot3d.write_snapshot(str(tmp_path / f"grid1.{n}.f"), np.full((2, 3, 4, 5), float(n)))
+    paths = sources.files.find(str(tmp_path), "grid*.f")
+
+    def add(sums, path, scale):
+        with sources.files.open_(path) as f:
+            plot3d.record(f)
+            sums["all"] += scale * np.frombuffer(plot3d.record(f), "<f4").reshape(5, 24)[0].reshape(2, 3, 4)
+        sums["files"] += 1
+
+    sums = sources.accumulate(spark, paths, lambda scale: {"all": np.zeros((2, 3, 4)), "files": np.zeros(1)}, add, 2.0, tasks=3)
+    assert (sources.array_of(sums, "all") == 42).all() and sources.array_of(sums, "all").shape == (2, 3, 4) and sources.array_of(sums, "files").tolist() == [7.0]
+    assert sources.accumulate(spark, [], lambda _: {"x": np.zeros(1)}, add).count() == 0
+
+
+def test_text_replaces_an_older_one(spark, tmp_path):
+    for n in (1, 2):
+        sinks.write_profile(spark, str(tmp_path / "p.dat"), spark.createDataFrame([(0.0, float(n))], "z double, value double"))
+        assert (tmp_path / "p.dat").read_text() == f"0 {n}\n"
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["p.dat"]
+
+
+def test_numbers_from_0_written_as_they_are(spark, tmp_path):
+    nodes = spark.createDataFrame([(n, float(n)) for n in range(4)], "node_id long, X double")
+    elems = spark.createDataFrame([(0, 0, 1, 2, 3)], "elem_idx long, n0 long, n1 long, n2 long, n3 long")
+    sinks.write_mesh(spark, str(tmp_path / "m.dat"), nodes, ["X"], elems, one_based=False)
+    assert (tmp_path / "m.dat").read_text().splitlines()[-1] == "0 1 2 3"
