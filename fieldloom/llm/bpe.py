@@ -2,7 +2,7 @@
 
 Ranks become a vocabulary and merges in the byte table's alphabet (each byte has
 a printable character). A text is cut by the pattern; each distinct piece is
-encoded by the library once and kept in a bounded table of the worker.
+encoded by the library once and kept, while the task runs, in a bounded table.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, small_batches
 
-#: Pieces kept by a worker, and rows encoded at a time: bounds on memory, not on texts.
-MOST_PIECES, ROWS, MOST_CHARS = 400_000, 256, 2_000_000
+#: Pieces kept by a worker and characters of each, rows and characters in one go, and tokens of a text in one go: bounds on memory, not on texts.
+MOST_PIECES, MOST_PIECE, ROWS, MOST_CHARS, MOST_TOKENS = 150_000, 32, 256, 2_000_000, 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -48,35 +49,62 @@ class Codec:
                 merges.append((spell(parts[0]), spell(parts[1])))
         self.model = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.find = self.pattern.findall
         byte_of = {c: b for b, c in enumerate(chars)}
-        # reverses the byte table
-        self.bytes_of = {i: bytes(byte_of[c] for c in word) for word, i in self.model.get_vocab().items()}
+        # reverses the byte table: all tokens' bytes in a row, and where each begins (length -1: no such token)
+        bytes_of = {i: bytes(byte_of[c] for c in word) for word, i in self.model.get_vocab().items()}
+        ids = range(max(bytes_of, default=-1) + 1)
+        self.length = np.array([len(bytes_of[i]) if i in bytes_of else -1 for i in ids], np.int64)
+        self.start = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
+        self.bytes = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in ids), np.uint8)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        pieces = [self.find(t) if t else [] for t in texts]
-        if new := [*{p for ps in pieces for p in ps if p not in self.known}]:
-            if len(self.known) + len(new) > MOST_PIECES:
-                self.known.clear()
-                new = [*{p for ps in pieces for p in ps}]
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.known[p] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        if len(texts) == 1 and texts[0] and len(texts[0]) > MOST_CHARS:
+            found, parts = self.pattern.finditer(texts[0]), []
+            while some := [m[0] for m in islice(found, MOST_TOKENS)]:
+                parts += self._join([some])
+            return [b"".join(parts)]
+        return self._join([self.find(t) if t else [] for t in texts])
+
+    def _join(self, pieces: list[list[str]]) -> list[bytes]:
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+        known, long = self.known, {}
+        new = [*{p for ps in pieces for p in ps if p not in known}]
+        for i in range(0, len(new), 1024):
+            some = new[i : i + 1024]
+            found = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, at = np.asarray(found.ids, "<u4").tobytes(), 0
+            for p, end in zip(some, (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(some)))).tolist(), strict=True):
+                (known if len(p) <= MOST_PIECE else long)[p] = ids[at:end]
+                at = end
+        get = (lambda p: known.get(p) or long[p]) if long else known.__getitem__
         return [b"".join(map(get, ps)) for ps in pieces]
 
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
+        out = self.length[ids] if not len(ids) or ids.max() < len(self.length) else np.full(1, -1)
+        if (out < 0).any():
+            raise KeyError("an id that the vocabulary lacks")
+        return out
+
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the ids. A character split over tokens is whole again, as bytes are joined before any decoding."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        all_, out = np.frombuffer(ids, "<u4"), []
+        for i in range(0, len(all_), MOST_TOKENS):
+            some = all_[i : i + MOST_TOKENS]
+            n = self.lengths(some)
+            ends = np.cumsum(n)
+            out.append(self.bytes[np.arange(ends[-1]) + np.repeat(self.start[some] - (ends - n), n)].tobytes())
+        return b"".join(out)
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last character that each token has a byte of; parts of one character share its place."""
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.bytes_of[i]) for i in np.frombuffer(ids, "<u4").tolist()], dtype=np.int64)
+        ends = np.cumsum(self.lengths(np.frombuffer(ids, "<u4")))
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         return char_of[starts], char_of[ends - 1] + 1
 
@@ -92,9 +120,9 @@ def _merged(token: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
     return parts
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(ranks_file: bytes, pattern: str) -> Codec:
-    """One for each worker process: built once, kept between tasks."""
+    """One for each worker process: the vocabulary (some 30 MB) stays between tasks, known pieces don't."""
     return Codec(ranks_file, pattern)
 
 
@@ -114,6 +142,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def load(spark: SparkSession, path: str):
     """The vocabulary's file, read on the driver and broadcast (about a megabyte, whatever the corpus)."""
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -140,6 +169,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
                     both = [c.offsets(t or "", i) for t, i in zip(texts, ids, strict=True)]
                     out += [pa.array([x[k].tolist() for x in both], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *[f.name for f in added]])
+        c.known.clear()
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields + added))
 
@@ -169,4 +199,5 @@ def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256. Nulls, ties and repeated rows: see encode."""
     return round_trip(spark, read(spark, sf_dir, "documents"))
