@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Stage, ascii_lower, read
+from .common import LOWER, UPPER, Stage, ascii_lower, each, read, row_key, rows_of
 
 SCHEMA = "digest binary, keep_id long, group_size long"
 
@@ -38,6 +38,21 @@ class DigestIndex:
     def _append(self, df: DataFrame) -> None:
         (df.write.format("parquet").mode("append").bucketBy(self.n_buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
+    def _add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        """The batch's ids and texts (doc_id, digest, n: rows of both), and what the index now says of its texts (digest, keep_id, group_size). Appends what is new."""
+        stage = Stage(self.spark, "digests")
+        rows = stage.put(
+            docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("n")),
+            "rows",
+        )
+        heads = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        known = self.spark.table(self.table)
+        self._append(heads.hint("merge").join(known.select("digest"), "digest", "left_anti").select("digest", "keep_id", "group_size").repartition(self.n_buckets, "digest"))
+        self.spark.catalog.refreshTable(self.table)
+        # what the index says of the batch's digests, as a plain table: the join below is then free to split, and later appends and compactions don't touch it
+        found = stage.put(heads.select("digest", "group_size").hint("merge").join(self.spark.table(self.table).select("digest", "keep_id"), "digest"), "found")
+        return rows, found
+
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicates a batch against the index and itself, and appends what is new.
 
@@ -54,23 +69,19 @@ class DigestIndex:
         each exchange, and the last join has plain exchanges on both sides, so
         that adaptive execution splits a hot digest.
         """
-        stage = Stage(self.spark, "digests")
-        rows = stage.put(
-            docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("n")),
-            "rows",
-        )
-        heads = stage.put(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "heads")
-        known = self.spark.table(self.table)
-        self._append(heads.hint("merge").join(known.select("digest"), "digest", "left_anti").select("digest", "keep_id", "group_size").repartition(self.n_buckets, "digest"))
-        self.spark.catalog.refreshTable(self.table)
-        # read back what the index says of the batch's digests, as a plain table: the join below is then free to split
-        found = stage.put(heads.select("digest", "group_size").hint("merge").join(self.spark.table(self.table).select("digest", "keep_id"), "digest"), "found")
-        return (
-            rows.hint("merge")
-            .join(found, "digest")
-            .select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"), "digest")
-            .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
-        )
+        rows, found = self._add(docs, id_col, text_col)
+        out = each(rows.hint("merge").join(found, "digest").select("doc_id", "keep_id", "group_size", "n", "digest"), "n", "copy")
+        return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"), "digest")
+
+    def compact(self) -> None:
+        """Rewrites the index as one sorted file a bucket. Each append adds a file to each bucket, after which a read sorts again; so compact after some dozens."""
+        new = f"{self.table}_{uuid.uuid4().hex[:8]}"
+        DigestIndex(self.spark, new, self.n_buckets)._append(self.spark.table(self.table).repartition(self.n_buckets, "digest"))
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
@@ -78,19 +89,23 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any other columns) that stay, with their columns; see DigestIndex.ingest."""
-    index = index or new_index(spark)
-    keep = index.ingest(docs).where("kept").select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d"))
-    tagged = docs.withColumn("_digest", text_digest(F.col("text")))
-    joined = tagged.hint("merge").join(keep, tagged["doc_id"].eqNullSafe(keep["_k"]) & (tagged["_digest"] == keep["_d"]), "left_semi")
-    from pyspark.sql import Window
+    """The rows of ``docs`` (doc_id, text and any other columns, whatever their names) that stay, with their columns; see DigestIndex.ingest.
 
-    one = Window.partitionBy("doc_id", "_digest").orderBy("doc_id")
-    return joined.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy", "_digest")
+    Null and empty texts count as equal, so one of them stays; a null id stays only where no equal text has an id. No rows give none.
+    """
+    own = new_index(spark) if index is None else index
+    # a text whose id to keep came with an earlier batch has no such row here
+    keys = own._add(docs)[1].select(row_key(F.col("digest"), F.col("keep_id")).alias("_key"))
+    if index is None:
+        own.drop()
+    return rows_of(docs, text_digest(F.col("text")), keys)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = new_index(spark).ingest(read(spark, sf_dir, "documents"))
+    """All documents against a new index: doc_id, keep_id, group_size, kept, text_sha256. Nulls, ties and repeated rows: see DigestIndex.ingest."""
+    index = new_index(spark)
+    report = index.ingest(read(spark, sf_dir, "documents"))
+    index.drop()  # the report is of staged tables
     return report.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
