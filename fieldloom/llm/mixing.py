@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, read
+from .common import Stage, each, read
 
 #: Fixed value: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,7 +64,32 @@ def _per_source(keyed: DataFrame, weights: Sequence[Sequence[float]], cap: float
     return src.select("skey", "source_size", "target", "curve", F.transform("s", lambda x: x / F.col("weight")).alias("rate"))
 
 
-def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[Sequence[float]] = ((1, 1), (2, 2), (3, 3)), cap: float = 3.0, prefix: str = "000") -> DataFrame:
+#: Documents in a part of a source that is sorted in one place, about; and the fewest hexadecimal digits that name a part.
+PART, LEAST_DIGITS = 100_000, 3
+
+
+def _groups(docs: DataFrame, weights: Sequence[Sequence[float]], cap: float) -> DataFrame:
+    """A row for each id, source and size: doc_id, source, size, n (documents of them), offset (of the first), source_size, target, quota, curve, rate."""
+    if any(len(w) != len(weights[0]) or len(w) < 2 or min(w) < 0 or sum(w) <= 0 for w in weights):
+        raise ValueError("schedules need as many weights each, two at least, none negative and not all 0")
+    stage = Stage(docs.sparkSession, "mix")
+    # rows that repeat an id, null or not, go as one before anything is sorted
+    keyed = docs.select("doc_id", "source", sizes(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    keyed = keyed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    keyed = stage.put(keyed, "keyed")
+    rows, digits = keyed.count(), LEAST_DIGITS
+    while rows > PART * 16**digits:
+        digits += 1
+    keyed = keyed.withColumn("part", F.substring("h", 1, digits))
+    parts = stage.put(keyed.groupBy("skey", "part").agg(F.sum(F.col("size") * F.col("n")).alias("size")), "parts")
+    before = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select("skey", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before")).join(_per_source(parts, weights, cap), "skey")
+    within = W.partitionBy("skey", "part").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = keyed.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(within)).hint("merge").join(offsets, ["skey", "part"])
+    return out.select("doc_id", "source", "size", "n", (F.col("before") + F.col("upto") - F.col("size") * F.col("n")).alias("offset"), "source_size", "target", F.floor("target").cast("long").alias("quota"), "curve", "rate")
+
+
+def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[Sequence[float]] = ((1, 1), (2, 2), (3, 3)), cap: float = 3.0) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, offset, quota, taken, position.
 
     ``weights``: schedules, each the weights at equally spaced breakpoints of
@@ -76,27 +101,17 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[Sequence[fl
     to the quota exactly, and the document at the end counts in part. ``position`` is where
     in training (0 to 1) the document first occurs; one beyond the quota gets a
     position from 1 on. Empty and null texts have size 0, are taken 0 times, and have the position where they stand. Null ids and repeated rows
-    are rows like any other. No documents: no rows.
+    are rows like any other. Other columns are ignored. No documents: no rows.
 
-    A source's running sum is taken in two levels, within and over the 4,096
-    leading parts of the digest, so that no source is in one task.
+    A source's running sum is taken in two levels, within and over parts named by
+    the leading digits of the digest; their number follows that of the documents, so that no source is in one task.
+    Rows of one id, source and size are counted first and told apart last, so a null id may have any share of the rows.
     """
-    if any(len(w) != len(weights[0]) or len(w) < 2 or min(w) < 0 or sum(w) <= 0 for w in weights):
-        raise ValueError("schedules need as many weights each, two at least, none negative and not all 0")
-    stage = Stage(spark, "mix")
-    keyed = docs.select("doc_id", "source", sizes(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    keyed = keyed.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("part", F.substring("h", 1, len(prefix)))
-    keyed = stage.put(keyed, "keyed")
-    parts = stage.put(keyed.groupBy("skey", "part").agg(F.sum("size").alias("size")), "parts")
-    before = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select("skey", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_before")).join(_per_source(parts, weights, cap), "skey")
-    within = W.partitionBy("skey", "part").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = keyed.withColumn("_upto", F.sum("size").over(within)).hint("merge").join(offsets, ["skey", "part"])
-    rows = rows.withColumn("offset", F.col("_before") + F.col("_upto") - F.col("size")).withColumn("quota", F.floor("target").cast("long"))
-    rows = rows.withColumn("_full", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size")).cast("long")).otherwise(F.lit(0)))
-    rows = rows.withColumn("taken", F.expr("_full * size + greatest(0L, least(size, quota - _full * source_size - offset))").cast("long"))
+    rows = each(_groups(docs, weights, cap), "n", "copy").withColumn("offset", F.col("offset") + F.col("copy") * F.col("size"))
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size")).cast("long")).otherwise(F.lit(0))
+    rows = rows.withColumn("full", full).withColumn("taken", F.expr("full * size + greatest(0L, least(size, quota - full * source_size - offset))").cast("long"))
     rows = rows.withColumn("position", position(F.col("offset")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "offset", "quota", "taken", "position", "h", "curve", "rate")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "offset", "quota", "taken", "position")
 
 
 def position(offset):
@@ -112,34 +127,37 @@ def position(offset):
     return F.when(F.col("quota") <= 0, offset + 1.0).when(x >= 1, x).otherwise(F.least(t, F.lit(1.0)))
 
 
-def materialise(spark: SparkSession, docs: DataFrame, whole: bool = False, **how) -> DataFrame:
-    """The mix itself, range-sorted by training position: the columns of ``docs``, a row for each time a document is taken.
+def materialise(spark: SparkSession, docs: DataFrame, whole: bool = False, weights: Sequence[Sequence[float]] = ((1, 1), (2, 2), (3, 3)), cap: float = 3.0) -> DataFrame:
+    """The mix itself, range-sorted by training position: the columns of ``docs``, whatever their names, a row for each time a document is taken.
 
     The last document of a source that its quota reaches ends with the quota's
     last word; ``whole``: it is taken whole or not at all, whichever is nearer to the quota
-    (whole if both are). Rows that repeat an id share their plan row by row (their number
-    and sizes are the same, so is their sum).
+    (whole if both are). Rows of one id, source and size, null or not, share their places, in the order of their hashes.
+    Documents without words, null texts among them, aren't taken. No documents: no rows.
+
+    A row stays in one struct, so texts move twice: to their places, and to their positions.
     """
-    columns = docs.columns
-    plan = plan_mix(spark, docs, **how).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "source_size", "offset", "quota", "curve", "rate", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("offset")).alias("_nth"))
-    tagged = docs.withColumn("_s", sizes(F.col("text")))
-    tagged = tagged.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_s").orderBy("doc_id")))
-    same = tagged["doc_id"].eqNullSafe(plan["_id"]) & tagged["source"].eqNullSafe(plan["_src"]) & (tagged["_s"] == plan["_size"]) & (tagged["_n"] == plan["_nth"])
-    taken = tagged.hint("merge").join(plan, same)
-    taken = taken.withColumn("_epoch", F.explode(F.expr("sequence(0L, (quota - offset - 1) div source_size)")))
-    taken = taken.withColumn("_at", F.col("offset") + F.col("_epoch") * F.col("source_size")).withColumn("_words", F.least(F.col("_size"), F.col("quota") - F.col("_at")))
+    key = lambda doc_id, source, size: F.sha2(F.concat_ws("|", doc_id.cast("string"), F.lit("/"), size.cast("string"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))), 256)
+    plan = _groups(docs, weights, cap).where("size > 0 AND offset < quota").withColumn("key", key(F.col("doc_id"), F.col("source"), F.col("size")))
+    plan = plan.select("key", "size", "offset", "source_size", "quota", "curve", "rate")
+    words = sizes(F.col("text"))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = docs.select(key(F.col("doc_id"), F.col("source"), words).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("hash"), words.alias("words")).where("words > 0").drop("words")
+    row = row.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("hash")) - 1)
+    taken = row.hint("merge").join(plan, "key").withColumn("offset", F.col("offset") + F.col("nth") * F.col("size")).where("offset < quota")
+    taken = taken.withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - offset - 1) div source_size)")))
+    taken = taken.withColumn("at", F.col("offset") + F.col("epoch") * F.col("source_size")).withColumn("words", F.least(F.col("size"), F.col("quota") - F.col("at")))
     if whole:
-        taken = taken.where("2 * _words >= _size").withColumn("_words", F.col("_size"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
-    out = taken.withColumn("_pos", position(F.col("_at"))).withColumn("text", text).select(*columns, "_pos")
-    out = Stage(spark, "mixed").put(out, "rows")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "_pos", "doc_id").sortWithinPartitions("_pos", "doc_id").drop("_pos")
+        taken = taken.where("2 * words >= size").withColumn("words", F.col("size"))
+    found = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(found, F.lit(1), F.col("words").cast("int")), ""))
+    out = taken.select("row", text.alias("text"), position(F.col("at")).alias("position"), F.col("row.doc_id").alias("id"))
+    out = out.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "position", "id").sortWithinPartitions("position", "id")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the order of their training positions: doc_id, size, source_size, target, taken. Nulls, ties and repeated rows: see plan_mix."""
     plan = plan_mix(spark, read(spark, sf_dir, "documents"))
     rows = Stage(spark, "plan").put(plan.select("doc_id", "size", "source_size", "target", "taken", "position"), "rows")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
