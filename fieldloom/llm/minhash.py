@@ -10,6 +10,7 @@ similarity is then computed exactly.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -17,17 +18,21 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Stage, components, read
+from .common import Cache, Stage, components, each, read, row_key, rows_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: With 48 bands of 7 rows, a pair at similarity 0.8 is missed with probability 1e-5; a pair at 0.3 shares a band with probability 0.01.
 BANDS, ROWS = 48, 7
-#: Members of a band's bucket that are compared in one place.
-BLOCK = 1024
+#: Longer lists of texts with a rare run are compared in blocks of so many.
+LIST, BLOCK = 64, 1024
+#: Counts of runs that say which are rare.
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+#: Sets whose darts are thrown together.
+TOGETHER = 64
 
 U = np.uint64
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -47,18 +52,13 @@ class Shingler:
     """Hashes of a text's runs of five words (a shorter text is one run), each once, with their number."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Cache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
         if not words:
             return np.zeros(0, U), np.zeros(0, np.int64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(known.__getitem__, words), U, len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), U, len(words))
         n = min(WORDS, len(h))
         runs = np.zeros(len(h) - n + 1, U)
         for k in range(n):
@@ -66,54 +66,62 @@ class Shingler:
         return np.unique(mix(runs + U(n)), return_counts=True)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=256)
 def _poisson(mean: float) -> np.ndarray:
     """Cumulative probabilities of 0, 1, ... darts."""
-    p, out, total, k = np.exp(-mean), [], 0.0, 0
-    while total < 1 - 1e-15 and k < 40 * (1 + mean):
-        total += p
-        out.append(total)
-        k += 1
-        p *= mean / k
-    return np.array(out)
+    n = np.arange(int(mean + 12 * math.sqrt(mean) + 24))
+    return np.cumsum(np.exp(n * math.log(mean) - mean - np.array([math.lgamma(x + 1.0) for x in n.tolist()])))
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """A 32-bit mark for each of k coordinates: that of the earliest dart. ``elements``: distinct hashes; ``weights`` > 0.
+def signatures_of(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """For each set a 32-bit mark for each of k coordinates: that of the earliest dart. A set: distinct hashes and their weights (> 0), one at least.
 
     The plane is cut in cells that double in weight and rank; each cell of an
     element holds a Poisson number of darts, hashed from element and cell. Cells
-    are thrown by rising rank until k ln k + 2k darts are expected, and further
-    while a coordinate has none.
+    are thrown by rising rank until k ln k + 2k darts of a set are expected, and further
+    while one of its coordinates has none. Sets are thrown together, but each as if alone.
     """
-    wanted = (k * np.log(k) + 2 * k) / float(weights.sum())
-    rank, mark, least = np.full(k, np.inf), np.zeros(k, np.uint32), weights.min()
+    n = len(sets)
+    of, elements, weights = np.repeat(np.arange(n), [len(e) for e, _ in sets]), np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(float)
+    wanted = (k * math.log(k) + 2 * k) / np.bincount(of, weights, n)
+    rank, mark, least = np.full(n * k, np.inf), np.zeros(n * k, np.uint32), weights.min()
     low, high, step = 0.0, 0.125, 1
-    while low < wanted or np.isinf(rank).any():
+    while True:
+        open_ = (low < wanted) | np.isinf(rank.reshape(n, k)).any(1)
+        if not open_.any():
+            return mark.reshape(n, k)
+        if not open_.all():
+            some = open_[of]
+            of, elements, weights = of[some], elements[some], weights[some]
+            wanted = np.where(open_, wanted, 0.0)
         wlow, whigh, wstep = 0.0, 1.0, 1
-        while (inside := weights > wlow).any():
-            e = elements[inside]
+        e, w, o = elements, weights, of
+        while len(e):
             cell = mix(e + U((int(_GOLD) * (step * 64 + wstep)) % 2**64))
-            cdf = _poisson((high - low) * (whigh - wlow))
-            n = np.searchsorted(cdf, (cell >> U(11)).astype(float) / 2.0**53)
-            at = np.repeat(np.arange(len(e)), n)
+            darts = np.searchsorted(_poisson((high - low) * (whigh - wlow)), (cell >> U(11)).astype(float) / 2.0**53)
+            at = np.repeat(np.arange(len(e)), darts)
             if len(at):
-                nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                dart = mix(cell[at] + _GOLD * (nth + 1).astype(U))
+                nth = np.arange(1, len(at) + 1) - np.repeat(np.cumsum(darts) - darts, darts)
+                dart = mix(cell[at] + _GOLD * nth.astype(U))
                 place = mix(dart)
                 r = low + (high - low) * (place >> U(11)).astype(float) / 2.0**53
-                c = ((dart >> U(32)) % U(k)).astype(np.int64)
+                c = o[at] * k + ((dart >> U(32)) % U(k)).astype(np.int64)
                 early = r < rank[c]
                 if whigh > 1 or least < 1:
-                    w = wlow + (whigh - wlow) * (mix(place + _GOLD) >> U(11)).astype(float) / 2.0**53
-                    early &= w < weights[inside][at]
-                early = np.flatnonzero(early)
-                early = early[np.argsort(-r[early])]  # of several on a coordinate, the last written is the earliest
-                c = c[early]
-                rank[c], mark[c] = r[early], mix(place[early]).astype(np.uint32)
+                    early &= wlow + (whigh - wlow) * (mix(place + _GOLD) >> U(11)).astype(float) / 2.0**53 < w[at]
+                r, c, place = r[early], c[early], place[early]
+                np.minimum.at(rank, c, r)
+                first = r == rank[c]
+                mark[c[first]] = mix(place[first]).astype(np.uint32)
             wlow, whigh, wstep = whigh, whigh * 2, wstep + 1
+            over = w > wlow
+            e, w, o = e[over], w[over], o[over]
         low, high, step = high, high * 2, step + 1
-    return mark
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """signatures_of one set."""
+    return signatures_of([(elements, weights)], k)[0]
 
 
 def band_hashes(mark: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -129,7 +137,7 @@ def text_digest(text):
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """doc_id, digest (binary, of the text), bands (array of long; null without words) and marks (binary: a byte for each coordinate) of each row of (doc_id, text)."""
     k = bands * rows
 
@@ -137,46 +145,57 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
         shingle = Shingler()
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, marks = [], []
-                for text in part.column("text").to_pylist():
-                    elements, count = shingle(text)
-                    if len(elements):
-                        m = signature(elements, count.astype(float) if weighted else np.ones(len(elements)), k)
-                        hashes.append(band_hashes(m, bands, rows))
-                        marks.append(m.astype(np.uint8).tobytes())
-                    else:
-                        hashes.append(None)
-                        marks.append(None)
+                sets = [(e, c if weighted else np.ones(len(e))) for e, c in map(shingle, part.column("text").to_pylist())]
+                hashes, marks = [None] * len(sets), [None] * len(sets)
+                full = [i for i, (e, _) in enumerate(sets) if len(e)]
+                for at in range(0, len(full), TOGETHER):
+                    some = full[at : at + TOGETHER]
+                    for i, m in zip(some, signatures_of([sets[i] for i in some], k), strict=True):
+                        hashes[i], marks[i] = band_hashes(m, bands, rows), m.astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "digest", "bands", "marks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, marks binary")
 
 
-def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """id, runs (binary: sorted 64-bit hashes, and after them, if weighted, their counts) of each row of (id, text)."""
+def shingle_sets(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """id, runs (binary, see pack) of each row of (id, text)."""
 
     def run(batches):
         shingle = Shingler()
         for batch in batches:
             for part in slices(batch, "text"):
                 both = [shingle(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([e.tobytes() + (c.astype(U).tobytes() if weighted else b"") for e, c in both], pa.binary())], names=["id", "runs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([pack(e, c if weighted else None) for e, c in both], pa.binary())], names=["id", "runs"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, runs binary")
 
 
-def jaccard(a: bytes, b: bytes, weighted: bool = False) -> float:
-    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-    if not weighted:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / max(1, len(x) + len(y) - both)
-    (x, cx), (y, cy) = np.split(x, 2), np.split(y, 2)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = float(np.minimum(cx[i], cy[j]).sum())
-    return both / max(1.0, float(cx.sum() + cy.sum()) - both)
+def pack(elements: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """How many occur again, the place and further count of each of these (32 bits each), and all sorted hashes."""
+    again = np.flatnonzero(counts > 1) if counts is not None else np.zeros(0, np.int64)
+    more = np.stack([again, counts[again] - 1]).astype("<u4").tobytes() if len(again) else b""
+    return len(again).to_bytes(8, "little") + more + elements.tobytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes, those that occur again, and how often."""
+    n = int.from_bytes(packed[:8], "little")
+    at, more = np.frombuffer(packed, "<u4", 2 * n, 8).reshape(2, n)
+    elements = np.frombuffer(packed, U, offset=8 + 8 * n)
+    return elements, elements[at], more
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard similarity of two packed sets: the sum of the lesser counts over that of the greater."""
+    (x, ax, cx), (y, ay, cy) = unpack(a), unpack(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if len(ax) and len(ay):
+        _, i, j = np.intersect1d(ax, ay, assume_unique=True, return_indices=True)
+        both += int(np.minimum(cx[i], cy[j]).sum())
+    return both / max(1, len(x) + len(y) + int(cx.sum()) + int(cy.sum()) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of distinct pairs (a, b), those whose exact similarity is at least ``similarity``, with it. Plain exchanges on both sides of each join let hot ids be split."""
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
@@ -185,126 +204,169 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: boo
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(n).to_pylist() for n in ("a", "b", "runs_a", "runs_b"))
-            s = [jaccard(p, q, weighted) for p, q in zip(x, y, strict=True)]
+            s = [jaccard(p, q) for p, q in zip(x, y, strict=True)]
             out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([x >= similarity for x in s], pa.bool_()))
 
     return both.select("a", "b", "runs_a", "runs_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def compare_blocks(rest: DataFrame, least: float, similarity: float, weighted: bool = False) -> DataFrame:
-    """Links (a, b) that join up what is similar in each group (key, x, y) of rows (key, x, y, id, block, linked, marks, runs).
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets (id, runs) have a run that falls in each of SLOTS slots."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(np.concatenate([_slot(unpack(packed)[0]) for packed in batch.column("runs").to_pylist()]), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+
+    rows = sets.select("runs").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - SLOT_BITS)).astype(np.int64)
+
 
-    A text that isn't linked to its hub is compared with all others of the
-    group: by marks, and exactly where these agree on ``least`` of the
-    coordinates. Texts that are already joined, by the hub or by links found
-    here, aren't compared again, so a group of n gives n links at most.
+def prefix(packed: bytes, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest runs of a set, so many that any set as similar as ``similarity`` has one of them among its own; a run that occurs again counts as another each time."""
+    elements, again, more = unpack(packed)
+    every = [elements] + [mix(again[more >= k] + U(int(_GOLD) * k % 2**64)) for k in range(1, int(more.max(initial=0)) + 1)]
+    slots = np.concatenate([_slot(elements)] + [_slot(again[more >= k]) for k in range(1, len(every))])
+    every = np.concatenate(every)
+    n = len(every) - math.ceil(similarity * len(every) - 1e-9) + 1
+    return every[np.lexsort((every, counts[slots]))[:n]].view(np.int64)
+
+
+def rare_runs(sets: DataFrame, similarity: float) -> DataFrame:
+    """token, id, comp for the prefix of each of the sets (id, comp, runs). Counts are shared as SLOTS numbers, whatever the number of runs; they only sort."""
+    shared = sets.sparkSession.sparkContext.broadcast(token_counts(sets))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                tokens = [prefix(packed, shared.value, similarity) for packed in batch.column("runs").to_pylist()]
+                n = [len(x) for x in tokens]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("id", "comp")]], names=["token", "id", "comp"])
+
+    return sets.select("id", "comp", "runs").mapInArrow(run, "token long, id long, comp long")
+
+
+def compare_blocks(lists: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links (a, b) that join up what is similar but of another class in each group (token, x, y) of rows (token, x, y, id, comp, block, marks, runs).
+
+    Pairs whose marks agree on ``least`` of the coordinates are compared
+    exactly, unless links found here have joined them already, so a group of n gives n links at most.
     """
 
     def run(_, pdf):
         m = np.frombuffer(b"".join(pdf["marks"]), np.uint8).reshape(len(pdf), -1)
-        ids, linked, block, runs = pdf["id"].to_numpy(), pdf["linked"].to_numpy(bool), pdf["block"].to_numpy(), pdf["runs"].to_list()
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        root = list(range(len(ids)))
-        if linked.any():
-            hub = int(np.flatnonzero(linked)[0])
-            for i in np.flatnonzero(linked):
-                root[i] = hub
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        ids, block, runs = pdf["id"].to_numpy(), pdf["block"].to_numpy(), pdf["runs"].to_list()
+        within = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)  # at first a class, in the end what links join
         out = []
-        for i in np.flatnonzero(~linked).tolist():  # a pair has one that isn't linked; if neither is, the smaller id asks
-            if x == y:
-                other = np.flatnonzero(linked | (ids > ids[i]))
-            else:
-                other = np.flatnonzero((block != block[i]) & (linked | (block > block[i])))
-            if not len(other):
-                continue
+        for i in range(len(ids)):
+            other = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if within else (block > block[i])))
             agree = ((m[other] == m[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
             near = np.flatnonzero(agree >= least)
             for j in other[near[np.argsort(-agree[near], kind="stable")]].tolist():
-                if find(i) != find(j) and jaccard(runs[i], runs[j], weighted) >= similarity:
-                    root[find(i)] = find(j)
+                if comp[i] != comp[j] and jaccard(runs[i], runs[j]) >= similarity:
+                    comp[comp == comp[j]] = comp[i]
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rest.groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
+    return lists.groupBy("token", "x", "y").applyInPandas(run, "a long, b long")
+
+
+def _pairs_of_lists(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different classes in lists of LIST members at most (token, id, comp)."""
+    packed = lists.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "comp"))).alias("m")).select(F.array_distinct("m").alias("m")).distinct()
+    first = packed.select("m", F.posexplode("m").alias("p", "x"))
+    pairs = first.select("x", F.explode(F.expr("filter(slice(m, p + 2, size(m)), y -> y.comp <> x.comp)")).alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, kept.
 
     Texts are linked if their sets of five-word runs (words between white
     space, as they are) have a Jaccard similarity of at least ``similarity``,
-    or, ``weighted``, by how often each run occurs; classes are the connected
+    ``weighted`` by how often each run occurs (a run that occurs once in either counts as in plain sets); classes are the connected
     components. class_id is the smallest id of the class, and its row is kept;
     of rows that repeat an id and a text, one alone is kept. Null and empty texts are
     equal to each other and near no other; a text of fewer than five words is one run. Texts whose rows
     all have null ids link to nothing and have a null class. Different texts under one id count as one document.
 
-    Copies go as one text. In a band's bucket every text is first compared with
-    the bucket's hub alone, the text that shares most buckets; what is near it
-    needs no further pair among itself. Texts of a bucket that aren't near
-    the hub are compared with all of the bucket, in blocks, by their
-    signatures and then exactly, until they are joined to it: no class loses a link
+    Copies go as one text. In a band's bucket every text is compared with
+    the bucket's hub, the text of the smallest id; what is near it
+    needs no further pair among itself. Where texts of a bucket are still in different classes, pairs of different classes
+    are compared exactly if they share a rare run, as similar texts must: of a
+    text's runs, sorted by how many texts have them, the first fifth
+    and one. Texts that only share a common passage thus never meet. Long lists of a rare run
+    are compared in blocks, by their signatures and then exactly, until they are joined: no class loses a link
     of a bucket, yet a large group of copies gives a link for each.
     """
-    return _classes(spark, docs, similarity, bands, rows, weighted).drop("digest")
+    out = each(_classes(spark, docs, similarity, bands, rows, weighted), "n", "copy")
+    return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 0)).alias("kept"))
 
 
-def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """near_duplicates with the digest of each row's text."""
-    k = bands * rows
+def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """A row for each id and text: doc_id, digest, class_id, n (rows of both)."""
     stage = Stage(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stage.put(signatures(texts, bands, rows, weighted), "signatures")
-    copies = stage.put(sig.groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "copies")
-    heads = stage.put(copies.groupBy("digest").agg(F.min("doc_id").alias("id")), "heads")
-    single = sig.hint("merge").join(heads.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    members = stage.put(single.where("bands IS NOT NULL").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "members")
-    # buckets that more than one text is in, and how many
-    shared = stage.put(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    inside = stage.put(members.hint("merge").join(shared, "key"), "inside")
-    stage.drop(members, shared)
-    popular = stage.put(inside.groupBy("id").agg(F.sum("n").alias("pop")), "popular")
-    hubs = inside.join(popular, "id").groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("i"))).alias("h")).select("key", (-F.col("h.i")).alias("hub"))
-    hubs = stage.put(hubs, "hubs")
-    star = stage.put(inside.hint("merge").join(hubs, "key").select("key", "n", "id", "hub"), "star")
-    stage.drop(inside, hubs)
-    sets = stage.put(shingle_sets(texts.withColumnRenamed("doc_id", "id").hint("merge").join(popular.select("id"), "id", "left_semi").dropDuplicates(["id"]), weighted), "sets")
-    stage.drop(popular)
+    # a text goes by its smallest id, an id stands for one text; rows that repeat both do no harm
+    heads = stage.put(sig.groupBy("digest").agg(F.min("doc_id").alias("id")), "heads")
+    texts_of = heads.groupBy("id").agg(F.min("digest").alias("digest"))
+    members = sig.select("digest", F.col("doc_id").alias("id"), "bands").hint("merge").join(texts_of, ["id", "digest"], "left_semi").select("id", F.explode("bands").alias("key"))
+    # buckets that more than one text is in, how many, and their hub
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    star = stage.put(members.hint("merge").join(shared, "key"), "star")
+    asked = star.select("id").distinct().join(texts_of, "id")
+    one_text = texts.select(F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest"), "text").hint("merge").join(asked, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    sets = stage.put(shingle_sets(one_text, weighted), "sets")
     spokes = star.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    near_hub = stage.put(verified(spokes, sets, similarity, weighted).select("a", "b"), "near_hub")
-    # the rest: buckets of three or more with a text that isn't near the hub
-    flagged = star.where("n > 2 AND id <> hub").hint("merge").join(near_hub.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(True).alias("linked")), ["id", "hub"], "left")
-    flagged = stage.put(flagged.select("key", "n", "id", F.coalesce("linked", F.lit(False)).alias("linked")), "flagged")
-    open_ = stage.put(flagged.groupBy("key").agg(F.count_if(~F.col("linked")).alias("open")).where("open > 0"), "open")
-    rest = flagged.hint("merge").join(open_.select("key"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "linked")
-    marks = sig.select(F.col("doc_id").alias("id"), "marks").where("marks IS NOT NULL").hint("merge").join(flagged.where("NOT linked OR n > 2").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    rest = rest.hint("merge").join(marks.hint("merge").join(sets, "id"), "id")
+    parts = stage.put(components(stage, verified(spokes, sets, similarity).select("a", "b")), "classes")
+    # buckets of three or more whose texts are in different classes
+    classed = star.where("n > 2").select("key", "id").hint("merge").join(parts, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    open_ = classed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    left = classed.hint("merge").join(open_, "key", "left_semi").select("id", "comp").distinct()
+    left = stage.put(left.hint("merge").join(sets, "id"), "open")
+    lists = stage.put(rare_runs(left, similarity), "rare")
+    some = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "n")
+    lists = lists.hint("merge").join(some, "token")
+    short = verified(_pairs_of_lists(lists.where(F.col("n") <= LIST)), left, similarity).select("a", "b")
+    long = lists.where(F.col("n") > LIST).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    long = long.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp", "block")
+    marks = sig.select("digest", F.col("doc_id").alias("id"), "marks").hint("merge").join(long.select("id").distinct().join(texts_of, "id"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "marks")
+    long = long.hint("merge").join(left.select("id", "runs").hint("merge").join(marks, "id"), "id")
     # five standard deviations under the similarity
-    least = similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / k))
-    edges = near_hub.union(compare_blocks(rest, least, similarity, weighted))
-    parts = components(stage, edges)
-    named = copies.hint("merge").join(heads, "digest")
-    named = named.hint("merge").join(stage.put(parts, "components"), "id", "left").withColumn("class_id", F.coalesce("comp", "id"))
-    out = named.select("doc_id", "digest", "class_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    return out.select("doc_id", "digest", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)).alias("kept"))
+    least = similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / (bands * rows)))
+    more = stage.put(short.union(compare_blocks(long, least, similarity)), "more")
+    # links between classes join them
+    of = lambda c: left.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    joined = stage.put(components(stage, more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))), "joined")
+    stage.drop(star, sets, left)
+    parts = parts.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("whole")), "comp", "full").select(F.coalesce("id", "comp").alias("id"), F.coalesce("whole", "comp").alias("class_id"))
+    copies = sig.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    named = heads.hint("merge").join(parts, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
+    # exchanges with nothing else on them, so that a hot text can be split
+    return copies.hint("merge").join(named, "digest").select("doc_id", "digest", "class_id", "n")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, with their columns: a row for each kept id and text."""
-    keep = _classes(spark, docs, **how).where("kept").select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d"))
-    tagged = docs.withColumn("_digest", text_digest(F.col("text")))
-    out = tagged.hint("merge").join(keep, tagged["doc_id"].eqNullSafe(keep["_k"]) & (tagged["_digest"] == keep["_d"]), "left_semi")
-    return out.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_digest").orderBy("doc_id"))).where("_copy = 1").drop("_copy", "_digest")
+    """The rows of ``docs`` (doc_id, text and columns of any names) that near_duplicates keeps, with their columns: a row for each kept id and text.
+
+    Rows of null ids whose texts no row with an id has all stay, one of each text. No rows give none.
+    """
+    keys = _classes(spark, docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(row_key(F.col("digest"), F.col("doc_id")).alias("_key"))
+    return rows_of(docs, text_digest(F.col("text")), keys)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, class_id, kept. Nulls, ties and repeated rows: see near_duplicates."""
     return near_duplicates(spark, read(spark, sf_dir, "documents"))
