@@ -12,15 +12,14 @@ from __future__ import annotations
 import html as entities
 from bisect import bisect
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import chain, count, pairwise
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Cache, read, small_batches
 
 #: Pages that one template is deduced from, pages of a host dealt to one place, and hosts that may be dealt to several: bounds on memory, not on pages.
 GROUP, DEALT, MOST_HOT = 64, 128, 65_536
@@ -50,12 +49,24 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"p": BLOCKS - {"option", "optgroup", "td", "th"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
-TAG = regex.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</(?P=raw)\s*[^>]*>|$))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
-    regex.S | regex.I,
-)
-ATTRIBUTE = regex.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+def _tags(attributes: str, else_: str) -> regex.Pattern:
+    """Comments, elements whose content is no markup, tags, and what a browser drops as a broken tag. Nothing is matched twice, so a page takes time in proportion to its length."""
+    return regex.compile(
+        rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b{attributes}(?:>.*?(?:</(?P=raw)[^>]*+(?:>|$)|$))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{attributes})>|{else_}|<[!?/][^>]*+(?:>|$)",
+        regex.S | regex.I,
+    )
+
+
+#: Tags with quoted attributes; from the first one whose quotes don't close, tags end at the next ">".
+QUOTED = _tags(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+", r"(?P<broken></?[a-zA-Z])")
+PLAIN = _tags(r"[^>]*+", r"(?P<broken></?[a-zA-Z][^>]*+$)")
+ATTRIBUTE = regex.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 WORDS = regex.compile(r"[^\W_]+")
+#: An address says nothing of its element.
+HREF = regex.compile(r""" href=(?:"[^"]*+"|'[^']*+')""")
+#: An element whose end may be implied ends where one of these begins.
+ENDING = frozenset().union(*ENDS.values())
 
 
 CAMEL, LETTERS = regex.compile(r"([a-z])([A-Z])"), regex.compile(r"[a-z]+")
@@ -65,128 +76,151 @@ def _name_parts(value: str) -> frozenset:
     return frozenset(LETTERS.findall(CAMEL.sub(r"\1 \2", value).lower())) if value else frozenset()
 
 
-@dataclass
-class Node:
-    name: str
-    parent: int
-    path: str
-    names: frozenset
-    sure: bool  # named as what is no text wherever it stands
-    skip: bool  # by its own name or role
-    block: bool
-    main: bool = False
+class Element:
+    """What a start tag says of its element."""
 
+    def __init__(self, tag: str):
+        m = ELEMENT.match(tag)
+        self.name, rest = m["name"].lower(), m["rest"]
+        attributes = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
+        classes, ids = _name_parts(attributes.get("class", "")), _name_parts(attributes.get("id", ""))
+        self.label = self.name + (f".{attributes['class']}" if attributes.get("class") else "")
+        self.names = classes | ids
+        self.hits = self.names & NOT_TEXT_NAMES
+        self.sure = bool(classes & SURE_NAMES or ids & SURE_NAMES and ids <= NOT_TEXT_NAMES)  # named as what is no text wherever it stands
+        role = attributes.get("role", "").lower()
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        self.skip = self.name in NOT_TEXT or role in NOT_TEXT_ROLES or hidden  # by its own name or role
+        self.block, self.ending, self.heading, self.link = self.name in BLOCKS, self.name in ENDING, self.name in HEADINGS, self.name in ("a", "button")
+        self.main = (self.name == "article" and "comment" not in self.names) or self.name == "main" or role == "main"
+        self.open = self.name not in VOID and (not rest.rstrip().endswith("/") or self.block)
+
+
+ELEMENT = regex.compile(r"<(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>.*)>", regex.S)
+ROOT = Element("<html>")
 
-@dataclass
-class Page:
-    nodes: list[Node] = field(default_factory=list)
-    runs: list[tuple[int, str]] = field(default_factory=list)  # (node, text) in page order
-    breaks: list[int] = field(default_factory=list)  # numbers of runs before which a block begins or ends
-    events: list[tuple[int, str]] = field(default_factory=list)  # (number of runs before it, tag with its path)
 
+class Page:
+    """Elements (number 0 holds all), text runs and block boundaries in page order."""
 
-def parse(source: str | None) -> Page:
-    """The page's elements, text runs and block boundaries. Lenient: unclosed and stray tags are taken as browsers mostly do."""
-    page, text = Page(), source or ""
-    page.nodes.append(Node("", -1, "", frozenset(), False, False, True))
-    stack, at = [0], 0
+    def __init__(self) -> None:
+        self.nodes: list[Element] = [ROOT]
+        self.parents, self.paths = [-1], [0]
+        self.runs: list[tuple[int, str]] = []  # (element, text)
+        self.breaks: list[int] = []  # numbers of runs before which a block begins or ends
+        self.events: list[tuple[int, int]] = []  # (number of runs before it, path of a tag; -1 - path at its end)
 
-    def add(raw: str) -> None:
-        if raw:
-            page.runs.append((stack[-1], entities.unescape(raw)))
 
-    def cut() -> None:
-        page.breaks.append(len(page.runs))
+def parse(source: str | None, elements: Cache | None = None, paths: dict | None = None) -> Page:
+    """The page's elements, text runs and block boundaries. Lenient: unclosed and stray tags are taken as browsers mostly do.
 
-    for m in TAG.finditer(text):
-        add(text[at : m.start()])
+    ``elements`` and ``paths`` hold what start tags say and the numbers of paths, for pages that are compared.
+    """
+    elements, paths = Cache(Element, 20_000, 256) if elements is None else elements, {} if paths is None else paths
+    page, text, at = Page(), source or "", 0
+    nodes, runs, breaks, events = page.nodes, page.runs, page.breaks, page.events
+    stack, blocks, open_names = [0], [], Counter()  # blocks: places on the stack of those that are blocks
+    found, tags = QUOTED.finditer(text), QUOTED
+    while (m := next(found, None)) is not None:
+        begin = m.start()
+        if begin > at:
+            runs.append((stack[-1], text[at:begin]))
         at = m.end()
-        name = (m["name"] or "").lower()
-        if m["raw"] or not name:
+        kind = m.lastgroup
+        if m["broken"]:
+            if tags is QUOTED:
+                tags, at = PLAIN, begin
+                found = PLAIN.finditer(text, begin)
+            continue
+        if m["raw"] or kind is None:
             continue
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.nodes[stack[depth]].name == name:
-                    if any(page.nodes[i].block for i in stack[depth:]):
-                        cut()
-                    page.events.append((len(page.runs), "/" + page.nodes[stack[depth]].path))
-                    del stack[depth:]
-                    break
-            else:
-                if name in BLOCKS:
-                    cut()
+            name = m["name"].lower()
+            if open_names[name]:
+                block = False
+                while True:
+                    node = stack.pop()
+                    if nodes[node].block:
+                        block = True
+                        blocks.pop()
+                    open_names[nodes[node].name] -= 1
+                    if nodes[node].name == name:
+                        break
+                if block:
+                    breaks.append(len(runs))
+                events.append((len(runs), -1 - page.paths[node]))
+            elif name in BLOCKS:
+                breaks.append(len(runs))
             continue
-        # elements whose end is implied
-        for depth in range(len(stack) - 1, 0, -1):
-            open_ = page.nodes[stack[depth]].name
-            if open_ in ENDS and name in ENDS[open_]:
+        tag = m[0]
+        e = elements[HREF.sub("", tag, 1) if tag.startswith("<a href") else tag]
+        if e.ending:  # elements whose end is implied, which are blocks
+            while blocks and e.name in ENDS.get(nodes[stack[blocks[-1]]].name, ()):
+                depth = blocks.pop()
+                open_names.subtract([nodes[i].name for i in stack[depth:]])
                 del stack[depth:]
-                cut()
-            elif open_ in BLOCKS:
-                break
-        block = name in BLOCKS
-        if block:
-            cut()
-        if name == "br":
-            page.runs.append((stack[-1], " "))
-        if name in VOID:
+                breaks.append(len(runs))
+        if e.block:
+            breaks.append(len(runs))
+        if e.name == "br":
+            runs.append((stack[-1], " "))
+        if e.name in VOID:
             continue
-        attributes = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m["rest"])} if m["rest"] else {}
-        classes, ids = _name_parts(attributes.get("class", "")), _name_parts(attributes.get("id", ""))
-        names, sure = classes | ids, bool(classes & SURE_NAMES or ids & SURE_NAMES and ids <= NOT_TEXT_NAMES)
-        role = attributes.get("role", "").lower()
-        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        parent = stack[-1]
-        node = Node(name, parent, f"{page.nodes[parent].path}>{name}" + (f".{attributes['class']}" if attributes.get("class") else ""), names, sure, name in NOT_TEXT or role in NOT_TEXT_ROLES or hidden, block)
-        node.main = (name == "article" and "comment" not in names) or name == "main" or role == "main"
-        page.nodes.append(node)
-        page.events.append((len(page.runs), node.path))
-        if not m["rest"].rstrip().endswith("/") or name in BLOCKS:
-            stack.append(len(page.nodes) - 1)
-    add(text[at:])
+        parent, node = stack[-1], len(nodes)
+        nodes.append(e)
+        page.parents.append(parent)
+        page.paths.append(paths.setdefault((page.paths[parent], e.label), len(paths) + 1))
+        events.append((len(runs), page.paths[node]))
+        if e.open:
+            if e.block:
+                blocks.append(len(stack))
+            stack.append(node)
+            open_names[e.name] += 1
+    if at < len(text):
+        runs.append((stack[-1], text[at:]))
+    page.runs = [(node, entities.unescape(x) if "&" in x else x) for node, x in runs]
     return page
 
 
-def _words_under(page: Page) -> tuple[list[int], list[int], list[bool]]:
+def _words_under(page: Page, words: list[list[str]]) -> tuple[list[int], list[int], list[bool]]:
     """Words in and outside links under each element, and whether it holds a heading."""
-    linked = [False]
-    for node in page.nodes[1:]:
-        linked.append(linked[node.parent] or node.name in ("a", "button"))
-    plain, links, headed = [0] * len(page.nodes), [0] * len(page.nodes), [False] * len(page.nodes)
-    for node, text in page.runs:
-        (links if linked[node] else plain)[node] += len(WORDS.findall(text))
-    for i in range(len(page.nodes) - 1, 0, -1):
-        node = page.nodes[i]
-        plain[node.parent] += plain[i]
-        links[node.parent] += links[i]
-        headed[node.parent] |= headed[i] or node.name in HEADINGS
+    parents, linked = page.parents, [False]
+    for node, parent in zip(page.nodes[1:], parents[1:], strict=True):
+        linked.append(linked[parent] or node.link)
+    plain, links, headed = [0] * len(parents), [0] * len(parents), [False] * len(parents)
+    for (node, _), found in zip(page.runs, words, strict=True):
+        (links if linked[node] else plain)[node] += len(found)
+    for i in range(len(parents) - 1, 0, -1):
+        plain[parents[i]] += plain[i]
+        links[parents[i]] += links[i]
+        headed[parents[i]] |= headed[i] or page.nodes[i].heading
     return plain, links, headed
 
 
-def skipped(page: Page) -> list[bool]:
-    """Whether an element, or one around it, is a menu, header, footer, sidebar, notice, advert, form, comment or hidden.
+def skipped(page: Page, words: list[list[str]]) -> list[bool]:
+    """Whether an element, or one around it, is a menu, header, footer, sidebar, notice, advert, form, comment or hidden. words: those of each run.
 
     In an article a name may be that of its subject: headings and what is around them stay
     whatever their names, and an element whose name isn't sure goes only if no more of its words are
     plain than in links. What repeats in it is for the template.
     """
-    holds_main = [False] * len(page.nodes)
-    for i in range(len(page.nodes) - 1, 0, -1):
-        node = page.nodes[i]
-        if (node.main or holds_main[i]) and not node.names & {"comment", "comments"}:
-            holds_main[node.parent] = True
+    nodes, parents = page.nodes, page.parents
+    holds_main = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        if (nodes[i].main or holds_main[i]) and not nodes[i].names & {"comment", "comments"}:
+            holds_main[parents[i]] = True
     # of the words under each element, which only names inside an article ask for
-    plain, links, headed = _words_under(page) if any(holds_main) and any(node.names & NOT_TEXT_NAMES for node in page.nodes) else ([], [], [])
+    plain, links, headed = _words_under(page, words) if any(holds_main) and any(node.hits for node in nodes) else ([], [], [])
     out, inside = [False], [False]
-    for i, node in enumerate(page.nodes[1:], 1):
-        hits = node.names & NOT_TEXT_NAMES
-        named = bool(hits) and node.name not in ("html", "body", "main", "article") and not holds_main[i]
-        if named and inside[node.parent]:
-            heading = node.name in HEADINGS or headed[i] and hits <= {"header", "masthead", "banner"}
+    for i in range(1, len(nodes)):
+        node, parent = nodes[i], parents[i]
+        named = bool(node.hits) and node.name not in ("html", "body", "main", "article") and not holds_main[i]
+        if named and inside[parent]:
+            heading = node.heading or headed[i] and node.hits <= {"header", "masthead", "banner"}
             named = not heading and (node.sure or plain[i] <= links[i])
-        header = node.name == "header" and not inside[node.parent]
-        out.append(out[node.parent] or node.skip or named or header)
-        inside.append(inside[node.parent] or (node.main and not out[i]))
+        header = node.name == "header" and not inside[parent]
+        out.append(out[parent] or node.skip or named or header)
+        inside.append(inside[parent] or (node.main and not out[i]))
     return out
 
 
@@ -195,126 +229,148 @@ def main_nodes(page: Page, skip: list[bool]) -> list[bool]:
     for wanted in (lambda n: n.main and n.name == "article", lambda n: n.main):
         out = [False]
         for i, node in enumerate(page.nodes[1:], 1):
-            out.append(not skip[i] and (out[node.parent] or wanted(node)))
+            out.append(not skip[i] and (out[page.parents[i]] or wanted(node)))
         if any(out):
             return out
     return [False] * len(page.nodes)
 
 
-def equivalence_classes(pages: list[list[str]], least_pages: int = 2) -> dict[tuple[int, ...], list[str]]:
+def equivalence_classes(pages: list[list], least_pages: int = 2) -> dict[tuple[int, ...], list]:
     """Tokens by their occurrence vector (how often on each page), where at least half of the pages, and ``least_pages``, have them."""
     counts = [Counter(tokens) for tokens in pages]
-    seen = Counter(t for c in counts for t in c)
-    classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
+    seen = Counter(chain.from_iterable(counts))
+    classes: dict[tuple[int, ...], list] = defaultdict(list)
     for t, n in seen.items():
         if n >= max(least_pages, len(pages) / 2):
-            classes[tuple(c[t] for c in counts)].append(t)
+            classes[tuple([c[t] for c in counts])].append(t)
     return classes
 
 
-def template(pages: list[list[str]]) -> list[str]:
-    """Tokens of the template, those of the root class in their order and then those of the classes nested in its gaps.
+def template(pages: list[list]) -> list:
+    """Tokens of the template: those of the root class in their order, then those of the classes nested in its gaps, then those nested in theirs.
 
     A class is valid if its tokens come in the same order on every page that has
-    them, and if between two tokens of the root each page has all of the
+    them, and if between two tokens of the classes found before it each page has all of the
     class's tokens equally often; a class of one token only if all pages have it, in
     the same gaps and equally often. Tokens that break this are data.
     """
     classes = equivalence_classes(pages)
-    places = [{t: i for i, t in enumerate(tokens)} for tokens in pages]  # of tokens that occur once
-    # large classes that most pages have come first, so that a word that is there by chance displaces none of theirs
-    once = sorted((v for v in classes if set(v) <= {0, 1}), key=lambda v: (-sum(v), -len(classes[v])))
-    root: list[str] = []
+    once = {t for v, ts in classes.items() if max(v) == 1 for t in ts}
+    places = [{t: i for i, t in enumerate(tokens) if t in once} for tokens in pages]
+    root: list = []
     rank: list[list[int]] = [[] for _ in pages]  # places on the page of the root's tokens, in order
-    order: list[list[str]] = [[] for _ in pages]
-    for v in once:
+    order: list[list] = [[] for _ in pages]
+    at: dict = {}
+    # large classes that most pages have come first, so that a word that is there by chance displaces none of theirs
+    for v in sorted((v for v in classes if max(v) == 1), key=lambda v: (-sum(v), -len(classes[v]))):
         if len(classes[v]) == 1 and 0 in v:
             continue  # a lone word that some pages lack is data
-        for t in sorted(classes[v], key=lambda t: min((p[t], k) for k, p in enumerate(places) if t in p)):
-            at = {t: i for i, t in enumerate(root)}
-            where = {k: bisect(rank[k], p[t]) for k, p in enumerate(places) if t in p}
-            low = max((at[order[k][i - 1]] for k, i in where.items() if i), default=-1)
-            high = min((at[order[k][i]] for k, i in where.items() if i < len(order[k])), default=len(root))
+        for t in sorted(classes[v], key=places[v.index(1)].__getitem__):
+            where = [(k, bisect(rank[k], places[k][t])) for k, n in enumerate(v) if n]
+            low = max((at[order[k][i - 1]] for k, i in where if i), default=-1)
+            high = min((at[order[k][i]] for k, i in where if i < len(order[k])), default=len(root))
             if low < high:
                 root.insert(low + 1, t)
-                for k, i in where.items():
+                at.update((x, i) for i, x in enumerate(root[low + 1 :], low + 1))
+                for k, i in where:
                     rank[k].insert(i, places[k][t])
                     order[k].insert(i, t)
     out, fixed = list(root), set(root)
-    for v, ts in classes.items():
-        if set(v) <= {0, 1}:
-            continue
-        members = set(ts) - fixed
-        gaps: dict[str, set] = {t: set() for t in members}
-        for k, tokens in enumerate(pages):
-            gap = ""
-            per: Counter = Counter()
-            for t in tokens:
-                if t in fixed:
-                    gap = t
-                elif t in members:
-                    per[t, gap] += 1
-            for (t, g), n in per.items():
-                gaps[t].add((k, g, n))
-        shared = Counter(frozenset(x) for x in gaps.values())
-        if shared:
-            valid, n = shared.most_common(1)[0]
-            if n > 1 or len(ts) == 1 and _agree(valid, len(pages)):
-                out += sorted(t for t in members if frozenset(gaps[t]) == valid)
+    rest = {t: v for v, ts in classes.items() if max(v) > 1 for t in ts}
+    while rest:
+        inner = _nested(pages, fixed, rest)
+        if not inner:
+            break
+        out += inner
+        fixed.update(inner)
+        found = {rest[t] for t in inner}
+        rest = {t: v for t, v in rest.items() if v not in found}
     return out
 
 
-def _agree(gaps: frozenset, pages: int) -> bool:
+def _nested(pages: list[list], fixed: set, rest: dict) -> list:
+    """Of the tokens of ``rest`` (by token their class), those of the valid classes in the gaps between tokens of ``fixed``."""
+    profile: dict = {t: [] for t in rest}
+    for k, tokens in enumerate(pages):
+        gap, per = -1, Counter()
+        for t in tokens:
+            if t in fixed:
+                gap = t
+            elif t in rest:
+                per[t, gap] += 1
+        for (t, g), n in per.items():
+            profile[t].append((k, g, n))
+    alike: dict = defaultdict(lambda: defaultdict(list))
+    for t, where in profile.items():
+        alike[rest[t]][tuple(sorted(where, key=repr))].append(t)
+    out = []
+    for v, groups in alike.items():
+        valid, members = max(groups.items(), key=lambda x: len(x[1]))
+        if len(members) > 1 or len(groups) == 1 and 0 not in v and _agree(valid, len(pages)):
+            out += members
+    return out
+
+
+def _agree(gaps: tuple, pages: int) -> bool:
     """Whether all pages have a token in the same gaps and equally often, by its (page, gap, count)."""
     return len(gaps) == pages * len({(g, n) for _, g, n in gaps})
 
 
-def extract(sources: list[str | None]) -> list[str]:
+def extract(sources: list[str | None], elements: Cache | None = None) -> list[str]:
     """The main text of each page of a group (pages of one host).
 
     A run of text is template if all its words are and it stands, as a whole, on half of the
     pages that differ. Pages with equal articles count as one, and an article of which
-    over COPIED is template is a near copy of others and stays whole.
+    over COPIED is template is a near copy of others and stays whole. elements: what is known of start tags.
     """
-    pages = [parse(s) for s in sources]
-    skips = [skipped(p) for p in pages]
+    paths: dict = {}
+    pages = [parse(s, elements, paths) for s in sources]
+    after = count(len(paths) + 1)
+    numbers: defaultdict = defaultdict(lambda: defaultdict(after.__next__))  # of words by their path; tags have those up to the paths'
+    words = [[WORDS.findall(text) for _, text in page.runs] for page in pages]
+    skips = [skipped(p, w) for p, w in zip(pages, words, strict=True)]
     mains = [main_nodes(p, s) for p, s in zip(pages, skips, strict=True)]
-    tokens, word_places, articles = [], [], []
-    for page, main in zip(pages, mains, strict=True):
+    tokens, places, articles = [], [], []
+    for page, main, found in zip(pages, mains, words, strict=True):
         marked = any(main)
-        seq: list[str] = []
-        place: dict[int, list[int]] = {}
+        seq: list[int] = []
+        place: list[tuple[int, int]] = []
         article: list[str] = []
-        events = iter([*page.events, (len(page.runs) + 1, "")])
+        events = iter([*page.events, (len(page.runs) + 1, 0)])
         nxt = next(events)
-        for r, (node, text) in enumerate(page.runs):
+        for r, (node, _) in enumerate(page.runs):
             while nxt[0] <= r:
                 seq.append(nxt[1])
                 nxt = next(events)
-            words = WORDS.findall(text)
-            place[r] = list(range(len(seq), len(seq) + len(words)))
-            seq += [f"{page.nodes[node].path}|{w}" for w in words]
+            begin, path = len(seq), page.paths[node]
+            seq += map(numbers[path].__getitem__, found[r])
+            place.append((begin, len(seq)))
             if marked and main[node]:
-                article += words
+                article += found[r]
         tokens.append(seq)
-        word_places.append(place)
+        places.append(place)
         articles.append((marked, tuple(article if marked else seq)))
     different = list({a: k for k, a in enumerate(articles)}.values())  # copies of a page say nothing of its template
     known = set(template([tokens[k] for k in different])) if len(different) >= 4 else set()
-    runs = Counter(x for k in different for x in {tuple(tokens[k][i] for i in at) for at in word_places[k].values()}) if known else Counter()
+    runs = Counter(chain.from_iterable({tuple(tokens[k][a:b]) for a, b in places[k] if known.issuperset(tokens[k][a:b])} for k in different)) if known else Counter()
     out = []
-    for page, skip, main, seq, place in zip(pages, skips, mains, tokens, word_places, strict=True):
+    for page, skip, main, seq, place in zip(pages, skips, mains, tokens, places, strict=True):
         marked = any(main)
         keep = [(main[node] or not marked) and not skip[node] for node, _ in page.runs]
-        words = [seq[i] in known for r, at in place.items() if keep[r] for i in at]
-        if known and not (marked and sum(words) > COPIED * len(words)):
-            for r, at in place.items():
-                if at and all(seq[i] in known for i in at) and runs[tuple(seq[i] for i in at)] >= len(different) / 2:
+        if known and not (marked and _share(seq, place, keep, known) > COPIED):
+            for r, (a, b) in enumerate(place):
+                if b > a and keep[r] and known.issuperset(seq[a:b]) and runs[tuple(seq[a:b])] >= len(different) / 2:
                     keep[r] = False
         out.append(_blocks(page, keep))
     return out
 
 
+def _share(seq: list[int], place: list[tuple[int, int]], keep: list[bool], known: set) -> float:
+    """Share of the kept words that are template."""
+    kept = list(chain.from_iterable(seq[a:b] for (a, b), k in zip(place, keep, strict=True) if k))
+    return sum(map(known.__contains__, kept)) / max(1, len(kept))
+
+
 def _blocks(page: Page, keep: list[bool]) -> str:
     edges = sorted({0, *page.breaks, len(page.runs)})
     lines = (" ".join("".join(page.runs[r][1] for r in range(a, b) if keep[r]).split()) for a, b in pairwise(edges))
@@ -339,6 +395,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     groups of at most GROUP, in the order of their ids, the last two of equal size; a host with many pages is dealt to
     several tasks. Html moves once.
     """
+    small_batches(spark)
     tagged = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     counts = tagged.groupBy("host").count()
     n = pages.count()
@@ -350,9 +407,10 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []
+        elements = Cache(Element, 20_000, 256)
 
         def done(rows):
-            texts = extract([h for *_, h in rows])
+            texts = extract([h for *_, h in rows], elements)
             return pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
         for batch in batches:
@@ -373,4 +431,5 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: page_id, url, text, n_chars. Nulls, ties and repeated rows: see main_text."""
     return main_text(spark, read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
