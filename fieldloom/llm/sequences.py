@@ -18,7 +18,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +26,8 @@ from .common import Stage, read, shared_dir
 
 #: Tokens of a sequence, and the id that fills one up (free in the vocabulary, and no text has it).
 LENGTH, PAD = 256, 50256
-#: Sequences are numbered by input partition and place in it, from 0: bounds of both.
-MOST_PARTS, MOST_PLACES = 1_000_000, 1 << 32
+#: A sequence's number has so many bits for its document's id, for its text's hash and for its place in the text; numbers may be equal.
+ID_BITS, TEXT_BITS, SEQ_BITS = 33, 12, 16
 ID = np.dtype("<u2")
 U = np.uint64
 
@@ -67,50 +66,62 @@ def encoder(ranks_file: bytes, pattern: str):
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """Arrow's file system for a folder, under the name that Arrow has for it."""
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest if rest else uri)
 
 
 def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, root: str, key: int = 1, length: int = LENGTH, shards: int | None = None) -> DataFrame:
     """Writes the shards of ``docs`` (doc_id, text) under ``root`` and returns a row for each sequence: doc_id, seq (from 0), slot, shard, n_tokens.
 
-    A sequence's number (input partition, place in it) is permuted over the
+    A sequence's number (document's id, counted from the least one, then some bits of its text's hash, and its place in the text) is permuted over the
     whole space of numbers; the permuted numbers are spread evenly, so the bounds of
     ``shards`` ranges are known beforehand, and a range sorted by them is a shard. Slots count the
-    sequences in that order, from 0 without gaps. A shard holds ``length`` ids of two bytes for each sequence, little
+    sequences in that order, from 0 without gaps: they follow from ids, texts and key alone, not from files, partitions or retries.
+    Equal numbers (of one id, if texts' hashes agree or a text is very long, or of null ids, which go by the text's hash) are put in the order of hash, place and id. A shard holds ``length`` ids of two bytes for each sequence, little
     endian, a document's last one filled up with PAD; sequences.json says how many each has, so that a slot's place
     is known. Texts are encoded once, and only sequences move, once.
 
     A shard is written under another name and renamed when whole, so a task that
-    is repeated after an executor is lost leaves the same file. The order depends on how ``docs`` is cut in partitions.
+    is repeated after an executor is lost leaves the same file; what an earlier call left there and this one doesn't write is removed at the end.
 
-    A document with no tokens (null or empty) has no sequence. Repeated rows are documents like any
+    Ids of tokens that two bytes don't hold, and a vocabulary that uses PAD, raise ValueError. A document with no tokens (null or empty) has no sequence. Repeated rows are documents like any
     other; null ids stay null; other columns are ignored. No documents: no shards.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     file = load(spark, ranks_path)
+    check_ids(file.value)
     n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    space = MOST_PARTS * MOST_PLACES
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width_of_ids = min((high or 0) - (low or 0) + 1, 1 << ID_BITS)
+    space = 2 * width_of_ids << TEXT_BITS + SEQ_BITS  # in the second half, documents without an id
     width = -(-space // n_shards)
 
+    def number(doc: int | None, text_hash: int, seq: np.ndarray) -> np.ndarray:
+        d = (doc - low) % width_of_ids if doc is not None else width_of_ids + (text_hash >> TEXT_BITS) % width_of_ids
+        return ((d << TEXT_BITS | text_hash % (1 << TEXT_BITS)) << SEQ_BITS) + seq % (1 << SEQ_BITS)
+
     def cut(batches):
-        encode, part, at = encoder(file.value, pattern), TaskContext.get().partitionId(), 0
-        if part >= MOST_PARTS:
-            raise ValueError(f"the documents come in over {MOST_PARTS} partitions")
+        encode = encoder(file.value, pattern)
         for batch in batches:
             for piece in slices(batch, "text"):
-                ids, seqs, tokens = [], [], []
-                for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                docs_, hashes, seqs, tokens, numbers = [], [], [], [], [np.zeros(0, np.int64)]
+                for doc, text, h in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "hash")), strict=True):
                     row = encode(text).astype(ID).tobytes()
-                    for k in range(0, len(row), 2 * length):
-                        ids.append(doc)
-                        seqs.append(k // (2 * length))
-                        tokens.append(row[k : k + 2 * length])
-                place = permute(part * MOST_PLACES + np.arange(at, at + len(ids), dtype=np.int64), space, key)
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(tokens, pa.binary())], names=["shard", "place", "doc_id", "seq", "tokens"])
-
-    rows = docs.mapInArrow(cut, "shard int, place long, doc_id long, seq int, tokens binary")
-    rows = rows.repartitionById(n_shards, "shard").sortWithinPartitions("place")
+                    n = -(-len(row) // (2 * length))
+                    docs_ += [doc] * n
+                    hashes += [h] * n
+                    seqs.append(np.arange(n))
+                    tokens += [row[k : k + 2 * length] for k in range(0, len(row), 2 * length)]
+                    numbers.append(number(doc, h, seqs[-1]))
+                place = permute(np.concatenate(numbers), space, key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(hashes, pa.int64()), pa.array(docs_, pa.int64()), pa.array(np.concatenate(seqs).astype(np.int32)), pa.array(tokens, pa.binary())],
+                    names=["shard", "place", "hash", "doc_id", "seq", "tokens"],
+                )
+
+    rows = docs.mapInArrow(cut, "shard int, place long, hash long, doc_id long, seq int, tokens binary")
+    rows = rows.repartitionById(n_shards, "shard").sortWithinPartitions("place", "hash", "seq", "doc_id")
 
     def save(batches: Iterator[pa.RecordBatch]):
         out, at, fill = None, 0, np.full(length, PAD, ID).tobytes()
@@ -134,12 +145,22 @@ def write(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, r
     done = Stage(spark, "sequences").put(rows.mapInArrow(save, "doc_id long, seq int, shard int, nth long, n_tokens int"), "rows")
     counted = {r["shard"]: r["count"] for r in done.groupBy("shard").count().collect()}  # a row for each shard
     counts = [counted.get(k, 0) for k in range(n_shards)]
+    written = {file_name(k) for k, n in enumerate(counts) if n}
+    for old in store.get_file_info(fs.FileSelector(folder)):
+        if old.base_name.startswith(("shard-", ".")) and old.base_name not in written:
+            store.delete_file(old.path)
     with store.open_output_stream(f"{folder}/sequences.json") as f:
         f.write(json.dumps({"counts": counts, "length": length, "pad": PAD, "key": key, "dtype": ID.str}).encode())
     before = spark.createDataFrame([(k, int(n)) for k, n in enumerate(np.cumsum([0, *counts])[:-1])], "shard int, base long")
     return done.join(F.broadcast(before), "shard").select("doc_id", "seq", (F.col("base") + F.col("nth")).alias("slot"), "shard", "n_tokens")
 
 
+def check_ids(ranks_file: bytes) -> None:
+    ids = [int(line.split()[1]) for line in ranks_file.splitlines() if line.strip()]
+    if max(ids, default=0) > np.iinfo(ID).max or PAD in ids:
+        raise ValueError(f"a shard's ids have two bytes, and {PAD} fills sequences up: the vocabulary doesn't fit")
+
+
 def file_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -186,6 +207,7 @@ def read_back(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written as shards and read again: doc_id, seq, slot, shard, n_tokens, ids_sha256. Nulls, ties and repeated rows: see write."""
     import public_tokenizers as tokenizers_
 
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
