@@ -2,8 +2,8 @@
 
 The trees' planes are fitted on a bounded sample; every vector is then routed
 to a leaf of each tree. A query walks all trees through one priority queue, nearest
-planes first, and the leaves it takes are joined with their members, whose exact
-distances rank them.
+planes first, and its candidates are the vectors in the leaves it takes, which their
+exact distances rank. Queries go in blocks of bounded size to where the vectors are, which don't move.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,83 +132,119 @@ def distinct_vectors(df: DataFrame, k: int, salts: int = 16) -> DataFrame:
     return second.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-def search(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int = 10, n_trees: int = 8, leaf_size: int = 64, share: float = 0.12, least_rows: int = 16_384, most_sample: int = MOST_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+#: Queries that are broadcast at a time, and compared at a time in a task.
+BLOCK, TOGETHER = 4096, 256
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+    """Arrays of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+
+
+def _nearest(q: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's ``k`` least scores, and of all that equal the last of them, by query and score."""
+    order = np.lexsort((score, q))
+    first = np.searchsorted(q[order], q[order])  # where the query's scores begin
+    last = np.minimum(first + k - 1, np.searchsorted(q[order], q[order], side="right") - 1)
+    return order[score[order] <= score[order][last]]
+
+
+def _compare(index: DataFrame, block: pa.Table, n_leaves: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of the nearest candidates in each task's part of the index, k and ties for each query of the block."""
+    counts = np.diff(block["leaves"].combine_chunks().offsets.to_numpy())
+    shared = index.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), _matrix(block["vec"], float), counts, block["leaves"].combine_chunks().flatten().to_numpy()))
+
+    def run(batches):
+        query_id, queries, counts, leaves = shared.value
+        ends = np.cumsum(counts)
+        q, score, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, own = _matrix(batch.column("vec"), float), _matrix(batch.column("leaves"), np.int64)
+            members = np.empty(len(x), object)
+            members[:] = batch.column("ids").to_pylist()
+            alone, first = np.array([len(m) == 1 for m in members]), np.array([m[0] for m in members])
+            most = int(np.unique(first[alone], return_counts=True)[1].max(initial=0))  # vectors of one id
+            lengths = (x * x).sum(1)
+            for a in range(0, len(queries), TOGETHER):
+                some = queries[a : a + TOGETHER]
+                taken = np.zeros((len(some), n_leaves), bool)
+                begin, end = ends[a] - counts[a], ends[min(a + TOGETHER, len(ends)) - 1]
+                taken[np.repeat(np.arange(len(some)), counts[a : a + TOGETHER]), leaves[begin:end]] = True
+                candidate = taken[:, own[:, 0]]
+                for t in range(1, own.shape[1]):
+                    candidate |= taken[:, own[:, t]]
+                # squared lengths and products give distances but for rounding, and so a bound that the nearest are under
+                rough = np.where(candidate, (some * some).sum(1)[:, None] + lengths - 2 * (some @ x.T), np.inf)
+                spare = k + most  # the query's own vectors may be among the nearest
+                if len(x) > spare:
+                    bound = np.partition(rough, spare, axis=1)[:, spare]
+                    candidate &= rough <= (bound + 1e-9 * (1 + np.where(np.isfinite(bound), bound, 0) + (some * some).sum(1)))[:, None]
+                i, j = np.nonzero(candidate)
+                other = ~(alone[j] & (first[j] == query_id[i + a]))
+                i, j = i[other], j[other]
+                q, score, ids = np.append(q, i + a), np.append(score, np.sqrt(((x[j] - some[i]) ** 2).sum(1))), np.append(ids, members[j])
+            keep = _nearest(q, score, k)  # each has an id that isn't the query's
+            q, score, ids = q[keep], score[keep], ids[keep]
+        n = [len(m) for m in ids]
+        asks, vec_id, far = np.repeat(query_id[q], n), np.array([i for m in ids for i in m], np.int64), np.repeat(score, n)
+        other = asks != vec_id
+        yield pa.RecordBatch.from_arrays([pa.array(c[other]) for c in (asks, vec_id, far)], names=["query_id", "vec_id", "score"])
+
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int = 10, n_trees: int = 8, leaf_size: int = 32, share: float = 0.2, most_sample: int = MOST_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest of ``vectors``, but the rows of its own id, by Euclidean distance.
 
     A query takes leaves until they hold ``share`` of the vectors in each tree on
-    average, and ``least_rows`` rows over all trees at least; with fewer vectors it sees them all. Ties go to
+    average, whatever their number. Ties go to
     the smaller id. Vectors that are null, empty, zero, of an uncommon length,
     or hold null or non-finite components take no part, as neither do null ids.
     Of rows that repeat an id, each distinct vector counts and the nearest gives the score. Other columns are ignored.
 
-    Copies of a vector are indexed once. Leaves are dealt in buckets of some
-    thousand vectors; a query meets a bucket once, with the leaves it takes there,
-    and leaves k rows.
+    Copies of a vector are indexed once. Each vector is written once with its leaves
+    and stays where it is; of the queries, BLOCK at a time are broadcast with theirs (some 20 MB), and
+    each task gives their k nearest of its part.
     """
     stage = Stage(spark, "ann")
     points = stage.put(distinct_vectors(usable(vectors, id_col, vec_col), k), "points")
-    n = points.count()
-    sample = points.orderBy(F.xxhash64("ids"), "ids").limit(most_sample).select("vec").toPandas()["vec"]
-    d = len(sample.iloc[0]) if len(sample) else 0
-    forest = build(np.stack(sample.to_list()) if d else np.zeros((0, 0)), n_trees if d else 0, leaf_size)
+    rows = points.orderBy(F.xxhash64("ids"), "ids").limit(most_sample).select("vec").toArrow()["vec"]
+    sample = _matrix(rows, float) if len(rows) else np.zeros((0, 0))
+    d = sample.shape[1]
+    forest = build(sample, n_trees if d else 0, leaf_size)
     n_leaves = max(1, len(forest.weights))
-    n_buckets = min(n_leaves, max(64, n * n_trees // 8192))
-    share = max(share, least_rows / max(1, n * n_trees))
     shared = spark.sparkContext.broadcast(forest)
 
-    def index(batches):
-        f = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            leaves = f.route(np.stack(pdf["vec"].to_list()))
-            out = pdf.loc[pdf.index.repeat(leaves.shape[1])].reset_index(drop=True)
-            out.insert(0, "leaf", leaves.ravel())
-            out.insert(0, "bucket", out["leaf"].astype(np.int64) * n_buckets // n_leaves)
-            yield out
+    def route(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaves = shared.value.route(_matrix(batch.column("vec"), float))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int32()))], names=["vec", "ids", "leaves"])
 
     def ask(batches):
-        f = shared.value
-        for pdf in batches:
-            rows = []
-            for q, v in zip(pdf["query_id"], pdf["vec"], strict=True):
-                by: dict[int, list[int]] = {}
-                for leaf in f.search(v, share):
-                    by.setdefault(leaf * n_buckets // n_leaves, []).append(leaf)
-                rows += [(b, q, leaves, v) for b, leaves in by.items()]
-            if rows:
-                yield pd.DataFrame(rows, columns=["bucket", "query_id", "leaves", "vec"])
-
-    def rank(_, members, asked):
-        if not len(members) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        x, ids, leaf = np.stack(members["vec"].to_list()), members["ids"].to_list(), members["leaf"].to_numpy()
-        order = np.argsort(leaf, kind="stable")
-        keys, starts = np.unique(leaf[order], return_index=True)
-        rows_of = dict(zip(keys.tolist(), np.split(order, starts[1:]), strict=True))
-        out = []
-        for q, leaves, v in zip(asked["query_id"], asked["leaves"], asked["vec"], strict=True):
-            rows = [rows_of[i] for i in leaves if i in rows_of]
-            if not rows:
-                continue
-            rows = np.concatenate(rows)
-            dist = np.sqrt(((x[rows] - np.asarray(v)) ** 2).sum(1))
-            if len(rows) > 2 * n_trees * (k + 1):  # a vector is in each tree once, so these hold k + 1 distinct ones and all ties
-                near = np.partition(dist, n_trees * (k + 1))[n_trees * (k + 1)]
-                rows, dist = rows[dist <= near], dist[dist <= near]
-            best = {(s, i) for s, r in zip(dist.tolist(), rows.tolist(), strict=True) for i in ids[r] if i != q}
-            out += [(q, i, s) for s, i in sorted(best)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        for batch in batches:
+            if batch.num_rows:
+                leaves = [shared.value.search(v, share) for v in _matrix(batch.column("vec"), float)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "vec", "leaves"])
 
+    index = stage.put(points.select("vec", "ids").mapInArrow(route, "vec array<double>, ids array<long>, leaves array<int>"), "index")
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == d).select(F.col("vec_id").alias("query_id"), "vec").distinct()
-    left = points.mapInPandas(index, "bucket long, leaf int, vec array<double>, ids array<long>")
-    right = asked.mapInPandas(ask, "bucket long, query_id long, leaves array<int>, vec array<double>")
-    near = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(rank, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    asked = stage.put(asked.mapInArrow(ask, "query_id long, vec array<double>, leaves array<int>"), "asked")
+    n_blocks = -(-asked.count() // BLOCK)
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for n in range(n_blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id", "vec"), F.lit(n_blocks)) == n).toArrow()
+        if block.num_rows:
+            found = found.union(stage.put(_compare(index, block, n_leaves, k), "near"))
+    near = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     top = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "score")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundredth vector's neighbours among all: query_id, rank, vec_id, score. Nulls, ties and repeated rows: see search."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(spark, vectors.where("vec_id % 100 = 0"), vectors)
