@@ -91,11 +91,12 @@ MOST_TEXTS = 10_000
 def canonical_lines(text):
     """Array of the text's lines in canonical form, without empty and copyright lines."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    flat = F.replace(flat, F.lit("\n"), F.lit(" \n "))
+    # two blanks between words, so that neighbours share none
+    flat = F.replace(F.replace(flat, F.lit("\n"), F.lit(" \n ")), F.lit(" "), F.lit("  "))
     flat = F.concat(F.lit(" "), flat, F.lit(" "))
     for one, other in SPELLINGS:
-        flat = F.replace(flat, F.lit(f" {one} "), F.lit(f" {other} "))
-    lines = F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
+        flat = F.replace(flat, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
+    lines = F.transform(F.split(F.replace(flat, F.lit("  "), F.lit(" ")), "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~(x.startswith("copyright") & x.rlike(COPYRIGHT_LINE) | (x.startswith("c ") | x.startswith("portions ") | x.startswith("all ")) & x.rlike(COPYRIGHT_LINE)))
 
 
@@ -156,6 +157,7 @@ def scan(spark: SparkSession, docs: DataFrame, known: Iterable[tuple[str, str]]
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, canonical_sha256, text_license, notice_licenses. Nulls, ties and repeated rows: see scan."""
     out = scan(spark, read(spark, sf_dir, "documents"))
     return out.select("doc_id", "canonical_sha256", "text_license", F.array_join("notice_licenses", ",").alias("notice_licenses"))
 
@@ -164,10 +166,10 @@ def _sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def lines(text: str) -> str:
-        flat = f"' ' || replace(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+        flat = f"' ' || replace(replace(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' '), ' ', '  ') || ' '"
         for one, other in SPELLINGS:
-            flat = f"replace({flat}, {quote(f' {one} ')}, {quote(f' {other} ')})"
-        return f"list_filter(list_transform(string_split({flat}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {quote(COPYRIGHT_LINE)}))"
+            flat = f"replace({flat}, {quote(' ' + one.replace(' ', '  ') + ' ')}, {quote(' ' + other.replace(' ', '  ') + ' ')})"
+        return f"list_filter(list_transform(string_split(replace({flat}, '  ', ' '), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {quote(COPYRIGHT_LINE)}))"
 
     values = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(KNOWN))
     return f"""
