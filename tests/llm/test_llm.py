@@ -5,6 +5,8 @@ import pathlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,12 +214,39 @@ def test_sequences_round_trip(spark, tmp_path, reference):
     assert sequences.write(spark, docs.limit(0), PATH, PATTERN, empty, shards=2).count() == 0 and list(sequences.sequences(empty)) == []
 
 
+def test_slots_follow_from_ids_and_texts_alone(spark, tmp_path):
+    rows = [(n, f"word {n} " * (n * 7 % 50), "en", "a") for n in range(60)] + [(None, f"null {n} " * 30, "en", "a") for n in range(9)] + [(5, "again " * 40, "en", "a"), (2**62, "far", "en", "a"), (-7, "low", "en", "a")]
+    slots = []
+    for k, docs in enumerate((documents(spark, rows).repartition(1), documents(spark, rows[::-1]).repartition(7))):
+        root = f"file://{tmp_path}/{k}"
+        if k:
+            sequences.write(spark, docs, PATH, PATTERN, root, length=8, shards=9)  # leaves shards behind
+        sequences.write(spark, docs, PATH, PATTERN, root, length=8, shards=3)
+        slots.append([x.tolist() for x in sequences.sequences(root)])
+        assert len(list((tmp_path / str(k)).glob("shard-*"))) <= 3
+    assert slots[0] == slots[1]
+
+
+def test_ids_beyond_two_bytes_raise(spark, tmp_path):
+    big = tmp_path / "big"
+    for last in (sequences.PAD, 70_000):
+        big.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b if b else last}\n" for b in range(256)))
+        with pytest.raises(ValueError):
+            sequences.write(spark, documents(spark), str(big), PATTERN, f"file://{tmp_path}/x", shards=2)
+
+
 # near-duplicates
 
 
 def runs(t):
-    w = (t or "").split()
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    """A text's runs of five words, those that occur again numbered."""
+    w, seen = (t or "").split(), collections.Counter()
+    out = set()
+    for k in range(max(1, len(w) - 4) if w else 0):
+        run = tuple(w[k : k + 5])
+        out.add((run, seen[run]))
+        seen[run] += 1
+    return frozenset(out)
 
 
 def classes(rows, least=0.8):
@@ -334,7 +363,7 @@ def test_ann_recall_and_odd_vectors(spark):
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [1.0, 2.0], 1), (2100, [None] * 16, 1), (2200, [float("inf")] * 16, 1), (None, x[0].tolist(), 1), (700, x[700].tolist(), 1), (2300, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = collections.defaultdict(list)
-    for r in ann.search(spark, df.where("vec_id % 100 = 0"), df, least_rows=4000).collect():
+    for r in ann.search(spark, df.where("vec_id % 100 = 0"), df).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert sorted(got) == list(range(0, 1500, 100))
     hits = 0
@@ -352,6 +381,52 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.search(spark, df.limit(0), df.limit(0)).count() == 0 and ann.search(spark, df.where("vec_id = 2001"), df).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 2_000, 20_000, 50_000])
+def test_neighbours_found_by_the_forest_alone(spark, tmp_path, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64)).astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    path = f"{tmp_path}/v.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), path)
+    vectors = spark.read.parquet(path)
+    got = collections.defaultdict(list)
+    for r in ann.search(spark, vectors.where(f"vec_id % {max(1, n // 100)} = 0"), vectors).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits, y = 0, x.astype(float)
+    for q, found in got.items():
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [s for _, s in found] == sorted(s for _, s in found) and all(s == pytest.approx(d[i], rel=1e-12) for i, s in found) and len(found) == 10
+        hits += len({i for i, _ in found} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    print("recall", n, hits / (10 * len(got)))
+    assert hits >= 0.9 * 10 * len(got)
+
+
+def test_rarest_runs_meet(spark):
+    """Texts with a long common passage and weights: all links, by all pairs, and none between texts that share the passage alone."""
+    rng = random.Random(8)
+    passage = [f"p{n}" for n in range(60)]
+    rows = [(n, " ".join([*passage, *[f"w{rng.randrange(10**6)}" for _ in range(40 + n % 30)]])) for n in range(150)]
+    rows += [(1000 + n, " ".join(edited(rng, rows[n][1].split(), 1))) for n in range(0, 150, 5)]
+    rows += [(2000 + n, "again and again the same line " * (10 + n)) for n in range(12)]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes(rows)
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_prefixes_of_similar_sets_meet(weighted):
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 50, minhash.SLOTS)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        e = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        c = rng.integers(1, 4, len(e))
+        keep, c2 = rng.random(len(e)) > 0.08, np.maximum(1, c - (rng.random(len(e)) < 0.1))
+        a, b = (minhash.pack(x, y if weighted else None) for x, y in ((e, c), (e[keep], c2[keep])))
+        if minhash.jaccard(a, b) >= 0.8:
+            assert set(minhash.prefix(a, counts, 0.8).tolist()) & set(minhash.prefix(b, counts, 0.8).tolist())
+
+
 # toxicity
 
 
@@ -374,6 +449,8 @@ def test_toxicity_on_held_out_texts(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth and r.text != "twice"]) > 0.97
     neutral = documents(spark, [(1, "word1 word2 a muslim man", "en", "a"), (2, "word1 word2 a christian man", "en", "a")])
     a, b = (r.score for r in toxicity.score(spark, neutral, model).orderBy("doc_id").collect())
+    for one, other in (("femmes", "hommes"), ("muslime", "christen"), ("judíos", "católicos"), ("immigrants", "citizens")):
+        assert toxicity.GROUP_OF[one][0] == toxicity.GROUP_OF[other][0]
     free = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, label int"), counterfactual=0.0)
     c, d = (r.score for r in toxicity.score(spark, neutral, free).orderBy("doc_id").collect())
     assert abs(a - b) < abs(c - d) / 2 and a < 0.5
@@ -508,6 +585,24 @@ def test_shapes_see_whole_words():
     assert sum(shapes("字" * 6400)[1]) > 1.5
 
 
+def test_spellings_level_neighbouring_words(spark):
+    rows = [(1, "Licence licence LICENCE"), (2, "license license license"), (3, "sub-licence, sub licence"), (4, "sublicense sublicense")]
+    got = {r.doc_id: r.canonical_sha256 for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] and got[3] == got[4] != got[1]
+
+
+def test_mix_with_clashing_names_and_a_hot_null_id(spark):
+    rows = [(None, f"w{n} " * 7, "s") for n in range(300)] + [(n, "a b c", "t") for n in range(200)] + [(None, None, None)] * 50
+    docs = spark.createDataFrame([(*r, 1, 2, 3, [4], 5, 6, 7, 8) for r in rows], "doc_id long, text string, source string, offset int, quota int, _pos int, curve array<int>, source_size int, key int, n int, row int")
+    plan = mixing.plan_mix(spark, docs).collect()
+    taken = collections.Counter()
+    for r in plan:
+        taken[r.source] += r.taken
+    assert len(plan) == 550 and taken["s"] == min(int(2700 / 3), 6300) and taken["t"] == 1800
+    out = mixing.materialise(spark, docs)
+    assert out.columns == docs.columns and out.where("row = 8 AND offset = 1").count() == out.count() > 0
+
+
 def test_entire_licenses_with_title_and_holder(spark):
     bodies = dict((n, t) for n, t in licenses.KNOWN if "\n" in t)
     heads = ["MIT License\n\nCopyright (c) The Foo Authors\n\n", "The MIT License (MIT)\n(c) Jane Doe 2020\n", "Copyright © Jane Doe\n", "© Jane Doe 2020\nAll rights reserved.\n", ""]
