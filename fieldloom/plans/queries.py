@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import sources
+from .. import sinks, sources
 from ..functions import cell_key
 from ..operators import budget, correlation, fit, mesh, moments, nusselt, profile, spectral, stencil
 from ..sources import plot3d
@@ -239,7 +239,8 @@ def reference_temperature(spark, sf):
 
 
 def levels_of(spark, sf):
-    return nusselt.level_stats(A.columns(spark, sf), A.T_REF)
+    """Small, and read by each of the steps after it."""
+    return sinks.staged(spark, nusselt.level_stats(A.columns(spark, sf), A.T_REF))
 
 
 PROF = ["z", "nu", "nu_conv", "nu_cond", "tm", "nu_shift"]

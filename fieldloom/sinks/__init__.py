@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def _lines(df: DataFrame, columns: Sequence[str], fmt: str, order: Sequence[str], section: int) -> DataFrame:
     """section, keys, value: a line of text for each row, formatted where the rows are."""
@@ -78,6 +81,13 @@ def write_summary(spark: SparkSession, path: str, row: DataFrame) -> None:
     _save(spark, "", [text.select(F.lit(1).alias("section"), F.array(F.col("_k").cast("double")).alias("keys"), "value")], path)
 
 
+def staged(spark: SparkSession, df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` as a table at ``path``, or in the shared folder: for a small result of much work that several steps read."""
+    path = path or f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether an output is there already, to be skipped."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
