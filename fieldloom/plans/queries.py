@@ -6,6 +6,7 @@ end on a rounding tie.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import sinks, sources
 from ..functions import cell_key
 from ..operators import budget, correlation, fit, mesh, moments, nusselt, profile, spectral, stencil
+from ..session import shared_dir
 from ..sources import plot3d
 from . import adapters as A
 
@@ -513,6 +515,95 @@ def native_elements(spark, sf):
     return e.select("iter", "blk", "elem_idx", *[(F.col(f"n{c}") - 1).alias(f"n{c}") for c in range(4)])
 
 
+FLUCT3 = "fluct3 AS (SELECT f.t, f.i, f.j, f.k, f.u - m.u AS u, f.v - m.v AS v, f.w - m.w AS w, f.t_val - m.t_val AS t_val FROM field f JOIN mean_t m USING (i, j, k))"
+
+
+def fluct3(spark, sf):
+    """Fluctuations about the time mean of each cell."""
+    f = A.field(spark, sf)
+    return moments.fluctuations(f, moments.time_mean(f), keys=moments.CELL)
+
+
+@query("fluctuations_3d", f"WITH {A.FIELD}, {FLUCT3} SELECT t, i, j, k, {flow_cut(5)} FROM fluct3")
+def fluctuations_3d(spark, sf):
+    return cut_all(fluct3(spark, sf).select("t", "i", "j", "k", *FLOW), 5, *FLOW)
+
+
+@query("psd_plane_3d", f"WITH {PLANE.replace(A.FIELD, f'{A.FIELD}, {FLUCT3}').replace('FROM fluct)', 'FROM fluct3)').replace('FROM fluct UNION', 'FROM fluct3 UNION')} SELECT field, k_idx, {sql_cut('p', 4)} FROM pp")
+def psd_plane_3d(spark, sf):
+    return spectral.plane_spectrum(fluct3(spark, sf)).select("field", "k_idx", cut("p", 4).alias("p"))
+
+
+@query("node_mean", f"WITH {A.FIELD} SELECT i + 4 * j + 20 * k AS node_id, {sql_cut('avg(t_val)', 6, 't_val')}, count(*) AS n FROM field GROUP BY 1")
+def node_mean(spark, sf):
+    nodes = A.field(spark, sf).withColumn("node_id", F.col("i") + F.col("j") * 4 + F.col("k") * 20)
+    return cut_all(moments.time_mean(nodes, ["t_val"], ["node_id"]), 6, "t_val")
+
+
+@query("checkpoint_read", f"WITH {A.FIELD} SELECT t AS iter, k, {sql_cut('avg(u)', 6, 'u')} FROM field WHERE t < 6 GROUP BY t, k")
+def checkpoint_read(spark, sf):
+    """Iterations made in two goes, of which the second makes only what is missing, and read again."""
+    from ..streaming import Checkpoint
+
+    f, path = A.field(spark, sf), f"{shared_dir(spark)}/checkpoints/{uuid.uuid4().hex}"
+    work = lambda it: f.where(F.col("t") == it).groupBy("k").agg(F.avg("u").alias("u"))
+    for wanted in ([1, 3, 4], range(6)):
+        done = Checkpoint(spark, path, {"field": "u"})
+        done.run(list(wanted), work)
+    return done.read(list(range(6)), rows=A.NZ).select(F.col("iter").cast("long").alias("iter"), "k", cut("u", 6).alias("u"))
+
+
+def lines_of(spark, path, header, names):
+    """The numbers of a text file's rows after its header."""
+    rows = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("v"), F.monotonically_increasing_id().alias("n")).where(f"n >= {header}")
+    return rows.select(*[F.col("v")[k].cast("double").alias(c) for k, c in enumerate(names)])
+
+
+def text_file(spark):
+    return f"{shared_dir(spark)}/text/{uuid.uuid4().hex}.dat"
+
+
+@query("written_profile", f"SELECT {sql_cut('l_quantity', 4, 'z')}, {sql_cut('avg(l_extendedprice)', 4, 'value')} FROM lineitem GROUP BY l_quantity")
+def written_profile(spark, sf):
+    path = text_file(spark)
+    sinks.write_profile(spark, path, profile.level_profile(A.cloud(spark, sf), "z", {"value": "val"}, 1e-6))
+    return cut_all(lines_of(spark, path, 0, ["z", "value"]), 4, "z", "value")
+
+
+@query("written_grid", f"WITH {A.FIELD} SELECT {sql_cut('x', 5)}, {sql_cut('y', 5)}, {sql_cut('z', 5)}, {sql_cut('u', 3)}, row_number() OVER (ORDER BY k, j, i) - 1 AS place FROM grid JOIN mean_t USING (i, j, k)")
+def written_grid(spark, sf):
+    """The time mean as a structured zone, and each row's place in it."""
+    path = text_file(spark)
+    sinks.write_structured(spark, path, A.coordinates(moments.time_mean(A.field(spark, sf))), ["u"])
+    rows = spark.read.text(path).coalesce(1).select(F.split(F.trim("value"), " +").alias("v"), F.monotonically_increasing_id().alias("n")).where("n >= 3")
+    return rows.select(*[cut(F.col("v")[k].cast("double"), p).alias(c) for k, (c, p) in enumerate((("x", 5), ("y", 5), ("z", 5), ("u", 3)))], (F.col("n") - 3).alias("place"))
+
+
+@query("written_mesh", f"WITH {A.TETS} SELECT n0 + 1 AS n0, n1 + 1 AS n1, n2 + 1 AS n2, n3 + 1 AS n3, row_number() OVER (ORDER BY elem_idx) - 1 AS place FROM tets")
+def written_mesh(spark, sf):
+    """The elements of a mesh written with its nodes, in their order, counted from 1."""
+    path, nodes = text_file(spark), A.mesh_points(spark, sf)
+    sinks.write_mesh(spark, path, nodes, ["x", "y", "z", "u"], A.tets(spark, sf))
+    first = 3 + A.NX * A.NY * A.NZ
+    rows = spark.read.text(path).coalesce(1).select(F.split(F.trim("value"), " +").alias("v"), F.monotonically_increasing_id().alias("n")).where(f"n >= {first}")
+    return rows.select(*[F.col("v")[k].cast("long").alias(f"n{k}") for k in range(4)], (F.col("n") - first).alias("place"))
+
+
+@query("written_summary", "SELECT 'rows = ' || count(*) AS value FROM lineitem UNION ALL SELECT 'parts = ' || count(DISTINCT l_partkey) FROM lineitem")
+def written_summary(spark, sf):
+    path = text_file(spark)
+    sinks.write_summary(spark, path, A.table(spark, sf, "lineitem").agg(F.count("*").alias("rows"), F.count_distinct("l_partkey").alias("parts")))
+    return spark.read.text(path)
+
+
+@query("read_result", f"WITH {A.FIELD} SELECT i, j, k, {sql_cut('avg(w)', 6, 'w')} FROM field GROUP BY i, j, k")
+def read_result(spark, sf):
+    """An earlier step's table, found by name and tag."""
+    folder = f"{shared_dir(spark)}/results/{uuid.uuid4().hex}"
+    sinks.write_result(moments.time_mean(A.field(spark, sf), ["w"]).drop("n"), folder, "mean", "run1")
+    return cut_all(sources.read_result(spark, folder, "mean", "run1"), 6, "w")
+
+
 @query("normalized_k", f"WITH {PLANE}, d AS (SELECT field, k_idx, 2 * pi() * k_idx / 5.0::DOUBLE AS k, p FROM pp), l AS (SELECT 2 * pi() / (max(CASE WHEN k_idx = 1 THEN k END) - max(CASE WHEN k_idx = 0 THEN k END)) AS len FROM d) SELECT field, k_idx, {sql_cut('len * k / 2', 6, 'k')}, {sql_cut('p', 4)} FROM d, l WHERE k > 0 AND p > 0")
 def normalized_k(spark, sf):
     s = spectral.with_wavenumber(spectral.plane_spectrum(fluct(spark, sf)), A.NZ, A.DZ)

@@ -24,6 +24,10 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return b.getOrCreate()
 
 
+def result_path(folder: str, name: str, tag: str = "") -> str:
+    return f"{folder.rstrip('/')}/{name}_{tag}" if tag else f"{folder.rstrip('/')}/{name}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode, as in tests; a cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)

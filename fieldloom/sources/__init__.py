@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import NODE_COLUMNS
+from ..session import NODE_COLUMNS, result_path
 from .plot3d import Plot3DSource
 from .tecplot import NAME, TecplotSource
 
@@ -46,6 +46,11 @@ def list_partitions(spark: SparkSession, path: str, pattern: str = "tecplot_blk*
     return found.groupBy("iter").agg(F.sort_array(F.collect_list(F.struct("blk", "path"))).alias("blocks"))
 
 
+def read_result(spark: SparkSession, folder: str, name: str, tag: str = "") -> DataFrame:
+    """The table that a step wrote under a name and tag."""
+    return spark.read.parquet(result_path(folder, name, tag))
+
+
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """i, j, k, x, y, z of a structured grid."""
     register(spark)

@@ -131,3 +131,15 @@ def test_numbers_from_0_written_as_they_are(spark, tmp_path):
     elems = spark.createDataFrame([(0, 0, 1, 2, 3)], "elem_idx long, n0 long, n1 long, n2 long, n3 long")
     sinks.write_mesh(spark, str(tmp_path / "m.dat"), nodes, ["X"], elems, one_based=False)
     assert (tmp_path / "m.dat").read_text().splitlines()[-1] == "0 1 2 3"
+
+
+def test_arrays_for_numpy(spark, tmp_path):
+    nodes = spark.createDataFrame([(2, 0.5, 7), (0, 1.5, 8), (1, 2.5, 9)], "node_id long, X double, c int")
+    sinks.write_npy(str(tmp_path / "a.npy"), nodes, ["X", "c"], ["node_id"])
+    a = np.load(tmp_path / "a.npy")
+    assert a.dtype.names == ("X", "c") and a["X"].tolist() == [1.5, 2.5, 0.5] and a["c"].dtype == np.int32
+    sinks.write_npz(str(tmp_path / "b.npz"), nodes, ["X", "c"], spark.createDataFrame([(1, 0, 1, 2, 0), (0, 2, 1, 0, 1)], "elem_idx long, n0 long, n1 long, n2 long, n3 long"))
+    b = np.load(tmp_path / "b.npz")
+    assert b["data"].tolist() == [[1.5, 8], [2.5, 9], [0.5, 7]] and b["var_names"].tolist() == ["X", "c"] and b["conn"].tolist() == [[2, 1, 0, 1], [0, 1, 2, 0]]
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sinks.write_npy(str(tmp_path / "c.npy"), nodes, ["X"], ["node_id"], most_rows=2)
