@@ -45,7 +45,8 @@ class DigestIndex:
             docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("n")),
             "rows",
         )
-        heads = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        # written, as Spark would otherwise take the anti-join to the rows, of which a text may have a third
+        heads = stage.put(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "heads")
         known = self.spark.table(self.table)
         self._append(heads.hint("merge").join(known.select("digest"), "digest", "left_anti").select("digest", "keep_id", "group_size").repartition(self.n_buckets, "digest"))
         self.spark.catalog.refreshTable(self.table)
