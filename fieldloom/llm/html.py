@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Cache, read, small_batches
 
-#: Pages that one template is deduced from, pages of a host dealt to one place, and hosts that may be dealt to several: bounds on memory, not on pages.
-GROUP, DEALT, MOST_HOT = 64, 128, 65_536
+#: Pages that one template is deduced from, pages of a host dealt to one place, hosts that may be dealt to several, and pages of a task on average: bounds on memory and time, not on pages.
+GROUP, DEALT, MOST_HOT, TASK = 64, 128, 65_536, 2048
 #: Share of an article's words that are template, beyond which it is taken for a near copy of other articles.
 COPIED = 0.8
 
@@ -58,8 +58,8 @@ def _tags(attributes: str, else_: str) -> regex.Pattern:
     )
 
 
-#: Tags with quoted attributes; from the first one whose quotes don't close, tags end at the next ">".
-QUOTED = _tags(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+", r"(?P<broken></?[a-zA-Z])")
+#: Tags with quoted values, where a quote elsewhere is a sign like any other; from the first one whose quotes don't close, tags end at the next ">".
+QUOTED = _tags(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+", r"(?P<broken></?[a-zA-Z])")
 PLAIN = _tags(r"[^>]*+", r"(?P<broken></?[a-zA-Z][^>]*+$)")
 ATTRIBUTE = regex.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 WORDS = regex.compile(r"[^\W_]+")
@@ -402,7 +402,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     # as they have over 1/65,536 of all pages each, these are that many hosts at most
     hot = counts.where(F.col("count") > max(DEALT, n // MOST_HOT)).select("host", F.ceil(F.col("count") / DEALT).alias("salts"))
     dealt = tagged.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK))
     dealt = dealt.select("host", "salt", "page_id", "url", "html").repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "page_id", "html")
 
     def run(batches):

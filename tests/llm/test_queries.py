@@ -94,6 +94,11 @@ def test_pages_without_article_marks(spark):
     assert got == {r.page_id: plain(r.html) for r in rows}
 
 
+def test_quotes_in_tags():
+    for page in ("<article><p title=it's>One</p><p>don't</p></article>", '<article><p a="x>y" b = \'>\'>One</p><p>don\'t</p></article>', '<article><p ">One</p><p>don\'t</p></article>', "<article><p a=>One</p><p b= c>don't</p></article>", '<article><p a="x>One</p><p>don\'t</p></article>'):
+        assert html.extract([page]) == ["One\ndon't"]
+
+
 @pytest.mark.parametrize(
     "page", ['<a "' * 8000, "<b>" * 50_000 + "x", "<div>" * 50_000 + "x", "<b>" * 50_000 + "</i>" * 50_000, "<!" * 50_000, "<script " * 20_000, "<script>" + "</script" * 30_000, "<p " + "a" * 50_000 + "'" * 50_000 + ">", "<b>" * 20_000 + "<p>x" * 20_000, "<" * 50_000]
 )
