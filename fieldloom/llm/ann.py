@@ -170,12 +170,13 @@ def _compare(index: DataFrame, block: pa.Table, n_leaves: int, k: int) -> DataFr
             lengths = (x * x).sum(1)
             for a in range(0, len(queries), TOGETHER):
                 some = queries[a : a + TOGETHER]
-                taken = np.zeros((len(some), n_leaves), bool)
+                taken = np.zeros((n_leaves, len(some)), bool)
                 begin, end = ends[a] - counts[a], ends[min(a + TOGETHER, len(ends)) - 1]
-                taken[np.repeat(np.arange(len(some)), counts[a : a + TOGETHER]), leaves[begin:end]] = True
-                candidate = taken[:, own[:, 0]]
+                taken[leaves[begin:end], np.repeat(np.arange(len(some)), counts[a : a + TOGETHER])] = True
+                candidate = taken[own[:, 0]]
                 for t in range(1, own.shape[1]):
-                    candidate |= taken[:, own[:, t]]
+                    candidate |= taken[own[:, t]]
+                candidate = np.ascontiguousarray(candidate.T)
                 # squared lengths and products give distances but for rounding, and so a bound that the nearest are under
                 rough = np.where(candidate, (some * some).sum(1)[:, None] + lengths - 2 * (some @ x.T), np.inf)
                 spare = k + most  # the query's own vectors may be among the nearest
@@ -196,7 +197,7 @@ def _compare(index: DataFrame, block: pa.Table, n_leaves: int, k: int) -> DataFr
     return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def search(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int = 10, n_trees: int = 8, leaf_size: int = 32, share: float = 0.2, most_sample: int = MOST_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int = 10, n_trees: int = 8, leaf_size: int = 64, share: float = 0.2, most_sample: int = MOST_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest of ``vectors``, but the rows of its own id, by Euclidean distance.
 
     A query takes leaves until they hold ``share`` of the vectors in each tree on
