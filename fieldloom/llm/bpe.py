@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, small_batches
+from .common import give_back, read, small_batches
 
 #: Pieces kept by a worker and characters of each, rows and characters in one go, and tokens of a text in one go: bounds on memory, not on texts.
-MOST_PIECES, MOST_PIECE, ROWS, MOST_CHARS, MOST_TOKENS = 150_000, 32, 256, 2_000_000, 500_000
+MOST_PIECES, MOST_PIECE, ROWS, MOST_CHARS, MOST_TOKENS = 100_000, 32, 256, 1_000_000, 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -170,6 +170,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
                     out += [pa.array([x[k].tolist() for x in both], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *[f.name for f in added]])
         c.known.clear()
+        give_back()
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields + added))
 
@@ -189,12 +190,30 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, pattern: st
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
+def encode_and_decode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without the text, with ids and decoded as encode and decode give them, in one worker and one pass."""
+    fields = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "decoded")]
+    names, file = [f.name for f in fields], load(spark, ranks_path)
+
+    def run(batches):
+        c = codec(file.value, pattern)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                ids = c.encode(part.column(text_col).to_pylist())
+                both = [pa.array(ids, pa.binary()), pa.array([c.decode(i) for i in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *both], names=[*names, "ids", "decoded"])
+        c.known.clear()
+        give_back()
+
+    return docs.mapInArrow(run, T.StructType([*fields, *[T.StructField(n, T.BinaryType()) for n in ("ids", "decoded")]]))
+
+
 def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     import public_tokenizers as tokenizers_
 
     path, pattern = tokenizers_.path("byte_bpe_multi_50k.tiktoken"), tokenizers_.PATTERN
-    out = decode(spark, encode(spark, docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    out = encode_and_decode(spark, docs.select("doc_id", "text"), path, pattern)
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,14 @@ class Cache(dict):
         return value
 
 
+def give_back() -> None:
+    """Hands what a finished task's worker has freed to the system, as workers wait for further tasks beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches by bytes, as rows may hold long texts; a smaller bound stays."""
     name, jvm = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
@@ -125,5 +135,7 @@ def components(stage: Stage, edges: DataFrame) -> DataFrame:
         stage.drop(cur, large)
         cur = new
         if key == before:
-            return cur.selectExpr("u AS id", "v AS comp").union(cur.selectExpr("v AS id", "v AS comp")).distinct()
+            out = stage.put(cur.selectExpr("u AS id", "v AS comp").union(cur.selectExpr("v AS id", "v AS comp")).distinct(), "classes")
+            stage.drop(cur)
+            return out
         before = key

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Cache, Stage, components, each, read, row_key, rows_of
+from .common import Cache, Stage, components, each, give_back, read, row_key, rows_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: With 48 bands of 7 rows, a pair at similarity 0.8 is missed with probability 1e-5; a pair at 0.3 shares a band with probability 0.01.
@@ -153,6 +153,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
                     for i, m in zip(some, signatures_of([sets[i] for i in some], k), strict=True):
                         hashes[i], marks[i] = band_hashes(m, bands, rows), m.astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "digest", "bands", "marks"])
+        shingle.known.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, marks binary")
 
@@ -166,6 +168,8 @@ def shingle_sets(docs: DataFrame, weighted: bool = True) -> DataFrame:
             for part in slices(batch, "text"):
                 both = [shingle(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([pack(e, c if weighted else None) for e, c in both], pa.binary())], names=["id", "runs"])
+        shingle.known.clear()
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, "id long, runs binary")
 
@@ -330,15 +334,15 @@ def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
     one_text = texts.select(F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest"), "text").hint("merge").join(asked, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     sets = stage.put(shingle_sets(one_text, weighted), "sets")
     spokes = star.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    parts = stage.put(components(stage, verified(spokes, sets, similarity).select("a", "b")), "classes")
+    parts = components(stage, verified(spokes, sets, similarity).select("a", "b"))
     # buckets of three or more whose texts are in different classes
     classed = star.where("n > 2").select("key", "id").hint("merge").join(parts, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     open_ = classed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     left = classed.hint("merge").join(open_, "key", "left_semi").select("id", "comp").distinct()
     left = stage.put(left.hint("merge").join(sets, "id"), "open")
-    lists = stage.put(rare_runs(left, similarity), "rare")
-    some = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "n")
-    lists = lists.hint("merge").join(some, "token")
+    rare = stage.put(rare_runs(left, similarity), "rare")
+    some = rare.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "n")
+    lists = rare.hint("merge").join(some, "token")
     short = verified(_pairs_of_lists(lists.where(F.col("n") <= LIST)), left, similarity).select("a", "b")
     long = lists.where(F.col("n") > LIST).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     long = long.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp", "block")
@@ -349,8 +353,8 @@ def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
     more = stage.put(short.union(compare_blocks(long, least, similarity)), "more")
     # links between classes join them
     of = lambda c: left.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
-    joined = stage.put(components(stage, more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))), "joined")
-    stage.drop(star, sets, left)
+    joined = components(stage, more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    stage.drop(star, sets, left, rare, more)
     parts = parts.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("whole")), "comp", "full").select(F.coalesce("id", "comp").alias("id"), F.coalesce("whole", "comp").alias("class_id"))
     copies = sig.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
     named = heads.hint("merge").join(parts, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import Cache, Stage, read, small_batches
+from .common import Cache, Stage, give_back, read, small_batches
 from .linear import fit_logistic, sigmoid, slot
 
 #: Documents that the scorer is fitted on, at most.
@@ -90,6 +90,7 @@ def vote_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for part in slices(batch, text_col):
                 codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], pa.array(codes, pa.int32())], names=[*[f.name for f in fields], "pattern"])
+        give_back()
 
     return docs.drop("pattern").mapInArrow(run, T.StructType([*fields, T.StructField("pattern", T.IntegerType())]))
 
@@ -191,6 +192,8 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float],
             for part in slices(batch, text_col):
                 z = [shapes.logit(text) + b for text in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(-np.array(z, float)))], names=[*part.schema.names, "quality"])
+        shapes.weight.clear()
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))
 
