@@ -75,11 +75,12 @@ class DigestIndex:
         return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"), "digest")
 
     def compact(self) -> None:
-        """Rewrites the index as one sorted file a bucket. Each append adds a file to each bucket, after which a read sorts again; so compact after some dozens."""
-        new = f"{self.table}_{uuid.uuid4().hex[:8]}"
+        """Rewrites the index as one sorted file a bucket, and then swaps names, so that a whole index is there at any time. Each append adds a file to each bucket, after which a read sorts again; so compact after some dozens."""
+        new, old = (f"{self.table}_{uuid.uuid4().hex[:8]}" for _ in range(2))
         DigestIndex(self.spark, new, self.n_buckets)._append(self.spark.table(self.table).repartition(self.n_buckets, "digest"))
-        self.drop()
+        self.spark.sql(f"ALTER TABLE {self.table} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
+        self.spark.sql(f"DROP TABLE {old}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

@@ -629,3 +629,29 @@ def test_mix_of_whole_documents(spark):
         words[r.source] += len(r.text.split())
     for r in mixing.plan_mix(spark, docs).select("source", "quota").distinct().collect():
         assert abs(words[r.source] - r.quota) <= 5
+
+
+def test_copies_are_spread_and_numbered(spark):
+    out = common.each(spark.createDataFrame([("a", 1), ("b", 7), ("c", 3)], "x string, n long"), "n", "copy", chunk=3).collect()
+    assert sorted((r.x, r.n, r.copy) for r in out) == sorted((x, n, c) for x, n in (("a", 1), ("b", 7), ("c", 3)) for c in range(n))
+
+
+def test_rows_of_any_columns(spark):
+    rows = [(1, "A", {"k": 1}, [1]), (1, "a", {"k": 2}, [2]), (2, "b", None, None), (None, None, {}, []), (None, "", {}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key map<string,int>, `_row` array<int>")
+    for left in (exact_dedup.deduplicate(spark, docs), minhash.drop_near_duplicates(spark, docs)):
+        assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in exact_dedup.deduplicate(spark, docs).collect()) == [(0, ""), (1, "a"), (2, "b")]
+
+
+def test_index_compacts_and_drops(spark):
+    index = exact_dedup.new_index(spark)
+    for n in range(3):
+        index.ingest(spark.createDataFrame([(k, f"text {k % (5 + n)}") for k in range(20)], "doc_id long, text string")).collect()
+    before = sorted(map(tuple, spark.table(index.table).collect()))
+    index.compact()
+    assert sorted(map(tuple, spark.table(index.table).collect())) == before and len(before) == 7
+    again = index.ingest(spark.createDataFrame([(9, "text 1"), (11, "new")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in again} == {9: False, 11: True}
+    index.drop()
+    assert not spark.catalog.tableExists(index.table)
