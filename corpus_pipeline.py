@@ -46,10 +46,14 @@ STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("near_ded
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on all documents; the last one's result reads the table of the one before it, earlier tables go."""
     stage = Stage(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage.put(docs, name)
+            if before is not None:
+                stage.drop(before)
+            before = docs
     return docs
