@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html, licenses, minhash, mixing, quality, sequences, toxicity
+from . import ann, bpe, exact_dedup, html, infill, licenses, minhash, mixing, quality, resample, sequences, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -23,9 +23,11 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_minhash": minhash.op10_minhash,
+        "op12_infill": infill.op12_infill,
+        "op13_resample": resample.op13_resample,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_license_scan": licenses.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_license_scan": licenses.SQL, "op12_infill": infill.SQL, "op13_resample": resample.SQL}
