@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html, infill, licenses, minhash, mixing, quality, resample, sequences, toxicity
+from . import ann, bpe, exact_dedup, html, infill, licenses, minhash, mixing, quality, resample, sequences, toxicity, vector_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_minhash": minhash.op10_minhash,
+        "op11_vector_dedup": vector_dedup.op11_vector_dedup,
         "op12_infill": infill.op12_infill,
         "op13_resample": resample.op13_resample,
         "pipeline": pipeline,
