@@ -46,7 +46,12 @@ def tke(snap: DataFrame) -> DataFrame:
     moments, taken about a value near the mean so that no digits are lost.
     """
     fields = ("u", "v", "w")
-    moments = snap.groupBy(*CELL).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in fields], *[F.var_pop(F.col(f).cast("double")).alias(f"_v_{f}") for f in fields])
+    return tke_of(snap.groupBy(*CELL).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in fields], *[F.var_pop(F.col(f).cast("double")).alias(f"_v_{f}") for f in fields]))
+
+
+def tke_of(moments: DataFrame) -> DataFrame:
+    """The same from each cell's means u, v, w and variances _v_u, _v_v, _v_w."""
+    fields = ("u", "v", "w")
     tz = z_mean(moments, fields).select("i", "j", *[F.col(f).alias(f"_z_{f}") for f in fields])
     both = moments.join(tz, ["i", "j"])
     var = F.col("_v_u") + F.col("_v_v") + F.col("_v_w")

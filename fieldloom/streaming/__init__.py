@@ -6,10 +6,12 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import moments
 from ..session import shared_dir
+from .spans import Spans
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -21,7 +23,8 @@ class Checkpoint:
     """Results of iterations under ``path``, a folder for each, and what they were made with.
 
     ``meta`` must match what the folder holds, but for the names in ``warn_only``; a mismatch raises
-    ValueError unless ``wipe``, which starts afresh.
+    ValueError unless ``wipe``, which starts afresh: it removes the folder's iterations and meta.json, and nothing else. A folder that holds other
+    files but no meta.json isn't a checkpoint and raises too.
     """
 
     def __init__(self, spark: SparkSession, path: str, meta: dict, warn_only: Sequence[str] = ("coord_tol",), wipe: bool = False):
@@ -37,7 +40,12 @@ class Checkpoint:
             if bad:
                 warnings.warn(f"the checkpoint was made with another {sorted(bad)}", stacklevel=2)
         else:
-            self._path("").getFileSystem(self._conf()).delete(self._path(""), True)
+            there = self._names()
+            if text is None and there and not wipe:
+                raise ValueError(f"{path} isn't empty and isn't a checkpoint")
+            for name in there:
+                if name == "meta.json" or name.startswith("iter="):
+                    self._path("").getFileSystem(self._conf()).delete(self._path(name), True)
             self._fs_write(f"{path}/meta.json", json.dumps(meta))
 
     def _conf(self):
@@ -46,6 +54,10 @@ class Checkpoint:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def _names(self) -> list[str]:
+        fs, root = self._path("").getFileSystem(self._conf()), self._path("")
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
     def _fs_read(self, name: str) -> str | None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         if not p.getFileSystem(self._conf()).exists(p):
@@ -60,9 +72,8 @@ class Checkpoint:
 
     def done(self) -> list[int]:
         """Iterations that are whole: Spark names a folder's success last."""
-        fs, root = self._path("").getFileSystem(self._conf()), self._path("")
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[5:]) for n in names if n.startswith("iter=") and fs.exists(self._path(f"{n}/_SUCCESS")))
+        fs = self._path("").getFileSystem(self._conf())
+        return sorted(int(n[5:]) for n in self._names() if n.startswith("iter=") and fs.exists(self._path(f"{n}/_SUCCESS")))
 
     def run(self, iters: Sequence[int], work: Callable[[int], DataFrame], on_error: str = "raise") -> dict[int, str]:
         """Makes the iterations that aren't done. A failure raises, or with on_error="collect" is returned under its iteration."""
@@ -88,25 +99,78 @@ class Checkpoint:
         return out
 
 
-def stream_means(spark: SparkSession, path: str, adapt: Callable[[DataFrame], DataFrame], keys: Sequence[str], fields: Sequence[str], checkpoint: str | None = None, table: str | None = None) -> DataFrame:
+def _stream(spark: SparkSession, path: str, adapt: Callable[[DataFrame], DataFrame], own: str, spans: Spans, part: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], files: int | None) -> None:
+    """Takes the files under ``path`` that are new, ``files`` a trigger (all at once if None), and puts each trigger's part in a folder."""
+    schema = spark.read.parquet(path).schema
+    folder, _, file = path.rstrip("/").rpartition("/")
+    one = file.endswith(".parquet")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", file if one else "*.parquet")
+    if files:
+        source = source.option("maxFilesPerTrigger", files)
+
+    def put(batch: DataFrame, number: int) -> None:
+        spans.put(part(batch), number)
+        spans.fold(merge)
+
+    q = adapt(source.parquet(folder if one else path)).writeStream.foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", own).start()
+    q.awaitTermination()
+
+
+def stream_means(spark: SparkSession, path: str, adapt: Callable[[DataFrame], DataFrame], keys: Sequence[str], fields: Sequence[str], checkpoint: str | None = None, table: str | None = None, files: int | None = None, most: int = 16) -> DataFrame:
     """Means by key over files as a stream, of all that is there now: keys, fields, n.
 
     Each trigger takes the files that are new and writes their sums and counts for
-    each key to a folder of its own under ``table``, over an earlier try's; the means
+    each key to a folder of its own under ``table``, over an earlier try's; more than ``most`` folders are added up into one. The means
     are the folders' sums. So nothing is gathered on the driver or held as state. With the same
-    ``checkpoint`` and ``table`` a later call goes on. Without them, folders under spark.checkpoint.dir are used.
+    ``checkpoint`` and ``table`` a later call goes on. Without them, folders under spark.checkpoint.dir are used. Files without rows give none.
     """
     own = checkpoint or f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
-    table = table or f"{own}-sums"
-    schema = spark.read.parquet(path).schema
-    folder, _, file = path.rstrip("/").rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", file if file.endswith(".parquet") else "*.parquet").parquet(folder if file.endswith(".parquet") else path)
+    spans = Spans(spark, table or f"{own}-sums", most)
     sums = [F.sum(F.col(f).cast("double")).alias(f"{f}_sum") for f in fields] + [F.count(f).alias(f"{f}_n") for f in fields]
+    part = lambda df: df.groupBy(*keys).agg(*sums, F.count("*").alias("n"))
+    merge = lambda df: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for f in fields for c in (f"{f}_sum", f"{f}_n")], F.sum("n").alias("n"))
+    _stream(spark, path, adapt, own, spans, part, merge, files)
+    parts = spans.read()
+    parts = part(adapt(spark.read.parquet(path)).limit(0)) if parts is None else parts
+    return parts.groupBy(*keys).agg(*[(F.sum(f"{f}_sum") / F.sum(f"{f}_n")).alias(f) for f in fields], F.sum("n").alias("n"))
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.groupBy(*keys).agg(*sums, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    q = adapt(source).writeStream.foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", own).start()
-    q.awaitTermination()
-    parts = spark.read.parquet(table)
-    return parts.groupBy(*keys).agg(*[(F.sum(f"{f}_sum") / F.sum(f"{f}_n")).alias(f) for f in fields], F.sum("n").alias("n"))
+def moments_of(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """keys, and for each field a struct (n, mean, m2): count, mean and sum of squared distances from it, nulls left out."""
+    value = lambda f: F.col(f).cast("double")
+    aggs = [F.struct(F.count(f).alias("n"), F.coalesce(F.avg(value(f)), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value(f)) * F.count(f), F.lit(0.0)).alias("m2")).alias(f) for f in fields]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def merged_moments(parts: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The moments of a key's parts together, whatever their order and cut: squares are taken of distances between means, so no digits are lost.
+
+    A key has as many parts as there are folders, which folding bounds.
+    """
+
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0))
+        gap = b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + gap * share).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * share).alias("m2"))
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return parts.groupBy(*keys).agg(*[F.aggregate(F.collect_list(f), none, add).alias(f) for f in fields])
+
+
+def stream_moments(spark: SparkSession, path: str, adapt: Callable[[DataFrame], DataFrame], keys: Sequence[str], fields: Sequence[str], checkpoint: str | None = None, table: str | None = None, files: int | None = None, most: int = 16) -> DataFrame:
+    """Counts, means and second moments by key over files as a stream, as stream_means: keys, and for each field a struct (n, mean, m2); see moments_of."""
+    own = checkpoint or f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    spans = Spans(spark, table or f"{own}-moments", most)
+    part, merge = (lambda df: moments_of(df, keys, fields)), (lambda df: merged_moments(df, keys, fields))
+    _stream(spark, path, adapt, own, spans, part, merge, files)
+    parts = spans.read()
+    return part(adapt(spark.read.parquet(path)).limit(0)) if parts is None else merge(parts)
+
+
+def stream_tke(spark: SparkSession, path: str, adapt: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """i, j, k, tke_t, tke_tz of streamed snapshots (i, j, k, u, v, w): what moments.tke gives of the same rows."""
+    fields = ("u", "v", "w")
+    cells = stream_moments(spark, path, adapt, moments.CELL, fields, **how)
+    flat = cells.select(*moments.CELL, *[F.col(f"{f}.mean").alias(f) for f in fields], *[(F.col(f"{f}.m2") / F.col(f"{f}.n")).alias(f"_v_{f}") for f in fields])
+    return moments.tke_of(flat)
