@@ -5,69 +5,74 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import circular_lag, few
+from ..functions import checked, circular_lag, few
 from ..session import FLOW
+from . import lines
 
 
-def lines(snap: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("t", "i", "j")) -> DataFrame:
+def whole_lines(snap: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("t", "i", "j")) -> DataFrame:
     """One row for each line along k, with an array in the order of k for each field; a line is as long as the grid is deep."""
     packed = F.array_sort(F.collect_list(F.struct("k", *[F.col(f).cast("double").alias(f) for f in fields])))
     out = snap.groupBy(*keys).agg(packed.alias("_l"))
     return out.select(*keys, *[F.col(f"_l.{f}").alias(f) for f in fields])
 
 
-#: Snapshots up to which their reference lines are broadcast, and lines whose spectra a task adds up at a time.
-MOST_SNAPSHOTS, MOST_LINES = 2_000, 256
+#: Reference rows (a snapshot's point on the reference line each) up to which they are broadcast; snapshots for two_point_join.
+MOST_REFERENCE, MOST_SNAPSHOTS = 500_000, 2_000
 
 
-def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tuple(FLOW), normalize_lag: bool = False) -> DataFrame:
+def reference_line(snap: DataFrame, ref: tuple[int, int], fields: Sequence[str], center: str = "") -> tuple[DataFrame, bool]:
+    """t, k, r_<field>: the reference line of each snapshot, staged, less its mean over all ("line"), that of each k ("cell") or nothing (""); and whether it may be broadcast."""
+    here, small = checked(snap.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select("t", "k", *[F.col(f).cast("double").alias(f"r_{f}") for f in fields]), MOST_REFERENCE)
+    if center:
+        mean = here.groupBy(*(["k"] if center == "cell" else [])).agg(*[F.avg(f"r_{f}").alias(f"_{f}") for f in fields])
+        both = here.join(F.broadcast(mean), "k") if center == "cell" else here.crossJoin(F.broadcast(mean))  # a row for each k, or one
+        here = both.select("t", "k", *[(F.col(f"r_{f}") - F.col(f"_{f}")).alias(f"r_{f}") for f in fields])
+    return here, small
+
+
+def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tuple(FLOW), normalize_lag: bool = False, center: str = "") -> DataFrame:
     """fi, fj, i, j, lag, r: the mean over snapshots of the sum over z0 of fi'(ref, z0) fj'(i, j, z0 + lag), periodic in z.
 
-    ``fluct`` has t, i, j, k and the fluctuations. A snapshot's lines meet its
-    reference line by an equi-join. The transform is linear: cross-spectra
-    are added up over snapshots, and each line's sum goes back once.
+    ``fluct`` has t, i, j, k and the fluctuations; or, with ``center``, the fields as they are, of which fluctuations are taken about the mean
+    over snapshots and z ("line") or over snapshots ("cell"). Then no mean is computed beforehand: the reference line loses its
+    own, and a sum of products with something whose mean is zero doesn't feel the other's mean.
+    So all snapshots are read once, and dealt once by (i, j): a line's snapshots come
+    one after the other in one task, whose cross-spectra are added up and go back once for each line. The reference's rows
+    are staged; they are broadcast only after their number is checked. Each line's snapshots must be equally long.
     ``normalize_lag`` divides by the number of z0.
     """
-    names = list(fields)
-    n = len(names)
-    all_lines = lines(fluct, names)
-    here = all_lines.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select("t", *[F.col(f).alias(f"r_{f}") for f in names])
-    both = all_lines.join(few(here, MOST_SNAPSHOTS), "t").select("i", "j", F.size(names[0]).alias("nz"), *[f"r_{f}" for f in names], *names)
-    schema = "i long, j long, nz int, n long, re array<double>, im array<double>"
-
-    def spectra(batches):
-        sums: dict[tuple[int, int, int], list] = {}
-
-        def rows():
-            flat = [(*key, count, total.real.ravel(), total.imag.ravel()) for key, (count, total) in sums.items()]
-            sums.clear()
-            return pd.DataFrame(flat, columns=["i", "j", "nz", "n", "re", "im"])
-
-        for pdf in batches:
-            for nz, part in pdf.groupby("nz"):
-                waves = [np.fft.rfft(np.stack(part[c].to_list()), axis=-1) for c in [*[f"r_{f}" for f in names], *names]]
-                cross = np.stack([np.conj(x) * y for x in waves[:n] for y in waves[n:]], axis=1)
-                for i, j, one in zip(part["i"], part["j"], cross, strict=True):
-                    held = sums.setdefault((i, j, nz), [0, 0.0])
-                    held[0] += 1
-                    held[1] = held[1] + one
-            if len(sums) > MOST_LINES:
-                yield rows()
-        yield rows()
-
-    def back(pdf):
-        i, j, nz = (int(pdf[c].iloc[0]) for c in ("i", "j", "nz"))
-        total = (np.stack(pdf["re"].to_list()).sum(0) + 1j * np.stack(pdf["im"].to_list()).sum(0)).reshape(n * n, -1)
-        r = np.fft.irfft(total, n=nz, axis=-1) / pdf["n"].sum() / (nz if normalize_lag else 1)
-        fi, fj = np.repeat(names, n * nz), np.tile(np.repeat(names, nz), n)
-        return pd.DataFrame({"fi": fi, "fj": fj, "i": i, "j": j, "lag": np.tile(np.arange(nz), n * n), "r": r.ravel()})
-
-    return both.mapInPandas(spectra, schema).groupBy("i", "j", "nz").applyInPandas(back, "fi string, fj string, i long, j long, lag int, r double")
+    here, small = reference_line(fluct, ref, fields, center)
+    rows = fluct.select("t", "i", "j", "k", *[F.col(f).cast("double").alias(f) for f in fields])
+    return lines.line_sums(rows, fields, here, small, _inverse(fields, normalize_lag, center), CORRELATIONS)
+
+
+CORRELATIONS = "fi string, fj string, i long, j long, lag int, r double"
+
+
+def _inverse(fields: Sequence[str], normalize_lag: bool, center: str):
+    """A function from a line's sums to its correlations."""
+    names, n = list(fields), len(fields)
+
+    def finish(i, j, nz, count, cross, ref, own, _):
+        if center:
+            some = slice(1) if center == "line" else slice(None)
+            cross[..., some] -= (np.conj(ref)[:, None] * own[None] / count)[..., some]
+        r = np.fft.irfft(cross, n=nz, axis=-1) / count / (nz if normalize_lag else 1)
+        columns = (np.repeat(names, n * nz), np.tile(np.repeat(names, nz), n), np.full(r.size, i), np.full(r.size, j), np.tile(np.arange(nz, dtype=np.int32), n * n), r.ravel())
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fi", "fj", "i", "j", "lag", "r"])
+
+    return finish
+
+
+def correlations(sums: DataFrame, fields: Sequence[str], normalize_lag: bool = False, center: str = "line") -> DataFrame:
+    """fi, fj, i, j, lag, r of rows of lines.line_sums with a reference, one for each line. ``center``: see two_point."""
+    return lines.finished(sums, len(fields), _inverse(fields, normalize_lag, center), CORRELATIONS)
 
 
 def two_point_join(fluct: DataFrame, ref: tuple[int, int], nz: int, fields: Sequence[str] = tuple(FLOW)) -> DataFrame:

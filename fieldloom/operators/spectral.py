@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import col, wavenumber
 from ..session import FLOW
-from .correlation import lines
+from .correlation import whole_lines
 
 
 def one_sided(f: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def plane_spectrum(fluct: DataFrame, fields: Sequence[str] = tuple(FLOW), locati
     if locations is not None:
         fluct = fluct.join(locations.select("i", "j").distinct(), ["i", "j"], "left_semi")
         keys = ["loc_i", "loc_j"]
-    rows = lines(fluct, fields).withColumnsRenamed({"i": "loc_i", "j": "loc_j"})
+    rows = whole_lines(fluct, fields).withColumnsRenamed({"i": "loc_i", "j": "loc_j"})
     long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("line")) for f in fields])).alias("s")).select(*keys, "s.*")
     return power(long, "line", [*keys, "field"])
 

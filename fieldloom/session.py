@@ -24,6 +24,13 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return b.getOrCreate()
 
 
+def small_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Bounds the session's Arrow batches by bytes, as rows may hold long arrays; a smaller bound stays."""
+    name, jvm = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if jvm.byteStringAsBytes(str(spark.conf.get(name))) > most:
+        spark.conf.set(name, str(most))
+
+
 def result_path(folder: str, name: str, tag: str = "") -> str:
     return f"{folder.rstrip('/')}/{name}_{tag}" if tag else f"{folder.rstrip('/')}/{name}"
 
