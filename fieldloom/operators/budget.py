@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import few
+from .blocks import block_gradient
 from .stencil import gradient, radial, radial_gradient
 
 PRODUCTS = ["xg", "yg", "zg", "ft_u", "ft_v", "ft_w"]
@@ -44,17 +45,23 @@ def _needs(flux: str) -> dict[str, list[tuple[str, str]]]:
     }
 
 
+def asks(which: Sequence[str] | None, flux: str = "w") -> tuple[set[tuple[str, str]], bool]:
+    """The pairs of fields whose correlations the terms (all, if None) need, and whether they need the products of accumulators."""
+    wanted = list(which or _needs(flux))
+    return {p for n in wanted for p in _needs(flux)[n]}, bool({"E_inter_f", "H_inter_f"} & set(wanted))
+
+
 def _plane_gradients(mean: DataFrame, coords: DataFrame) -> DataFrame:
     """i, j, each mean and its slopes in x and y. Means along z don't change with z, so there is no third."""
     plane = coords.select("i", "j", "x", "y").distinct()
     return gradient(mean.join(plane, ["i", "j"]), ["u", "v", "w", "t_val"], ("x", "y"), {"x": "i", "y": "j"}).drop("x", "y")
 
 
-def terms(corr: DataFrame, mean: DataFrame, products: DataFrame, grid: DataFrame, ref: tuple[int, int, int], ref_xyz: tuple[float, float, float], flux: str = "w", which: Sequence[str] | None = None, weighted: bool = False, ep: float = 1e-12, shift_lag: bool = False) -> DataFrame:
+def terms(corr: DataFrame | None, mean: DataFrame, products: DataFrame | None, grid: DataFrame, ref: tuple[int, int, int], ref_xyz: tuple[float, float, float], flux: str = "w", which: Sequence[str] | None = None, weighted: bool = False, ep: float = 1e-12, shift_lag: bool = False) -> DataFrame:
     """i, j, k and the eight budget terms, or those of ``which``.
 
     corr: fi, fj, i, j, lag, r. mean: the mean along z of the time means (i, j).
-    products: see accumulators. grid: i, j, k, x, y, z. Terms come without the
+    products: see accumulators. Either is None where no term asks for it (see asks). grid: i, j, k, x, y, z. Terms come without the
     weight 1 / (4 pi (r + ep)^2), or with it if ``weighted``. The lag of the
     correlations stands at the place of z though r is taken from the reference
     point's z, as is usual for these terms; ``shift_lag`` rolls it to the
@@ -63,7 +70,7 @@ def terms(corr: DataFrame, mean: DataFrame, products: DataFrame, grid: DataFrame
     The radial derivative is linear: each term adds up its parts first and takes one.
     """
     wanted = list(which or _needs(flux))
-    pairs = {p for n in wanted for p in _needs(flux)[n]}
+    pairs, with_products = asks(which, flux)
     r = wide(corr, pairs) if pairs else None
     if shift_lag and pairs:
         r = r.crossJoin(F.broadcast(grid.agg((F.max("k") + 1).alias("_nz")))).withColumn("k", F.pmod(F.col("k") + ref[2], F.col("_nz"))).drop("_nz")
@@ -74,7 +81,7 @@ def terms(corr: DataFrame, mean: DataFrame, products: DataFrame, grid: DataFrame
     base = grid.select("i", "j", "k", "x", "y", "z")
     if pairs:
         base = base.join(r, ["i", "j", "k"]).join(slopes.crossJoin(F.broadcast(at_ref)), ["i", "j"])
-    if {"E_inter_f", "H_inter_f"} & set(wanted):
+    if with_products:
         base = base.join(products, ["i", "j", "k"])
 
     def at(v: str, a: str) -> Column:
@@ -104,10 +111,9 @@ def terms(corr: DataFrame, mean: DataFrame, products: DataFrame, grid: DataFrame
         "H_inter_f": (F.lit(1.0), [F.col(c) for c in PRODUCTS[3:]]),
     }
     inner = {n: v for n, v in twice.items() if n in wanted}
-    for a, place in zip("xyz", range(3), strict=True):
-        if inner:
-            base = base.withColumns({f"_{n}_{a}": v[place] for n, (_, v) in inner.items()})
-            base = gradient(base, [f"_{n}_{a}" for n in inner], (a,))
+    if inner:
+        base = base.withColumns({f"_{n}_{a}": v[place] for n, (_, v) in inner.items() for place, a in enumerate("xyz")})
+        base = block_gradient(base, {a: [f"_{n}_{a}" for n in inner] for a in "xyz"})
     ready = {n: once[n] for n in wanted if n in once} | {n: c * total([F.col(f"_{n}_{a}_d{a}") for a in "xyz"]) for n, (c, _) in inner.items()}
     base = base.select("i", "j", "k", "x", "y", "z", *[v.alias(f"_in_{n}") for n, v in ready.items()])
     out = radial_gradient(base, {n: f"_in_{n}" for n in wanted}, ref_xyz, ep)

@@ -35,17 +35,19 @@ def canonical_ids(nodes: DataFrame, tol: float = 1e-6, coords: Sequence[str] = (
     """iter, blk, node_idx, kept, node_id: the merged table's id (from 0, in block order) that stands for each node.
 
     A node that goes takes the id of the first node of its cell. Ids are
-    numbered in two levels: within a block, and from the counts of the blocks
-    before it, so an iteration is in no single task.
+    numbered in two levels: within a strip of a block, and from the counts of the strips
+    before it, so neither an iteration nor a block is in a single task.
     """
     cell = ["iter", *[f"_q{n}" for n in range(len(coords))]]
     w = W.partitionBy(*cell)
     rows = keyed(nodes, tol, coords).select(*cell, "blk", "node_idx")
     rows = rows.withColumn("first", F.min(F.struct("blk", "node_idx")).over(w)).withColumn("kept", F.col("blk") == F.col("first.blk"))
     kept = rows.where("kept").select("iter", "blk", "node_idx")
-    counts = kept.groupBy("iter", "blk").agg(F.count("*").alias("n"))
-    before = counts.select("iter", "blk", (F.sum("n").over(W.partitionBy("iter").orderBy("blk")) - F.col("n")).alias("_base"))
-    numbered = kept.withColumn("_nth", F.row_number().over(W.partitionBy("iter", "blk").orderBy("node_idx")) - 1).join(before, ["iter", "blk"])
+    # strips of 65,536 node numbers: ranks inside a strip, and what the strips before it hold
+    kept = kept.withColumn("_strip", F.shiftright("node_idx", 16))
+    counts = kept.groupBy("iter", "blk", "_strip").agg(F.count("*").alias("n"))
+    before = counts.select("iter", "blk", "_strip", (F.sum("n").over(W.partitionBy("iter").orderBy("blk", "_strip")) - F.col("n")).alias("_base"))
+    numbered = kept.withColumn("_nth", F.row_number().over(W.partitionBy("iter", "blk", "_strip").orderBy("node_idx")) - 1).join(before, ["iter", "blk", "_strip"])
     ids = numbered.select("iter", F.col("blk").alias("_b"), F.col("node_idx").alias("_n"), (F.col("_base") + F.col("_nth")).alias("node_id"))
     own = F.when(F.col("kept"), F.struct("blk", "node_idx")).otherwise(F.col("first"))
     rows = rows.select("iter", "blk", "node_idx", "kept", own.alias("own")).select("iter", "blk", "node_idx", "kept", F.col("own.blk").alias("_b"), F.col("own.node_idx").alias("_n"))
@@ -136,6 +138,31 @@ def check_grid(one: DataFrame, other: DataFrame, keys: Sequence[str], tol: float
         raise ValueError(f"the grids differ: {r.asDict()}")
 
 
+def grid_extents(nodes: DataFrame, keys: Sequence[str], by: str = "iter", coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """keys, n (iterations that have the node), first (the least), and for each coordinate a struct (first, low, high), NaN counting as highest: one aggregate over all iterations."""
+    value = lambda c: F.col(c).cast("double")
+    places = [F.struct(F.min_by(value(c), by).alias("first"), F.min(value(c)).alias("low"), F.max(value(c)).alias("high")).alias(c) for c in coords]
+    return nodes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(by).alias("first"), *places)
+
+
+def merged_extents(parts: DataFrame, keys: Sequence[str], coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Extents of further iterations together with stored ones."""
+    places = [F.struct(F.min_by(f"{c}.first", "first").alias("first"), F.min(f"{c}.low").alias("low"), F.max(f"{c}.high").alias("high")).alias(c) for c in coords]
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), *places)
+
+
+def series_difference(extents: DataFrame, coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """One row: nodes, iterations (the most that have a node), partial (nodes that some lack) and max_diff, the largest distance of a coordinate from the first iteration's (NaN if one is)."""
+    far = F.greatest(*[F.greatest(F.col(f"{c}.high") - F.col(f"{c}.first"), F.col(f"{c}.first") - F.col(f"{c}.low")) for c in coords])
+    most = extents.agg(F.max("n").alias("_most"))
+    return extents.crossJoin(F.broadcast(most)).agg(F.count("*").alias("nodes"), F.max("_most").alias("iterations"), F.count_if(F.col("n") < F.col("_most")).alias("partial"), F.max(far).alias("max_diff"))
+
+
+def check_series(extents: DataFrame, iterations: int, tol: float = 1e-5, coords: Sequence[str] = ("x", "y", "z")) -> None:
+    """Looks at the data, in one job: raises ValueError unless all ``iterations`` have the same nodes, with coordinates within tol of the first one's."""
+    r = series_difference(extents, coords).first()
+    if r["nodes"] and (r["iterations"] != iterations or r["partial"] or not (r["max_diff"] is None or r["max_diff"] <= tol)):
+        raise ValueError(f"the grids differ: {r.asDict()}")
 
 
 def extent_difference(one: DataFrame, other: DataFrame, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:

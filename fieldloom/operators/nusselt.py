@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import with_neighbours
 from .fit import weighted_line
 from .mesh import scatter, tet_gradient
-from .stencil import derivatives, interpolate, trapezoid
+from .stencil import derivatives, trapezoid
 
 
 def _level_means(nodes: DataFrame, slope: Column, t_ref: float, keys: Sequence[str]) -> DataFrame:
@@ -104,10 +105,16 @@ def nu_series(levels: DataFrame, pe: float, k_ref: float = 1.0, delta_t: float |
 
 def thermal_bl(levels: DataFrame, count_wall: bool = True) -> DataFrame:
     """One row: t_center, delta_b, delta_t, n_b, n_t: thickness where the wall's tangent of T(z) meets the temperature at mid-height, and the levels within it."""
-    ends = W.partitionBy(F.lit(0))
-    x = derivatives(levels.select("level_idx", "z", "tm"), {"_g": "tm"}, "z", [], "z")
-    x = x.withColumn("_lo", F.min("z").over(ends)).withColumn("_hi", F.max("z").over(ends))
-    center = interpolate(x, "tm", "z", F.lit(0.5) * (F.col("_lo") + F.col("_hi")), name="t_center")
+    # one deal of the levels in blocks of neighbours serves the slopes and the temperature at mid-height
+    x = with_neighbours(levels.select("level_idx", "z", "tm"), "z")
+    x = derivatives(x, {"_g": "tm"}, "z", ["_block"], "z")
+    w = W.partitionBy("_block").orderBy("z")
+    x = x.withColumns({"_z1": F.lead("z").over(w), "_t1": F.lead("tm").over(w)}).where("_own")
+    ends = levels.agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    x = x.crossJoin(F.broadcast(ends))  # one row
+    mid = F.lit(0.5) * (F.col("_lo") + F.col("_hi"))
+    at_mid = F.when((mid >= F.col("z")) & (mid < F.col("_z1")), F.col("tm") + (F.col("_t1") - F.col("tm")) * (mid - F.col("z")) / (F.col("_z1") - F.col("z")))
+    center = x.agg(F.max(at_mid).alias("t_center"))
     walls = x.agg(F.min_by("tm", "z").alias("t0"), F.max_by("tm", "z").alias("t1"), F.min_by("_g", "z").alias("g0"), F.max_by("_g", "z").alias("g1")).crossJoin(F.broadcast(center))
     walls = walls.select("t_center", (F.abs(F.col("t0") - F.col("t_center")) / F.abs("g0")).alias("delta_b"), (F.abs(F.col("t1") - F.col("t_center")) / F.abs("g1")).alias("delta_t"))
     near = x.crossJoin(F.broadcast(walls))
@@ -119,11 +126,12 @@ def thermal_bl(levels: DataFrame, count_wall: bool = True) -> DataFrame:
 
 
 def thickness(levels: DataFrame, z: str = "z") -> DataFrame:
-    """Adds dz: half the distance between a level's neighbours, at the ends the distance to the only one."""
-    w = W.partitionBy(F.lit(0)).orderBy(z)
+    """Adds dz: half the distance between a level's neighbours, at the ends the distance to the only one. Levels go in blocks of neighbours (and are looked at)."""
+    rows = with_neighbours(levels, z, 1)
+    w = W.partitionBy("_block").orderBy(z)
     before, after = F.lag(z).over(w), F.lead(z).over(w)
     own = F.col(z)
-    return levels.withColumn("dz", F.when(before.isNull(), after - own).when(after.isNull(), own - before).otherwise((after - before) / 2))
+    return rows.withColumn("dz", F.when(before.isNull(), after - own).when(after.isNull(), own - before).otherwise((after - before) / 2)).where("_own").drop("_block", "_own")
 
 
 def pe_self_check(profile: DataFrame) -> DataFrame:

@@ -57,13 +57,18 @@ def column_index(points: DataFrame, xy_tol: float = 1e-6) -> DataFrame:
     return points.withColumn("col_idx", F.row_number().over(w) - 1)
 
 
+#: Parts of an axis whose places are sorted apart.
+STRIPS = 4096
+
+
 def spacing(points: DataFrame) -> DataFrame:
     """One row of a level's points (x, y): n_x, dx_ratio, n_y, dy_ratio, tensor. A ratio is the largest spacing over the smallest, 1 with fewer than three places."""
     out = None
     for axis in "xy":
         places = points.select(F.round(F.col(axis).cast("double"), 10).alias("c")).distinct()
-        # gaps inside a strip, and between the strips' ends: no task sorts all places
-        strips = places.withColumn("strip", F.floor(F.col("c") * 256))
+        # gaps inside a strip, and between the strips' ends: no task sorts all places. Strips divide the extent, whatever its unit
+        extent = places.agg(F.min("c").alias("_lo"), F.greatest(F.max("c") - F.min("c"), F.lit(1e-300)).alias("_wide"))
+        strips = places.crossJoin(F.broadcast(extent)).select("c", F.least(F.floor((F.col("c") - F.col("_lo")) / F.col("_wide") * STRIPS), F.lit(STRIPS - 1)).alias("strip"))
         inside = strips.select("c", (F.col("c") - F.lag("c").over(W.partitionBy("strip").orderBy("c"))).alias("gap"))
         ends = strips.groupBy("strip").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select(F.lit(None).cast("double").alias("c"), (F.col("lo") - F.lag("hi").over(W.orderBy("strip"))).alias("gap"))
         gaps = inside.unionByName(ends)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import col
+from ..functions import col, with_neighbours
+from .blocks import block_gradient
 
 
 def _parabola_slope(at: Column, nodes: list[Column]) -> Column:
@@ -27,9 +28,13 @@ def derivatives(df: DataFrame, values: dict[str, Column | str], coord: Column |
     The slope of the parabola through a point and its two neighbours, or at an end
     through the three outermost points: second order on uneven
     spacing and exact for quadratics. Lines of fewer than three points raise
-    an error. All values of one axis share an exchange, a sort and a window.
+    an error. All values of one axis share an exchange, a sort and a window. Without ``by`` all rows are one line, which goes in blocks of neighbours
+    (and looks at the data).
     """
-    w = W.partitionBy(*by).orderBy(order) if by else W.partitionBy(F.lit(0)).orderBy(order)
+    if not by:
+        return derivatives(with_neighbours(df, order), values, coord, ["_block"], order).where("_own").drop("_block", "_own")
+    edges = "_own" in df.columns  # a block's borders have too few neighbours, and aren't its own
+    w = W.partitionBy(*by).orderBy(order)
     df = df.withColumns({f"_s_{name}": F.struct(col(coord).cast("double").alias("x"), col(v).cast("double").alias("f")) for name, v in values.items()})
     shifted = {f"_{side}{n}_{name}": shift(f"_s_{name}", n).over(w) for name in values for side, shift in (("b", F.lag), ("a", F.lead)) for n in (1, 2)}
     df = df.withColumns(shifted)
@@ -39,17 +44,14 @@ def derivatives(df: DataFrame, values: dict[str, Column | str], coord: Column |
         first, last = b1.isNull(), a1.isNull()
         nodes = [F.when(first, own).otherwise(F.when(last, b2).otherwise(b1)), F.when(first, a1).otherwise(F.when(last, b1).otherwise(own)), F.when(first, a2).otherwise(F.when(last, own).otherwise(a1))]
         short = (first & a2.isNull()) | (last & b2.isNull())
+        short = short & F.col("_own") if edges else short
         out[name] = F.when(short, F.raise_error("a derivative needs three points on each line").cast("double")).otherwise(_parabola_slope(own["x"], nodes))
     return df.withColumns(out).drop(*shifted, *[f"_s_{name}" for name in values])
 
 
 def gradient(df: DataFrame, values: Sequence[str], axes: Sequence[str] = ("x", "y", "z"), indices: dict[str, str] | None = None) -> DataFrame:
-    """Adds ``<value>_d<axis>`` on a structured grid with index columns i, j, k and coordinate columns x, y, z; a shuffle for each axis."""
-    indices = indices or {"x": "i", "y": "j", "z": "k"}
-    for axis in axes:
-        others = [i for a, i in indices.items() if a != axis]
-        df = derivatives(df, {f"{v}_d{axis}": v for v in values}, axis, others, indices[axis])
-    return df
+    """Adds ``<value>_d<axis>`` on a structured grid with index columns i, j, k and coordinate columns x, y, z, in one exchange for all axes; see blocks.block_gradient."""
+    return block_gradient(df, {a: values for a in axes}, indices)
 
 
 def radial(df: DataFrame, ref: tuple[float, float, float], ep: float = 1e-12) -> DataFrame:
@@ -69,20 +71,24 @@ def radial_gradient(df: DataFrame, values: dict[str, Column | str], ref: tuple[f
 
 
 def trapezoid(df: DataFrame, y: Column | str, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """integral, x_lo, x_hi of y over x by trapezoids, a row for each group."""
+    """integral, x_lo, x_hi of y over x by trapezoids, a row for each group. Without groups the rows go in blocks of neighbours (and are looked at)."""
     keys = list(by)
-    w = W.partitionBy(*keys).orderBy(x) if keys else W.partitionBy(F.lit(0)).orderBy(x)
-    part = df.select(*keys, F.col(x).alias("_x"), col(y).alias("_y")).withColumn("_x1", F.lead("_x").over(w.orderBy("_x"))).withColumn("_y1", F.lead("_y").over(w.orderBy("_x")))
+    part = df.select(*keys, F.col(x).alias("_x"), col(y).alias("_y"))
+    part = part if keys else with_neighbours(part, "_x", 1)
+    w = W.partitionBy(*(keys or ["_block"])).orderBy("_x")
+    part = part.withColumns({"_x1": F.lead("_x").over(w), "_y1": F.lead("_y").over(w)})
+    part = part if keys else part.where("_own")
     return part.groupBy(*keys).agg(F.sum(F.lit(0.5) * (F.col("_y") + F.col("_y1")) * (F.col("_x1") - F.col("_x"))).alias("integral"), F.min("_x").alias("x_lo"), F.max("_x").alias("x_hi"))
 
 
 def interpolate(df: DataFrame, y: Column | str, x: str, at: Column, by: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """Piecewise linear y at x = ``at`` (a column constant in each group), held at the ends: a row for each group."""
+    """Piecewise linear y at x = ``at`` (a column constant in each group), held at the ends: a row for each group. Without groups the rows go in blocks of neighbours (and are looked at)."""
     keys = list(by)
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), col(y).cast("double").alias("_y"), at.cast("double").alias("_at"))
-    w = part.orderBy("_x")
+    rows = rows if keys else with_neighbours(rows.withColumnRenamed("_at", "_to"), "_x", 1).withColumnRenamed("_to", "_at")
+    w = W.partitionBy(*(keys or ["_block"])).orderBy("_x")
     rows = rows.withColumns({"_x1": F.lead("_x").over(w), "_y1": F.lead("_y").over(w), "_x0": F.lag("_x").over(w)})
+    rows = rows if keys else rows.where("_own")
     inside = (F.col("_at") >= F.col("_x")) & (F.col("_at") < F.col("_x1"))
     value = F.when(inside, F.col("_y") + (F.col("_y1") - F.col("_y")) * (F.col("_at") - F.col("_x")) / (F.col("_x1") - F.col("_x")))
     value = value.when(F.col("_x1").isNull() & (F.col("_at") >= F.col("_x")), F.col("_y")).when(F.col("_x0").isNull() & (F.col("_at") < F.col("_x")), F.col("_y"))
