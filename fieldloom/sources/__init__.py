@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import NODE_COLUMNS, result_path
+from . import files, tecplot
 from .plot3d import Plot3DSource
 from .tecplot import NAME, TecplotSource
 
@@ -21,20 +23,57 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Plot3DSource)
 
 
-def read_nodes(spark: SparkSession, path: str, variables: Sequence[str] = tuple(NODE_COLUMNS), iters: Sequence[int] | None = None, pattern: str = "tecplot_blk*_iter*.dat", dtype: str = "float32") -> DataFrame:
-    """iter, blk, node_idx, X, Y, Z and the variables asked for. Only those columns are parsed, only those iterations opened; a file is a partition.
+def index_partitions(spark: SparkSession, path: str, folder: str | None = None, pattern: str = "tecplot_blk*_iter*.dat", part: int = tecplot.PART) -> str:
+    """Counts the lines of mesh files, parts of a file in different tasks, and keeps for each file how many stand before each part in ``folder`` (or in lines beside the files), which it returns.
+
+    With it as ``index``, read_nodes and read_elements read a file in parts, and elements without the nodes before them. Files that have an index of their size keep it.
+    """
+    folder = folder or f"{path.rstrip('/')}/lines"
+    s, p = files.store(folder)
+    s.create_dir(p, recursive=True)
+    have = set(files.find(folder, "*.lines.json"))
+    todo = []
+    for f in files.find(path, pattern):
+        size, name = files.size_of(f), tecplot.index_name(folder, f)
+        if name in have:
+            with files.open_(name) as old:
+                if json.loads(old.read())["size"] == size:
+                    continue
+        todo += [(f, size, k, a, b) for k, (a, b) in enumerate(tecplot.windows(size, part))]
+    if not todo:
+        return folder
+    rows = spark.createDataFrame(todo, "path string, size long, k int, a long, b long").repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism), "path", "k")
+
+    def count(batches):
+        for pdf in batches:
+            yield pdf.assign(n=[tecplot.count_lines(f, a, b) for f, a, b in zip(pdf["path"], pdf["a"], pdf["b"], strict=True)])[["path", "size", "k", "n"]]
+
+    def write(pdf):
+        pdf = pdf.sort_values("k")
+        tecplot.write_index(folder, pdf["path"].iloc[0], int(pdf["size"].iloc[0]), pdf["n"].tolist(), part)
+        return pdf[["path"]].head(1)
+
+    rows.mapInPandas(count, "path string, size long, k int, n long").groupBy("path").applyInPandas(write, "path string").count()
+    return folder
+
+
+def read_nodes(spark: SparkSession, path: str, variables: Sequence[str] = tuple(NODE_COLUMNS), iters: Sequence[int] | None = None, pattern: str = "tecplot_blk*_iter*.dat", dtype: str = "float32", index: str | None = None) -> DataFrame:
+    """iter, blk, node_idx, X, Y, Z and the variables asked for. Only those columns are parsed, only those iterations opened; a file is a partition, or several with an ``index``.
 
     dtype says in which precision values are taken from the text; they are doubles afterwards.
     """
     register(spark)
-    r = spark.read.format("tecplot_fe").option("section", "nodes").option("columns", ",".join(variables)).option("pattern", pattern).option("dtype", dtype)
+    r = spark.read.format("tecplot_fe").option("section", "nodes")
+    r = r.option("index", index) if index else r
+    r = r.option("columns", ",".join(variables)).option("pattern", pattern).option("dtype", dtype)
     return (r.option("iters", ",".join(map(str, iters))) if iters is not None else r).load(path)
 
 
-def read_elements(spark: SparkSession, path: str, iters: Sequence[int] | None = None, pattern: str = "tecplot_blk*_iter*.dat") -> DataFrame:
-    """iter, blk, elem_idx, n0 to n3 (block-local, from 1)."""
+def read_elements(spark: SparkSession, path: str, iters: Sequence[int] | None = None, pattern: str = "tecplot_blk*_iter*.dat", index: str | None = None) -> DataFrame:
+    """iter, blk, elem_idx, n0 to n3 (block-local, from 1). Without an ``index`` a file's nodes are passed line by line."""
     register(spark)
     r = spark.read.format("tecplot_fe").option("section", "elems").option("pattern", pattern)
+    r = r.option("index", index) if index else r
     return (r.option("iters", ",".join(map(str, iters))) if iters is not None else r).load(path)
 
 

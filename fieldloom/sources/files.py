@@ -38,3 +38,8 @@ def create(path: str):
 def open_(path: str):
     s, p = store(path)
     return s.open_input_file(p)
+
+
+def size_of(path: str) -> int:
+    s, p = store(path)
+    return s.get_file_info(p).size

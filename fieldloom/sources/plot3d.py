@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import FloatType, IntegerType, LongType, StructField, StructType
 
 from ..session import SNAPSHOT_COLUMNS
@@ -54,7 +54,15 @@ def snapshot_order(path: str) -> tuple[int, int]:
 
 @dataclass
 class Part(InputPartition):
+    """One of ``of`` equal parts of a file's planes."""
+
     path: str
+    nth: int = 0
+    of: int = 1
+
+
+#: Points of a part of a file.
+PART = 8_000_000
 
 
 class Plot3DSource(DataSource):
@@ -92,11 +100,49 @@ class Plot3DSource(DataSource):
 class Plot3DReader(DataSourceReader):
     def __init__(self, files: list[str], grid: bool, names: list[str]):
         self.files, self.grid, self.names = files, grid, names
+        self.low, self.high = dict.fromkeys("ijk", 0), dict.fromkeys("ijk", None)  # the places that are asked for
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of i, j and k become ranges of bytes, as a record's values have fixed places; those of grid_num and time_num leave files out."""
+        for f in filters:
+            name, value = (f.attribute[0], getattr(f, "value", None)) if len(getattr(f, "attribute", ())) == 1 else ("", None)
+            if isinstance(f, In) and name in self.low:
+                self._bound(name, min(f.value), max(f.value))
+                yield f  # what stands between is Spark's to drop
+            elif name in ("grid_num", "time_num") and isinstance(f, (EqualTo, In)):
+                wanted, n = set(f.value) if isinstance(f, In) else {value}, 0 if name == "grid_num" else 1
+                self.files = [p for p in self.files if snapshot_order(p)[n] in wanted]
+            elif name in self.low and isinstance(f, EqualTo):
+                self._bound(name, value, value)
+            elif name in self.low and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self._bound(name, value + isinstance(f, GreaterThan), None)
+            elif name in self.low and isinstance(f, (LessThan, LessThanOrEqual)):
+                self._bound(name, 0, value - isinstance(f, LessThan))
+            else:
+                yield f
+
+    def _bound(self, name: str, low: int, high: int | None) -> None:
+        self.low[name] = max(self.low[name], low)
+        if high is not None:
+            self.high[name] = high if self.high[name] is None else min(high, self.high[name])
 
     def partitions(self) -> list[Part]:
-        return [Part(p) for p in self.files]
+        if not self.files:
+            return [Part("")]
+        with open_(self.files[0]) as f:  # files of one run are alike; another size only makes parts larger
+            nx, ny, nz = struct.unpack("<3i", record(f)[:12])
+        n = min(nz, -(-nx * ny * nz // PART))
+        if self.high["k"] is not None and self.high["k"] - self.low["k"] + 1 < nz:
+            n = 1
+        return [Part(p, k, n) for p in self.files for k in range(n)]
+
+    def _range(self, name: str, n: int) -> tuple[int, int]:
+        high = n if self.high[name] is None else min(n, self.high[name] + 1)
+        return min(self.low[name], high), high
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
         with open_(part.path) as f:
             head = record(f)
             nx, ny, nz = struct.unpack("<3i", head[:12])
@@ -106,16 +152,41 @@ class Plot3DReader(DataSourceReader):
             width = len(self.names) - 3 - len(keys)
             assert width <= nvar, f"{part.path} has fewer variables than the first snapshot"
             start = bounds(f, 4 * nvar * n, part.path)
-            for a in range(0, n, CHUNK):  # no more than a chunk of the asked variables is in memory
-                p = np.arange(a, min(n, a + CHUNK))
+            (i0, i1), (j0, j1), (k0, k1) = self._range("i", nx), self._range("j", ny), self._range("k", nz)
+            k0, k1 = max(k0, nz * part.nth // part.of), min(k1, nz * (part.nth + 1) // part.of)
+            if i0 >= i1 or j0 >= j1:
+                return
+            whole = (j0, j1) == (0, ny)  # whole planes follow one another; else each plane has its own run of rows
+            rows = [(k0 * ny, k1 * ny)] if whole else [(k * ny + j0, k * ny + j1) for k in range(k0, k1)]
+            step = max(1, CHUNK // nx)
+            spans = [(a, min(b, a + step)) for lo, b in rows for a in range(lo, b, step)]
+            for some in _together(spans, step):  # no more than a chunk of the asked variables is in memory
+                r = np.concatenate([np.arange(a, b) for a, b in some])
+                p = (r[:, None] * nx + np.arange(i0, i1)).ravel()
                 cols = [pa.array(np.full(len(p), k, np.int64)) for k in keys]
                 cols += [pa.array(x.astype(np.int32)) for x in (p % nx, p // nx % ny, p // (nx * ny))]
                 for v in range(width):
-                    f.seek(start + 4 * (v * n + a))
-                    cols.append(pa.array(np.frombuffer(f.read(4 * len(p)), "<f4")))
+                    values = []
+                    for a, b in some:
+                        f.seek(start + 4 * (v * n + a * nx))
+                        values.append(np.frombuffer(f.read(4 * (b - a) * nx), "<f4").reshape(-1, nx)[:, i0:i1])
+                    cols.append(pa.array(np.concatenate(values).ravel()))
                 yield pa.RecordBatch.from_arrays(cols, names=self.names)
 
 
+def _together(spans: list[tuple[int, int]], most: int) -> Iterator[list[tuple[int, int]]]:
+    """Spans in groups of about ``most`` rows."""
+    held, n = [], 0
+    for a, b in spans:
+        held.append((a, b))
+        n += b - a
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def write_record(f, body: bytes) -> None:
     f.write(struct.pack("<i", len(body)) + body + struct.pack("<i", len(body)))
 

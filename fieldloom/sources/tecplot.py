@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..session import NODE_COLUMNS
-from .files import find, open_
+from .files import create, find, open_, size_of
 
 #: How a partition's file is named, and where its header says how many nodes and elements there are.
 NAME = re.compile(r"tecplot_blk(\d+)_iter(\d+)\.dat$")
@@ -39,13 +40,58 @@ def parse_header(lines: list[str], path: str = "") -> Header:
 
 @dataclass
 class Part(InputPartition):
+    """A file, or with ``end`` the lines that begin in its bytes from ``start`` to before ``end``, the first of which is number ``line`` of the file."""
+
     path: str
     blk: int
     iter: int
+    start: int = 0
+    end: int | None = None
+    line: int = 0
+    head: Header | None = None
+
+
+#: Bytes of a part of an indexed file.
+PART = 32 << 20
+
+
+def index_name(folder: str, path: str) -> str:
+    return f"{folder.rstrip('/')}/{path.rstrip('/').rpartition('/')[2]}.lines.json"
+
+
+def count_lines(path: str, begin: int, end: int) -> int:
+    """Line ends in the bytes from ``begin`` to before ``end``."""
+    n = 0
+    with open_(path) as f:
+        f.seek(begin)
+        while begin < end and (some := f.read(min(1 << 22, end - begin))):
+            n += some.count(b"\n")
+            begin += len(some)
+    return n
+
+
+def windows(size: int, part: int = PART) -> list[tuple[int, int]]:
+    """The bytes in which line ends are counted for each part: a line that begins at a part's first byte has its predecessor's end one byte before."""
+    starts = list(range(0, max(1, size), part))
+    return [(max(0, a - 1), min(size, a + part) - 1 if a + part < size else size) for a in starts]
+
+
+def write_index(folder: str, path: str, size: int, counts: list[int], part: int) -> None:
+    """Keeps how many line ends stand before each part, and what the header says; a file with too few lines raises ValueError."""
+    with io.TextIOWrapper(io.BufferedReader(open_(path)), encoding="utf-8") as f:
+        head = parse_header([f.readline() for _ in range(3)], path)
+    with open_(path) as f:
+        f.seek(max(0, size - 1))
+        lines = sum(counts) + (f.read(1) != b"\n")
+    if lines < 3 + head.n_nodes + head.n_elements:
+        raise ValueError(f"{path} has {lines} lines where its header asks for {3 + head.n_nodes + head.n_elements}")
+    before = [sum(counts[:k]) for k in range(len(counts))]
+    with create(index_name(folder, path)) as out:
+        out.write(json.dumps({"size": size, "part": part, "before": before, "head": asdict(head)}).encode())
 
 
 class TecplotSource(DataSource):
-    """Options: section (nodes or elems), columns, iters, pattern, dtype."""
+    """Options: section (nodes or elems), columns, iters, pattern, dtype, index (a folder of line indexes, see sources.index_partitions)."""
 
     @classmethod
     def name(cls) -> str:
@@ -71,6 +117,7 @@ class TecplotReader(DataSourceReader):
     def __init__(self, options, columns: list[str]):
         self.path, self.pattern = options["path"], options.get("pattern", "tecplot_blk*_iter*.dat")
         self.section, self.dtype, self.columns = options.get("section", "nodes"), options.get("dtype", "float32"), columns
+        self.index = options.get("index")
         text = options.get("iters")
         self.iters = None if text is None else {int(x) for x in text.split(",") if x}
 
@@ -93,32 +140,80 @@ class TecplotReader(DataSourceReader):
             if not (m := NAME.search(path)):
                 warnings.warn(f"skipped {path}: no block and iteration in its name", stacklevel=2)
             elif self.iters is None or int(m[2]) in self.iters:
-                parts.append(Part(path, int(m[1]), int(m[2])))
-        return sorted(parts, key=lambda p: (p.iter, p.blk))
+                parts += self._parts(path, int(m[1]), int(m[2]))
+        return sorted(parts, key=lambda p: (p.iter, p.blk, p.start))
+
+    def _parts(self, path: str, blk: int, it: int) -> list[Part]:
+        """The parts of an indexed file that hold lines of the section; else the file."""
+        name = index_name(self.index, path) if self.index else None
+        if name is None or not find(self.index, name.rpartition("/")[2]):
+            return [Part(path, blk, it)]
+        with open_(name) as f:
+            about = json.loads(f.read())
+        if about["size"] != size_of(path):
+            raise ValueError(f"{path} has changed since its lines were indexed")
+        head = Header(**about["head"])
+        low, high = self._section(head)
+        ends = [min(about["size"], (k + 1) * about["part"]) for k in range(len(about["before"]))]
+        first = [n + (k > 0) for k, n in enumerate(about["before"])]  # the number of the first line that begins in the part
+        last = [*first[1:], 3 + head.n_nodes + head.n_elements]
+        return [Part(path, blk, it, k * about["part"], ends[k], first[k], head) for k in range(len(first)) if first[k] < high and last[k] > low]
+
+    def _section(self, head: Header) -> tuple[int, int]:
+        """The section's first line and the one after its last."""
+        nodes = 3 + head.n_nodes
+        return (nodes, nodes + head.n_elements) if self.section == "elems" else (3, nodes)
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if part.end is not None:
+            yield from self._read_part(part)
+            return
         with io.TextIOWrapper(io.BufferedReader(open_(part.path)), encoding="utf-8") as f:
             head = parse_header([f.readline() for _ in range(3)], part.path)
             if self.section == "elems":
                 for _ in range(head.n_nodes):
                     if not f.readline():
                         raise ValueError(f"{part.path} ends before its {head.n_nodes} nodes do")
-                names, want, use, kind, index = ["n0", "n1", "n2", "n3"], head.n_elements, list(range(4)), "int64", "elem_idx"
-            else:
-                names, want, use, kind, index = self.columns, head.n_nodes, [NODE_COLUMNS.index(c) for c in self.columns], self.dtype, "node_idx"
-                if max(use) >= head.n_columns:
-                    raise ValueError(f"{part.path} has {head.n_columns} columns, not that of {self.columns}")
-            got = 0
-            if want:
-                try:
-                    for pdf in pd.read_csv(f, sep=r"\s+", header=None, nrows=want, usecols=use, dtype=kind, chunksize=CHUNK, engine="c"):
-                        values = pdf[use]
-                        n = len(values)
-                        cols = [pa.array([part.iter] * n, pa.int64()), pa.array([part.blk] * n, pa.int32()), pa.array(range(got, got + n), pa.int64())]
-                        cols += [pa.array(values[c].to_numpy().astype("int64" if self.section == "elems" else "float64")) for c in use]
-                        yield pa.RecordBatch.from_arrays(cols, names=["iter", "blk", index, *names])
-                        got += n
-                except pd.errors.EmptyDataError:
-                    pass
-            if got != want:
-                raise ValueError(f"{part.path} has {got} rows where its header says {want}")
+            low, high = self._section(head)
+            yield from self._rows(part, f, head, 0, high - low)
+
+    def _read_part(self, part: Part) -> Iterator[pa.RecordBatch]:
+        """Those lines of the section that begin in the part."""
+        low, high = self._section(part.head)
+        with open_(part.path) as f:
+            f.seek(max(0, part.start - 1))
+            raw = f.read(part.end - max(0, part.start - 1))
+            while not raw.endswith(b"\n") and (more := f.read(4096)):
+                cut = more.find(b"\n") + 1
+                raw += more[:cut] if cut else more
+        begin = raw.find(b"\n") + 1 if part.start else 0
+        lines, line = raw.count(b"\n", begin) + (not raw.endswith(b"\n")), part.line
+        if part.start and not begin:
+            return  # inside a long line
+        for _ in range(max(0, low - line)):
+            begin = raw.index(b"\n", begin) + 1
+        first = max(low, line)
+        yield from self._rows(part, io.BytesIO(raw[begin:]), part.head, first - low, max(0, min(high, line + lines) - first))
+
+    def _rows(self, part: Part, f, head: Header, first: int, want: int) -> Iterator[pa.RecordBatch]:
+        """``want`` rows of the section, the first of which is its row ``first``, from a file that stands before it."""
+        if self.section == "elems":
+            names, use, kind, index = ["n0", "n1", "n2", "n3"], list(range(4)), "int64", "elem_idx"
+        else:
+            names, use, kind, index = self.columns, [NODE_COLUMNS.index(c) for c in self.columns], self.dtype, "node_idx"
+            if max(use) >= head.n_columns:
+                raise ValueError(f"{part.path} has {head.n_columns} columns, not that of {self.columns}")
+        got = 0
+        if want:
+            try:
+                for pdf in pd.read_csv(f, sep=r"\s+", header=None, nrows=want, usecols=use, dtype=kind, chunksize=CHUNK, engine="c"):
+                    values = pdf[use]
+                    n = len(values)
+                    cols = [pa.array([part.iter] * n, pa.int64()), pa.array([part.blk] * n, pa.int32()), pa.array(range(first + got, first + got + n), pa.int64())]
+                    cols += [pa.array(values[c].to_numpy().astype("int64" if self.section == "elems" else "float64")) for c in use]
+                    yield pa.RecordBatch.from_arrays(cols, names=["iter", "blk", index, *names])
+                    got += n
+            except pd.errors.EmptyDataError:
+                pass
+        if got != want:
+            raise ValueError(f"{part.path} has {got} rows where its header says {want}")
