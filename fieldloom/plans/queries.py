@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .. import sinks, sources
 from ..functions import cell_key
-from ..operators import budget, correlation, fit, mesh, moments, nusselt, profile, spectral, stencil
+from ..operators import budget, correlation, fit, mesh, moments, nusselt, profile, sparse, spectral, stencil
 from ..session import shared_dir
 from ..sources import plot3d
+from ..streaming.spectra import SpectralSums
 from . import adapters as A
 
 OFFSET = 0.4142135623731
@@ -183,6 +184,17 @@ def grid_check(spark, sf):
     return cut_all(mesh.grid_difference(g, g.where("k < 9").withColumn("x", F.col("x") + 0.001), ["i", "j", "k"]), 7, "max_diff")
 
 
+@query("series_check", f"""WITH {A.FIELD}, m AS (SELECT f.t, g.i, g.j, g.k, x + CASE WHEN f.t = 3 THEN 0.001::DOUBLE ELSE 0 END AS x FROM (SELECT DISTINCT t FROM field) f CROSS JOIN grid g WHERE NOT (f.t = 2 AND g.k = 9)),
+e AS (SELECT i, j, k, count(*) AS n, arg_min(x, t) AS f, min(x) AS lo, max(x) AS hi FROM m GROUP BY i, j, k)
+SELECT count(*) AS nodes, max(n) AS iterations, count_if(n < (SELECT max(n) FROM e)) AS partial, {sql_cut('max(greatest(hi - f, f - lo))', 7, 'max_diff')} FROM e""")
+def series_check(spark, sf):
+    """All iterations' grids in one job: one lacks a level, and one is shifted; extents of two halves are merged."""
+    f = A.field(spark, sf)
+    grids = A.coordinates(f.where("NOT (t = 2 AND k = 9)")).withColumn("x", F.col("x") + F.when(F.col("t") == 3, 0.001).otherwise(0.0))
+    halves = [mesh.grid_extents(grids.where(c), ["i", "j", "k"], "t") for c in ("t % 2 = 0", "t % 2 = 1")]
+    return cut_all(mesh.series_difference(mesh.merged_extents(halves[0].union(halves[1]), ["i", "j", "k"])), 7, "max_diff")
+
+
 @query("fd_column", f"WITH {A.COLUMNS} SELECT iter, col_idx, level_idx, {sql_cut('g', 6)} FROM nus_g")
 def fd_column(spark, sf):
     return stencil.derivatives(A.columns(spark, sf), {"g": "t_val"}, "z", ["iter", "col_idx"], "level_idx").select("iter", "col_idx", "level_idx", cut("g", 6).alias("g"))
@@ -307,6 +319,35 @@ def two_point_corr(spark, sf):
     return cut_all(correlation.two_point(fluct(spark, sf), A.REF[:2]), 2, "r")
 
 
+@query("two_point_corr_raw", CORR_SQL)
+def two_point_corr_raw(spark, sf):
+    """From the snapshots as they are, which are read once."""
+    return cut_all(correlation.two_point(A.field(spark, sf), A.REF[:2], center="line"), 2, "r")
+
+
+CORR3_SQL = CORR_SQL.replace(A.FIELD, f"{A.FIELD}, fluct3 AS (SELECT f.t, f.i, f.j, f.k, f.u - m.u AS u, f.v - m.v AS v, f.w - m.w AS w, f.t_val - m.t_val AS t_val FROM field f JOIN mean_t m USING (i, j, k))").replace("FROM fluct a JOIN fluct b", "FROM fluct3 a JOIN fluct3 b")
+
+
+@query("two_point_corr_raw_3d", CORR3_SQL)
+def two_point_corr_raw_3d(spark, sf):
+    """The same about the time mean of each cell."""
+    return cut_all(correlation.two_point(A.field(spark, sf), A.REF[:2], center="cell"), 2, "r")
+
+
+@query("two_point_corr_resumed", CORR_SQL)
+def two_point_corr_resumed(spark, sf):
+    """Two goes, of which the second adds only the snapshots that the first lacked."""
+    return cut_all(_two_goes(spark, A.field(spark, sf), A.REF[:2]).correlations(), 2, "r")
+
+
+def _two_goes(spark, f, ref=None):
+    path = f"{shared_dir(spark)}/spectra/{uuid.uuid4().hex}"
+    for some in (f.where("t % 3 = 1"), f):
+        sums = SpectralSums(spark, path, ref)
+        sums.add(some)
+    return sums
+
+
 @query("two_point_corr_join", CORR_SQL)
 def two_point_corr_join(spark, sf):
     return cut_all(correlation.two_point_join(fluct(spark, sf), A.REF[:2], A.NZ), 2, "r")
@@ -358,9 +399,10 @@ def _budget(term: str, flux: str = "w"):
     def run(spark, sf):
         f = A.field(spark, sf)
         mean = moments.z_mean(moments.time_mean(f))
-        fl = moments.fluctuations(f, mean)
-        out = budget.terms(correlation.two_point(fl, A.REF[:2]), mean, budget.accumulators(fl, A.REF, flux), A.grid(f), A.REF, A.REF_XYZ, flux, which=[term])
-        return cut_all(out, 0, term)
+        pairs, products = budget.asks([term], flux)
+        corr = correlation.two_point(f, A.REF[:2], center="line") if pairs else None
+        acc = budget.accumulators(moments.fluctuations(f, mean), A.REF, flux) if products else None
+        return cut_all(budget.terms(corr, mean, acc, A.grid(f), A.REF, A.REF_XYZ, flux, which=[term]), 0, term)
 
     return run
 
@@ -376,8 +418,8 @@ FROM ({_budget_sql('E_prod_h', plain=True)}) h JOIN ({_budget_sql('E_prod_I', pl
 def budget_unweighted(spark, sf):
     f = A.field(spark, sf)
     mean = moments.z_mean(moments.time_mean(f))
-    fl, halves = moments.fluctuations(f, mean), ["E_prod_h", "E_prod_I"]
-    weighted = budget.terms(correlation.two_point(fl, A.REF[:2]), mean, budget.accumulators(fl, A.REF), A.grid(f), A.REF, A.REF_XYZ, which=halves, weighted=True)
+    halves = ["E_prod_h", "E_prod_I"]
+    weighted = budget.terms(correlation.two_point(f, A.REF[:2], center="line"), mean, None, A.grid(f), A.REF, A.REF_XYZ, which=halves, weighted=True)
     out = budget.unweighted(weighted.join(A.grid(f), ["i", "j", "k"]), halves, A.REF_XYZ)
     return cut_all(out.select("i", "j", "k", *halves, "E_prod_tot"), 0, *halves, "E_prod_tot")
 
@@ -396,6 +438,11 @@ def psd_plane(spark, sf):
     return cut_all(spectral.with_wavenumber(spectral.plane_spectrum(fluct(spark, sf)), A.NZ, A.DZ).select("field", "k_idx", "k", "p"), 6, "k").withColumn("p", cut("p", 4))
 
 
+@query("psd_plane_resumed", f"WITH {PLANE} SELECT field, k_idx, {sql_cut('p', 4)} FROM pp")
+def psd_plane_resumed(spark, sf):
+    return cut_all(_two_goes(spark, A.field(spark, sf)).spectrum(), 4, "p")
+
+
 @query("psd_point", f"WITH {PSD} SELECT i AS loc_i, j AS loc_j, field, k_idx, {sql_cut('avg(p)', 4, 'p')} FROM ps WHERE (i = 1 AND j = 2) OR (i = 3 AND j = 4) GROUP BY i, j, field, k_idx")
 def psd_point(spark, sf):
     f = fluct(spark, sf)
@@ -623,6 +670,22 @@ def node_scatter(spark, sf):
     return cut_all(mesh.scatter(mesh.tet_gradient(A.tets(spark, sf), A.mesh_points(spark, sf), ["t_val"]), ["t_val_dz"]), 5, "t_val_dz")
 
 
+NODE_GRADIENT = f"""WITH {A.TETS}, pi AS MATERIALIZED (SELECT t * 100000 + i + 4 * j + 20 * k AS place, t_val FROM field WHERE t < 2),
+t2 AS MATERIALIZED (SELECT it.iter, tg.* FROM tg CROSS JOIN (VALUES (0), (1)) AS it(iter)),
+e2 AS (SELECT t2.*, {', '.join(f'p{c}.t_val - p0.t_val AS d{c}' for c in (1, 2, 3))} FROM t2 {' '.join(f'JOIN pi p{c} ON p{c}.place = t2.iter * 100000 + t2.n{c}' for c in range(4))}),
+g2 AS (SELECT iter, unnest([n0, n1, n2, n3]) AS node_id, vol, ((y2 * z3 - z2 * y3) * d1 + (y3 * z1 - z3 * y1) * d2 + (y1 * z2 - z1 * y2) * d3) / det AS gx,
+  ((z2 * x3 - x2 * z3) * d1 + (z3 * x1 - x3 * z1) * d2 + (z1 * x2 - x1 * z2) * d3) / det AS gy, ((x2 * y3 - y2 * x3) * d1 + (x3 * y1 - y3 * x1) * d2 + (x1 * y2 - y1 * x2) * d3) / det AS gz FROM e2)
+SELECT iter, node_id, {', '.join(sql_cut(f'sum(vol * g{a}) / sum(vol)', 5, f't_val_d{a}') for a in 'xyz')} FROM g2 GROUP BY iter, node_id"""
+
+
+@query("node_gradient_stored", NODE_GRADIENT)
+def node_gradient_stored(spark, sf):
+    """Gradients at the nodes of two iterations by weights that are kept."""
+    weights = sparse.store(sparse.gradient_weights(A.tets(spark, sf), A.mesh_points(spark, sf)), f"{shared_dir(spark)}/weights/{uuid.uuid4().hex}")
+    values = A.field(spark, sf).where("t < 2").select(F.col("t").alias("iter"), (F.col("i") + F.col("j") * 4 + F.col("k") * 20).alias("node_id"), "t_val")
+    return cut_all(sparse.apply(weights, values, ["t_val"]), 5, *[f"t_val_d{a}" for a in "xyz"])
+
+
 _GG = " + ".join(f"{a}_d{x} * {a}_d{x} + {a}_d{x} * {b}_d{y}".replace(f"{b}_d{y}", f"{b}_d{y}") for a, y in zip("uvw", "xyz", strict=True) for b, x in zip("uvw", "xyz", strict=True))
 DISS = f"{A.TETS}, ph AS (SELECT vol, mu * ({_GG} - 2.0::DOUBLE / 3 * pow(u_dx + v_dy + w_dz, 2)) AS phi FROM tg), di AS (SELECT sum(vol) AS volume, sum(vol * phi) / sum(vol) AS phi_mean FROM ph)"
 
@@ -679,6 +742,18 @@ def stream_mean(spark, sf):
 SQL["stream_mean"] = f"SELECT event_id % 200 AS cell, {sql_cut('avg(value)', 6, 'value')}, count(*) AS n FROM events GROUP BY 1"
 
 
+@query("stream_tke", SQL["tke"])
+def stream_tke(spark, sf):
+    """Snapshots in two goes of several triggers, whose moments are folded into few folders."""
+    from ..streaming import stream_tke
+
+    own, f = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}", A.field(spark, sf)
+    for some in (f.where("t % 2 = 0"), f.where("t % 2 = 1")):
+        some.select("i", "j", "k", "u", "v", "w").repartition(3).write.mode("append").parquet(f"{own}/in")
+        out = stream_tke(spark, f"{own}/in", lambda df: df, checkpoint=f"{own}/checkpoint", table=f"{own}/moments", files=1, most=4)
+    return cut_all(out, 4, "tke_t", "tke_tz")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the time mean of each field, its mean along z, and the level profile of the temperature."""
     mean = moments.time_mean(A.field(spark, sf_dir))

@@ -56,8 +56,7 @@ def time_average(spark: SparkSession, folder: str, out: str, variable: str, iter
     done.run(wanted, lambda it: merged(spark, folder, [it], [variable], tol, dtype).drop("iter"))
     all_ = done.read(wanted)
     first = all_.where(F.col("iter") == wanted[0])
-    for it in wanted[1:]:
-        mesh.check_grid(first, all_.where(F.col("iter") == it), ["node_id"], check_tol)
+    mesh.check_series(mesh.grid_extents(all_, ["node_id"]), len(wanted), check_tol)
     mean = moments.time_mean(all_, [variable], ["node_id"]).join(first.select("node_id", "x", "y", "z"), "node_id").select("node_id", "x", "y", "z", variable, "n")
     levels = profile.level_profile(mean, "z", {variable: variable}, level_tol, level_z="mean")
     sinks.write_mesh(spark, f"{out}/mean.dat", mean, ["x", "y", "z", variable], connectivity(spark, folder, wanted[0], tol) if elements else None)
@@ -114,9 +113,10 @@ def two_point_budgets(spark: SparkSession, folder: str, grid_file: str, out: str
     grid = sources.read_grid(spark, grid_file)
     mesh.check_extent(snap, grid)
     mean = moments.z_mean(moments.time_mean(snap))
-    fluct = moments.fluctuations(snap.select("t", "i", "j", "k", "u", "v", "w", "t_val"), mean)
-    corr = sinks.staged(spark, correlation.two_point(fluct, ref[:2]), f"{out}/correlations")
-    products = sinks.staged(spark, budget.accumulators(fluct, ref, flux), f"{out}/products")
+    flow = snap.select("t", "i", "j", "k", "u", "v", "w", "t_val")
+    pairs, with_products = budget.asks(which, flux)
+    corr = sinks.staged(spark, correlation.two_point(flow, ref[:2], center="line"), f"{out}/correlations") if pairs else None
+    products = sinks.staged(spark, budget.accumulators(moments.fluctuations(flow, mean), ref, flux), f"{out}/products") if with_products else None
     at = grid.where((F.col("i") == ref[0]) & (F.col("j") == ref[1]) & (F.col("k") == ref[2])).first()
     terms = budget.terms(corr, mean, products, grid, ref, (at["x"], at["y"], at["z"]), flux, which).join(grid, ["i", "j", "k"])
     names = [c for c in terms.columns if c not in ("i", "j", "k", "x", "y", "z")]
