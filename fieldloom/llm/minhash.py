@@ -300,13 +300,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     Texts are linked if their sets of five-word runs (words between white
     space, as they are) have a Jaccard similarity of at least ``similarity``,
     ``weighted`` by how often each run occurs (a run that occurs once in either counts as in plain sets); classes are the connected
-    components. class_id is the smallest id of the class, and its row is kept;
-    of rows that repeat an id and a text, one alone is kept. Null and empty texts are
-    equal to each other and near no other; a text of fewer than five words is one run. Texts whose rows
-    all have null ids link to nothing and have a null class. Different texts under one id count as one document.
+    components of texts. class_id is the smallest id of the class (null if its rows have none), and one row that has it is kept in each class:
+    of rows that repeat an id and a text, or of the class's texts under that id, one alone. Null and empty texts are
+    equal to each other and near no other; a text of fewer than five words is one run. Different texts under one id are different nodes:
+    each goes by its own class. Texts whose rows all have null ids link like any other.
 
-    Copies go as one text. In a band's bucket every text is compared with
-    the bucket's hub, the text of the smallest id; what is near it
+    Copies go as one text, known by its digest. In a band's bucket every text is compared with
+    the bucket's hub, its first text; what is near it
     needs no further pair among itself. Where texts of a bucket are still in different classes, pairs of different classes
     are compared exactly if they share a rare run, as similar texts must: of a
     text's runs, sorted by how many texts have them, the first fifth
@@ -315,24 +315,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     of a bucket, yet a large group of copies gives a link for each.
     """
     out = each(_classes(spark, docs, similarity, bands, rows, weighted), "n", "copy")
-    return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 0)).alias("kept"))
+    return out.select("doc_id", "class_id", (F.col("head") & (F.col("copy") == 0)).alias("kept"))
+
+
+def _one_text(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, text of each text that is asked for (_key, id): rows of one key stand together, and the first in a task is given."""
+    texts = docs.select(row_key(text_digest(F.col("text")), F.col("doc_id")).alias("_key"), "text").hint("merge").join(asked, "_key").select("id", "text")
+
+    def first(batches):
+        last = None
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            new = np.diff(ids, prepend=ids[:1] if last is None else last) != 0
+            if len(ids) and last is None:
+                new[0] = True
+            last = ids[-1] if len(ids) else last
+            yield batch.filter(pa.array(new))
+
+    return texts.mapInArrow(first, texts.schema)
 
 
 def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
-    """A row for each id and text: doc_id, digest, class_id, n (rows of both)."""
+    """A row for each id and text: doc_id, digest, class_id, head (whether it is the class's one id and text that stays), n (rows of both)."""
     stage = Stage(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stage.put(signatures(texts, bands, rows, weighted), "signatures")
-    # a text goes by its smallest id, an id stands for one text; rows that repeat both do no harm
-    heads = stage.put(sig.groupBy("digest").agg(F.min("doc_id").alias("id")), "heads")
-    texts_of = heads.groupBy("id").agg(F.min("digest").alias("digest"))
-    members = sig.select("digest", F.col("doc_id").alias("id"), "bands").hint("merge").join(texts_of, ["id", "digest"], "left_semi").select("id", F.explode("bands").alias("key"))
+    # a node for each text, numbered where the table is written; its smallest id is what it is named by
+    heads = sig.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    heads = stage.put(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
+    copies = stage.put(sig.groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "copies")
+    stage.drop(sig)
+    members = heads.select("id", F.explode("bands").alias("key"))
     # buckets that more than one text is in, how many, and their hub
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
     star = stage.put(members.hint("merge").join(shared, "key"), "star")
-    asked = star.select("id").distinct().join(texts_of, "id")
-    one_text = texts.select(F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest"), "text").hint("merge").join(asked, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    sets = stage.put(shingle_sets(one_text, weighted), "sets")
+    asked = heads.select("id", row_key(F.col("digest"), F.col("least")).alias("_key")).hint("merge").join(star.select("id").distinct(), "id")
+    sets = stage.put(shingle_sets(_one_text(texts, asked), weighted), "sets")
     spokes = star.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     parts = components(stage, verified(spokes, sets, similarity).select("a", "b"))
     # buckets of three or more whose texts are in different classes
@@ -346,8 +364,7 @@ def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
     short = verified(_pairs_of_lists(lists.where(F.col("n") <= LIST)), left, similarity).select("a", "b")
     long = lists.where(F.col("n") > LIST).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     long = long.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp", "block")
-    marks = sig.select("digest", F.col("doc_id").alias("id"), "marks").hint("merge").join(long.select("id").distinct().join(texts_of, "id"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "marks")
-    long = long.hint("merge").join(left.select("id", "runs").hint("merge").join(marks, "id"), "id")
+    long = long.hint("merge").join(left.select("id", "runs").hint("merge").join(heads.select("id", "marks"), "id"), "id")
     # five standard deviations under the similarity
     least = similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / (bands * rows)))
     more = stage.put(short.union(compare_blocks(long, least, similarity)), "more")
@@ -355,19 +372,19 @@ def _classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
     of = lambda c: left.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
     joined = components(stage, more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
     stage.drop(star, sets, left, rare, more)
-    parts = parts.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("whole")), "comp", "full").select(F.coalesce("id", "comp").alias("id"), F.coalesce("whole", "comp").alias("class_id"))
-    copies = sig.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-    named = heads.hint("merge").join(parts, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
-    # exchanges with nothing else on them, so that a hot text can be split
-    return copies.hint("merge").join(named, "digest").select("doc_id", "digest", "class_id", "n")
+    parts = parts.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("whole")), "comp", "full").select(F.coalesce("id", "comp").alias("id"), F.coalesce("whole", "comp").alias("comp"))
+    # a class goes by its text of the smallest id, those without ids last
+    whole = heads.select("id", "digest", "least").hint("merge").join(parts, "id", "left").select("id", "digest", "least", F.coalesce("comp", "id").alias("comp"))
+    head = whole.groupBy("comp").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("head")).select("comp", F.col("head.least").alias("class_id"), F.col("head.id").alias("head_id"))
+    # exchanges with nothing else on them, so that a hot class or text can be split
+    named = whole.hint("merge").join(head, "comp").select("digest", "class_id", (F.col("id") == F.col("head_id")).alias("first"))
+    head_row = F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return copies.hint("merge").join(named, "digest").select("doc_id", "digest", "class_id", head_row.alias("head"), "n")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and columns of any names) that near_duplicates keeps, with their columns: a row for each kept id and text.
-
-    Rows of null ids whose texts no row with an id has all stay, one of each text. No rows give none.
-    """
-    keys = _classes(spark, docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(row_key(F.col("digest"), F.col("doc_id")).alias("_key"))
+    """The rows of ``docs`` (doc_id, text and columns of any names) that near_duplicates keeps, with their columns: one for each class. No rows give none."""
+    keys = _classes(spark, docs, **how).where("head").select(row_key(F.col("digest"), F.col("doc_id")).alias("_key"))
     return rows_of(docs, text_digest(F.col("text")), keys)
 
 

@@ -277,6 +277,21 @@ def classes(rows, least=0.8):
     return {i: find(i) for i in root}
 
 
+def by_text(rows, least=0.8):
+    """For each text the smallest id of its component (None without any) and a number of the component, by all pairs of texts."""
+    ids = collections.defaultdict(list)
+    for i, t in rows:
+        ids[t or ""].append(i)
+    keys, comp = list(ids), list(range(len(ids)))
+    sets = [runs(t) for t in keys]
+    for n in range(len(keys)):
+        for m in range(n):
+            if sets[n] and sets[m] and len(sets[n] & sets[m]) / len(sets[n] | sets[m]) >= least:
+                comp = [comp[m] if c == comp[n] else c for c in comp]
+    low = {c: min((i for k, t in enumerate(keys) if comp[k] == c for i in ids[t] if i is not None), default=None) for c in comp}
+    return {t: (low[comp[k]], comp[k]) for k, t in enumerate(keys)}
+
+
 def edited(rng, words, n):
     out = list(words)
     for _ in range(n):
@@ -313,6 +328,8 @@ def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(spark, docs).collect()
     assert collections.Counter(str(r.doc_id) for r in got) == collections.Counter(str(r[0]) for r in ODD)
     assert {r.class_id for r in got if r.doc_id == 8} == {8} and sum(r.kept for r in got if r.doc_id == 8) == 1
+    want = by_text([(r[0], r[1]) for r in ODD])
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == collections.Counter((r[0], want[r[1] or ""][0]) for r in ODD)
     assert minhash.near_duplicates(spark, docs.limit(0)).count() == 0
 
 
@@ -570,12 +587,21 @@ def test_names_inside_an_article():
     assert html.extract([page]) == ["Title\nDiscussion\nWe find it so.\nOthers did too.\nSharing\nLarge.\nIt grew."]
 
 
-def test_near_duplicates_dropped_by_id_and_text(spark):
-    rng = random.Random(3)
-    a, b, c, d = (prose(rng, 60) for _ in range(4))
-    rows = [(None, a), (None, a), (None, b), (None, None), (7, c), (7, d), (7, d), (8, c)]
-    left = minhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert collections.Counter(tuple(r) for r in left) == collections.Counter([(None, a), (None, b), (None, None), (7, c), (7, d)])
+@pytest.mark.parametrize("seed", range(4))
+def test_near_duplicates_go_by_text(spark, seed):
+    """Different texts under one id, a near copy of either, repeated rows, and texts without ids."""
+    rng = random.Random(seed)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = lambda t: " ".join(edited(rng, t.split(), 1))
+    rows = [(1, a), (2, near(a)), (2, b), (3, near(b)), (None, e), (None, e), (None, near(e)), (None, None), (7, c), (7, d), (7, d), (8, c), (9, near(d)), (4, c + " x"), (4, c + " y"), (None, near(a))]
+    want, docs = by_text(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(spark, docs).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == collections.Counter((i, want[t or ""][0]) for i, t in rows)
+    assert sum(r.kept for r in got) == len({n for _, n in want.values()}) and all(r.doc_id == r.class_id for r in got if r.kept)
+    left = minhash.drop_near_duplicates(spark, docs).collect()
+    assert sorted(want[r.text or ""][1] for r in left) == sorted({n for _, n in want.values()})  # one row of each class, no class lost
+    assert all(r.doc_id == want[r.text or ""][0] for r in left)
+    assert {r.text for r in left if r.doc_id in (1, 2)} == {a, b}
 
 
 def test_shapes_see_whole_words():
