@@ -173,3 +173,17 @@ def mesh_files(spark: SparkSession, sf_dir: str) -> str:
 
     _files(f, ["t", "blk"], write)
     return folder
+
+
+def grid_file(spark: SparkSession, sf_dir: str) -> str:
+    """The grid of ``field`` as a structured file."""
+    path = f"{shared_dir(spark)}/native/{uuid.uuid4().hex}/grid.xyz"
+
+    def write(pdf):
+        values = np.zeros((3, NX, NY, NZ))
+        for n, c in enumerate("xyz"):
+            values[n, pdf["i"], pdf["j"], pdf["k"]] = pdf[c]
+        plot3d.write_grid(path, *values)
+
+    _files(grid(field(spark, sf_dir)).withColumn("one", F.lit(1)), ["one"], write)
+    return path

@@ -265,6 +265,12 @@ def nusselt_profile(spark, sf):
     return cut_all(nusselt.nu_profile(nusselt.mean_levels(levels_of(spark, sf)), A.PE, A.T_REF), 5, *PROF)
 
 
+@query("nusselt_profile_ra", f"WITH {A.COLUMNS} SELECT level_idx, {', '.join(sql_cut(c, 5) for c in PROF)} FROM prof")
+def nusselt_profile_ra(spark, sf):
+    """With the velocity's scale from ra and pr."""
+    return cut_all(nusselt.nu_profile(nusselt.mean_levels(levels_of(spark, sf)), nusselt.peclet(ra=A.PE * A.PE * 2, pr=0.5), A.T_REF), 5, *PROF)
+
+
 @query("nusselt_scalars", f"""WITH {A.COLUMNS}, b AS (SELECT z, nu, lead(z) OVER (ORDER BY z) AS z1, lead(nu) OVER (ORDER BY z) AS n1 FROM prof, sc WHERE z >= z0 + 0.1::DOUBLE * (z1 - z0) - 1e-12 AND z <= z0 + 0.9::DOUBLE * (z1 - z0) + 1e-12),
 w AS (SELECT CASE WHEN sgn > 0 THEN -c0 / den ELSE c1 / den END AS hot, CASE WHEN sgn > 0 THEN -c1 / den ELSE c0 / den END AS cold FROM sc)
 SELECT {sql_cut('hot', 5, 'nu_hot')}, {sql_cut('cold', 5, 'nu_cold')}, {sql_cut('(SELECT sum(0.5 * (nu + n1) * (z1 - z)) / (max(z) - min(z)) FROM b)', 5, 'nu_bulk')}, {sql_cut('(SELECT min(nu) FROM prof)', 5, 'nu_min')}, {sql_cut('(SELECT max(nu) FROM prof)', 5, 'nu_max')},
@@ -362,12 +368,12 @@ def budget_accumulators(spark, sf):
     return cut_all(budget.accumulators(fluct(spark, sf), A.REF), 1, *budget.PRODUCTS)
 
 
-def _budget_sql(term: str, flux: str = "w", plain: bool = False) -> str:
+def _budget_sql(term: str, flux: str = "w", plain: bool = False, lag: str = "g.k") -> str:
     over = {"x": "PARTITION BY j, k ORDER BY i", "y": "PARTITION BY i, k ORDER BY j", "z": "PARTITION BY i, j ORDER BY k"}
     plane = {"x": "PARTITION BY j ORDER BY i", "y": "PARTITION BY i ORDER BY j"}
     slopes = ", ".join(f"{A.slope_sql(v, a, plane[a])} AS {v}_{a}" for v in FLOW for a in "xy")
     sql = f"{ACC}, pl AS (SELECT m.*, x, y FROM mean_tz m JOIN (SELECT DISTINCT i, j, x, y FROM grid) USING (i, j)), ps AS (SELECT *, {slopes} FROM pl), p0 AS (SELECT * FROM ps WHERE i = 1 AND j = 2)"
-    joined = "FROM grid g JOIN cw ON cw.i = g.i AND cw.j = g.j AND cw.lag = g.k JOIN ps ON ps.i = g.i AND ps.j = g.j JOIN acc ON acc.i = g.i AND acc.j = g.j AND acc.k = g.k, p0"
+    joined = f"FROM grid g JOIN cw ON cw.i = g.i AND cw.j = g.j AND cw.lag = {lag} JOIN ps ON ps.i = g.i AND ps.j = g.j JOIN acc ON acc.i = g.i AND acc.j = g.j AND acc.k = g.k, p0"
     at = lambda v, a: "0" if a == "z" else f"p0.{v}_{a}"
     ch = lambda v, a: "0" if a == "z" else f"(ps.{v}_{a} - p0.{v}_{a})"
     ax = dict(zip("uvw", "xyz", strict=True))
@@ -413,6 +419,14 @@ for _term, _flux in (("H_prod_h", "u"), ("H_prod_h", "v"), ("H_prod_I", "u"), ("
     query(f"budget_{_term}_{_flux}", _budget_sql(_term, _flux))(_budget(_term, _flux))
 
 
+@query("budget_shifted", _budget_sql("E_prod_h", lag=f"(g.k + {A.NZ - A.REF[2]}) % {A.NZ}"))
+def budget_shifted(spark, sf):
+    """The lag rolled to the reference point's place."""
+    f = A.field(spark, sf)
+    out = budget.terms(correlation.two_point(f, A.REF[:2], center="line"), moments.z_mean(moments.time_mean(f)), None, A.grid(f), A.REF, A.REF_XYZ, which=["E_prod_h"], shift_lag=True)
+    return cut_all(out, 0, "E_prod_h")
+
+
 @query("budget_unweighted", f"""SELECT h.i, h.j, h.k, {sql_cut('h.q', 0, 'E_prod_h')}, {sql_cut('o.q', 0, 'E_prod_I')}, {sql_cut('h.q + o.q', 0, 'E_prod_tot')}
 FROM ({_budget_sql('E_prod_h', plain=True)}) h JOIN ({_budget_sql('E_prod_I', plain=True)}) o ON h.i = o.i AND h.j = o.j AND h.k = o.k""")
 def budget_unweighted(spark, sf):
@@ -562,6 +576,26 @@ def native_elements(spark, sf):
     return e.select("iter", "blk", "elem_idx", *[(F.col(f"n{c}") - 1).alias(f"n{c}") for c in range(4)])
 
 
+@query("native_variable", f"WITH {A.FIELD}, b AS (SELECT t, 1 AS blk, t_val FROM field WHERE j <= 2 UNION ALL SELECT t, 2, t_val FROM field WHERE j >= 2) SELECT t AS iter, blk, {sql_cut('avg(t_val)', 6, 'tm')}, count(*) AS n FROM b GROUP BY t, blk")
+def native_variable(spark, sf):
+    """One variable of mesh files, which are read in parts by an index of their lines."""
+    folder = A.mesh_files(spark, sf)
+    nodes = sources.read_nodes(spark, folder, ["T"], dtype="float64", index=sources.index_partitions(spark, folder, part=4096))
+    return nodes.groupBy("iter", "blk").agg(cut(F.avg("T"), 6).alias("tm"), F.count("*").alias("n"))
+
+
+@query("native_grid", f"WITH {A.FIELD} SELECT i, j, k, {', '.join(sql_cut(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)', 5, c) for c in 'xyz')} FROM grid")
+def native_grid(spark, sf):
+    return cut_all(sources.read_grid(spark, A.grid_file(spark, sf)).select("i", "j", "k", *[F.col(c).cast("double").alias(c) for c in "xyz"]), 5, *"xyz")
+
+
+@query("native_slice", f"WITH {A.FIELD}, s AS (SELECT t, i, j, k, {NATIVE} FROM field WHERE k = 5 AND j >= 2) SELECT t, i, j, {flow_cut(4)} FROM s")
+def native_slice(spark, sf):
+    """A slice of snapshot files, of which no more is read than its rows."""
+    snap = sources.read_snapshots(spark, A.snapshot_files(spark, sf)).where("k = 5 AND j >= 2").withColumnRenamed("e", "t_val")
+    return cut_all(snap.select(F.col("time_num").alias("t"), "i", "j", *[F.col(c).cast("double").alias(c) for c in FLOW]), 4, *FLOW)
+
+
 FLUCT3 = "fluct3 AS (SELECT f.t, f.i, f.j, f.k, f.u - m.u AS u, f.v - m.v AS v, f.w - m.w AS w, f.t_val - m.t_val AS t_val FROM field f JOIN mean_t m USING (i, j, k))"
 
 
@@ -600,6 +634,46 @@ def checkpoint_read(spark, sf):
     return done.read(list(range(6)), rows=A.NZ).select(F.col("iter").cast("long").alias("iter"), "k", cut("u", 6).alias("u"))
 
 
+@query("checkpoint_abort", f"WITH {A.FIELD} SELECT t AS iter, k, {sql_cut('avg(u)', 6, 'u')} FROM field WHERE t < 6 AND t <> 4 GROUP BY t, k")
+def checkpoint_abort(spark, sf):
+    """An iteration that fails is told and left out; the others are made."""
+    from ..streaming import Checkpoint
+
+    f, done = A.field(spark, sf), Checkpoint(spark, f"{shared_dir(spark)}/checkpoints/{uuid.uuid4().hex}", {"field": "u"})
+    broken = F.when(F.col("t") == 4, F.raise_error("no such iteration").cast("double")).otherwise(F.col("u"))
+    failed = done.run(range(6), lambda it: f.where(F.col("t") == it).groupBy("k").agg(F.avg(broken).alias("u")), on_error="collect")
+    return done.read([it for it in range(6) if it not in failed]).select(F.col("iter").cast("long").alias("iter"), "k", cut("u", 6).alias("u"))
+
+
+@query("checkpoint_gate", f"WITH {A.FIELD} SELECT t AS iter, k, {sql_cut('avg(v)', 6, 'v')} FROM field WHERE t < 3 GROUP BY t, k")
+def checkpoint_gate(spark, sf):
+    """Results made with other settings aren't taken for these: they are wiped and made anew."""
+    from ..streaming import Checkpoint
+
+    f, path = A.field(spark, sf), f"{shared_dir(spark)}/checkpoints/{uuid.uuid4().hex}"
+    work = lambda c: lambda it: f.where(F.col("t") == it).groupBy("k").agg(F.avg(c).alias(c))
+    Checkpoint(spark, path, {"field": "u"}).run(range(2), work("u"))
+    try:
+        done = Checkpoint(spark, path, {"field": "v"})
+    except ValueError:
+        done = Checkpoint(spark, path, {"field": "v"}, wipe=True)
+    done.run(range(3), work("v"))
+    return done.read(list(range(3))).select(F.col("iter").cast("long").alias("iter"), "k", cut("v", 6).alias("v"))
+
+
+@query("checkpoint_inputs", f"WITH {A.FIELD} SELECT t AS iter, CASE WHEN t % 2 = 0 THEN 2 ELSE 1 END AS go, {sql_cut('avg(u)', 6, 'u')} FROM field WHERE t < 6 GROUP BY t")
+def checkpoint_inputs(spark, sf):
+    """Iterations whose inputs changed since are made again, and no others: here those of even t, by their fingerprints."""
+    from ..streaming import Checkpoint
+
+    f, done = A.field(spark, sf).where("t < 6"), Checkpoint(spark, f"{shared_dir(spark)}/checkpoints/{uuid.uuid4().hex}", {"field": "u"})
+    for go in (1, 2):
+        changed = F.when(F.col("t") % 2 == 0, go).otherwise(1)
+        prints = f.groupBy("t", changed.alias("c")).agg(F.sum("u").alias("s")).select(F.col("t").alias("iter"), F.sha2(F.concat_ws(" ", F.col("c").cast("string"), F.round("s", 2).cast("string")), 256).alias("fingerprint"))
+        done.run(range(6), lambda it, go=go: f.where(F.col("t") == it).agg(F.avg("u").alias("u")).withColumn("go", F.lit(go)), prints=prints)
+    return done.read(list(range(6))).select(F.col("iter").cast("long").alias("iter"), "go", cut("u", 6).alias("u"))
+
+
 def lines_of(spark, path, header, names):
     """The numbers of a text file's rows after its header."""
     rows = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("v"), F.monotonically_increasing_id().alias("n")).where(f"n >= {header}")
@@ -636,6 +710,36 @@ def written_mesh(spark, sf):
     return rows.select(*[F.col("v")[k].cast("long").alias(f"n{k}") for k in range(4)], (F.col("n") - first).alias("place"))
 
 
+@query("written_mesh_nodes", f"WITH {A.TETS} SELECT {', '.join(sql_cut(c, 5) for c in 'xyz')}, {sql_cut('u', 3)}, row_number() OVER (ORDER BY node_id) - 1 AS place FROM pts")
+def written_mesh_nodes(spark, sf):
+    """The nodes of a written mesh, in their order."""
+    path = text_file(spark)
+    sinks.write_mesh(spark, path, A.mesh_points(spark, sf), ["x", "y", "z", "u"], A.tets(spark, sf))
+    rows = spark.read.text(path).coalesce(1).select(F.split(F.trim("value"), " +").alias("v"), F.monotonically_increasing_id().alias("n")).where(f"n >= 3 AND n < {3 + A.NX * A.NY * A.NZ}")
+    return rows.select(*[cut(F.col("v")[k].cast("double"), p).alias(c) for k, (c, p) in enumerate((("x", 5), ("y", 5), ("z", 5), ("u", 3)))], (F.col("n") - 3).alias("place"))
+
+
+@query("written_mesh_from_0", f"WITH {A.TETS} SELECT n0, n1, n2, n3, row_number() OVER (ORDER BY elem_idx) - 1 AS place FROM tets")
+def written_mesh_from_0(spark, sf):
+    """Elements counted from 0, in a file that takes the place of an earlier one."""
+    path, nodes, elems = text_file(spark), A.mesh_points(spark, sf), A.tets(spark, sf)
+    for some, first in ((elems.where("elem_idx % 2 = 0"), True), (elems, False)):
+        sinks.write_mesh(spark, path, nodes, ["x", "y", "z", "u"], some, one_based=first)
+    first = 3 + A.NX * A.NY * A.NZ
+    rows = spark.read.text(path).coalesce(1).select(F.split(F.trim("value"), " +").alias("v"), F.monotonically_increasing_id().alias("n")).where(f"n >= {first}")
+    return rows.select(*[F.col("v")[k].cast("long").alias(f"n{k}") for k in range(4)], (F.col("n") - first).alias("place"))
+
+
+@query("written_once", f"SELECT {sql_cut('l_quantity', 4, 'z')}, {sql_cut('avg(l_extendedprice)', 4, 'value')} FROM lineitem GROUP BY l_quantity")
+def written_once(spark, sf):
+    """An output that is there already is passed over."""
+    path = text_file(spark)
+    for value in ("val", "z"):
+        if not sinks.exists(spark, path):
+            sinks.write_profile(spark, path, profile.level_profile(A.cloud(spark, sf), "z", {"value": value}, 1e-6))
+    return cut_all(lines_of(spark, path, 0, ["z", "value"]), 4, "z", "value")
+
+
 @query("written_summary", "SELECT 'rows = ' || count(*) AS value FROM lineitem UNION ALL SELECT 'parts = ' || count(DISTINCT l_partkey) FROM lineitem")
 def written_summary(spark, sf):
     path = text_file(spark)

@@ -48,12 +48,12 @@ def connectivity(spark: SparkSession, folder: str, iteration: int, tol: float =
 def time_average(spark: SparkSession, folder: str, out: str, variable: str, iters: Sequence[int] | None = None, tol: float = 1e-6, check_tol: float = 1e-5, level_tol: float = 1e-6, dtype: str = "float32", elements: bool = False) -> tuple[DataFrame, DataFrame]:
     """The time mean of a variable on the merged mesh (node_id, x, y, z, variable, n) and its profile by level.
 
-    Merged iterations are kept under ``out``/iterations, so a later call makes only those that are new. All
+    Merged iterations are kept under ``out``/iterations, so a later call makes only those that are new or whose files have changed. All
     must have the first one's nodes within ``check_tol``. Writes mean.dat and profile.dat to ``out``; ``elements`` adds the tetrahedra.
     """
     wanted = _iterations(spark, folder, iters)
     done = Checkpoint(spark, f"{out}/iterations", {"variable": variable, "dtype": dtype, "tol": tol}, warn_only=("tol",))
-    done.run(wanted, lambda it: merged(spark, folder, [it], [variable], tol, dtype).drop("iter"))
+    done.run(wanted, lambda it: merged(spark, folder, [it], [variable], tol, dtype).drop("iter"), prints=sources.fingerprints(spark, folder))
     all_ = done.read(wanted)
     first = all_.where(F.col("iter") == wanted[0])
     mesh.check_series(mesh.grid_extents(all_, ["node_id"]), len(wanted), check_tol)
@@ -74,7 +74,7 @@ def nusselt_numbers(
 
     ``mode``: columns or fe, or auto, which takes columns if the first iteration's points stand in such. ``t_ref``: a
     number, or "auto" for half the sum of the walls' temperatures in the first iteration. Level means are kept under ``out``/levels, so that a
-    later call makes only new iterations; everything else follows from them. Writes profile.dat and summary.txt.
+    later call makes only iterations that are new or whose files have changed; everything else follows from them. Writes profile.dat and summary.txt.
     """
     wanted = _iterations(spark, folder, iters)
     names = {"W": "w", "T": "t_val"}
@@ -90,7 +90,7 @@ def nusselt_numbers(
         return means.drop("iter")
 
     done = Checkpoint(spark, f"{out}/levels", {"mode": mode, "dtype": dtype, "tol": tol}, warn_only=("tol",))
-    done.run(wanted, level_means)
+    done.run(wanted, level_means, prints=sources.fingerprints(spark, folder))
     levels = done.read(wanted)
     reference = float(nusselt.reference_temperature(levels).first()["t_ref"] if t_ref == "auto" else t_ref)
     # the flux of another reference temperature differs by that of mass

@@ -164,7 +164,9 @@ class TecplotReader(DataSourceReader):
         nodes = 3 + head.n_nodes
         return (nodes, nodes + head.n_elements) if self.section == "elems" else (3, nodes)
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file is left
+            return
         if part.end is not None:
             yield from self._read_part(part)
             return

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -19,11 +20,16 @@ def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(done.select(key), key, "left_anti")
 
 
+def pending_prints(prints: DataFrame, made: DataFrame) -> DataFrame:
+    """Of inputs (iter, fingerprint), those that nothing was made of yet, or not of them as they are now."""
+    return prints.join(made, ["iter", "fingerprint"], "left_anti")
+
+
 class Checkpoint:
     """Results of iterations under ``path``, a folder for each, and what they were made with.
 
     ``meta`` must match what the folder holds, but for the names in ``warn_only``; a mismatch raises
-    ValueError unless ``wipe``, which starts afresh: it removes the folder's iterations and meta.json, and nothing else. A folder that holds other
+    ValueError unless ``wipe``, which starts afresh: it removes the folder's iterations, what they were made of, and meta.json, and nothing else. A folder that holds other
     files but no meta.json isn't a checkpoint and raises too.
     """
 
@@ -44,7 +50,7 @@ class Checkpoint:
             if text is None and there and not wipe:
                 raise ValueError(f"{path} isn't empty and isn't a checkpoint")
             for name in there:
-                if name == "meta.json" or name.startswith("iter="):
+                if name in ("meta.json", "inputs") or name.startswith("iter="):
                     self._path("").getFileSystem(self._conf()).delete(self._path(name), True)
             self._fs_write(f"{path}/meta.json", json.dumps(meta))
 
@@ -75,14 +81,33 @@ class Checkpoint:
         fs = self._path("").getFileSystem(self._conf())
         return sorted(int(n[5:]) for n in self._names() if n.startswith("iter=") and fs.exists(self._path(f"{n}/_SUCCESS")))
 
-    def run(self, iters: Sequence[int], work: Callable[[int], DataFrame], on_error: str = "raise") -> dict[int, str]:
-        """Makes the iterations that aren't done. A failure raises, or with on_error="collect" is returned under its iteration."""
-        failed, have = {}, set(self.done())
+    def current(self, prints: DataFrame) -> list[int]:
+        """Iterations that are whole and were made of the inputs that ``prints`` (iter, fingerprint) tells; see sources.fingerprints."""
+        made = self.spark.createDataFrame([(it,) for it in self.done()], "iter long")
+        return sorted(r["iter"] for r in made.join(pending_prints(prints, self._prints()), "iter", "left_anti").collect())  # a number for each iteration
+
+    def _prints(self) -> DataFrame:
+        """iter, fingerprint: what each iteration was made of, the last time."""
+        if "inputs" not in self._names():
+            return self.spark.createDataFrame([], "iter long, fingerprint string")
+        rows = self.spark.read.schema("iter long, fingerprint string, nth long").parquet(f"{self.path}/inputs")
+        return rows.groupBy("iter").agg(F.max_by("fingerprint", "nth").alias("fingerprint"))
+
+    def run(self, iters: Sequence[int], work: Callable[[int], DataFrame], on_error: str = "raise", prints: DataFrame | None = None) -> dict[int, str]:
+        """Makes the iterations that aren't done. A failure raises, or with on_error="collect" is returned under its iteration.
+
+        With ``prints`` (iter, fingerprint of the inputs) those are made again too whose inputs have changed since, or aren't told. A fingerprint is kept after
+        its iteration is whole, so a run that is cut off makes it again.
+        """
+        failed, have = {}, set(self.done() if prints is None else self.current(prints))
+        now = {} if prints is None else {r["iter"]: r["fingerprint"] for r in prints.collect()}  # a row for each iteration
         for it in iters:
             if it in have:
                 continue
             try:
                 work(it).write.mode("overwrite").parquet(f"{self.path}/iter={it}")
+                if prints is not None:
+                    self.spark.createDataFrame([(it, now.get(it), time.time_ns())], "iter long, fingerprint string, nth long").coalesce(1).write.mode("append").parquet(f"{self.path}/inputs")
             except Exception as e:
                 if on_error == "raise":
                     raise

@@ -154,6 +154,50 @@ def test_grid_check(spark):
             mesh.check_grid(df, other, ["n"])
 
 
+def test_grids_of_a_series(spark):
+    rows = [(it, n, float(n), 0.0, float(n * n)) for it in range(4) for n in range(5)]
+    df = spark.createDataFrame(rows, "iter int, node_id int, x double, y double, z double")
+    extents = mesh.grid_extents(df, ["node_id"])
+    mesh.check_series(extents, 4)
+    halves = [mesh.grid_extents(df.where(c), ["node_id"]) for c in ("iter < 1", "iter >= 1")]
+    assert sorted(mesh.merged_extents(halves[1].union(halves[0]), ["node_id"]).collect()) == sorted(extents.collect())
+    mesh.check_series(mesh.grid_extents(df.where("iter < 0"), ["node_id"]), 4)
+    third = F.col("iter") == 2
+    for bad in (df.where(~third | (F.col("node_id") < 4)), df.withColumn("y", F.when(third, 1e-4).otherwise(0.0)), df.withColumn("z", F.when(third, float("nan")).otherwise(F.col("z"))), df.where("iter < 3"), df.union(df.where(third).withColumn("node_id", F.col("node_id") + 9))):
+        with pytest.raises(ValueError, match="differ"):
+            mesh.check_series(mesh.grid_extents(bad, ["node_id"]), 4)
+
+
+def test_one_line_in_blocks(spark, monkeypatch):
+    from fieldloom import functions
+
+    monkeypatch.setattr(functions, "BLOCK", 7)
+    rng = np.random.default_rng(0)
+    z = np.cumsum(rng.uniform(0.1, 1, 100))
+    f = np.sin(z)
+    df = spark.createDataFrame([(int(n), float(z[n]), float(f[n])) for n in rng.permutation(100)], "level_idx int, z double, tm double").repartition(5)
+    got = {r.z: r.d for r in stencil.derivatives(df, {"d": "tm"}, "z", [], "z").collect()}
+    assert [got[x] for x in z] == pytest.approx(np.gradient(f, z, edge_order=2))
+    assert stencil.trapezoid(df, "tm", "z").first()["integral"] == pytest.approx(np.trapezoid(f, z))
+    for at in (z[0] - 1, z[6], z[7], 0.5 * (z[13] + z[14]), z[-1], z[-1] + 1):
+        assert stencil.interpolate(df, "tm", "z", F.lit(float(at))).first()["value"] == pytest.approx(np.interp(at, z, f))
+    assert {r.z: r.dz for r in nusselt.thickness(df).collect()} == {x: pytest.approx(w) for x, w in zip(z, np.gradient(z), strict=True)}
+    bl = nusselt.thermal_bl(df).first()
+    g, center = np.gradient(f, z, edge_order=2), np.interp((z[0] + z[-1]) / 2, z, f)
+    assert (bl.t_center, bl.delta_b, bl.delta_t) == pytest.approx((center, abs(f[0] - center) / abs(g[0]), abs(f[-1] - center) / abs(g[-1])))
+    places = {r.z: r._place for r in functions.placed(df, "z").collect()}
+    assert [places[x] for x in z] == list(range(100))
+    with pytest.raises(Exception, match="three points"):
+        stencil.derivatives(df.limit(2), {"d": "tm"}, "z", [], "z").collect()
+
+
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e7])
+def test_spacing_of_any_unit(spark, scale):
+    df = spark.createDataFrame([(scale * 10 * x, scale * 10 * y) for x in (0.0, 1.0, 3.0, 4.5) for y in (2.0,)], "x double, y double")
+    s = profile.spacing(df).first()
+    assert (s.n_x, s.n_y, s.dy_ratio, s.tensor) == (4, 1, 1.0, True) and s.dx_ratio == pytest.approx(2.0)
+
+
 def test_heat_flux_of_a_conducting_layer(spark):
     lev = spark.createDataFrame([(it, n, n / 10, 0.0, -1.0, 1 - n / 10, 0.0) for it in range(3) for n in range(11)], "iter int, level_idx int, z double, conv double, cond double, tm double, mflux double")
     m = nusselt.mean_levels(lev)

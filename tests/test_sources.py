@@ -143,3 +143,79 @@ def test_arrays_for_numpy(spark, tmp_path):
     assert b["data"].tolist() == [[1.5, 8], [2.5, 9], [0.5, 7]] and b["var_names"].tolist() == ["X", "c"] and b["conn"].tolist() == [[2, 1, 0, 1], [0, 1, 2, 0]]
     with pytest.raises(ValueError, match="more than 2 rows"):
         sinks.write_npy(str(tmp_path / "c.npy"), nodes, ["X"], ["node_id"], most_rows=2)
+
+
+def test_indexed_files_are_read_in_parts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for blk in (1, 2):  # lines of odd lengths
+        nodes = [[f"{x:.{rng.integers(1, 12)}g}" for x in rng.standard_normal(13) * 10.0 ** rng.integers(-3, 6)] for _ in range(60 + blk)]
+        partition(tmp_path, blk, 7, nodes, rng.integers(1, 60, (30 * blk, 4)).tolist())
+    partition(tmp_path, 3, 7, rows(1), [])
+    folder, whole = str(tmp_path), {}
+    for name, read in (("nodes", lambda **k: sources.read_nodes(spark, folder, ["T"], dtype="float64", **k)), ("elems", lambda **k: sources.read_elements(spark, folder, **k))):
+        whole[name] = sorted(map(tuple, read().collect()))
+    for part in (61, 700, 1 << 20):
+        index = sources.index_partitions(spark, folder, str(tmp_path / f"lines{part}"), part=part)
+        assert sorted(map(tuple, sources.read_nodes(spark, folder, ["T"], dtype="float64", index=index).collect())) == whole["nodes"]
+        assert sorted(map(tuple, sources.read_elements(spark, folder, index=index).collect())) == whole["elems"]
+    index = sources.index_partitions(spark, folder, part=500)
+    assert sources.index_partitions(spark, folder) == index == f"{folder}/lines"
+    nodes, elems = sources.read_nodes(spark, folder, ["T"], index=index), sources.read_elements(spark, folder, index=index)
+    assert nodes.rdd.getNumPartitions() > 20 and 2 <= elems.rdd.getNumPartitions() < 12  # parts of nodes alone aren't opened for elements
+    assert nodes.where("iter = 8").count() == 0
+    with open(tmp_path / "tecplot_blk3_iter7.dat", "a") as f:
+        f.write("\n")
+    with pytest.raises(Exception, match="has changed"):
+        sources.read_nodes(spark, folder, ["T"], index=index).collect()
+    partition(tmp_path, 4, 7, rows(2), [], sizes=(5, 0))
+    with pytest.raises(Exception, match="lines where its header"):
+        sources.index_partitions(spark, folder)
+
+
+def test_places_become_byte_ranges(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(0)
+    shape = (5, 4, 12)
+    snaps = {t: rng.random((*shape, 5)).astype("f4") for t in range(3)}
+    for t, v in snaps.items():
+        plot3d.write_snapshot(str(tmp_path / f"grid1.{t}.f"), v)
+    df = sources.read_snapshots(spark, str(tmp_path))
+    inside = {
+        "k = 5": lambda i, j, k, t: k == 5, "k >= 3 AND k < 6 AND i > 1": lambda i, j, k, t: 3 <= k < 6 and i > 1, "i = 1 AND j = 2": lambda i, j, k, t: (i, j) == (1, 2),
+        "j IN (0, 3) AND time_num = 2": lambda i, j, k, t: j in (0, 3) and t == 2, "k = 99": lambda i, j, k, t: False, "j <= 1 AND j > 0 AND time_num IN (0, 1)": lambda i, j, k, t: j == 1 and t < 2, "i = -1": lambda i, j, k, t: False,
+    }
+    for where, f in inside.items():
+        want = sorted((t, i, j, k, *map(float, v[i, j, k])) for t, v in snaps.items() for i, j, k in np.ndindex(*shape) if f(i, j, k, t))
+        assert sorted(map(tuple, df.where(where).select("time_num", "i", "j", "k", "u", "v", "w", "p", "e").collect())) == want, where
+    # the bytes that a slice reads
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *x):
+            self.f.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+    opened = plot3d.open_
+    monkeypatch.setattr(plot3d, "open_", lambda path: Counted(opened(path)))
+    names = ["grid_num", "time_num", "i", "j", "k", "u", "v", "w", "p", "e"]
+    reader = plot3d.Plot3DReader([str(tmp_path / "grid1.0.f")], False, names)
+    assert list(reader.pushFilters([plot3d.EqualTo(("k",), 5)])) == []
+    read.clear()
+    assert sum(b.num_rows for p in [plot3d.Part(str(tmp_path / "grid1.0.f"))] for b in reader.read(p)) == 20
+    assert sum(read) < 4 * 5 * 5 * 4 + 64  # one plane of five variables, and a header
+    monkeypatch.setattr(plot3d, "PART", 60)  # files in parts
+    reader = plot3d.Plot3DReader([str(tmp_path / "grid1.0.f")], False, names)
+    parts = reader.partitions()
+    assert len(parts) == 4 and sum(b.num_rows for p in parts for b in reader.read(p)) == 240
+    assert sorted(k for p in parts for b in reader.read(p) for k in b.column("k").to_pylist()) == sorted(k for _, _, k in np.ndindex(*shape))

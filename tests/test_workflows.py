@@ -50,6 +50,24 @@ def test_time_average_of_files(spark, tmp_path):
         workflows.time_average(spark, str(tmp_path / "mesh"), out, "T", [7], dtype="float64")
 
 
+def test_changed_files_are_made_again(spark, tmp_path, monkeypatch):
+    folder, made, merged = tmp_path / "mesh", [], workflows.merged
+    monkeypatch.setattr(workflows, "merged", lambda spark, folder, iters, *a: made.extend(iters) or merged(spark, folder, iters, *a))
+    write_mesh_parts(folder, [1, 2, 3])
+    go = lambda **how: workflows.time_average(spark, str(folder), f"file://{tmp_path}/out", "T", dtype="float64", **how)[0]
+    one = go().count()
+    go()
+    assert made == [1, 2, 3]
+    text = (folder / "tecplot_blk1_iter2.dat").read_text().splitlines()
+    (folder / "tecplot_blk1_iter2.dat").write_text("\n".join([*text[:3], *(" ".join([*x.split()[:7], "9.5", *x.split()[8:]]) for x in text[3 : 3 + 2 * NY * NZ]), *text[3 + 2 * NY * NZ :]]) + "\n")
+    mean = go()
+    assert made == [1, 2, 3, 2] and mean.count() == one and mean.where("T > 3").count() == 2 * NY * NZ
+    shifted = [*text[:3], *(f"{float(x.split()[0]) + 0.01} {x.split(' ', 1)[1]}" for x in text[3 : 3 + 2 * NY * NZ]), *text[3 + 2 * NY * NZ :]]
+    (folder / "tecplot_blk1_iter3.dat").write_text("\n".join(shifted) + "\n")
+    with pytest.raises(ValueError, match="grids differ"):
+        go()
+
+
 @pytest.mark.parametrize("mode", ["auto", "fe"])
 def test_nusselt_numbers_of_files(spark, tmp_path, mode):
     write_mesh_parts(tmp_path / "mesh", [1, 2, 3])
