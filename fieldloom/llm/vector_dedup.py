@@ -9,7 +9,7 @@ whose exact cosine is high enough are united over all passes; then the links ins
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Stage, components, give_back, read, small_batches
 
 COSINE, PASSES, WINDOW, HASHES = 0.95, 16, 64, 64
+#: Passes that are sorted in one go.
+AT_ONCE = 2
 #: Vectors compared together in a pass, members of a class in a block, and what an angle may be off by rounding.
 CHUNK, BLOCK, ROUNDING = 256, 1024, 1e-6
 
@@ -81,35 +83,49 @@ class Carry:
             self.x, self.node = more[-self.window :], names[-self.window :]
 
 
-def one_pass(nodes: DataFrame, nth: int, cosine: float, window: int, seed: int) -> DataFrame:
-    """a, b: links of one sorted pass. And, with b null, the first and last ``window`` rows of each partition, with their place and the partition's rows."""
+def segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of neighbouring rows of one pass (nth) and length (d)."""
+    key = np.stack([batch.column(c).to_numpy() for c in ("nth", "d")])
+    edges = [0, *(np.flatnonzero((np.diff(key) != 0).any(0)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def sorted_passes(nodes: DataFrame, nths: Sequence[int], cosine: float, window: int, seed: int) -> DataFrame:
+    """a, b: links of some passes, sorted in one go. And, with b null, the first and last ``window`` rows of each partition, with their place and the partition's number."""
 
     def key(batches):
         for batch in batches:
             for part in by_length(batch):
-                k = keys(unit(part.column("vec")), nth, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part.column("vec").value_lengths()[0].as_py(), np.int32)), pa.array(k), *part.columns], names=["d", "key", *part.schema.names])
+                x, d = unit(part.column("vec")), part.column("vec").value_lengths()[0].as_py()
+                for nth in nths:
+                    k = keys(x, nth, seed).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), nth, np.int32)), pa.array(np.full(len(k), d, np.int32)), pa.array(k), *part.columns], names=["nth", "d", "key", *part.schema.names])
 
-    kind = nodes.schema["vec"].dataType.simpleString()
-    keyed = nodes.select("node", "vec").mapInArrow(key, f"d int, key long, node long, vec {kind}")
-    ordered = keyed.repartitionByRange("d", "key", "node").sortWithinPartitions("d", "key", "node").select("d", "node", "vec", F.spark_partition_id().alias("part"))
+    kind, order = nodes.schema["vec"].dataType.simpleString(), ["nth", "d", "key", "node"]
+    keyed = nodes.select("node", "vec").mapInArrow(key, f"nth int, d int, key long, node long, vec {kind}")
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("nth", "d", "node", "vec", F.spark_partition_id().alias("part"))
 
     def compare(batches):
-        carry, at, tail = Carry(cosine, window), 0, None
+        carry, last, at, tail = None, None, 0, None
 
-        def row(a, b, part, at, d, vec) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([a, b, part, at, d, vec], names=["a", "b", "part", "at", "d", "vec"])
+        def row(a, b, rest) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([a, b, *rest], names=["a", "b", "nth", "d", "part", "at", "vec"])
 
         def ends(rows: pa.Table) -> pa.RecordBatch:
             of = {c: rows[c].combine_chunks() for c in rows.column_names}
-            return row(of["node"], pa.nulls(len(rows), pa.int64()), of["part"], of["at"], of["d"], of["vec"])
+            return row(of["node"], pa.nulls(len(rows), pa.int64()), [of[c] for c in ("nth", "d", "part", "at", "vec")])
 
         for batch in batches:
-            for part in by_length(batch):
-                node, nulls = part.column("node").to_numpy(), part.schema.field("vec").type
+            for part in segments(batch) if batch.num_rows else ():
+                segment, node = (part.column("nth")[0].as_py(), part.column("d")[0].as_py()), part.column("node").to_numpy()
+                if segment != last:
+                    carry, last = Carry(cosine, window), segment
+                nulls = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), part.schema.field("vec").type]
                 for a, b in carry.add(unit(part.column("vec")), node):
                     if len(a):
-                        yield row(pa.array(a), pa.array(b), *[pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int32(), nulls)])
+                        yield row(pa.array(a), pa.array(b), [pa.nulls(len(a), t) for t in nulls])
                 rows = pa.Table.from_batches([part.append_column("at", pa.array(np.arange(at, at + len(node))))])
                 if at < window:
                     yield ends(rows.slice(0, window - at))
@@ -122,43 +138,41 @@ def one_pass(nodes: DataFrame, nth: int, cosine: float, window: int, seed: int)
                 yield ends(tail.slice(first))
         give_back()
 
-    return ordered.mapInArrow(compare, f"a long, b long, part int, at long, d int, vec {kind}").withColumn("nth", F.lit(nth))
+    return ordered.mapInArrow(compare, f"a long, b long, nth int, d int, part int, at long, vec {kind}").withColumn("go", F.lit(min(nths)))
 
 
-def over_borders(stage: Stage, ends: DataFrame, cosine: float, window: int) -> DataFrame:
-    """a, b: links between rows of different partitions that stand at most ``window`` apart. ``ends``: the first and last rows of all partitions (nth, part, at, d, vec, a)."""
-    held = ends.groupBy("nth", "part").agg((F.max("at") + 1).alias("n"))  # a row for each partition
-    first = held.withColumn("first", F.coalesce(F.sum("n").over(W.partitionBy("nth").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("nth", "part", "first")
-    placed = ends.join(F.broadcast(first), ["nth", "part"]).withColumn("place", F.col("first") + F.col("at"))
+def over_borders(ends: DataFrame, cosine: float, window: int) -> DataFrame:
+    """a, b: what joins up rows of different partitions that are near and stand at most ``window`` apart. ``ends``: the first and last rows of all partitions of a go."""
+    held = ends.groupBy("go", "part").agg((F.max("at") + 1).alias("n"))  # a row for each partition
+    first = held.withColumn("first", F.coalesce(F.sum("n").over(W.partitionBy("go").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("go", "part", "first")
+    placed = ends.join(F.broadcast(first), ["go", "part"]).withColumn("place", F.col("first") + F.col("at"))
     wide = 4 * window  # a block gets the rows that stand in it and ``window`` more after it
     blocks = F.array_distinct(F.array(F.expr(f"place div {wide}"), F.greatest(F.expr(f"(place - {window}) div {wide}"), F.lit(0))))
-    rows = placed.withColumn("block", F.explode(blocks)).select("nth", "block", "place", "part", "d", F.col("a").alias("node"), "vec")
+    rows = placed.withColumn("block", F.explode(blocks)).select("go", "block", "place", "part", "nth", "d", F.col("a").alias("node"), "vec")
 
     def compare(_, t):
         t = t.sort_by("place").combine_chunks()
-        place, part, node = (t[c].to_numpy() for c in ("place", "part", "node"))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        at = 0
-        for rows in by_length(t.to_batches()[0]):
-            s = slice(at, at + len(rows))
-            at += len(rows)
+        for rows in segments(t.to_batches()[0]):
+            place, part, node = (rows.column(c).to_numpy() for c in ("place", "part", "node"))
             x = unit(rows.column("vec"))
-            linked = (x @ x.T >= cosine) & (np.abs(place[s, None] - place[s]) <= window) & (part[s, None] != part[s])
-            i, j = np.nonzero(np.triu(linked))
-            a.append(node[s][i])
-            b.append(node[s][j])
+            linked = (x @ x.T >= cosine) & (np.abs(place[:, None] - place) <= window) & (part[:, None] != part)
+            label = united(linked)
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            a.append(node[joined])
+            b.append(node[label[joined]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("nth", "block").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("go", "block").applyInArrow(compare, "a long, b long").distinct()
 
 
 def classes(stage: Stage, nodes: DataFrame, cosine: float, passes: int, window: int, seed: int) -> DataFrame:
-    """node, comp of what passes join, comp the least node; nodes that nothing is joined to are left out."""
-    found = [stage.put(one_pass(nodes, k, cosine, window, seed), f"pass{k}") for k in range(passes)]
+    """node, comp of what passes join, comp the least node; nodes that nothing is joined to are left out. A few passes go at a time, so that what a sort holds on disk stays in proportion to the vectors."""
+    found = [stage.put(sorted_passes(nodes, range(k, min(passes, k + AT_ONCE)), cosine, window, seed), f"pass{k}") for k in range(0, passes, AT_ONCE)]
     both = found[0]
     for f in found[1:]:
         both = both.union(f)
-    border = over_borders(stage, both.where("b IS NULL").drop("b"), cosine, window)
+    border = over_borders(both.where("b IS NULL").drop("b"), cosine, window)
     links = stage.put(both.where("b IS NOT NULL").select("a", "b").union(border).distinct(), "links")
     stage.drop(*found)
     return components(stage, links).select(F.col("id").alias("node"), "comp")
@@ -183,6 +197,7 @@ def count_links(stage: Stage, members: DataFrame, cosine: float) -> DataFrame:
 
     parts = members.select("comp", "vec").mapInArrow(sums, "comp long, total array<double>").select("comp", F.posexplode("total").alias("p", "x"))
     mean = parts.groupBy("comp", "p").agg(F.sum("x").alias("x")).groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("mean"))
+    mean = stage.put(mean, "means")  # the join below then has plain exchanges on both sides, and a large class can be split
 
     def angles(batches):
         for batch in batches:
