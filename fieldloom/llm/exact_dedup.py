@@ -12,10 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from ..tables import Bucketed
 from .common import LOWER, UPPER, Stage, ascii_lower, each, read, row_key, rows_of
 
-SCHEMA = "digest binary, keep_id long, group_size long"
-
 
 def text_digest(text):
     """SHA-256 of the text with A-Z lower-cased, in UTF-8; null counts as empty."""
@@ -25,18 +25,20 @@ def text_digest(text):
 class DigestIndex:
     """Digests seen so far: ``digest, keep_id, group_size`` (rows of the batch that brought it).
 
+    The index lies in a folder of its ``name`` under ``folder``, or under indexes in the shared folder, and a later session opens it again by the same name.
     ``n_buckets`` should match the shuffle partitions of the jobs that ingest,
-    so that a batch meets the index without moving it; that is the default.
+    so that a batch meets the index without moving it; that is the default of a new index.
     """
 
-    def __init__(self, spark: SparkSession, table: str, n_buckets: int | None = None):
-        self.spark, self.table = spark, table
-        self.n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(table):
-            self._append(spark.createDataFrame([], SCHEMA))
+    def __init__(self, spark: SparkSession, name: str, n_buckets: int | None = None, folder: str | None = None):
+        self.spark = spark
+        self.rows = Bucketed(spark, f"{folder or f'{shared_dir(spark)}/indexes'}/{name}", "digest", "digest binary, keep_id long, group_size long", n_buckets)
+        self.n_buckets = self.rows.buckets
 
-    def _append(self, df: DataFrame) -> None:
-        (df.write.format("parquet").mode("append").bucketBy(self.n_buckets, "digest").sortBy("digest").saveAsTable(self.table))
+    @property
+    def table(self) -> str:
+        """The index's name in the session's catalog."""
+        return self.rows.name
 
     def _add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         """The batch's ids and texts (doc_id, digest, n: rows of both), and what the index now says of its texts (digest, keep_id, group_size). Appends what is new."""
@@ -47,11 +49,9 @@ class DigestIndex:
         )
         # written, as Spark would otherwise take the anti-join to the rows, of which a text may have a third
         heads = stage.put(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "heads")
-        known = self.spark.table(self.table)
-        self._append(heads.hint("merge").join(known.select("digest"), "digest", "left_anti").select("digest", "keep_id", "group_size").repartition(self.n_buckets, "digest"))
-        self.spark.catalog.refreshTable(self.table)
+        self.rows.append(heads.hint("merge").join(self.rows.table().select("digest"), "digest", "left_anti"))
         # what the index says of the batch's digests, as a plain table: the join below is then free to split, and later appends and compactions don't touch it
-        found = stage.put(heads.select("digest", "group_size").hint("merge").join(self.spark.table(self.table).select("digest", "keep_id"), "digest"), "found")
+        found = stage.put(heads.select("digest", "group_size").hint("merge").join(self.rows.table().select("digest", "keep_id"), "digest"), "found")
         return rows, found
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,19 +75,15 @@ class DigestIndex:
         return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"), "digest")
 
     def compact(self) -> None:
-        """Rewrites the index as one sorted file a bucket, and then swaps names, so that a whole index is there at any time. Each append adds a file to each bucket, after which a read sorts again; so compact after some dozens."""
-        new, old = (f"{self.table}_{uuid.uuid4().hex[:8]}" for _ in range(2))
-        DigestIndex(self.spark, new, self.n_buckets)._append(self.spark.table(self.table).repartition(self.n_buckets, "digest"))
-        self.spark.sql(f"ALTER TABLE {self.table} RENAME TO {old}")
-        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
-        self.spark.sql(f"DROP TABLE {old}")
+        """Rewrites the index as one sorted file a bucket; a whole index is there at any time. Appends do so by themselves when files have grown too many."""
+        self.rows.compact()
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.rows.drop()
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    return DigestIndex(spark, f"digests-{uuid.uuid4().hex}")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

@@ -637,6 +637,35 @@ def test_entire_licenses_with_title_and_holder(spark):
     assert got == {k: "MIT" for k in range(len(heads))} | {9: "ISC", 10: None, 11: None}
 
 
+def test_license_columns_and_lines_behind(spark):
+    mit = dict(licenses.KNOWN[:1])["MIT"]
+    tail = "\n\nCopyright Jane Doe\n(c) 2020 John Roe\nAll rights reserved."
+    long = "\n".join(f"Copyright {n} Jane Doe" for n in range(30_000))  # more lines than a pattern could nest
+    texts = [mit, mit + tail, f"MIT License\n© Jane Doe\n{mit}{tail}", f"{long}\n{mit}\n{long}", f"{mit}\nand more", "Copyright Jane Doe", long, tail, None, mit.upper()]
+    df = spark.createDataFrame([(t, n, "l", "d", "b", "y", "x", "r") for n, t in enumerate(texts)], "text string, n int, _lines string, _digest string, _b string, _body string, _license string, _row string")
+    out = licenses.scan(spark, df)
+    assert out.columns == [*df.columns, "canonical_sha256", "text_license", "notice_licenses"]
+    got = {r.n: r for r in out.collect()}
+    assert [got[n].text_license for n in range(len(texts))] == ["MIT", "MIT", "MIT", "MIT", None, None, None, None, None, "MIT"]
+    assert all((r._lines, r._digest, r._b, r._body, r._license, r._row, r.text) == ("l", "d", "b", "y", "x", "r", texts[r.n]) for r in got.values())
+
+
+def test_license_sql_knows_whole_texts(spark):
+    """The SQL and the scan agree on whole licences, with what may stand in front of and behind them."""
+    import duckdb
+
+    known = dict(licenses.KNOWN[:3])
+    files = [p.read_text() for p in pathlib.Path("/usr/share/common-licenses").glob("*") if p.is_file()] if pathlib.Path("/usr/share/common-licenses").exists() else []
+    texts = [*known.values(), *(f"The {n} License\n\nCopyright (c) 2020 X\n{t}\nCopyright Y Z\n" for n, t in known.items()), *(f"© X\n{t}\n© Y" for t in known.values()), *files, "c 1999 x\nword\nc 2000", "", None, "Released under the MIT License.\nmore", "a\n\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(licenses.SQL).fetchall()
+    got = licenses.scan(spark, df).select("doc_id", "canonical_sha256", "text_license", F.array_join("notice_licenses", ",")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    assert sum(r.text_license is not None for r in got) >= 9
+
+
 @pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
 def test_entire_long_licenses(spark, name, file):
     path = pathlib.Path("/usr/share/common-licenses", file)
@@ -670,6 +699,24 @@ def test_rows_of_any_columns(spark):
     assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in exact_dedup.deduplicate(spark, docs).collect()) == [(0, ""), (1, "a"), (2, "b")]
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    """A later session, whose catalog is empty, goes on with the index, whatever number of buckets it would take."""
+    folder = f"file://{tmp_path}"
+    index = exact_dedup.DigestIndex(spark, "mine", 3, folder)
+    index.ingest(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).collect()
+    other = spark.newSession()
+    other.sql(f"DROP TABLE {index.table}")
+    again = exact_dedup.DigestIndex(other, "mine", folder=folder)
+    assert again.n_buckets == 3
+    got = again.ingest(other.createDataFrame([(3, "A"), (4, "c")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.keep_id, r.kept) for r in got} == {3: (1, False), 4: (4, True)}
+    for n in range(20):  # files are bounded: it compacts by itself
+        again.ingest(other.createDataFrame([(10 + n, f"text {n} {k}") for k in range(9)], "doc_id long, text string"))
+    assert again.rows.files() <= 17 * 3 and other.table(again.table).count() == 183
+    again.drop()
+    assert not (tmp_path / "mine").exists()
+
+
 def test_index_compacts_and_drops(spark):
     index = exact_dedup.new_index(spark)
     for n in range(3):
