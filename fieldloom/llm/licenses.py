@@ -67,6 +67,8 @@ HEAD_LINE = (
     r"(?: license)(?: mit| isc| zlib| expat)?(?: version [0-9][^\n]*| [0-9] 0)?|version [0-9][^\n]*|http www apache org licenses|=*|creative commons legal code|cc0 1 0 universal"
     r"|(?:portions )?(?:copyright|c)(?: [^\n]*)?|all rights reserved[^\n]*"
 )
+#: Fixed value: lines behind a licence's text, in canonical form, that say who holds the copyright, with or without a year.
+TAIL_LINE = r"(?:portions )?(?:copyright|c)(?: [^\n]*)?|all rights reserved[^\n]*"
 #: Digests (of _body) of entire licences that are too long to hold here.
 FULL: list[tuple[str, str]] = [
     ("Apache-2.0", "d849700f6ffe2241c4de5c4f77cc6ee7a152ddfbb1ec7385106677e743be07a7"),
@@ -100,10 +102,19 @@ def canonical_lines(text):
     return F.filter(lines, lambda x: (x != "") & ~(x.startswith("copyright") & x.rlike(COPYRIGHT_LINE) | (x.startswith("c ") | x.startswith("portions ") | x.startswith("all ")) & x.rlike(COPYRIGHT_LINE)))
 
 
+def _is_tail(line):
+    return (line.startswith("c") | line.startswith("portions") | line.startswith("all rights")) & line.rlike(rf"^(?:{TAIL_LINE})$")
+
+
 def _body(text, lines):
-    """Digest of the canonical text without title and copyright lines in front; ``lines`` are the text's canonical lines."""
+    """Digest of the canonical text without title and copyright lines in front and copyright lines behind; ``lines`` are the text's canonical lines.
+
+    Lines go one by one, by the end of the last match and by their places, so that no number of them is too deep for a pattern.
+    """
     lines = F.when(F.contains(text, F.lit("©")), canonical_lines(F.replace(text, F.lit("©"), F.lit("(c) ")))).otherwise(lines)
-    body = F.regexp_replace(F.concat(F.array_join(lines, "\n"), F.lit("\n")), rf"\A(?:(?:{HEAD_LINE})\n)+", "")
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(_is_tail(x), F.lit(-1)).otherwise(i)))
+    lines = F.slice(lines, F.lit(1), F.coalesce(last, F.lit(-1)) + 1)
+    body = F.regexp_replace(F.concat(F.array_join(lines, "\n"), F.lit("\n")), rf"\G(?:{HEAD_LINE})\n", "")
     return F.sha2(F.trim(F.replace(body, F.lit("\n"), F.lit(" "))), 256)
 
 
@@ -129,7 +140,7 @@ def scan(spark: SparkSession, docs: DataFrame, known: Iterable[tuple[str, str]]
     Null and empty texts, and texts of copyright lines alone, have the digest of
     the empty text and no licence. A line is compared as a whole too: a
     licence's name inside a sentence is no notice. Rows are kept as they are,
-    repeated ones too. For text_license, title and copyright lines in front of a licence's text count for nothing, and ``full`` has
+    repeated ones too. For text_license, title and copyright lines in front of a licence's text and copyright lines behind it count for nothing, and ``full`` has
     digests of further texts; canonical_sha256 stays that of all lines but plain copyright lines. Columns of ``docs`` that have one of the three names are replaced.
 
     ``known`` is a configuration list, which is broadcast; its size doesn't
@@ -142,18 +153,18 @@ def scan(spark: SparkSession, docs: DataFrame, known: Iterable[tuple[str, str]]
     # single-line texts are the notices: few, so that their digests can be literals
     notices = known_digests(spark, [x for x in known if "\n" not in x[1]]).collect()
     docs = docs.drop("canonical_sha256", "text_license", "notice_licenses")
-    out = docs.withColumn("_lines", canonical_lines(F.col(text_col))).withColumn("canonical_sha256", F.sha2(F.array_join("_lines", " "), 256))
-    out = out.join(F.broadcast(lookup.select(F.col("digest").alias("_digest"), F.col("license").alias("text_license"))), F.col("canonical_sha256") == F.col("_digest"), "left")
-    bodies = known_bodies(spark, known, full)
-    out = out.withColumn("_b", _body(F.col(text_col), F.col("_lines"))).join(F.broadcast(bodies), F.col("_b") == F.col("_body"), "left")
-    out = out.withColumn("text_license", F.coalesce("text_license", "_license"))
+    # the caller's columns go in one struct, so that no name clashes
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), canonical_lines(F.col(text_col)).alias("_lines"))
+    out = out.withColumn("canonical_sha256", F.sha2(F.array_join("_lines", " "), 256)).withColumn("_b", _body(F.col("_row")[text_col], F.col("_lines")))
+    out = out.join(F.broadcast(lookup.select(F.col("digest").alias("_digest"), F.col("license").alias("_exact"))), F.col("canonical_sha256") == F.col("_digest"), "left")
+    out = out.join(F.broadcast(known_bodies(spark, known, full)), F.col("_b") == F.col("_body"), "left")
     if notices:
         names = F.create_map(*[F.lit(x) for r in notices for x in (r.digest, r.license)])
         found = F.transform("_lines", lambda x: F.try_element_at(names, F.sha2(x, 256)))
     else:
         found = F.array().cast("array<string>")
-    out = out.withColumn("notice_licenses", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))
-    return out.drop("_lines", "_digest", "_b", "_body", "_license")
+    found = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+    return out.select("_row.*", "canonical_sha256", F.coalesce("_exact", "_license").alias("text_license"), found.alias("notice_licenses"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,13 +182,21 @@ def _sql() -> str:
             flat = f"replace({flat}, {quote(' ' + one.replace(' ', '  ') + ' ')}, {quote(' ' + other.replace(' ', '  ') + ' ')})"
         return f"list_filter(list_transform(string_split(replace({flat}, '  ', ' '), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {quote(COPYRIGHT_LINE)}))"
 
+    def body(text: str) -> str:
+        head, tail = quote(f"^(?:(?:{HEAD_LINE})\n)+"), quote(f"\n(?:(?:{TAIL_LINE})\n)+$")
+        flat = f"chr(10) || array_to_string({lines(f'replace({text}, chr(169), {quote("(c) ")})')}, chr(10)) || chr(10)"
+        return f"sha256(trim(replace(regexp_replace(ltrim(regexp_replace({flat}, {tail}, chr(10)), chr(10)), {head}, ''), chr(10), ' ')))"
+
     values = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(KNOWN))
+    full = ", ".join(f"({MOST_TEXTS + i}, {quote(name)}, {quote(digest)})" for i, (name, digest) in enumerate(FULL))
     return f"""
-WITH k AS (SELECT sha256(array_to_string({lines('text')}, ' ')) AS digest, arg_min(name, i) AS license, bool_or(text NOT LIKE '%' || chr(10) || '%') AS single FROM (VALUES {values}) AS v(i, name, text) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS r, doc_id, {lines('text')} AS ls FROM documents),
+WITH v AS (SELECT * FROM (VALUES {values}) AS v(i, name, text)),
+k AS (SELECT sha256(array_to_string({lines('text')}, ' ')) AS digest, arg_min(name, i) AS license, bool_or(text NOT LIKE '%' || chr(10) || '%') AS single FROM v GROUP BY 1),
+b AS (SELECT body, arg_min(name, i) AS license FROM (SELECT i, name, {body('text')} AS body FROM v UNION ALL SELECT * FROM (VALUES {full}) AS f(i, name, body)) WHERE body <> sha256('') GROUP BY body),
+d AS (SELECT row_number() OVER () AS r, doc_id, {lines('text')} AS ls, {body("coalesce(text, '')")} AS body FROM documents),
 n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS found FROM (SELECT r, sha256(unnest(ls)) AS digest FROM d) JOIN k USING (digest) WHERE single GROUP BY r)
-SELECT d.doc_id, sha256(array_to_string(ls, ' ')) AS canonical_sha256, k.license AS text_license, coalesce(n.found, '') AS notice_licenses
-FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(ls, ' ')) LEFT JOIN n USING (r)
+SELECT d.doc_id, sha256(array_to_string(ls, ' ')) AS canonical_sha256, coalesce(k.license, b.license) AS text_license, coalesce(n.found, '') AS notice_licenses
+FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(ls, ' ')) LEFT JOIN b USING (body) LEFT JOIN n USING (r)
 """
 
 
