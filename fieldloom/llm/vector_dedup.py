@@ -272,7 +272,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     joined = classes(stage, nodes, cosine, passes, window, seed)
     members = stage.put(nodes.hint("merge").join(joined, "node").select("node", "comp", "n", "least", "vec"), "members")
     links = count_links(stage, members, cosine)
-    least = members.groupBy("comp").agg(F.min("least").alias("component_id"))
+    least = stage.put(members.groupBy("comp").agg(F.min("least").alias("component_id")), "least")  # as a table, so that the join below can split a large class
     named = members.select("node", "comp").hint("merge").join(least, "comp").hint("merge").join(links, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     of_node = stage.put(nodes.hint("merge").join(named, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "named")
     out = fine.hint("merge").join(of_node, "vec").select("vec_id", "n_links", "component_id")
