@@ -419,6 +419,39 @@ def test_neighbours_found_by_the_forest_alone(spark, tmp_path, n):
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("n, kind", [(20_000, "clusters"), (50_000, "clusters"), (20_000, "flat")])
+def test_few_pairs_are_compared_where_vectors_have_neighbourhoods(spark, tmp_path, n, kind):
+    """Clusters, and vectors near a space of five dimensions."""
+    rng = np.random.default_rng(n)
+    if kind == "clusters":
+        centers = rng.standard_normal((n // 50, 64))
+        x = (centers[rng.integers(0, len(centers), n)] + 0.1 * rng.standard_normal((n, 64))).astype("float32")
+    else:
+        x = (rng.standard_normal((n, 5)) @ rng.standard_normal((5, 64)) + 0.01 * rng.standard_normal((n, 64))).astype("float32")
+    path = f"{tmp_path}/v.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), path)
+    vectors, counted = spark.read.parquet(path), spark.sparkContext.accumulator(0)
+    got = collections.defaultdict(set)
+    for r in ann.search(spark, vectors.where("vec_id % 100 = 0"), vectors, counted=counted).collect():
+        got[r.query_id].add(r.vec_id)
+    y, hits = x.astype(float), 0
+    for q in range(0, n, 100):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    share = counted.value / (n * len(range(0, n, 100)))
+    print("recall", hits / (10 * len(got)), "compared", share)
+    assert hits >= 0.9 * 10 * len(got) and share < 0.3
+
+
+def test_neighbours_of_queries_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(n, rng.standard_normal(8 if n in (0, 100, 200) else 16).tolist()) for n in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(spark, df.where("vec_id % 100 = 0"), df).collect()
+    assert {r.query_id for r in got} == {300, 400} and len(got) == 20
+
+
 def test_rarest_runs_meet(spark):
     """Texts with a long common passage and weights: all links, by all pairs, and none between texts that share the passage alone."""
     rng = random.Random(8)
