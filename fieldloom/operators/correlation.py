@@ -36,7 +36,7 @@ def reference_line(snap: DataFrame, ref: tuple[int, int], fields: Sequence[str],
     return here, small
 
 
-def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tuple(FLOW), normalize_lag: bool = False, center: str = "") -> DataFrame:
+def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tuple(FLOW), normalize_lag: bool = False, center: str = "", line: DataFrame | None = None) -> DataFrame:
     """fi, fj, i, j, lag, r: the mean over snapshots of the sum over z0 of fi'(ref, z0) fj'(i, j, z0 + lag), periodic in z.
 
     ``fluct`` has t, i, j, k and the fluctuations; or, with ``center``, the fields as they are, of which fluctuations are taken about the mean
@@ -44,10 +44,10 @@ def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tu
     own, and a sum of products with something whose mean is zero doesn't feel the other's mean.
     So all snapshots are read once, and dealt once by (i, j): a line's snapshots come
     one after the other in one task, whose cross-spectra are added up and go back once for each line. The reference's rows
-    are staged; they are broadcast only after their number is checked. Each line's snapshots must be equally long.
+    are staged, out of ``line`` if the caller has them at less cost; they are broadcast only after their number is checked. Each line's snapshots must be equally long.
     ``normalize_lag`` divides by the number of z0.
     """
-    here, small = reference_line(fluct, ref, fields, center)
+    here, small = reference_line(fluct if line is None else line, ref, fields, center)
     rows = fluct.select("t", "i", "j", "k", *[F.col(f).cast("double").alias(f) for f in fields])
     return lines.line_sums(rows, fields, here, small, _inverse(fields, normalize_lag, center), CORRELATIONS)
 

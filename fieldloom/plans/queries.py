@@ -20,6 +20,7 @@ from ..session import shared_dir
 from ..sources import plot3d
 from ..streaming.spectra import SpectralSums
 from . import adapters as A
+from . import workflows
 
 OFFSET = 0.4142135623731
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -592,10 +593,27 @@ def native_grid(spark, sf):
 @query("native_slice", f"WITH {A.FIELD}, s AS (SELECT t, i, j, k, {NATIVE} FROM field WHERE k = 5 AND j >= 2) SELECT t, i, j, {flow_cut(4)} FROM s")
 def native_slice(spark, sf):
     """A slice of snapshot files, of which no more is read than its rows."""
-    snap = sources.read_snapshots(spark, A.snapshot_files(spark, sf)).where("k = 5 AND j >= 2").withColumnRenamed("e", "t_val")
+    snap = sources.read_snapshots(spark, A.snapshot_files(spark, sf), places={"k": (5, 5), "j": (2, None)}).withColumnRenamed("e", "t_val")
     return cut_all(snap.select(F.col("time_num").alias("t"), "i", "j", *[F.col(c).cast("double").alias(c) for c in FLOW]), 4, *FLOW)
 
 
+@query("workflow_mean", f"WITH {A.FIELD} SELECT {', '.join(sql_cut(c, 5) for c in 'xyz')}, {sql_cut('t_val', 6)}, (SELECT count(DISTINCT t) FROM field) AS n FROM mean_t JOIN grid USING (i, j, k)")
+def workflow_mean(spark, sf):
+    """From mesh files to the mean field of all iterations."""
+    mean, _ = workflows.time_average(spark, A.mesh_files(spark, sf), f"{shared_dir(spark)}/workflows/{uuid.uuid4().hex}", "T", dtype="float64")
+    return cut_all(mean.withColumnRenamed("T", "t_val").select("x", "y", "z", "t_val", "n"), 5, *"xyz").withColumn("t_val", cut("t_val", 6))
+
+
+FIELD4 = A.FIELD.replace("mean_t AS", f"f4 AS (SELECT t, i, j, k, {NATIVE} FROM field),\nmean_t AS").replace("FROM field GROUP BY i, j, k)", "FROM f4 GROUP BY i, j, k)").replace("FROM field f JOIN mean_tz", "FROM f4 f JOIN mean_tz")
+
+
+@query("workflow_spectra", f"WITH {PSD.replace(A.FIELD, FIELD4)} SELECT i AS loc_i, j AS loc_j, field, k_idx, {sql_cut(f'2 * pi() * k_idx / {A.NZ * A.DZ}', 6, 'k')}, {sql_cut('avg(p)', 3, 'p')} FROM ps WHERE (i = 1 AND j = 2) OR (i = 3 AND j = 4) GROUP BY i, j, field, k_idx")
+def workflow_spectra(spark, sf):
+    """From snapshot files to spectra at two lines."""
+    out, _ = workflows.spectra(spark, A.snapshot_files(spark, sf), A.grid_file(spark, sf), f"{shared_dir(spark)}/workflows/{uuid.uuid4().hex}", FLOW, [(1, 2), (3, 4)])
+    return cut_all(out, 6, "k").withColumn("p", cut("p", 3)).withColumns({c: F.col(c).cast("long") for c in ("loc_i", "loc_j")})
+
+
 FLUCT3 = "fluct3 AS (SELECT f.t, f.i, f.j, f.k, f.u - m.u AS u, f.v - m.v AS v, f.w - m.w AS w, f.t_val - m.t_val AS t_val FROM field f JOIN mean_t m USING (i, j, k))"
 
 

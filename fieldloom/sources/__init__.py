@@ -18,7 +18,6 @@ from .tecplot import NAME, TecplotSource
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # so that iterations a query leaves out aren't opened
     spark.dataSource.register(TecplotSource)
     spark.dataSource.register(Plot3DSource)
 
@@ -104,13 +103,16 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("plot3d").option("section", "grid").load(path)
 
 
-def read_snapshots(spark: SparkSession, path: str, pattern: str = "grid*.f", ordinals: Sequence[int] | None = None) -> DataFrame:
-    """grid_num, time_num, i, j, k and as many of u, v, w, p, e, u_mean, ... as the first file holds; a file is a partition.
+def read_snapshots(spark: SparkSession, path: str, pattern: str = "grid*.f", ordinals: Sequence[int] | None = None, times: Sequence[int] | None = None, places: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
+    """grid_num, time_num, i, j, k and as many of u, v, w, p, e, u_mean, ... as the first file holds; a file is a partition, or several if it is large.
 
-    ``ordinals`` picks files by their place (from 0) in the order of grid and time number.
+    ``times`` picks files by their time number, and ``ordinals`` by their place (from 0) in the order of grid and time number. ``places`` bounds i, j and k, both ends included (None: none): as a record's
+    values have fixed places, of a slice or a line no more is read than the rows along i that hold it.
     """
     register(spark)
     r = spark.read.format("plot3d").option("section", "snapshots").option("pattern", pattern)
+    r = r.option("places", json.dumps(places)) if places else r
+    r = r.option("times", ",".join(map(str, times))) if times is not None else r
     return (r.option("ordinals", ",".join(map(str, ordinals))) if ordinals is not None else r).load(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import FloatType, IntegerType, LongType, StructField, StructType
 
 from ..session import SNAPSHOT_COLUMNS
@@ -66,7 +67,10 @@ PART = 8_000_000
 
 
 class Plot3DSource(DataSource):
-    """Options: section (grid or snapshots), pattern, ordinals."""
+    """Options: section (grid or snapshots), pattern, ordinals, times, places (see sources.read_snapshots).
+
+    What is read is said by options, not by filters that Spark pushes down: Spark keeps what was pushed last for all that is made of one DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -78,6 +82,9 @@ class Plot3DSource(DataSource):
         found = sorted((p for p in find(self.options["path"], self.options.get("pattern", "grid*.f")) if NAME.search(p)), key=snapshot_order)
         if not found:
             raise FileNotFoundError(f"no snapshots in {self.options['path']}")
+        if (text := self.options.get("times")) is not None:
+            wanted = {int(x) for x in text.split(",") if x}
+            found = [p for p in found if snapshot_order(p)[1] in wanted]
         if text := self.options.get("ordinals"):
             wanted = [int(x) for x in text.split(",")]
             if not all(0 <= n < len(found) for n in wanted):
@@ -89,60 +96,35 @@ class Plot3DSource(DataSource):
         index = [StructField(c, IntegerType()) for c in "ijk"]
         if self.options.get("section", "snapshots") == "grid":
             return StructType([*index, *[StructField(c, FloatType()) for c in "xyz"]])
-        with open_(self.files()[0]) as f:  # the first file's header says how many variables there are
+        if not (files := self.files()):
+            raise FileNotFoundError(f"no snapshots of these times in {self.options['path']}")
+        with open_(files[0]) as f:  # the first file's header says how many variables there are
             nvar = struct.unpack("<4i", record(f))[3]
         return StructType([StructField("grid_num", LongType()), StructField("time_num", LongType()), *index, *[StructField(c, FloatType()) for c in SNAPSHOT_COLUMNS[:nvar]]])
 
     def reader(self, schema: StructType) -> Plot3DReader:
-        return Plot3DReader(self.files(), self.options.get("section", "snapshots") == "grid", [f.name for f in schema.fields])
+        return Plot3DReader(self.files(), self.options.get("section", "snapshots") == "grid", [f.name for f in schema.fields], json.loads(self.options.get("places", "{}")))
 
 
 class Plot3DReader(DataSourceReader):
-    def __init__(self, files: list[str], grid: bool, names: list[str]):
+    def __init__(self, files: list[str], grid: bool, names: list[str], places: dict[str, list] | None = None):
         self.files, self.grid, self.names = files, grid, names
-        self.low, self.high = dict.fromkeys("ijk", 0), dict.fromkeys("ijk", None)  # the places that are asked for
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds of i, j and k become ranges of bytes, as a record's values have fixed places; those of grid_num and time_num leave files out."""
-        for f in filters:
-            name, value = (f.attribute[0], getattr(f, "value", None)) if len(getattr(f, "attribute", ())) == 1 else ("", None)
-            if isinstance(f, In) and name in self.low:
-                self._bound(name, min(f.value), max(f.value))
-                yield f  # what stands between is Spark's to drop
-            elif name in ("grid_num", "time_num") and isinstance(f, (EqualTo, In)):
-                wanted, n = set(f.value) if isinstance(f, In) else {value}, 0 if name == "grid_num" else 1
-                self.files = [p for p in self.files if snapshot_order(p)[n] in wanted]
-            elif name in self.low and isinstance(f, EqualTo):
-                self._bound(name, value, value)
-            elif name in self.low and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self._bound(name, value + isinstance(f, GreaterThan), None)
-            elif name in self.low and isinstance(f, (LessThan, LessThanOrEqual)):
-                self._bound(name, 0, value - isinstance(f, LessThan))
-            else:
-                yield f
-
-    def _bound(self, name: str, low: int, high: int | None) -> None:
-        self.low[name] = max(self.low[name], low)
-        if high is not None:
-            self.high[name] = high if self.high[name] is None else min(high, self.high[name])
+        places = places or {}
+        self.low, self.high = ({a: places.get(a, [None, None])[n] for a in "ijk"} for n in (0, 1))  # the places that are asked for, both ends in
 
     def partitions(self) -> list[Part]:
-        if not self.files:
-            return [Part("")]
         with open_(self.files[0]) as f:  # files of one run are alike; another size only makes parts larger
             nx, ny, nz = struct.unpack("<3i", record(f)[:12])
         n = min(nz, -(-nx * ny * nz // PART))
-        if self.high["k"] is not None and self.high["k"] - self.low["k"] + 1 < nz:
-            n = 1
+        k0, k1 = self._range("k", nz)
+        n = n if k1 - k0 == nz else 1
         return [Part(p, k, n) for p in self.files for k in range(n)]
 
     def _range(self, name: str, n: int) -> tuple[int, int]:
-        high = n if self.high[name] is None else min(n, self.high[name] + 1)
-        return min(self.low[name], high), high
+        low, high = self.low[name] or 0, n if self.high[name] is None else min(n, self.high[name] + 1)
+        return max(0, low), max(0, low, high)
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
         with open_(part.path) as f:
             head = record(f)
             nx, ny, nz = struct.unpack("<3i", head[:12])

@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..session import NODE_COLUMNS
@@ -91,7 +91,10 @@ def write_index(folder: str, path: str, size: int, counts: list[int], part: int)
 
 
 class TecplotSource(DataSource):
-    """Options: section (nodes or elems), columns, iters, pattern, dtype, index (a folder of line indexes, see sources.index_partitions)."""
+    """Options: section (nodes or elems), columns, iters, pattern, dtype, index (a folder of line indexes, see sources.index_partitions).
+
+    Iterations are said by an option, not by filters that Spark pushes down: Spark keeps what was pushed last for all that is made of one DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -121,19 +124,6 @@ class TecplotReader(DataSourceReader):
         text = options.get("iters")
         self.iters = None if text is None else {int(x) for x in text.split(",") if x}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Iterations that a query filters on are never opened."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("iter",):
-                self._only({f.value})
-            elif isinstance(f, In) and f.attribute == ("iter",):
-                self._only(set(f.value))
-            else:
-                yield f
-
-    def _only(self, iters: set[int]) -> None:
-        self.iters = iters if self.iters is None else self.iters & iters
-
     def partitions(self) -> list[Part]:
         parts = []
         for path in find(self.path, self.pattern):

@@ -65,19 +65,26 @@ class SpectralSums:
         """fi, fj, i, j, lag, r as correlation.two_point gives of all snapshots."""
         if self.ref is None:
             raise ValueError("there is no reference line")
+        if center not in ("line", "cell"):
+            raise ValueError("correlations are of fluctuations: center is line or cell")
         return correlation.correlations(self.table(), self.fields, normalize_lag, center)
 
-    def spectrum(self, center: str = "line") -> DataFrame:
-        """field, k_idx, p: as spectral.plane_spectrum gives of the fluctuations about the mean of each line ("line") or cell ("cell")."""
-        names = self.fields
+    def spectrum(self, center: str = "line", by_line: bool = False) -> DataFrame:
+        """field, k_idx, p: as spectral.plane_spectrum gives of the fluctuations about the mean of each line ("line") or cell ("cell"), or of the values as they are (""). With ``by_line``, loc_i and loc_j too: one for each line."""
+        names, keys = self.fields, ["loc_i", "loc_j"] if by_line else []
+        origin = self.origin.read()
+        origin = np.array([origin.first()[f] if origin is not None else 0.0 for f in names])  # one row
 
         def finish(i, j, nz, count, cross, ref, own, power):
-            some = slice(1) if center == "line" else slice(None)
-            power[:, some] -= (np.abs(own) ** 2 / count)[:, some]
+            if center:
+                some = slice(1) if center == "line" else slice(None)
+                power[:, some] -= (np.abs(own) ** 2 / count)[:, some]
+            else:  # sums are of values less their origin
+                power[:, 0] += 2 * nz * origin * own[:, 0].real + count * (nz * origin) ** 2
             power[:, 1 : (nz + 1) // 2] *= 2
             waves = power.shape[1]
-            columns = (np.repeat(names, waves), np.tile(np.arange(waves, dtype=np.int32), len(names)), power.ravel() / nz**2, np.full(power.size, count))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["field", "k_idx", "p", "n"])
+            columns = (np.full(power.size, i), np.full(power.size, j), np.repeat(names, waves), np.tile(np.arange(waves, dtype=np.int32), len(names)), power.ravel() / nz**2, np.full(power.size, count))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["loc_i", "loc_j", "field", "k_idx", "p", "n"])
 
-        parts = lines.finished(self.table(), len(names), finish, "field string, k_idx int, p double, n long")
-        return parts.groupBy("field", "k_idx").agg((F.sum("p") / F.sum("n")).alias("p"))
+        parts = lines.finished(self.table(), len(names), finish, "loc_i long, loc_j long, field string, k_idx int, p double, n long")
+        return parts.groupBy(*keys, "field", "k_idx").agg((F.sum("p") / F.sum("n")).alias("p"))

@@ -102,3 +102,77 @@ def test_budgets_of_files(spark, tmp_path):
     plot3d.write_grid(str(tmp_path / "other.xyz"), x[:3], y[:3], z[:3])
     with pytest.raises(ValueError, match="doesn't fit"):
         workflows.two_point_budgets(spark, str(tmp_path / "snaps"), str(tmp_path / "other.xyz"), f"file://{tmp_path}/out", (1, 1, 2))
+
+
+def test_extract_of_files(spark, tmp_path):
+    write_mesh_parts(tmp_path / "mesh", [1, 2])
+    out = f"file://{tmp_path}/out"
+    go = lambda: workflows.extract(spark, str(tmp_path / "mesh"), out, ["T", "rho"], dtype="float64", elements=True)
+    got = {(r.iter, r.x, r.y, round(r.z, 6)): (r["T"], r.rho) for r in go().collect()}
+    assert got == {(t, i, j, round(k + 0.03 * k * k, 6)): pytest.approx((value("T", t, i, j, k), value("rho", t, i, j, k)), rel=1e-12) for t in (1, 2) for i in range(NX) for j in range(NY) for k in range(NZ)}
+    files = [tmp_path / f"out/full_iter{t}.dat" for t in (1, 2)]
+    times = [f.stat().st_mtime_ns for f in files]
+    assert all(len(f.read_text().splitlines()) == 3 + NX * NY * NZ + 2 * 6 * (NY - 1) * (NZ - 1) for f in files)
+    go()
+    assert [f.stat().st_mtime_ns for f in files] == times
+
+
+def test_dissipation_of_files(spark, tmp_path):
+    write_mesh_parts(tmp_path / "mesh", [1, 2])
+    got = workflows.nusselt_numbers(spark, str(tmp_path / "mesh"), f"file://{tmp_path}/out", 50.0, dtype="float64", pr=0.71)
+    points = {(i, j, k): n for n, (i, j, k) in enumerate((i, j, k) for i in range(NX) for j in range(NY) for k in range(NZ))}
+    xyz = np.array([(i, j, k + 0.03 * k * k) for i, j, k in points])
+    for r in got["dissipation"].collect():
+        u = np.array([[value(c, r.iter, *p) for c in "UVW"] for p in points])
+        mu = np.array([value("mu", r.iter, *p) for p in points])
+        total = volume = 0.0
+        for i in range(NX - 1):
+            for j in range(NY - 1):
+                for k in range(NZ - 1):
+                    for a, b in (((1, 0, 0), (1, 1, 0)), ((1, 0, 0), (1, 0, 1)), ((0, 1, 0), (1, 1, 0)), ((0, 1, 0), (0, 1, 1)), ((0, 0, 1), (1, 0, 1)), ((0, 0, 1), (0, 1, 1))):
+                        c = [points[i + d[0], j + d[1], k + d[2]] for d in ((0, 0, 0), a, b, (1, 1, 1))]
+                        e = xyz[c[1:]] - xyz[c[0]]
+                        g, vol = np.linalg.solve(e, u[c[1:]] - u[c[0]]), abs(np.linalg.det(e)) / 6
+                        total += vol * mu[c].mean() * ((g * g).sum() + (g * g.T).sum() - 2 / 3 * np.trace(g) ** 2)
+                        volume += vol
+        assert (r.volume, r.phi_mean) == pytest.approx((volume, total / volume))
+    assert got["nu_v"].first()["nu_v"] == pytest.approx(1 + 0.71 * np.mean([r.phi_mean for r in got["dissipation"].collect()]))
+
+
+@pytest.mark.parametrize("center", ["line", "cell", "mean"])
+def test_spectra_of_files(spark, tmp_path, center):
+    from fieldloom.operators import moments, spectral
+
+    rng = np.random.default_rng(1)
+    x, y, z = (a.astype(float) for a in np.meshgrid(np.arange(3) * 1.5, np.arange(4) ** 1.2, np.arange(6) * 0.5, indexing="ij"))
+    plot3d.write_grid(str(tmp_path / "mesh.xyz"), x, y, z)
+    a = rng.normal(size=(4, 3, 4, 6, 5)).astype("f4") + 3
+
+    def go(n, **how):
+        for t in range(n):
+            if not (tmp_path / f"snaps/grid1.{t}.f").exists():
+                plot3d.write_snapshot(str(tmp_path / f"snaps/grid1.{t}.f"), a[t])
+        return workflows.spectra(spark, str(tmp_path / "snaps"), str(tmp_path / "mesh.xyz"), f"file://{tmp_path}/out{len(how.get('locations') or ())}", **how)
+
+    b = np.moveaxis(a.astype(float), -1, -2)[..., :3, :]  # t, i, j, field, k
+    if center == "mean":
+        from fieldloom import sources
+
+        for t in range(4):
+            plot3d.write_snapshot(str(tmp_path / f"snaps/grid1.{t}.f"), a[t])
+        snap = sources.read_snapshots(spark, str(tmp_path / "snaps")).where("time_num < 2")
+        how = {"mean": moments.z_mean(moments.time_mean(snap, "uvw"), "uvw")}
+        f = b - b[:2].mean((0, -1), keepdims=True)
+    else:
+        how = {"center": center}
+        f = b - b.mean((0, -1) if center == "line" else 0, keepdims=True)
+    p = spectral.one_sided(f).mean(0)
+    go(2, **how)
+    spectrum, total = go(4, **how)  # the second call adds two snapshots
+    assert {(r.field, r.k_idx): (r.k, r.p) for r in spectrum.collect()} == {(c, m): (pytest.approx(2 * np.pi * m / 3), pytest.approx(p[:, :, n, m].mean(), abs=1e-9)) for n, c in enumerate("uvw") for m in range(4)}
+    assert {r.k_idx: r.e_total for r in total.collect()} == {m: pytest.approx(p[:, :, :, m].mean((0, 1)).sum() / 2, abs=1e-9) for m in range(4)}
+    points, total = go(4, locations=[(1, 2), (0, 3)], **how)
+    assert {(r.loc_i, r.loc_j, r.field, r.k_idx): r.p for r in points.collect()} == {(i, j, c, m): pytest.approx(p[i, j, n, m], abs=1e-9) for i, j in ((1, 2), (0, 3)) for n, c in enumerate("uvw") for m in range(4)}
+    assert total.count() == 8
+    with pytest.raises(ValueError, match="no such lines"):
+        go(4, locations=[(3, 0)], **how)
