@@ -32,7 +32,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
     "optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|noembed|noframes|xmp"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|noembed|noframes|xmp"
 NOT_TEXT = frozenset("nav footer aside form head button select dialog menu search datalist canvas audio video map".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 NOT_TEXT_NAMES = frozenset(
@@ -45,6 +45,8 @@ SURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adsbygoogle sponsored gdpr newsletter signup paywall breadcrumb breadcrumbs navbar comment comments commentlist respond disqus "
     "pagination pager topbar share sharing popup popups modal sidebar sidebars widget widgets toolbar".split()
 )
+#: Names that, where a page marks no article, may be those of its text: such an element goes only if no more of its words are plain than in links.
+OPEN_NAMES = frozenset("discussion related recommended recommendations search reply replies skip overlay social widget widgets".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"p": BLOCKS - {"option", "optgroup", "td", "th"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -202,15 +204,17 @@ def skipped(page: Page, words: list[list[str]]) -> list[bool]:
 
     In an article a name may be that of its subject: headings and what is around them stay
     whatever their names, and an element whose name isn't sure goes only if no more of its words are
-    plain than in links. What repeats in it is for the template.
+    plain than in links. What repeats in it is for the template. On a page that marks no article the same holds of elements whose names are
+    all open ones, or have "side" among others.
     """
     nodes, parents = page.nodes, page.parents
     holds_main = [False] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         if (nodes[i].main or holds_main[i]) and not nodes[i].names & {"comment", "comments"}:
             holds_main[parents[i]] = True
-    # of the words under each element, which only names inside an article ask for
-    plain, links, headed = _words_under(page, words) if any(holds_main) and any(node.hits for node in nodes) else ([], [], [])
+    # of the words under each element, which only names ask for
+    unmarked = not any(holds_main) and not any(node.main for node in nodes)
+    plain, links, headed = _words_under(page, words) if any(node.hits for node in nodes) else ([], [], [])
     out, inside = [False], [False]
     for i in range(1, len(nodes)):
         node, parent = nodes[i], parents[i]
@@ -218,6 +222,8 @@ def skipped(page: Page, words: list[list[str]]) -> list[bool]:
         if named and inside[parent]:
             heading = node.heading or headed[i] and node.hits <= {"header", "masthead", "banner"}
             named = not heading and (node.sure or plain[i] <= links[i])
+        elif named and unmarked and (node.hits <= OPEN_NAMES or node.hits == {"side"} < node.names):
+            named = plain[i] <= links[i]
         header = node.name == "header" and not inside[parent]
         out.append(out[parent] or node.skip or named or header)
         inside.append(inside[parent] or (node.main and not out[i]))
@@ -321,7 +327,8 @@ def extract(sources: list[str | None], elements: Cache | None = None) -> list[st
 
     A run of text is template if all its words are and it stands, as a whole, on half of the
     pages that differ. Pages with equal articles count as one, and an article of which
-    over COPIED is template is a near copy of others and stays whole. elements: what is known of start tags.
+    over COPIED is template is a near copy of others and stays whole. Of two or three pages that differ, a run must stand on all, marked articles
+    are taken as they are, and so is an unmarked page that is a near copy: so few say too little of what repeats in an article. One page has no template. elements: what is known of start tags.
     """
     paths: dict = {}
     pages = [parse(s, elements, paths) for s in sources]
@@ -351,15 +358,16 @@ def extract(sources: list[str | None], elements: Cache | None = None) -> list[st
         places.append(place)
         articles.append((marked, tuple(article if marked else seq)))
     different = list({a: k for k, a in enumerate(articles)}.values())  # copies of a page say nothing of its template
-    known = set(template([tokens[k] for k in different])) if len(different) >= 4 else set()
+    known = set(template([tokens[k] for k in different])) if len(different) >= 2 else set()
     runs = Counter(chain.from_iterable({tuple(tokens[k][a:b]) for a, b in places[k] if known.issuperset(tokens[k][a:b])} for k in different)) if known else Counter()
-    out = []
+    out, least = [], len(different) / 2 if len(different) >= 4 else len(different)
     for page, skip, main, seq, place in zip(pages, skips, mains, tokens, places, strict=True):
         marked = any(main)
         keep = [(main[node] or not marked) and not skip[node] for node, _ in page.runs]
-        if known and not (marked and _share(seq, place, keep, known) > COPIED):
+        few = len(different) < 4
+        if known and not (marked and few) and not ((marked or few) and _share(seq, place, keep, known) > COPIED):
             for r, (a, b) in enumerate(place):
-                if b > a and keep[r] and known.issuperset(seq[a:b]) and runs[tuple(seq[a:b])] >= len(different) / 2:
+                if b > a and keep[r] and known.issuperset(seq[a:b]) and runs[tuple(seq[a:b])] >= least:
                     keep[r] = False
         out.append(_blocks(page, keep))
     return out

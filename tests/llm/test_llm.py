@@ -613,6 +613,31 @@ def test_no_page_of_a_host_is_left_without_template(spark, n):
     assert [len(w) for w in html.windows(list(range(65)))] == [32, 33] and [len(w) for w in html.windows(list(range(64)))] == [64]
 
 
+def test_names_on_pages_that_mark_no_article():
+    prose_ = "<p>We find that it is so in all of the cases that we have seen.</p>"
+    for page, want in (
+        (f'<div id="discussion"><h2>Discussion</h2>{prose_}</div>', "Discussion\nWe find that it is so in all of the cases that we have seen."),
+        (f'<section class="related-work"><h2>Related work</h2>{prose_}</section>', "Related work\nWe find that it is so in all of the cases that we have seen."),
+        (f'<div class="side-by-side">{prose_}</div>', "We find that it is so in all of the cases that we have seen."),
+        (f'<div class="related"><a href="/a">One story</a> <a href="/b">Another</a></div>{prose_}', "We find that it is so in all of the cases that we have seen."),
+        (f'<div class="cookie-notice">We use cookies on this site to serve you.</div><div class="comments"><p>I think so too.</p></div>{prose_}', "We find that it is so in all of the cases that we have seen."),
+        ("<article><p>Let <math><mi>x</mi></math> be <object data='f.svg'>a figure</object> here.</p></article>", "Let x be a figure here."),
+    ):
+        assert html.extract([page]) == [want]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_templates_of_small_hosts(n):
+    rng = random.Random(n)
+    menu = "<div class=zz><a href=/>Home</a> <a href=/n>News of the day</a></div><div class=yy>All of it was made by us in the year</div>"
+    texts = [prose(rng, 80) for _ in range(n)]
+    pages = [f"<html><body>{menu}<div class=xx><p>{t}</p></div></body></html>" for t in texts]
+    assert html.extract(pages) == texts
+    near = [texts[0], *(f"{texts[0]} and {k} more" for k in range(n - 1))]  # near copies stay whole
+    if n < 4:
+        assert all(t in out for t, out in zip(near, html.extract([f"<html><body><div class=xx><p>{t}</p><p>{texts[1]}</p></div></body></html>" for t in near]), strict=True))
+
+
 def test_names_inside_an_article():
     page = """<article><header class="entry-header"><h1><a href="/">Title</a></h1></header><section id="discussion"><h2>Discussion</h2><p>We find it so.</p></section><div class="related-work"><p>Others did too.</p></div>
 <h2 id="sharing">Sharing</h2><section id="social-impact"><p>Large.</p></section><div id="sharing-economy"><p>It grew.</p></div>
