@@ -131,6 +131,37 @@ def test_op4(run, texts):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+LARGER = "/root/testdata/sf0.1"
+larger = pytest.mark.skipif(not os.path.isdir(LARGER), reason="the small tables aren't here")
+
+
+def of_labels(spark, column):
+    return {r.doc_id: r[column] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if r[column] is not None}
+
+
+@larger
+def test_op4_on_held_out_labels(spark):
+    """Rows that were never learned from, against their labels."""
+    labels = of_labels(spark, "toxic")
+    got = [r for r in __spark_entry__.queries()["op4_toxicity"](spark, LARGER).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = ([r for r in got if labels[r.doc_id] == x] for x in (1, 0))
+    assert len(toxic) >= 30 and len(clean) >= 300
+    # some 350 toxic texts are learned from here, so words that none of them has go unseen
+    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in toxic for b in clean]
+    assert sum(pairs) >= 0.95 * len(pairs)  # area under the curve, pair by pair
+
+
+@larger
+def test_op6_against_labels(spark):
+    """No label is learned from: the labellers' posteriors and the scorer against all of them."""
+    labels = of_labels(spark, "quality")
+    got = [r for r in __spark_entry__.queries()["op6_quality"](spark, LARGER).collect() if r.doc_id in labels]
+    good, bad = ([r for r in got if labels[r.doc_id] == x] for x in (1, 0))
+    assert len(good) >= 100 and len(bad) >= 10
+    assert sum(r.keep for r in good) >= 0.98 * len(good) and sum(r.keep for r in bad) <= 0.05 * len(bad)
+
+
 def test_op5(run, texts, reference):  # noqa: F811
     want = []
     for i, t in texts:
