@@ -56,7 +56,10 @@ def with_neighbours(df: DataFrame, order: str, reach: int = 2, size: int | None
     A window over a block sees what one over all rows would, within ``reach``; drop the rows that aren't _own after it.
     """
     size = size or BLOCK
-    rows = placed(df, order)
+    table, one = checked(df, size)
+    if one:  # one block holds all, as of most runs' levels: there is nothing to deal
+        return table.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True)})
+    rows = placed(table, order)
     own = F.expr(f"_place div {size}")
     at = F.pmod(F.col("_place"), F.lit(size))
     to = F.array(own, F.when(at < reach, own - 1), F.when(at >= size - reach, own + 1))

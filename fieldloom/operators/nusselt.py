@@ -110,12 +110,11 @@ def thermal_bl(levels: DataFrame, count_wall: bool = True) -> DataFrame:
     x = derivatives(x, {"_g": "tm"}, "z", ["_block"], "z")
     w = W.partitionBy("_block").orderBy("z")
     x = x.withColumns({"_z1": F.lead("z").over(w), "_t1": F.lead("tm").over(w)}).where("_own")
-    ends = levels.agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    ends = x.agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
     x = x.crossJoin(F.broadcast(ends))  # one row
     mid = F.lit(0.5) * (F.col("_lo") + F.col("_hi"))
     at_mid = F.when((mid >= F.col("z")) & (mid < F.col("_z1")), F.col("tm") + (F.col("_t1") - F.col("tm")) * (mid - F.col("z")) / (F.col("_z1") - F.col("z")))
-    center = x.agg(F.max(at_mid).alias("t_center"))
-    walls = x.agg(F.min_by("tm", "z").alias("t0"), F.max_by("tm", "z").alias("t1"), F.min_by("_g", "z").alias("g0"), F.max_by("_g", "z").alias("g1")).crossJoin(F.broadcast(center))
+    walls = x.agg(F.max(at_mid).alias("t_center"), F.min_by("tm", "z").alias("t0"), F.max_by("tm", "z").alias("t1"), F.min_by("_g", "z").alias("g0"), F.max_by("_g", "z").alias("g1"))
     walls = walls.select("t_center", (F.abs(F.col("t0") - F.col("t_center")) / F.abs("g0")).alias("delta_b"), (F.abs(F.col("t1") - F.col("t_center")) / F.abs("g1")).alias("delta_t"))
     near = x.crossJoin(F.broadcast(walls))
     less = 0 if count_wall else 1

@@ -748,6 +748,14 @@ def written_mesh_from_0(spark, sf):
     return rows.select(*[F.col("v")[k].cast("long").alias(f"n{k}") for k in range(4)], (F.col("n") - first).alias("place"))
 
 
+@query("written_npy", f"WITH {A.FIELD} SELECT row_number() OVER (ORDER BY k, j, i) - 1 AS row, i, k, {sql_cut('u', 6)} FROM mean_t")
+def written_npy(spark, sf):
+    """A NumPy file of the time mean, by place, read again."""
+    path = f"{shared_dir(spark)}/text/{uuid.uuid4().hex}.npy"
+    sinks.write_npy(path, moments.time_mean(A.field(spark, sf)), ["i", "k", "u"], ["k", "j", "i"])
+    return cut_all(sinks.read_npy(spark, path, rows=64), 6, "u")
+
+
 @query("written_once", f"SELECT {sql_cut('l_quantity', 4, 'z')}, {sql_cut('avg(l_extendedprice)', 4, 'value')} FROM lineitem GROUP BY l_quantity")
 def written_once(spark, sf):
     """An output that is there already is passed over."""

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import result_path, shared_dir
+from .arrays import read_npy, write_npy, write_npz
+
+__all__ = ["exists", "read_npy", "staged", "write_mesh", "write_npy", "write_npz", "write_profile", "write_result", "write_structured", "write_summary"]
 
 
 def _lines(df: DataFrame, columns: Sequence[str], fmt: str, order: Sequence[str], section: int) -> DataFrame:
@@ -48,6 +50,7 @@ def _save(spark: SparkSession, header: str, parts: Sequence[DataFrame], path: st
 
 def write_mesh(spark: SparkSession, path: str, nodes: DataFrame, variables: Sequence[str], elems: DataFrame | None = None, order: str = "node_id", elem_order: str = "elem_idx", one_based: bool = True, zonetype: str = "FETETRAHEDRON") -> None:
     """ASCII zone of nodes and tetrahedra (n0 to n3, from 0; written from 1 unless ``one_based`` is off), or of points. Looks at the data for its sizes."""
+    # Fixed values, here and below: the words of a zone's header and the formats of its numbers
     head = " VARIABLES = " + ",".join(f'"{v}"' for v in variables) + "\n"
     n = nodes.count()
     parts = [_lines(nodes, variables, "%.12g", [order], 1)]
@@ -94,32 +97,6 @@ def write_result(df: DataFrame, folder: str, name: str, tag: str = "") -> None:
     df.write.mode("overwrite").parquet(result_path(folder, name, tag))
 
 
-def write_npy(path: str, df: DataFrame, columns: Sequence[str], order: Sequence[str], most_rows: int = 100_000_000) -> None:
-    """One local .npy file: a structured array with a field for each column, by ``order``. For results that fit the driver; more than ``most_rows`` rows raise ValueError."""
-    np.save(path, _array(df, columns, order, most_rows), allow_pickle=False)
-
-
-def write_npz(path: str, nodes: DataFrame, variables: Sequence[str], elems: DataFrame | None = None, order: str = "node_id", elem_order: str = "elem_idx", most_rows: int = 100_000_000) -> None:
-    """One local .npz file with data (a column for each variable), var_names and, if there are elements, conn (from 0). As write_npy."""
-    rows = _array(nodes, variables, [order], most_rows)
-    parts = {"data": np.stack([rows[v] for v in variables], axis=1), "var_names": np.array(list(variables))}
-    if elems is not None:
-        conn = _array(elems, ["n0", "n1", "n2", "n3"], [elem_order], most_rows)
-        parts["conn"] = np.stack([conn[c] for c in conn.dtype.names], axis=1)
-    np.savez_compressed(path, **parts)
-
-
-def _array(df: DataFrame, columns: Sequence[str], order: Sequence[str], most_rows: int) -> np.ndarray:
-    if df.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} rows don't go into one local file")
-    table = df.orderBy(*order).select(*columns).toArrow()
-    values = [table[c].to_numpy() for c in columns]
-    out = np.empty(len(table), [(c, v.dtype) for c, v in zip(columns, values, strict=True)])
-    for c, v in zip(columns, values, strict=True):
-        out[c] = v
-    return out
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether an output is there already, to be skipped."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -43,3 +43,9 @@ def open_(path: str):
 def size_of(path: str) -> int:
     s, p = store(path)
     return s.get_file_info(p).size
+
+
+def drop_folder(path: str) -> None:
+    s, p = store(path)
+    if s.get_file_info(p).type == fs.FileType.Directory:
+        s.delete_dir(p)

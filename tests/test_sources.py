@@ -145,6 +145,29 @@ def test_arrays_for_numpy(spark, tmp_path):
         sinks.write_npy(str(tmp_path / "c.npy"), nodes, ["X"], ["node_id"], most_rows=2)
 
 
+def test_arrays_are_written_by_tasks(spark, tmp_path):
+    n = 5000
+    df = spark.range(n).repartition(7).select((n - F.col("id")).alias("node_id"), (F.col("id") * 0.5).alias("a"), F.col("id").cast("int").alias("b"), F.when(F.col("id") % 2 == 0, F.col("id").cast("float")).alias("c"))
+    sinks.write_npy(f"file://{tmp_path}/x.npy", df, ["a", "b", "c"], ["node_id"])
+    x = np.load(tmp_path / "x.npy")
+    ids = np.arange(n)[::-1]
+    assert x.dtype == np.dtype([("a", "<f8"), ("b", "<i4"), ("c", "<f4")]) and (x["a"] == ids * 0.5).all() and (x["b"] == ids).all()
+    assert (np.isnan(x["c"]) == (ids % 2 == 1)).all()
+    back = sinks.read_npy(spark, str(tmp_path / "x.npy"), rows=999)
+    assert back.rdd.getNumPartitions() == 6 and back.where("b = 4999 - row AND a = b * 0.5").count() == n
+    elems = spark.range(30).repartition(3).select(F.col("id").alias("elem_idx"), *[(F.col("id") + k).alias(f"n{k}") for k in range(4)])
+    sinks.write_npz(str(tmp_path / "y.npz"), df, ["a", "b"], elems)
+    y = np.load(tmp_path / "y.npz")
+    assert (y["data"] == np.stack([ids * 0.5, ids], 1)).all() and (y["conn"] == np.arange(30)[:, None] + np.arange(4)).all() and y["var_names"].tolist() == ["a", "b"]
+    sinks.write_npy(str(tmp_path / "z.npy"), df.limit(0), ["a"], ["node_id"])
+    assert np.load(tmp_path / "z.npy").shape == (0,) and sinks.read_npy(spark, str(tmp_path / "z.npy")).count() == 0
+    with pytest.raises(Exception, match="a null in"):
+        sinks.write_npy(str(tmp_path / "w.npy"), df.withColumn("b", F.when(F.col("b") > 3, F.col("b"))), ["b"], ["node_id"])
+    with pytest.raises(ValueError, match="no fixed size"):
+        sinks.write_npy(str(tmp_path / "w.npy"), df.withColumn("s", F.lit("x")), ["s"], ["node_id"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x.npy", "y.npz", "z.npy"]
+
+
 def test_indexed_files_are_read_in_parts(spark, tmp_path):
     rng = np.random.default_rng(5)
     for blk in (1, 2):  # lines of odd lengths
