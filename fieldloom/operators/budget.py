@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,23 @@ def accumulators(fluct: DataFrame, ref: tuple[int, int, int], flux: str = "w") -
     return rows.groupBy("i", "j", "k").agg(*[F.avg(v).alias(n) for n, v in zip(PRODUCTS, values, strict=True)])
 
 
+def accumulators_many(fluct: DataFrame, refs: Sequence[tuple[int, int, int]], flux: str = "w") -> DataFrame:
+    """ref_i, ref_j, ref_k and what accumulators gives, for several reference points in one pass over the snapshots. Snapshots that lack one of the points don't count."""
+    refs = list(dict.fromkeys(refs))
+    at = [(F.col("i") == i) & (F.col("j") == j) & (F.col("k") == k) for i, j, k in refs]
+    here = fluct.where(reduce(Column.__or__, at)).groupBy("t").agg(*[F.max(F.when(c, F.col(f))).alias(f"{f}0_{m}") for m, c in enumerate(at) for f in VELOCITY]).dropna()
+    sums = []
+    for m in range(len(refs)):
+        first = {f: F.col(f"{f}0_{m}") for f in VELOCITY}
+        inner = first["u"] * F.col("u") + first["v"] * F.col("v") + first["w"] * F.col("w")
+        gaps = [first[c] - F.col(c) for c in VELOCITY]
+        values = [inner * g for g in gaps] + [first[flux] * F.col("t_val") * g for g in gaps]
+        sums += [F.avg(v).alias(f"{n}_{m}") for n, v in zip(PRODUCTS, values, strict=True)]
+    cells = fluct.join(few(here, MOST_SNAPSHOTS), "t").groupBy("i", "j", "k").agg(*sums)
+    each = [F.struct(*[F.lit(x).cast("long").alias(f"ref_{a}") for a, x in zip("ijk", ref, strict=True)], *[F.col(f"{n}_{m}").alias(n) for n in PRODUCTS]) for m, ref in enumerate(refs)]
+    return cells.select("i", "j", "k", F.explode(F.array(*each)).alias("s")).select("s.ref_i", "s.ref_j", "s.ref_k", "i", "j", "k", *[f"s.{n}" for n in PRODUCTS])
+
+
 def wide(corr: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """i, j, k and a column R_<fi>_<fj> for each pair, or those of ``pairs``; the lag takes the place of k."""
     names = ["u", "v", "w", "t_val"]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,11 +29,17 @@ MOST_REFERENCE, MOST_SNAPSHOTS = 500_000, 2_000
 
 def reference_line(snap: DataFrame, ref: tuple[int, int], fields: Sequence[str], center: str = "") -> tuple[DataFrame, bool]:
     """t, k, r_<field>: the reference line of each snapshot, staged, less its mean over all ("line"), that of each k ("cell") or nothing (""); and whether it may be broadcast."""
-    here, small = checked(snap.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select("t", "k", *[F.col(f).cast("double").alias(f"r_{f}") for f in fields]), MOST_REFERENCE)
+    names = [f"r_{f}" for f in fields]
+    here = snap.where((F.col("i") == ref[0]) & (F.col("j") == ref[1])).select("t", "k", *[F.col(f).cast("double").alias(n) for n, f in zip(names, fields, strict=True)])
+    return _centered(here, names, center)
+
+
+def _centered(here: DataFrame, names: Sequence[str], center: str) -> tuple[DataFrame, bool]:
+    here, small = checked(here, MOST_REFERENCE)
     if center:
-        mean = here.groupBy(*(["k"] if center == "cell" else [])).agg(*[F.avg(f"r_{f}").alias(f"_{f}") for f in fields])
+        mean = here.groupBy(*(["k"] if center == "cell" else [])).agg(*[F.avg(n).alias(f"_{n}") for n in names])
         both = here.join(F.broadcast(mean), "k") if center == "cell" else here.crossJoin(F.broadcast(mean))  # a row for each k, or one
-        here = both.select("t", "k", *[(F.col(f"r_{f}") - F.col(f"_{f}")).alias(f"r_{f}") for f in fields])
+        here = both.select("t", "k", *[(F.col(n) - F.col(f"_{n}")).alias(n) for n in names])
     return here, small
 
 
@@ -52,11 +59,25 @@ def two_point(fluct: DataFrame, ref: tuple[int, int], fields: Sequence[str] = tu
     return lines.line_sums(rows, fields, here, small, _inverse(fields, normalize_lag, center), CORRELATIONS)
 
 
+def two_point_many(snap: DataFrame, refs: Sequence[tuple[int, int]], fields: Sequence[str] = tuple(FLOW), normalize_lag: bool = False, center: str = "line", line: DataFrame | None = None) -> DataFrame:
+    """ref_i, ref_j and what two_point gives, for several reference lines at once: snapshots are read and dealt once for all. Snapshots that lack one of the lines don't count."""
+    refs = list(dict.fromkeys(refs))
+    at = [(F.col("i") == i) & (F.col("j") == j) for i, j in refs]
+    some = (snap if line is None else line).where(reduce(Column.__or__, at))
+    wide = some.groupBy("t", "k").agg(*[F.max(F.when(c, F.col(f).cast("double"))).alias(f"r{m}_{f}") for m, c in enumerate(at) for f in fields])
+    names = [f"r{m}_{f}" for m in range(len(refs)) for f in fields]
+    here, small = _centered(wide.dropna(), names, center)
+    if len(refs) == 1:
+        here = here.withColumnsRenamed({n: f"r_{n.split('_', 1)[1]}" for n in names})
+    rows = snap.select("t", "i", "j", "k", *[F.col(f).cast("double").alias(f) for f in fields])
+    return lines.line_sums(rows, fields, here, small, _inverse(fields, normalize_lag, center, refs), f"ref_i long, ref_j long, {CORRELATIONS}", len(refs))
+
+
 CORRELATIONS = "fi string, fj string, i long, j long, lag int, r double"
 
 
-def _inverse(fields: Sequence[str], normalize_lag: bool, center: str):
-    """A function from a line's sums to its correlations."""
+def _inverse(fields: Sequence[str], normalize_lag: bool, center: str, refs: Sequence[tuple[int, int]] = ()):
+    """A function from a line's sums to its correlations, with each reference's place in front if ``refs`` tells them."""
     names, n = list(fields), len(fields)
 
     def finish(i, j, nz, count, cross, ref, own, _):
@@ -64,8 +85,10 @@ def _inverse(fields: Sequence[str], normalize_lag: bool, center: str):
             some = slice(1) if center == "line" else slice(None)
             cross[..., some] -= (np.conj(ref)[:, None] * own[None] / count)[..., some]
         r = np.fft.irfft(cross, n=nz, axis=-1) / count / (nz if normalize_lag else 1)
-        columns = (np.repeat(names, n * nz), np.tile(np.repeat(names, nz), n), np.full(r.size, i), np.full(r.size, j), np.tile(np.arange(nz, dtype=np.int32), n * n), r.ravel())
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fi", "fj", "i", "j", "lag", "r"])
+        each = max(1, len(refs))
+        columns = [np.tile(np.repeat(names, n * nz), each), np.tile(np.repeat(names, nz), n * each), np.full(r.size, i), np.full(r.size, j), np.tile(np.arange(nz, dtype=np.int32), n * n * each), r.ravel()]
+        places = [np.repeat([x[k] for x in refs], n * n * nz) for k in (0, 1)] if refs else []
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in [*places, *columns]], names=[*["ref_i", "ref_j"][: len(places)], "fi", "fj", "i", "j", "lag", "r"])
 
     return finish
 

@@ -49,14 +49,15 @@ def _snapshots(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Itera
         yield from lines_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], True)
 
 
-def line_sums(snap: DataFrame, fields: Sequence[str], here: DataFrame | None = None, small: bool = False, finish: Callable | None = None, schema: str = SCHEMA) -> DataFrame:
+def line_sums(snap: DataFrame, fields: Sequence[str], here: DataFrame | None = None, small: bool = False, finish: Callable | None = None, schema: str = SCHEMA, references: int = 1) -> DataFrame:
     """A row for each line (i, j): nz, n (snapshots), and the sums over them of its spectra, their powers and, with ``here``, the reference's spectra and the cross-spectra with it.
 
-    ``snap``: t, i, j, k and the fields. ``here``: t, k and r_<field>; only snapshots (and k) that it has count; if it is ``small`` it is broadcast, and snap's
+    ``snap``: t, i, j, k and the fields. ``here``: t, k and r_<field>, or r0_<field>, r1_<field>, ... of several ``references``, whose cross-spectra stand one after the other; only snapshots (and k) that it has count; if it is ``small`` it is broadcast, and snap's
     only exchange is the one by line. ``finish`` makes batches of ``schema`` of a line's (i, j, nz, n, cross, ref, own, power) in the same task, instead of the row.
     """
     small_batches(snap.sparkSession)
-    names, refs = list(fields), [f"r_{f}" for f in fields] if here is not None else []
+    marks = ["r"] if references == 1 else [f"r{m}" for m in range(references)]
+    names, refs = list(fields), [f"{r}_{f}" for r in marks for f in fields] if here is not None else []
     rows = snap.select("t", "i", "j", "k", *names)
     if small:
         rows = rows.repartition("i", "j").join(F.broadcast(here), ["t", "k"])

@@ -341,6 +341,15 @@ def two_point_corr_raw_3d(spark, sf):
     return cut_all(correlation.two_point(A.field(spark, sf), A.REF[:2], center="cell"), 2, "r")
 
 
+CORR_MANY = " UNION ALL ".join(f"SELECT {i} AS ref_i, {j} AS ref_j, * FROM ({CORR_SQL.replace('a.i = 1 AND a.j = 2', f'a.i = {i} AND a.j = {j}')})" for i, j in ((1, 2), (3, 4)))
+
+
+@query("two_point_corr_many", CORR_MANY)
+def two_point_corr_many(spark, sf):
+    """Two reference lines from one reading of the snapshots."""
+    return cut_all(correlation.two_point_many(A.field(spark, sf), [(1, 2), (3, 4)]), 2, "r")
+
+
 @query("two_point_corr_resumed", CORR_SQL)
 def two_point_corr_resumed(spark, sf):
     """Two goes, of which the second adds only the snapshots that the first lacked."""
@@ -369,6 +378,15 @@ def budget_accumulators(spark, sf):
     return cut_all(budget.accumulators(fluct(spark, sf), A.REF), 1, *budget.PRODUCTS)
 
 
+_ACC_AT = lambda i, j, k: ACC.replace("i = 1 AND j = 2 AND k = 5", f"i = {i} AND j = {j} AND k = {k}")
+
+
+@query("budget_accumulators_many", " UNION ALL ".join(f"SELECT * FROM (WITH {_ACC_AT(*r)} SELECT {r[0]} AS ref_i, {r[1]} AS ref_j, {r[2]} AS ref_k, i, j, k, {', '.join(sql_cut(c, 1) for c in budget.PRODUCTS)} FROM acc)" for r in (A.REF, (3, 0, 9))))
+def budget_accumulators_many(spark, sf):
+    """Two reference points in one pass."""
+    return cut_all(budget.accumulators_many(fluct(spark, sf), [A.REF, (3, 0, 9)]), 1, *budget.PRODUCTS)
+
+
 def _budget_sql(term: str, flux: str = "w", plain: bool = False, lag: str = "g.k") -> str:
     over = {"x": "PARTITION BY j, k ORDER BY i", "y": "PARTITION BY i, k ORDER BY j", "z": "PARTITION BY i, j ORDER BY k"}
     plane = {"x": "PARTITION BY j ORDER BY i", "y": "PARTITION BY i ORDER BY j"}

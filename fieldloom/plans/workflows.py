@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
@@ -133,22 +134,32 @@ def nusselt_numbers(
     return results
 
 
-def two_point_budgets(spark: SparkSession, folder: str, grid_file: str, out: str, ref: tuple[int, int, int], flux: str = "w", which: Sequence[str] | None = None) -> DataFrame:
-    """i, j, k, x, y, z and the budget terms of structured snapshots, from the mean to the terms; correlations and products are kept as tables under ``out``, and terms.dat has the terms."""
+def two_point_budgets(spark: SparkSession, folder: str, grid_file: str, out: str, ref: tuple[int, int, int] | Sequence[tuple[int, int, int]], flux: str = "w", which: Sequence[str] | None = None) -> DataFrame | dict[tuple[int, int, int], DataFrame]:
+    """i, j, k, x, y, z and the budget terms of structured snapshots, from the mean to the terms; correlations and products are kept as tables under ``out``, and terms.dat has the terms.
+
+    For several reference points, a dict of such tables by point: snapshots are read for all points together, and files are named terms_<i>_<j>_<k>.dat.
+    """
+    refs = [ref] if isinstance(ref[0], int) else list(dict.fromkeys(map(tuple, ref)))
     snap = sources.read_snapshots(spark, folder).withColumnRenamed("e", "t_val").withColumn("t", F.col("time_num"))
     grid = sources.read_grid(spark, grid_file)
     mesh.check_extent(snap, grid)
     mean = moments.z_mean(moments.time_mean(snap))
     flow = snap.select("t", "i", "j", "k", "u", "v", "w", "t_val")
     pairs, with_products = budget.asks(which, flux)
-    line = sources.read_snapshots(spark, folder, places={"i": (ref[0], ref[0]), "j": (ref[1], ref[1])}).withColumnRenamed("e", "t_val").withColumn("t", F.col("time_num"))
-    corr = sinks.staged(spark, correlation.two_point(flow, ref[:2], center="line", line=line), f"{out}/correlations") if pairs else None
-    products = sinks.staged(spark, budget.accumulators(moments.fluctuations(flow, mean), ref, flux), f"{out}/products") if with_products else None
-    at = grid.where((F.col("i") == ref[0]) & (F.col("j") == ref[1]) & (F.col("k") == ref[2])).first()
-    terms = budget.terms(corr, mean, products, grid, ref, (at["x"], at["y"], at["z"]), flux, which).join(grid, ["i", "j", "k"])
-    names = [c for c in terms.columns if c not in ("i", "j", "k", "x", "y", "z")]
-    sinks.write_structured(spark, f"{out}/terms.dat", terms, names, "budget terms")
-    return terms
+    lines_ = {r[:2] for r in refs}
+    hull = {a: (min(x), max(x)) for a, x in zip("ij", zip(*lines_, strict=True), strict=True)}
+    line = sources.read_snapshots(spark, folder, places=hull).withColumnRenamed("e", "t_val").withColumn("t", F.col("time_num"))
+    corr = sinks.staged(spark, correlation.two_point_many(flow, sorted(lines_), center="line", line=line), f"{out}/correlations") if pairs else None
+    products = sinks.staged(spark, budget.accumulators_many(moments.fluctuations(flow, mean), refs, flux), f"{out}/products") if with_products else None
+    results = {}
+    for r in refs:
+        here = lambda df, names, r=r: None if df is None else df.where(reduce(Column.__and__, [F.col(f"ref_{a}") == x for a, x in zip(names, r, strict=False)])).drop(*[f"ref_{a}" for a in names])
+        at = grid.where((F.col("i") == r[0]) & (F.col("j") == r[1]) & (F.col("k") == r[2])).first()
+        terms = budget.terms(here(corr, "ij"), mean, here(products, "ijk"), grid, r, (at["x"], at["y"], at["z"]), flux, which).join(grid, ["i", "j", "k"])
+        names = [c for c in terms.columns if c not in ("i", "j", "k", "x", "y", "z")]
+        sinks.write_structured(spark, f"{out}/terms.dat" if len(refs) == 1 else f"{out}/terms_{'_'.join(map(str, r))}.dat", terms, names, "budget terms")
+        results[r] = terms
+    return results[refs[0]] if isinstance(ref[0], int) else results
 
 
 def spectra(spark: SparkSession, folder: str, grid_file: str, out: str, fields: Sequence[str] = ("u", "v", "w"), locations: Sequence[tuple[int, int]] | None = None, center: str = "line", mean: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

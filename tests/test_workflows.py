@@ -99,6 +99,11 @@ def test_budgets_of_files(spark, tmp_path):
     out = workflows.two_point_budgets(spark, str(tmp_path / "snaps"), str(tmp_path / "mesh.xyz"), f"file://{tmp_path}/out", (1, 1, 2))
     assert out.count() == 96 and len(out.columns) == 14 and out.where(F.isnan("E_prod_h") | F.col("H_inter_f").isNull()).count() == 0
     assert len((tmp_path / "out/terms.dat").read_text().splitlines()) == 3 + 96
+    both = workflows.two_point_budgets(spark, str(tmp_path / "snaps"), str(tmp_path / "mesh.xyz"), f"file://{tmp_path}/two", [(3, 0, 5), (1, 1, 2)])
+    assert list(both) == [(3, 0, 5), (1, 1, 2)] and (tmp_path / "two/terms_3_0_5.dat").exists()
+    names = [c for c in out.columns if c not in "ijkxyz"]
+    want, got = ({(r.i, r.j, r.k): [r[n] for n in names] for r in df.collect()} for df in (out, both[1, 1, 2]))
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], nan_ok=True) for c in want)
     plot3d.write_grid(str(tmp_path / "other.xyz"), x[:3], y[:3], z[:3])
     with pytest.raises(ValueError, match="doesn't fit"):
         workflows.two_point_budgets(spark, str(tmp_path / "snaps"), str(tmp_path / "other.xyz"), f"file://{tmp_path}/out", (1, 1, 2))
