@@ -127,12 +127,16 @@ def position(offset):
     return F.when(F.col("quota") <= 0, offset + 1.0).when(x >= 1, x).otherwise(F.least(t, F.lit(1.0)))
 
 
+#: Parts of the rows of one id, source and size that are put in order apart.
+SALTS = 256
+
+
 def materialise(spark: SparkSession, docs: DataFrame, whole: bool = False, weights: Sequence[Sequence[float]] = ((1, 1), (2, 2), (3, 3)), cap: float = 3.0) -> DataFrame:
     """The mix itself, range-sorted by training position: the columns of ``docs``, whatever their names, a row for each time a document is taken.
 
     The last document of a source that its quota reaches ends with the quota's
     last word; ``whole``: it is taken whole or not at all, whichever is nearer to the quota
-    (whole if both are). Rows of one id, source and size, null or not, share their places, in the order of their hashes.
+    (whole if both are). Rows of one id, source and size, null or not, share their places, in an order that follows from their hashes.
     Documents without words, null texts among them, aren't taken. No documents: no rows.
 
     A row stays in one struct, so texts move twice: to their places, and to their positions.
@@ -142,9 +146,15 @@ def materialise(spark: SparkSession, docs: DataFrame, whole: bool = False, weigh
     plan = plan.select("key", "size", "offset", "source_size", "quota", "curve", "rate")
     words = sizes(F.col("text"))
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    row = docs.select(key(F.col("doc_id"), F.col("source"), words).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("hash"), words.alias("words")).where("words > 0").drop("words")
-    row = row.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("hash")) - 1)
-    taken = row.hint("merge").join(plan, "key").withColumn("offset", F.col("offset") + F.col("nth") * F.col("size")).where("offset < quota")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    salt = F.pmod(hashed, F.lit(SALTS))
+    # places of rows of one key: those of a salt stand together, after those of the salts before, so that a key with any share of the rows is in no single task
+    salted = docs.select(key(F.col("doc_id"), F.col("source"), words).alias("key"), salt.alias("salt"), words.alias("words")).where("words > 0").groupBy("key", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    plan = salted.withColumn("before", before).drop("n").join(plan, "key")
+    row = docs.select(key(F.col("doc_id"), F.col("source"), words).alias("key"), salt.alias("salt"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hashed.alias("hash"), words.alias("words")).where("words > 0").drop("words")
+    row = row.withColumn("nth", F.row_number().over(W.partitionBy("key", "salt").orderBy("hash")) - 1)
+    taken = row.hint("merge").join(plan, ["key", "salt"]).withColumn("offset", F.col("offset") + (F.col("before") + F.col("nth")) * F.col("size")).where("offset < quota")
     taken = taken.withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - offset - 1) div source_size)")))
     taken = taken.withColumn("at", F.col("offset") + F.col("epoch") * F.col("source_size")).withColumn("words", F.least(F.col("size"), F.col("quota") - F.col("at")))
     if whole:
